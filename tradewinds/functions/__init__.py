@@ -10,6 +10,8 @@ from tradewinds.functions.timeparts import (
     lead_days,
     month_index,
     month_label,
+    month_label_of_index,
+    month_label_of_key,
     month_offset,
     parse_ts,
     whole_minutes_between,
@@ -27,6 +29,8 @@ __all__ = [
     "lead_days",
     "month_index",
     "month_label",
+    "month_label_of_index",
+    "month_label_of_key",
     "month_offset",
     "null_if_blank",
     "parse_ts",

@@ -59,6 +59,12 @@ def date_key(c: Column | str) -> Column:
     return F.year(d) * 10000 + F.month(d) * 100 + F.dayofmonth(d)
 
 
+def month_label_of_key(key: Column | str) -> Column:
+    """'YYYY-MM' of a YYYYMMDD key."""
+    digits = F.lpad(_col(key).cast("string"), 8, "0")
+    return F.concat(F.substring(digits, 1, 4), F.lit("-"), F.substring(digits, 5, 2))
+
+
 def lead_days(start: Column | str, end: Column | str, not_before: Column | str | None = None) -> Column:
     """Calendar days from ``start`` to ``end``; NULL when missing or when ``end`` precedes ``not_before``.
 

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tradewinds.functions import calendar_attributes
+from tradewinds.functions import calendar_attributes, month_index, month_label_of_index
 
 
 def date_bounds(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -38,3 +39,28 @@ def calendar_table(days: DataFrame) -> DataFrame:
 def dense_months(dim_date: DataFrame) -> DataFrame:
     """Every month label of the calendar, once. Bounded by twelve rows a year."""
     return dim_date.select("year_month").distinct()
+
+
+def fill_months(
+    df: DataFrame, group: str, cohort: str, last_month: Column, measures: Mapping[str, Column], active: str | None = None
+) -> DataFrame:
+    """Add the silent months of each group, from its first row to ``last_month``, with the given empty measures.
+
+    Each row also stands for the months up to the next row of its group, so the grid needs no
+    join: one window over a group's months and one explode. ``month_n`` counts from ``cohort``;
+    ``active`` names an optional 0/1 column telling real rows from added ones.
+    """
+    here = month_index("year_month")
+    following = F.lead(here).over(W.partitionBy(group).orderBy("year_month"))
+    stop = F.coalesce(following - 1, F.greatest(here, month_index(last_month)))
+    rows = df.select("*", here.alias("_here"), stop.alias("_stop")).select(
+        "*", F.explode(F.sequence("_here", "_stop")).alias("_m")
+    )
+    real = F.col("_m") == F.col("_here")
+    return rows.select(
+        *dict.fromkeys([group, cohort]),
+        month_label_of_index("_m").alias("year_month"),
+        (F.col("_m") - month_index(cohort)).alias("month_n"),
+        *[F.when(real, F.col(name)).otherwise(empty).alias(name) for name, empty in measures.items()],
+        *([] if active is None else [F.when(real, 1).otherwise(0).alias(active)]),
+    )

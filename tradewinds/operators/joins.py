@@ -27,13 +27,14 @@ HEAVY_SHARE = 0.001
 
 
 def input_bytes(df: DataFrame) -> int | None:
-    """Bytes of all inputs below ``df`` according to the optimizer, None when unknown.
+    """Bytes of all inputs below ``df`` (file sizes), None when unknown.
 
     For frames built by filters, projections, aggregations and key lookups this bounds the
     rows of the result; join estimates of the optimizer multiply sizes and are of no use.
+    Only the analyzed plan is looked at, so nothing is optimized or run for the answer.
     """
     try:
-        leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+        leaves = df._jdf.queryExecution().analyzed().collectLeaves()
         return sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
     except Exception:  # noqa: BLE001 - no JVM access (for example a remote session): size unknown
         return None

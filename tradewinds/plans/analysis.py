@@ -11,12 +11,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tradewinds.functions import month_index, month_offset, safe_ratio, to_flag
+from tradewinds.functions import month_index, month_label_of_index, month_offset, safe_ratio, to_flag
 from tradewinds.functions.ratios import MONEY_TYPE
-from tradewinds.functions.timeparts import month_label_of_index
 from tradewinds.operators.aggregates import conditional_distinct, pivot_months
-from tradewinds.operators.calendar import dense_months
+from tradewinds.operators.calendar import dense_months, fill_months
 from tradewinds.operators.joins import lookup_join
+from tradewinds.plans.marts import with_month
 
 PERSON_MONTH = ("customer_unique_id", "year_month")
 
@@ -57,15 +57,18 @@ def new_repeat_flags(month: str = "year_month", cohort: str = "cohort_year_month
 
 
 def base_customer_monthly_purchase(
-    delivered_orders: DataFrame, fact_order_items: DataFrame, dim_customer: DataFrame
+    delivered_orders: DataFrame, items: DataFrame, dim_customer: DataFrame
 ) -> DataFrame:
     """Sparse person-month table with cohort month, order, item and revenue totals.
 
+    ``items`` needs order_id and item_total_value: the item fact or the staged items, of which
+    only those of delivered orders come through.
+
     Built as one flow: items collapse per order and meet the orders on the order key, which also
     serves the grouping per order; the totals collapse to (person, month), and the cohort month
     is the earliest month of the person. The window runs over a person's months, never over raw rows.
     """
-    per_order = fact_order_items.groupBy("order_id").agg(
+    per_order = items.groupBy("order_id").agg(
         F.count(F.lit(1)).alias("item_cnt"), F.sum("item_total_value").alias("revenue")
     )
     ids = dim_customer.select("customer_id", "customer_unique_id")
@@ -94,26 +97,9 @@ def base_customer_monthly_purchase(
 
 
 def dense_customer_month(base: DataFrame, last_month: Column) -> DataFrame:
-    """Person x month grid from the cohort month to ``last_month``; inactive months are 0-filled.
-
-    Each purchase month also stands for the silent months up to the next one, so no grid has
-    to be joined back: one window over a person's months and one explode.
-    """
-    here = month_index("year_month")
-    ahead = F.lead(here).over(W.partitionBy("customer_unique_id").orderBy("year_month"))
-    stop = F.coalesce(ahead - 1, F.greatest(here, month_index(last_month)))
-    grid = base.withColumn("stop", stop).select("*", F.explode(F.sequence(here, F.col("stop"))).alias("m"))
-    active = F.col("m") == month_index("year_month")
-    return grid.select(
-        "customer_unique_id",
-        month_label_of_index("m").alias("year_month"),
-        "cohort_year_month",
-        (F.col("m") - month_index("cohort_year_month")).alias("month_n"),
-        F.when(active, F.col("order_cnt")).otherwise(0).alias("order_cnt"),
-        F.when(active, F.col("item_cnt")).otherwise(0).alias("item_cnt"),
-        F.when(active, F.col("gross_revenue")).otherwise(_zero_money()).alias("gross_revenue"),
-        to_flag(active).alias("is_active"),
-    )
+    """Person x month grid from the cohort month to ``last_month``; inactive months are 0-filled."""
+    empty = {"order_cnt": F.lit(0), "item_cnt": F.lit(0), "gross_revenue": _zero_money()}
+    return fill_months(base, "customer_unique_id", "cohort_year_month", last_month, empty, active="is_active")
 
 
 # --- monthly KPIs -----------------------------------------------------------------------------
@@ -159,10 +145,7 @@ def cancellation_rates() -> list[Column]:
 
 def kpi_monthly_cancellation(fact_orders: DataFrame, dim_date: DataFrame) -> DataFrame:
     """Every calendar month over all orders: totals, canceled, unavailable, failed, and their rates."""
-    months = F.broadcast(dim_date.select(F.col("date_key").alias("order_purchase_date_key"), "year_month"))
-    dated = fact_orders.select("order_id", "order_status", "order_purchase_date_key").join(
-        months, "order_purchase_date_key"
-    )
+    dated = with_month(fact_orders.select("order_id", "order_status", "order_purchase_date_key"), "order_purchase_date_key")
     counts = conditional_distinct(dated, ["year_month"], "order_id", cancellation_conditions())
     names = list(cancellation_conditions())
     return dense_months(dim_date).join(counts, "year_month", "left").select(
@@ -207,21 +190,19 @@ def cohort_matrix(cohorts: DataFrame, last_month: Column) -> DataFrame:
 def cohort_monthly_core(dim_date: DataFrame, base: DataFrame) -> DataFrame:
     """Dense cohort x month table with retention, average order value and running totals.
 
-    The person-month rows are read once: grid, sizes and values all come from the
-    cohort-month aggregate (at most one row per pair of calendar months).
+    The person-month rows are read once: a cohort's first month is always observed, so grid
+    and size follow from the cohort-month aggregate (at most one row per pair of calendar months).
     """
-    observed = cohort_base_agg(base)
-    sizes = observed.filter("month_n = 0").select("cohort_year_month", F.col("cohort_active_buyers").alias("cohort_size"))
-    grid = cohort_matrix(observed, last_calendar_month(dim_date))
-    keys = ["cohort_year_month", "year_month", "month_n"]
-    filled = grid.join(sizes, "cohort_year_month").join(observed, keys, "left").select(
-        *keys,
-        "cohort_size",
-        F.coalesce("cohort_active_buyers", F.lit(0)).alias("cohort_active_buyers"),
-        F.coalesce("cohort_order_cnt", F.lit(0)).alias("cohort_order_cnt"),
-        F.coalesce("cohort_gross_revenue", _zero_money()).alias("cohort_gross_revenue"),
+    empty = {"cohort_active_buyers": F.lit(0), "cohort_order_cnt": F.lit(0), "cohort_gross_revenue": _zero_money()}
+    filled = fill_months(
+        cohort_base_agg(base), "cohort_year_month", "cohort_year_month", last_calendar_month(dim_date), empty
+    )
+    first_buyers = F.max(F.when(F.col("month_n") == 0, F.col("cohort_active_buyers")))
+    sized = filled.withColumn("cohort_size", first_buyers.over(W.partitionBy("cohort_year_month")))
+    values = ["cohort_size", *empty]
+    return sized.select(
+        *["cohort_year_month", "year_month", "month_n", *values], *cohort_retention_aov(), *cohort_cumulative()
     )
-    return filled.select("*", *cohort_retention_aov(), *cohort_cumulative())
 
 
 def cohort_retention_aov() -> list[Column]:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tradewinds.functions import date_key
+from tradewinds.functions import date_key, month_label_of_key
 from tradewinds.operators.calendar import calendar_table, date_bounds, generate_calendar
 from tradewinds.operators.joins import lookup_join
 
@@ -86,16 +86,23 @@ def fact_order_items(
     )
 
 
-def month_of_key(dim_date: DataFrame, key: str) -> DataFrame:
-    """(key, year_month). A calendar of four-digit years has fewer than 3.7 million days, so it may be broadcast."""
-    return F.broadcast(dim_date.select(F.col("date_key").alias(key), "year_month"))
+def with_month(df: DataFrame, key: str, dim_date: DataFrame | None = None, name: str = "year_month") -> DataFrame:
+    """Add the month label of a date key.
+
+    The calendar spans every order date by construction, so the label can be read off the key
+    without touching the calendar. Given a ``dim_date`` of another origin, rows on days it
+    lacks are dropped; four-digit years have fewer than 3.7 million days, so it may be broadcast.
+    """
+    if dim_date is None:
+        return df.withColumn(name, month_label_of_key(key))
+    days = dim_date.select(F.col("date_key").alias(key), F.col("year_month").alias(name))
+    return df.join(F.broadcast(days), key)
 
 
-def vw_delivered_orders(fact_orders: DataFrame, dim_date: DataFrame) -> DataFrame:
+def vw_delivered_orders(fact_orders: DataFrame, dim_date: DataFrame | None = None) -> DataFrame:
     """Orders with status 'delivered' and a delivery time, with their month label."""
     delivered = fact_orders.filter((F.col("order_status") == "delivered") & (F.col("is_delivered") == 1))
-    months = month_of_key(dim_date, "order_purchase_date_key")
-    return delivered.join(months, "order_purchase_date_key").select(
+    return with_month(delivered, "order_purchase_date_key", dim_date).select(
         *["order_id", "customer_id", "customer_zip_code_prefix", "order_purchase_date_key", "year_month"],
         *["order_status", "is_delivered", "is_canceled"],
         *ORDER_DATES,
@@ -117,16 +124,14 @@ def vw_delivered_order_items(fact_order_items: DataFrame, delivered_orders: Data
 
 
 def vw_customer_first_purchase_month(
-    delivered_orders: DataFrame, dim_customer: DataFrame, dim_date: DataFrame
+    delivered_orders: DataFrame, dim_customer: DataFrame, dim_date: DataFrame | None = None
 ) -> DataFrame:
     """Earliest delivered purchase of each person. Orders collapse per customer before the identity lookup."""
     first = delivered_orders.groupBy("customer_id").agg(F.min("order_purchase_date_key").alias("first_key"))
     people = lookup_join(first, dim_customer.select("customer_id", "customer_unique_id"), "customer_id")
-    return (
-        people.groupBy("customer_unique_id")
-        .agg(F.min("first_key").alias("first_purchase_date_key"))
-        .join(month_of_key(dim_date, "first_purchase_date_key"), "first_purchase_date_key")
-        .select("customer_unique_id", "first_purchase_date_key", F.col("year_month").alias("first_purchase_year_month"))
+    earliest = people.groupBy("customer_unique_id").agg(F.min("first_key").alias("first_purchase_date_key"))
+    return with_month(earliest, "first_purchase_date_key", dim_date, "first_purchase_year_month").select(
+        "customer_unique_id", "first_purchase_date_key", "first_purchase_year_month"
     )
 
 

@@ -136,7 +136,7 @@ class Warehouse:
 
     @cached_property
     def vw_delivered_orders(self) -> DataFrame:
-        return marts.vw_delivered_orders(self.fact_orders, self.dim_date)
+        return marts.vw_delivered_orders(self.fact_orders)
 
     @cached_property
     def vw_delivered_order_items(self) -> DataFrame:
@@ -144,15 +144,15 @@ class Warehouse:
 
     @cached_property
     def vw_customer_first_purchase_month(self) -> DataFrame:
-        return marts.vw_customer_first_purchase_month(self.vw_delivered_orders, self.dim_customer, self.dim_date)
+        return marts.vw_customer_first_purchase_month(self.vw_delivered_orders, self.dim_customer)
 
     # analysis
 
     @cached_property
     def base_customer_monthly_purchase(self) -> DataFrame:
-        base = analysis.base_customer_monthly_purchase(
-            self.vw_delivered_orders, self.fact_order_items, self.dim_customer
-        )
+        # a plan down to the raw tables needs no item fact: its lookups would change no total
+        items = self.stg_order_items if self._storage is None else self.fact_order_items
+        base = analysis.base_customer_monthly_purchase(self.vw_delivered_orders, items, self.dim_customer)
         return self._keep("am", "base_customer_monthly_purchase", base)
 
     @cached_property

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tradewinds.plans.warehouse import Warehouse
-from tradewinds.sources.driver_tables import raw_table
+from tradewinds.sources.driver_tables import DriverTables
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -17,7 +17,7 @@ class Context(Warehouse):
     """The lazy warehouse over one folder of driver tables, plus that folder and the session."""
 
     def __init__(self, spark: SparkSession, folder: str):
-        super().__init__(lambda name: raw_table(spark, folder, name))
+        super().__init__(DriverTables(spark, folder).raw)
         self.spark = spark
         self.folder = folder
 

@@ -178,9 +178,31 @@ ADAPTERS = {
 }
 
 
-def raw_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return ADAPTERS[name](lambda table: spark.read.parquet(f"{folder}/{table}.parquet"))
+# Fixed column types of the driver tables: no job has to look them up in file footers.
+DRIVER_SCHEMAS = {
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, "
+    "o_orderdate timestamp_ntz, o_orderpriority string",
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, "
+    "l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string, "
+    "l_shipdate timestamp_ntz",
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "supplier": "s_suppkey bigint, s_name string, s_nationkey int, s_acctbal double",
+    "part": "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int, p_retailprice double",
+}
+
+
+class DriverTables:
+    """Raw marketplace tables over one folder; each file is opened once."""
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self._spark, self._folder = spark, folder
+        self._tables: dict[str, DataFrame] = {}
 
+    def table(self, name: str) -> DataFrame:
+        if name not in self._tables:
+            reader = self._spark.read.schema(DRIVER_SCHEMAS[name])
+            self._tables[name] = reader.parquet(f"{self._folder}/{name}.parquet")
+        return self._tables[name]
 
-def raw_tables(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
-    return {name: raw_table(spark, folder, name) for name in ADAPTERS}
+    def raw(self, name: str) -> DataFrame:
+        return ADAPTERS[name](self.table)
