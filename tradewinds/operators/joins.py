@@ -4,11 +4,13 @@
 
 * the looked-up side reads little input (its size is checked, see ``input_bytes``):
   it is broadcast and the big side is not shuffled at all;
-* otherwise both sides are shuffled on the key, except for the rows of heavy keys.
-  The heavy keys come from a mergeable frequent-items sketch, so there are at most
-  ``MAX_HEAVY_KEYS`` of them; their rows keep their partitioning and meet a broadcast of
-  the few looked-up rows. Sketch error only moves a key between the two paths, never a
-  row out of the result.
+* otherwise both sides are shuffled on the key. Heavy keys, found beforehand with a
+  frequent-items sketch, are salted: their rows are spread by a hash of the whole row and
+  the looked-up row is repeated once per salt. At most ``MAX_HEAVY_KEYS`` keys are heavy,
+  so the repeats are few. The list of heavy keys is a fixed part of the plan - both sides
+  and every retried task see the same salts - and an error of the sketch costs balance
+  only, never a row. Identical copies of a row share a salt; those are left to the skew
+  handling of adaptive execution.
 
 ``count_by_key`` + ``match_counts`` serve the checks that only need totals: rows are
 counted per key before the shuffle, so a heavy key travels as one row per task.
@@ -16,6 +18,8 @@ counted per key before the shuffle, so a heavy key travels as one row per task.
 
 from __future__ import annotations
 
+from math import ceil
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -49,32 +53,54 @@ def is_small(df: DataFrame) -> bool:
     return size is not None and size <= broadcast_limit(df)
 
 
-def heavy_keys(df: DataFrame, key: str) -> DataFrame:
-    """At most MAX_HEAVY_KEYS keys holding more than HEAVY_SHARE of the rows (approximate)."""
-    sketch = df.agg(
+def heavy_keys(df: DataFrame, key: str) -> list[tuple[object, int]]:
+    """(key, salts) for the at most MAX_HEAVY_KEYS keys above HEAVY_SHARE of the rows, NULL included.
+
+    A key gets one salt per HEAVY_SHARE of the rows it holds. Runs one job over the key column;
+    what comes back to the driver is bounded by the sketch.
+    """
+    found = df.agg(
         F.expr(f"approx_top_k(`{key}`, {MAX_HEAVY_KEYS}, {SKETCH_ITEMS})").alias("top"),
+        F.count_if(F.col(key).isNull()).alias("nulls"),
         F.count(F.lit(1)).alias("total"),
-    )
-    return (
-        sketch.select("total", F.explode("top").alias("t"))
-        .filter(F.col("t.item").isNotNull() & (F.col("t.count") > F.col("total") * HEAVY_SHARE))
-        .select(F.col("t.item").alias(key), F.lit(True).alias("_heavy"))
-    )
+    ).first()
+    counts = {t["item"]: t["count"] for t in found["top"] or [] if t["item"] is not None}
+    counts[None] = found["nulls"]
+    fair = max(found["total"] * HEAVY_SHARE, 1)
+    return [(item, ceil(n / fair)) for item, n in counts.items() if n > fair]
 
 
-def lookup_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner") -> DataFrame:
-    """Join ``left`` (any skew) with ``right`` (one row per key) on ``key``; how is inner or left."""
+def lookup_join(
+    left: DataFrame, right: DataFrame, key: str, how: str = "inner", heavy_from: DataFrame | None = None
+) -> DataFrame:
+    """Join ``left`` (any skew) with ``right`` (one row per key) on ``key``; how is inner or left.
+
+    ``heavy_from`` names a cheaper frame with the same distribution of ``key`` as ``left``,
+    typically the table ``left`` was built from.
+    """
     if how not in ("inner", "left"):
         raise ValueError(f"lookup_join supports inner and left, not {how!r}")
     if is_small(right):
         return left.join(F.broadcast(right), key, how)
-    heavy = F.broadcast(heavy_keys(left.select(key), key))
-    marked = left.join(heavy, key, "left")
-    keyless = F.col(key).isNull()
-    spread = marked.filter(F.col("_heavy") | keyless).drop("_heavy")
-    shuffled = marked.filter(F.col("_heavy").isNull() & ~keyless).drop("_heavy")
-    few_rows = right.join(heavy, key, "left_semi")
-    return spread.join(F.broadcast(few_rows), key, how).unionByName(shuffled.join(right, key, how))
+    source = left if heavy_from is None else heavy_from
+    heavy = heavy_keys(source.select(key), key)
+    if how == "inner":
+        heavy = [(item, n) for item, n in heavy if item is not None]
+    if not heavy:
+        return left.join(right, key, how)
+    row_hash = F.xxhash64(*left.columns)
+    null_salts = dict(heavy).get(None, 1)
+    table = left.sparkSession.createDataFrame(
+        [(item, n) for item, n in heavy if item is not None],
+        f"`{key}` {left.schema[key].dataType.simpleString()}, _salts int",
+    )
+    # a NULL key meets nothing, so its rows may go anywhere
+    salts = F.when(F.col(key).isNull(), null_salts).otherwise(F.coalesce("_salts", F.lit(1)))
+    salt = F.when(salts > 1, F.pmod(row_hash, salts).cast("int")).otherwise(0)
+    copies = F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1)
+    salted_left = left.join(F.broadcast(table), key, "left").withColumn("_salt", salt).drop("_salts")
+    salted_right = right.join(F.broadcast(table), key, "left").withColumn("_salt", F.explode(copies)).drop("_salts")
+    return salted_left.join(salted_right, [key, "_salt"], how).drop("_salt")
 
 
 def count_by_key(df: DataFrame, key: Column | str, name: str = "key") -> DataFrame:

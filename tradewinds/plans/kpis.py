@@ -148,7 +148,7 @@ def orders_by_category(fact_orders: DataFrame, fact_order_items: DataFrame, dim_
     pairs = fact_order_items.select("order_id", "product_id").distinct()
     named = lookup_join(pairs, dim_product.select("product_id", "product_category_name"), "product_id", "left")
     labels = named.select("order_id", "product_category_name").distinct()
-    return lookup_join(labels, fact_orders.select("order_id", "order_status"), "order_id")
+    return lookup_join(labels, fact_orders.select("order_id", "order_status"), "order_id", heavy_from=fact_order_items)
 
 
 def orders_by_seller(fact_orders: DataFrame, fact_order_items: DataFrame) -> DataFrame:

@@ -79,7 +79,7 @@ def fact_order_items(
     seller_zips = stg_sellers.select("seller_id", "seller_zip_code_prefix")
     located = lookup_join(orders, customer_zips, "customer_id", "left")
     items = lookup_join(stg_order_items, located, "order_id")
-    return lookup_join(items, seller_zips, "seller_id", "left").select(
+    return lookup_join(items, seller_zips, "seller_id", "left", heavy_from=stg_order_items).select(
         *["order_id", "order_item_id", "order_item_seq", "customer_id", "product_id", "seller_id"],
         *["order_purchase_date_key", "customer_zip_code_prefix", "seller_zip_code_prefix"],
         *["price", "freight_value", "item_total_value"],
