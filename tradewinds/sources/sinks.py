@@ -16,18 +16,17 @@ CHECKPOINT_CONF = "spark.checkpoint.dir"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors see, as named by the cluster.
+    """The folder all executors see, as named by the cluster in ``spark.checkpoint.dir``.
 
     Only a local-mode session without the setting gets a fresh temporary folder, for tests.
     """
-    folder = spark.conf.get(CHECKPOINT_CONF, None) or spark.sparkContext.getConf().get(CHECKPOINT_CONF)
+    folder = spark.conf.get(CHECKPOINT_CONF, None) or spark.sparkContext.getCheckpointDir()
     if folder:
         return folder.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError(f"set {CHECKPOINT_CONF} to a folder shared by all executors")
-    folder = tempfile.mkdtemp(prefix="tradewinds-")
-    spark.conf.set(CHECKPOINT_CONF, folder)
-    return folder
+    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tradewinds-"))
+    return spark.sparkContext.getCheckpointDir()
 
 
 def conform(df: DataFrame, schema: T.StructType) -> DataFrame:
