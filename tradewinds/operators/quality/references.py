@@ -17,7 +17,7 @@ def orphan_values(
 ) -> DataFrame:
     """(key, cnt): key values without a parent and the child rows behind them."""
     keys = count_by_key(child, child_key)
-    parents = parent.select(F.col(parent_key).alias("key"))
+    parents = parent.select(F.col(parent_key).alias("key")).distinct()
     lost = keys.join(parents, "key", "left_anti")
     return (lost.filter("key is not null") if skip_null else lost).select("key", F.col("rows").alias("cnt"))
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tradewinds.functions import clean_text, is_digits, is_unparseable_ts, percent, text_bytes
 from tradewinds.operators.aggregates import mode_by_key, one_row_to_long
+from tradewinds.operators.joins import lookup_join
 
 PROFILE_TYPE = "decimal(20,6)"
 
@@ -119,7 +120,7 @@ def multi_mapped_values(df: DataFrame, key: str, value: str) -> DataFrame:
     """Drill-down of ``multi_mapped_keys``: how often each value occurs under such a key."""
     counts = df.groupBy(key, value).agg(F.count(F.lit(1)).alias("cnt"))
     wide = counts.groupBy(key).agg(F.count(value).alias("value_cnt")).filter("value_cnt > 1")
-    return counts.join(wide, key, "left_semi")
+    return lookup_join(counts, wide.select(key), key, heavy_from=df)
 
 
 def row_filter_listing(df: DataFrame, condition: Column | str, columns: Sequence[str] = ("*",)) -> DataFrame:

@@ -171,6 +171,15 @@ class Warehouse:
         return self._keep("am", "cohort_monthly_core", core)
 
 
+def over_layers(stored: Warehouse, *layers: str) -> Warehouse:
+    """A lazy warehouse whose tables of the given layers are the stored ones."""
+    lazy = Warehouse(stored.raw)
+    for layer in layers:
+        for name in LAYERS[layer]:
+            lazy.__dict__[name] = stored.table(name)
+    return lazy
+
+
 def build_all(raw: Mapping[str, DataFrame] | Callable[[str], DataFrame], storage: str) -> Warehouse:
     """Write every table of every layer below ``storage``, bottom up, and return the warehouse."""
     warehouse = Warehouse(raw, storage)

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tradewinds.sources.splits import spread_small
+
 CR = "\r"
 STATE_CODES = "SPRJMGPRRS"
 
@@ -201,7 +203,7 @@ class DriverTables:
     def table(self, name: str) -> DataFrame:
         if name not in self._tables:
             reader = self._spark.read.schema(DRIVER_SCHEMAS[name])
-            self._tables[name] = reader.parquet(f"{self._folder}/{name}.parquet")
+            self._tables[name] = spread_small(reader.parquet(f"{self._folder}/{name}.parquet"))
         return self._tables[name]
 
     def raw(self, name: str) -> DataFrame:

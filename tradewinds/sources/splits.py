@@ -1,0 +1,30 @@
+"""Split handling for inputs smaller than the cluster."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+
+from tradewinds.operators.joins import input_bytes
+
+WORTH_SPREADING = 256 * 1024
+
+
+def spread_small(df: DataFrame) -> DataFrame:
+    """Deal a table out to all cores when its files give fewer splits than there are cores.
+
+    A row group cannot be split, so a file of some megabytes would be cleaned by one task.
+    Larger tables come with enough splits and are left alone: nothing is shuffled for them.
+    """
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    size = input_bytes(df)
+    split = _bytes(spark.conf.get("spark.sql.files.maxPartitionBytes"))
+    if size is None or size < WORTH_SPREADING or size >= cores * split:
+        return df
+    return df.repartition(cores)
+
+
+def _bytes(setting: str) -> int:
+    text = setting.lower().removesuffix("b")
+    factor = {"k": 2**10, "m": 2**20, "g": 2**30}.get(text[-1])
+    return int(text) if factor is None else int(text[:-1]) * factor
