@@ -23,6 +23,13 @@ def any_null(keys: Sequence[str]) -> Column:
     return reduce(lambda a, b: a | b, [F.col(k).isNull() for k in keys])
 
 
+def missing_values(null_cols: Sequence[str], blank_cols: Sequence[str]) -> Column:
+    """Aggregate: NULLs of the first columns plus NULLs and blanks of the second ones."""
+    counts = [F.count_if(F.col(c).isNull()) for c in null_cols]
+    counts += [F.count_if(F.col(c).isNull() | (F.trim(c) == "")) for c in blank_cols]
+    return reduce(lambda a, b: a + b, counts)
+
+
 def unique_key_profile(df: DataFrame, key: str) -> DataFrame:
     """cnt, distinct_cnt, dup_cnt = cnt - distinct_cnt, blank_cnt of one key column."""
     column = F.col(key)
@@ -81,10 +88,8 @@ def critical_null_summary(
     """
     parts = []
     for name, (df, null_cols, blank_cols) in tables.items():
-        missing = [F.count_if(F.col(c).isNull()) for c in null_cols]
-        missing += [F.count_if(F.col(c).isNull() | (F.trim(c) == "")) for c in blank_cols]
         parts.append(
-            df.agg(reduce(lambda a, b: a + b, missing).alias("critical_null_cnt")).select(
+            df.agg(missing_values(null_cols, blank_cols).alias("critical_null_cnt")).select(
                 F.lit(name).alias("table_name"),
                 F.lit(", ".join([*null_cols, *blank_cols])).alias("critical_cols"),
                 "critical_null_cnt",

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tradewinds.functions import percent
 from tradewinds.operators import quality as qc
+from tradewinds.operators.aggregates import one_row_to_long
+from tradewinds.operators.quality.keys import any_null, key_label, missing_values, union_all
 from tradewinds.plans.staging import LAT_RANGE, LNG_RANGE
 from tradewinds.plans.warehouse import Warehouse
 
@@ -142,29 +143,49 @@ def _as_checks(df: DataFrame, section: str, subject: Column, check: Column, valu
     )
 
 
+def table_counters(w: Warehouse, table: str) -> DataFrame:
+    """Every counter of one table that needs no other rows - keys, critical columns, flags, domains - in one pass."""
+    df = w.table(table)
+    total = F.count(F.lit(1))
+
+    def row(section: str, check: str, severity: str, value: Column) -> dict[str, Column]:
+        return {
+            "section": F.lit(section),
+            "subject": F.lit(table),
+            "check_name": F.lit(check),
+            "severity": F.lit(severity),
+            "value": value.cast("decimal(20,2)"),
+        }
+
+    keys = PRIMARY_KEYS[table]
+    rows = [row("keys", f"missing {key_label(keys)}", "fail", F.count_if(any_null(keys)))]
+    if table in CRITICAL_COLUMNS:
+        null_cols, blank_cols = CRITICAL_COLUMNS[table]
+        label = ", ".join([*null_cols, *blank_cols])
+        rows.append(row("critical columns", label, "fail", missing_values(null_cols, blank_cols)))
+    if table in FLAG_TABLES:
+        flag_cols = [c for c in df.columns if c.startswith("is_")]
+        rows += [row("flags", c, "monitor", percent(F.count_if(F.col(c) == 1), total)) for c in flag_cols]
+    rows += [row("domains", n, "fail", F.count_if(~ok)) for n, ok in domain_rules().get(table, {}).items()]
+    return one_row_to_long(df, rows)
+
+
 def run_qc(w: Warehouse) -> DataFrame:
     """The consolidated report: one row per check with its value, severity and verdict.
 
-    'fail' rows must be zero; 'monitor' rows are reported only.
+    'fail' rows must be zero; 'monitor' rows are reported only. Each table is read once for
+    all its counters, once for its key, and by the references that name it.
     """
     fail, monitor = F.lit("fail"), F.lit("monitor")
     table = F.col("table_name")
+    watched = F.when(F.col("rule_name").isin(*MONITORED_RULES), monitor).otherwise(fail)
+    repeated = F.concat(F.lit("repeated "), F.col("pk_cols"))
     parts = [
         _as_checks(row_counts(w), "row counts", F.col("entity"), F.lit("staging - raw"), "diff", monitor),
-        _as_checks(pk_uniqueness(w), "keys", table, F.concat(F.lit("repeated "), F.col("pk_cols")), "dup_cnt", fail),
-        _as_checks(pk_nulls(w), "keys", table, F.concat(F.lit("missing "), F.col("pk_cols")), "pk_null_cnt", fail),
-        _as_checks(critical_nulls(w), "critical columns", table, F.col("critical_cols"), "critical_null_cnt", fail),
-        _as_checks(flags(w), "flags", table, F.col("flag_col"), "true_rate_pct", monitor),
-        _as_checks(domains(w), "domains", table, F.col("rule_name"), "invalid_cnt", fail),
-        _as_checks(
-            references(w),
-            "references",
-            table,
-            F.col("rule_name"),
-            "orphan_cnt",
-            F.when(F.col("rule_name").isin(*MONITORED_RULES), monitor).otherwise(fail),
-        ),
+        _as_checks(pk_uniqueness(w), "keys", table, repeated, "dup_cnt", fail),
+        *[table_counters(w, name) for name in PRIMARY_KEYS],
+        _as_checks(references(w), "references", table, F.col("rule_name"), "orphan_cnt", watched),
     ]
-    report = reduce(DataFrame.unionByName, parts)
+    report = union_all(parts)
     passed = (F.col("severity") == "monitor") | (F.col("value") == 0)
     return report.withColumn("passed", F.coalesce(passed, F.lit(False)))
