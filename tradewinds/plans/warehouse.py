@@ -7,7 +7,7 @@ gives the planner true sizes and shares work between reports.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Mapping, Sequence
 from functools import cached_property
 
 from pyspark.sql import DataFrame
@@ -15,7 +15,6 @@ from pyspark.sql import DataFrame
 from tradewinds.plans import analysis, marts, staging
 from tradewinds.sources.sinks import overwrite_table
 
-# Facts are read by month; the integer date key of a partition column would make a folder per day.
 LAYERS: dict[str, tuple[str, ...]] = {
     "stg": (
         "stg_orders",
@@ -61,10 +60,10 @@ class Warehouse:
     def table(self, name: str) -> DataFrame:
         return getattr(self, name)
 
-    def _keep(self, layer: str, name: str, df: DataFrame) -> DataFrame:
+    def _keep(self, layer: str, name: str, df: DataFrame, cluster_by: Sequence[str] = ()) -> DataFrame:
         if self._storage is None:
             return df
-        return overwrite_table(df, f"{self._storage}/{layer}/{name}")
+        return overwrite_table(df, f"{self._storage}/{layer}/{name}", cluster_by=cluster_by)
 
     # staging
 
@@ -126,11 +125,12 @@ class Warehouse:
     @cached_property
     def fact_order_items(self) -> DataFrame:
         items = marts.fact_order_items(self.stg_order_items, self.stg_orders, self.stg_customers, self.stg_sellers)
-        return self._keep("dm", "fact_order_items", items)
+        return self._keep("dm", "fact_order_items", items, ["order_purchase_date_key"])
 
     @cached_property
     def fact_orders(self) -> DataFrame:
-        return self._keep("dm", "fact_orders", marts.fact_orders(self.stg_orders, self.stg_customers))
+        orders = marts.fact_orders(self.stg_orders, self.stg_customers)
+        return self._keep("dm", "fact_orders", orders, ["order_purchase_date_key"])
 
     # views over the star schema, never stored
 

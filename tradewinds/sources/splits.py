@@ -2,26 +2,29 @@
 
 from __future__ import annotations
 
+from math import ceil
+
 from pyspark.sql import DataFrame
 
 from tradewinds.operators.joins import input_bytes
 
-WORTH_SPREADING = 256 * 1024
+BYTES_PER_TASK = 256 * 1024
+SPREAD_LIMIT = 256 * 1024 * 1024
 
 
 def spread_small(df: DataFrame) -> DataFrame:
-    """Deal a table out to all cores when its files give fewer splits than there are cores.
+    """Deal a small table out to the cores when its files give fewer splits than there are cores.
 
     A row group cannot be split, so a file of some megabytes would be cleaned by one task.
-    Larger tables come with enough splits and are left alone: nothing is shuffled for them.
+    Tables above SPREAD_LIMIT, or with a split per core, are left alone: nothing is shuffled for them.
     """
     spark = df.sparkSession
     cores = spark.sparkContext.defaultParallelism
     size = input_bytes(df)
     split = _bytes(spark.conf.get("spark.sql.files.maxPartitionBytes"))
-    if size is None or size < WORTH_SPREADING or size >= cores * split:
+    if size is None or size <= BYTES_PER_TASK or size >= min(cores * split, SPREAD_LIMIT):
         return df
-    return df.repartition(cores)
+    return df.repartition(min(cores, ceil(size / BYTES_PER_TASK)))
 
 
 def _bytes(setting: str) -> int:
