@@ -25,10 +25,6 @@ def duck(folder: str) -> duckdb.DuckDBPyConnection:
     return con
 
 
-def _arrow(result) -> pa.Table:
-    return result.to_arrow_table() if hasattr(result, "to_arrow_table") else result.fetch_arrow_table()
-
-
 def _types(schema: pa.Schema) -> dict[str, str]:
     return {f.name: str(f.type).replace("large_", "").replace("[ns]", "[us]") for f in schema}
 
@@ -41,7 +37,7 @@ def _rows(table: pa.Table, names: list[str]) -> Counter:
 def differences(spark_df, con: duckdb.DuckDBPyConnection, sql: str) -> tuple[int, list[str]]:
     """(row count, list of differences; empty when equal)."""
     mine = spark_df.toArrow()
-    theirs = _arrow(con.execute(sql))
+    theirs = con.sql(sql).to_arrow_table()
     found = []
     a, b = _types(mine.schema), _types(theirs.schema)
     if set(a) != set(b):
