@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 
 from tradewinds.operators.joins import input_bytes
 
-BYTES_PER_TASK = 256 * 1024
+BYTES_PER_TASK = 512 * 1024
 SPREAD_LIMIT = 256 * 1024 * 1024
 
 
