@@ -10,8 +10,10 @@ from pathlib import Path
 
 import pytest
 
-from __spark_entry__ import entry, oracle_sql, queries
+from __spark_entry__ import entry
+from oracles import oracle_queries as oracle_sql
 from tests.compare import differences, duck
+from tradewinds.registry import all_queries as queries
 
 FOLDER = os.environ.get("TRADEWINDS_TEST_FOLDER", "/root/testdata/sf0.001")
 CORE = """raw_order_reviews overwrite_table schema_report stg_orders stg_products stg_geolocation mode_by_key_collated
