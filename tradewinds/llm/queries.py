@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tradewinds.llm.minhash import near_duplicate_groups
 from tradewinds.llm.substring_dedup import remove_repeats
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -21,6 +22,10 @@ def op2_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return done.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_substring_dedup,)}
+def op10_minhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return near_duplicate_groups(_read(spark, folder, "documents"))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_substring_dedup, op10_minhash_near_dedup)}
 
 ORACLES: dict[str, str] = {}
