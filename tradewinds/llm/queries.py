@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tradewinds.llm.decontamination import find_contamination
 from tradewinds.llm.minhash import near_duplicate_groups
 from tradewinds.llm.substring_dedup import remove_repeats
 
@@ -26,6 +27,18 @@ def op10_minhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicate_groups(_read(spark, folder, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_substring_dedup, op10_minhash_near_dedup)}
+def op8_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    found = find_contamination(_read(spark, folder, "documents"), _read(spark, folder, "benchmark"))
+    return found.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        "contaminated",
+    )
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op8_decontamination, op2_substring_dedup, op10_minhash_near_dedup)}
 
 ORACLES: dict[str, str] = {}
