@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tradewinds.llm.bpe import encode_and_decode
 from tradewinds.llm.decontamination import find_contamination
 from tradewinds.llm.minhash import near_duplicate_groups
 from tradewinds.llm.substring_dedup import remove_repeats
@@ -27,6 +28,19 @@ def op10_minhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicate_groups(_read(spark, folder, "documents"))
 
 
+def op5_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    import public_tokenizers
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    done = encode_and_decode(_read(spark, folder, "documents"), str(path), public_tokenizers.PATTERN)
+    return done.select(
+        "doc_id",
+        "n_tokens",
+        F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 def op8_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     found = find_contamination(_read(spark, folder, "documents"), _read(spark, folder, "benchmark"))
     return found.select(
@@ -39,6 +53,6 @@ def op8_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op8_decontamination, op2_substring_dedup, op10_minhash_near_dedup)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op5_bpe, op8_decontamination, op2_substring_dedup, op10_minhash_near_dedup)}
 
 ORACLES: dict[str, str] = {}
