@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tradewinds.llm.bpe import encode_and_decode
+from tradewinds.llm.brown import score_texts
 from tradewinds.llm.decontamination import find_contamination
 from tradewinds.llm.minhash import near_duplicate_groups
 from tradewinds.llm.substring_dedup import remove_repeats
@@ -28,6 +29,10 @@ def op10_minhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicate_groups(_read(spark, folder, "documents"))
 
 
+def _remainder(column: str, of: int):
+    return F.crc32(F.col(column).cast("string").cast("binary")) % of
+
+
 def op5_bpe(spark: SparkSession, folder: str) -> DataFrame:
     import public_tokenizers
 
@@ -41,6 +46,12 @@ def op5_bpe(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op7_lm_scoring(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _read(spark, folder, "documents").withColumn("held_out", _remainder("doc_id", 7) == 2)
+    done = score_texts(docs, ~F.col("held_out"), keep=("held_out",))
+    return done.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op8_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     found = find_contamination(_read(spark, folder, "documents"), _read(spark, folder, "benchmark"))
     return found.select(
@@ -53,6 +64,6 @@ def op8_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op5_bpe, op8_decontamination, op2_substring_dedup, op10_minhash_near_dedup)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op5_bpe, op7_lm_scoring, op8_decontamination, op2_substring_dedup, op10_minhash_near_dedup)}
 
 ORACLES: dict[str, str] = {}

@@ -27,10 +27,11 @@ _powers = (np.ones(1, dtype=np.uint64), np.ones(1, dtype=np.uint64))
 
 
 class Words(NamedTuple):
-    """``names[first[i]:first[i + 1]]`` are the words of text i, in order."""
+    """``names[first[i]:first[i + 1]]`` are the words of text i, in order; ``tails`` are their last two bytes."""
 
     names: np.ndarray
     first: np.ndarray
+    tails: np.ndarray
 
     @property
     def counts(self) -> np.ndarray:
@@ -83,24 +84,25 @@ def spans(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def name_words(texts: list[bytes], table: bytes | None = None) -> Words:
     """Split ``texts`` at white space after byte-wise translation by ``table`` and name the words."""
-    names, counts = [np.zeros(0, dtype=np.uint64)], []
+    names, counts, tails = [np.zeros(0, dtype=np.uint64)], [], [np.zeros(0, dtype=np.uint16)]
     at = 0
     while at < len(texts):
         end, size = at, 0
         while end < len(texts) and (end == at or size + len(texts[end]) < _PIECE):
             size += len(texts[end]) + 1
             end += 1
-        got, per_text = _name_piece(texts[at:end], table)
+        got, per_text, tail = _name_piece(texts[at:end], table)
         names.append(got)
+        tails.append(tail)
         counts.append(per_text)
         at = end
     first = np.zeros(len(texts) + 1, dtype=np.int64)
     if counts:
         np.cumsum(np.concatenate(counts), out=first[1:])
-    return Words(np.concatenate(names), first)
+    return Words(np.concatenate(names), first, np.concatenate(tails))
 
 
-def _name_piece(texts: list[bytes], table: bytes | None) -> tuple[np.ndarray, np.ndarray]:
+def _name_piece(texts: list[bytes], table: bytes | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     joined = b"\n".join(texts) + b"\n"
     if table:
         joined = joined.translate(table)
@@ -112,7 +114,8 @@ def _name_piece(texts: list[bytes], table: bytes | None) -> tuple[np.ndarray, np
     total = np.zeros(len(raw) + 1, dtype=np.uint64)
     np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * up[: len(raw)], out=total[1:])
     names = (total[end] - total[start]) * down[start]
-    return mix(names + (end - start).astype(np.uint64) * _M2), per_text
+    tails = raw[end - 1].astype(np.uint16) | (raw[np.maximum(end - 2, start)].astype(np.uint16) << np.uint16(8))
+    return mix(names + (end - start).astype(np.uint64) * _M2), per_text, tails
 
 
 def sequences(words: Words, size: int, short: bool = False) -> tuple[np.ndarray, np.ndarray]:
