@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from tradewinds.llm.bpe import encode_and_decode
 from tradewinds.llm.brown import score_texts
 from tradewinds.llm.decontamination import find_contamination
+from tradewinds.llm.language_id import identify_languages
 from tradewinds.llm.minhash import near_duplicate_groups
+from tradewinds.llm.quality import score_quality
 from tradewinds.llm.substring_dedup import remove_repeats
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -33,6 +35,12 @@ def _remainder(column: str, of: int):
     return F.crc32(F.col(column).cast("string").cast("binary")) % of
 
 
+def op4_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _read(spark, folder, "documents").withColumn("held_out", _remainder("doc_id", 5) == 0)
+    done = identify_languages(docs, ~F.col("held_out"), keep=("held_out",))
+    return done.select("doc_id", "held_out", "lang_pred", "score", "ambiguous")
+
+
 def op5_bpe(spark: SparkSession, folder: str) -> DataFrame:
     import public_tokenizers
 
@@ -46,6 +54,13 @@ def op5_bpe(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op6_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    docs, labels = _read(spark, folder, "documents"), _read(spark, folder, "labels")
+    held_out = _remainder("doc_id", 3) == 1
+    done = score_quality(docs.withColumn("held_out", held_out), labels, ~held_out, keep=("held_out",))
+    return done.select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op7_lm_scoring(spark: SparkSession, folder: str) -> DataFrame:
     docs = _read(spark, folder, "documents").withColumn("held_out", _remainder("doc_id", 7) == 2)
     done = score_texts(docs, ~F.col("held_out"), keep=("held_out",))
@@ -64,6 +79,6 @@ def op8_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op5_bpe, op7_lm_scoring, op8_decontamination, op2_substring_dedup, op10_minhash_near_dedup)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op4_language_id, op5_bpe, op6_quality_classifier, op7_lm_scoring, op8_decontamination, op2_substring_dedup, op10_minhash_near_dedup)}
 
 ORACLES: dict[str, str] = {}
