@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tradewinds.llm.bpe import encode_and_decode
 from tradewinds.llm.brown import score_texts
 from tradewinds.llm.decontamination import find_contamination
+from tradewinds.llm.html_text import extract_main_text
 from tradewinds.llm.language_id import identify_languages
 from tradewinds.llm.minhash import near_duplicate_groups
 from tradewinds.llm.quality import score_quality
@@ -35,6 +36,10 @@ def _remainder(column: str, of: int):
     return F.crc32(F.col(column).cast("string").cast("binary")) % of
 
 
+def op3_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
+    return extract_main_text(_read(spark, folder, "pages"))
+
+
 def op4_language_id(spark: SparkSession, folder: str) -> DataFrame:
     docs = _read(spark, folder, "documents").withColumn("held_out", _remainder("doc_id", 5) == 0)
     done = identify_languages(docs, ~F.col("held_out"), keep=("held_out",))
@@ -79,6 +84,6 @@ def op8_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op4_language_id, op5_bpe, op6_quality_classifier, op7_lm_scoring, op8_decontamination, op2_substring_dedup, op10_minhash_near_dedup)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op3_html_extraction, op4_language_id, op5_bpe, op6_quality_classifier, op7_lm_scoring, op8_decontamination, op2_substring_dedup, op10_minhash_near_dedup)}
 
 ORACLES: dict[str, str] = {}
