@@ -24,6 +24,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType
 
 from tradewinds.llm.chunks import texts_of
 
@@ -193,7 +194,7 @@ def encode_and_decode(
     rows = docs.select(
         F.col(text).cast("binary").alias("_text"), F.col(doc_id).alias("_id"), *[F.col(c).alias(f"_keep_{c}") for c in keep]
     )
-    kinds = rows.drop("_text").schema.add("_ids", "array<int>").add("_decoded", "binary")
+    kinds = rows.drop("_text").schema.add("_ids", ArrayType(IntegerType())).add("_decoded", "binary")
     done = rows.mapInArrow(_coding(path, pattern), kinds)
     return done.select(
         F.col("_id").alias(doc_id),
