@@ -13,6 +13,7 @@ from tradewinds.llm.decontamination import find_contamination
 from tradewinds.llm.html_text import extract_main_text
 from tradewinds.llm.language_id import identify_languages
 from tradewinds.llm.minhash import near_duplicate_groups
+from tradewinds.llm.neighbours import nearest_neighbours
 from tradewinds.llm.quality import score_quality
 from tradewinds.llm.substring_dedup import remove_repeats
 
@@ -23,6 +24,10 @@ def _read(spark: SparkSession, folder: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{table}.parquet")
 
 
+def op1_nearest_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    return nearest_neighbours(_read(spark, folder, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 def op2_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     done = remove_repeats(_read(spark, folder, "documents"))
     return done.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
@@ -84,6 +89,19 @@ def op8_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op3_html_extraction, op4_language_id, op5_bpe, op6_quality_classifier, op7_lm_scoring, op8_decontamination, op2_substring_dedup, op10_minhash_near_dedup)}
+QUERIES: dict[str, Query] = {
+    f.__name__: f
+    for f in (
+        op1_nearest_neighbours,
+        op2_substring_dedup,
+        op3_html_extraction,
+        op4_language_id,
+        op5_bpe,
+        op6_quality_classifier,
+        op7_lm_scoring,
+        op8_decontamination,
+        op10_minhash_near_dedup,
+    )
+}
 
 ORACLES: dict[str, str] = {}
