@@ -7,8 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tradewinds.llm import oracles
 from tradewinds.llm.bpe import encode_and_decode
 from tradewinds.llm.brown import score_texts
+from tradewinds.llm.chat_format import SAY, calls_of_conversations, link_tool_calls
 from tradewinds.llm.decontamination import find_contamination
 from tradewinds.llm.html_text import extract_main_text
 from tradewinds.llm.language_id import identify_languages
@@ -33,6 +35,14 @@ def op2_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return done.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op9_chat_format(spark: SparkSession, folder: str) -> DataFrame:
+    calls, results = calls_of_conversations(_read(spark, folder, "conversations"))
+    done = link_tool_calls(calls, results, SAY)
+    return done.select(
+        "conv_id", "turn", "place", "kind", "call_id", "status", "valid", F.array_join("errors", "; ").alias("errors"), "json"
+    )
+
+
 def op10_minhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicate_groups(_read(spark, folder, "documents"))
 
@@ -100,8 +110,9 @@ QUERIES: dict[str, Query] = {
         op6_quality_classifier,
         op7_lm_scoring,
         op8_decontamination,
+        op9_chat_format,
         op10_minhash_near_dedup,
     )
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op9_chat_format": oracles.CHAT_FORMAT}
