@@ -139,7 +139,7 @@ def _tell(table: pa.Table) -> pa.Table:
     )
 
 
-def _cut(size: int, buckets: int, keep: tuple[str, ...], schema: pa.Schema):
+def _cut(size: int, buckets: int, keep: tuple[str, ...], whole: bool, schema: pa.Schema):
     def cut(docs: pa.Table, told: pa.Table) -> pa.Table:
         if not docs.num_rows:
             return schema.empty_table()
@@ -165,6 +165,9 @@ def _cut(size: int, buckets: int, keep: tuple[str, ...], schema: pa.Schema):
         removed = np.diff(np.concatenate([[0], np.cumsum(gone)])[words.first])
         kept = []
         for i, text in enumerate(texts):
+            if whole and not removed[i]:
+                kept.append(text)
+                continue
             own = text.split()
             if removed[i]:
                 flags = gone[words.first[i] : words.first[i + 1]]
@@ -184,11 +187,14 @@ def _cut(size: int, buckets: int, keep: tuple[str, ...], schema: pa.Schema):
     return cut
 
 
-def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = WINDOW, keep: tuple[str, ...] = ()) -> DataFrame:
+def remove_repeats(
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = WINDOW, keep: tuple[str, ...] = (), whole: bool = False
+) -> DataFrame:
     """Remove every word covered by a window of ``size`` words that also starts in a document with a smaller id.
 
     Words are runs of bytes other than space and 0x09 to 0x0D. Returns one row per row: the id, the ``keep`` columns,
-    n_words, n_removed and kept_text (kept words joined by one space). A null or empty text has no words. Texts of
+    n_words, n_removed and kept_text (kept words joined by one space; with ``whole``, a text that loses nothing stays as
+    it is). A null or empty text has no words. Texts of
     fewer than ``size`` words lose nothing. A row without an id keeps all its words and is nobody's smaller document.
     Rows that share an id don't count as smaller than each other. Other columns are ignored; an empty table gives no rows.
     """
@@ -200,7 +206,7 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     told = asked.groupBy(BUCKET).applyInArrow(_tell, _TOLD)
     fields = dealt.select(F.col("_id"), *[F.col(f"_keep_{c}") for c in keep]).schema
     out = fields.add("n_words", "long").add("n_removed", "long").add("_kept", "binary")
-    cut = dealt.groupBy(CHUNK).cogroup(told.groupBy(CHUNK)).applyInArrow(_cut(size, chunks, keep, to_arrow_schema(out)), out)
+    cut = dealt.groupBy(CHUNK).cogroup(told.groupBy(CHUNK)).applyInArrow(_cut(size, chunks, keep, whole, to_arrow_schema(out)), out)
     return cut.select(
         F.col("_id").alias(doc_id),
         *[F.col(f"_keep_{c}").alias(c) for c in keep],
