@@ -29,7 +29,8 @@ from tradewinds.llm.words import LOWER, Words, mix, name_words
 TOP, SHAPES, CLASSES, SWEEPS = 1024, 256, 64, 12
 END = TOP + SHAPES
 SYMBOLS = END + 1
-_CELLS = 1 << 14  # cells of the neighbour counts in a row of the shuffle
+_CELLS = 1 << 12  # cells of the neighbour counts in a row of the shuffle
+_STATISTICS = ("_top", "_top_n", "_top_shape", "_shape_n", "_shape_v")
 _STATS = -1  # the chunk number of a bucket's statistics
 
 
@@ -128,6 +129,19 @@ def _tell(table: pa.Table) -> pa.Table:
     )
 
 
+def _stats_of_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The statistics of all buckets that a task reads, in one row."""
+    top = np.zeros((3, 0), dtype=np.int64)
+    n, v = np.zeros(SHAPES, dtype=np.int64), np.zeros(SHAPES, dtype=np.int64)
+    for batch in batches:
+        for row in batch.to_pylist():
+            top = np.hstack([top, np.array([row["_top"], row["_top_n"], row["_top_shape"]], dtype=np.int64)])
+            top = top[:, np.lexsort((top[0].view(np.uint64), -top[1]))[:TOP]]
+            n += row["_shape_n"]
+            v += row["_shape_v"]
+    yield pa.RecordBatch.from_arrays([pa.array([c], pa.list_(pa.int64())) for c in (*top, n, v)], names=list(_STATISTICS))
+
+
 def _neighbours(top: np.ndarray, top_number: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(-(-SYMBOLS * SYMBOLS // _CELLS) * _CELLS, dtype=np.int64)
@@ -218,7 +232,9 @@ def _gains(table: np.ndarray, after: np.ndarray, before: np.ndarray, own: float)
 
 
 def _model(told: DataFrame, learning: DataFrame) -> Model:
-    stats = told.filter(F.col(CHUNK) == _STATS)
+    lists = ", ".join(f"{c} array<long>" for c in _STATISTICS)
+    stats = told.filter(F.col(CHUNK) == _STATS).select(*_STATISTICS)
+    stats = checkpointed(stats.coalesce(max(32, stats.rdd.getNumPartitions() // 64)).mapInArrow(_stats_of_task, lists))
     tops = (
         stats.select(F.explode(F.arrays_zip("_top", "_top_n", "_top_shape")).alias("_t"))
         .select("_t.*")
@@ -309,7 +325,7 @@ def score_texts(docs: DataFrame, learn, doc_id: str = "doc_id", text: str = "tex
     columns = (*keep, "_learn")
     dealt = in_chunks(marked, doc_id, text, chunks, columns)
     asked = dealt.groupBy(CHUNK).applyInArrow(_ask(chunks), f"{BUCKET} int, {CHUNK} int, _names binary, _counts binary, _shapes binary")
-    lists = ", ".join(f"{c} array<long>" for c in ("_top", "_top_n", "_top_shape", "_shape_n", "_shape_v"))
+    lists = ", ".join(f"{c} array<long>" for c in _STATISTICS)
     told = checkpointed(asked.groupBy(BUCKET).applyInArrow(_tell, f"{CHUNK} int, {BUCKET} int, _totals binary, {lists}"))
     model = _model(told, marked.filter("_learn").select(F.col(text).cast("binary").alias("_text")))
     answers = told.filter(F.col(CHUNK) != _STATS).select(CHUNK, BUCKET, "_totals")
