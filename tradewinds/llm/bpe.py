@@ -2,8 +2,8 @@
 
 A pair of bytes that stands side by side inside no token of the vocabulary can never be joined, so a text may be cut
 between them. Cuts before white space divide a text into fragments of white space and one word, of which most are
-met again and again; other cuts divide long fragments further. Every fragment is encoded on its own, once for each
-worker as long as it is remembered, and the ids are strung together.
+met again and again; other cuts divide long fragments further. Every fragment is encoded on its own, all new ones of a
+batch side by side, and remembered for a while; then the ids are strung together.
 
 Only cuts that the splitting pattern of the tokenizer cannot notice are used: after a byte that is no white space
 and before one that is, or after an ASCII letter or digit. The pattern looks ahead only past white space, and what it
@@ -12,6 +12,7 @@ does after a letter or digit does not depend on what went before.
 
 from __future__ import annotations
 
+import gc
 import heapq
 import json
 import re
@@ -30,9 +31,12 @@ from tradewinds.llm.chunks import texts_of
 
 _UNIT = re.compile(rb"[\x09-\x0d\x20]*[^\x09-\x0d\x20]+|[\x09-\x0d\x20]+\Z")
 _WHITE = frozenset(b"\x09\x0a\x0b\x0c\x0d\x20")
+_MARKS = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 _PLAIN = frozenset(b"0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz")
-_REMEMBERED = 300_000  # fragments that a worker remembers before it starts anew
-_SHORT = 48  # symbols up to which the best pair is looked for by scanning
+_REMEMBERED = 200_000  # fragments of a generation that a worker remembers; it keeps the last two
+_SHORT = 32  # bytes of a fragment up to which no further cut is looked for
+_TOGETHER = 64  # bytes of a piece up to which it is encoded together with others
+_SLOT_BITS = 20
 
 
 def byte_letters() -> dict[str, int]:
@@ -58,10 +62,14 @@ class ByteBpe:
         self.special = {t["content"].encode(): t["id"] for t in described["added_tokens"]}
         for token, i in self.special.items():
             self.bytes[i] = token
-        self.merges: dict[tuple[int, int], tuple[int, int]] = {}
+        self.ranks: dict[int, int] = {}
+        self.made: list[int] = []
+        self.single = np.array([self.ids.get(bytes([b]), -1) for b in range(256)], dtype=np.int64)
         for rank, merge in enumerate(model["merges"]):
             a, b = (bytes(letters[c] for c in part) for part in (merge if isinstance(merge, list) else merge.split(" ")))
-            self.merges[self.ids[a], self.ids[b]] = (rank, self.ids[a + b])
+            self.ranks.setdefault(self.ids[a] << 32 | self.ids[b], rank)
+            self.made.append(self.ids[a + b])
+        self._rank_table()
         joined = np.zeros((256, 256), dtype=bool)
         for token in self.ids:
             own = np.frombuffer(token, dtype=np.uint8)
@@ -72,31 +80,60 @@ class ByteBpe:
         self.doubtful = re.compile(b"|".join(map(re.escape, doubtful))) if doubtful else None
         self.split = regex.compile(pattern)
         self.special_split = re.compile(b"(" + b"|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + b")") if self.special else None
-        self.units: dict[bytes, tuple[int, ...]] = {}
+        self.units: dict[bytes, list[int]] = {}
+        self.older: dict[bytes, list[int]] = {}
+
+    def _rank_table(self) -> None:
+        """The ranks by hashed pair: the entries of a slot stand side by side."""
+        keys = np.array(list(self.ranks), dtype=np.int64)
+        slots = self._slots(keys)
+        order = np.argsort(slots, kind="stable")
+        self.pairs, self.pair_ranks = keys[order], np.array(list(self.ranks.values()), dtype=np.int64)[order]
+        self.slot_begin = np.searchsorted(slots[order], np.arange((1 << _SLOT_BITS) + 1)).astype(np.int32)
+        self.slot_most = int(np.diff(self.slot_begin).max()) if len(keys) else 0
+        self.made_ids = np.array(self.made, dtype=np.int64)
+
+    @staticmethod
+    def _slots(keys: np.ndarray) -> np.ndarray:
+        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - _SLOT_BITS)).astype(np.int64)
+
+    def _ranks_of(self, keys: np.ndarray) -> np.ndarray:
+        """The rank of every pair; as many as there are merges if it is none."""
+        out = np.full(len(keys), len(self.made), dtype=np.int64)
+        slot = self._slots(keys)
+        at, end = self.slot_begin[slot], self.slot_begin[slot + 1]
+        look = np.flatnonzero(at < end)
+        for _ in range(self.slot_most):
+            here = at[look]
+            same = self.pairs[here] == keys[look]
+            out[look[same]] = self.pair_ranks[here[same]]
+            look = look[~same]
+            at[look] += 1
+            look = look[at[look] < end[look]]
+        return out
 
     def encode(self, text: bytes) -> list[int]:
-        if self.special_split and self.special_split.search(text):
-            parts = self.special_split.split(text)
-            return list(chain.from_iterable([self.special[p]] if i % 2 else self._plain(p) for i, p in enumerate(parts)))
-        return self._plain(text)
+        return self.encode_many([text])[0]
 
     def decode(self, ids) -> bytes:
         return b"".join(map(self.bytes.__getitem__, ids))
 
-    def _plain(self, text: bytes) -> list[int]:
-        units = self.units
-        if len(units) > _REMEMBERED:
-            units.clear()
+    def encode_many(self, texts: list[bytes]) -> list[list[int]]:
+        cut = [self._fragments(t) for t in texts]
+        known = self._learn(set(chain.from_iterable(cut)))
+        return [list(chain.from_iterable(map(known.__getitem__, fragments))) for fragments in cut]
+
+    def _fragments(self, text: bytes) -> list[bytes]:
+        if self.special_split and self.special_split.search(text):
+            parts = self.special_split.split(text)
+            return list(chain.from_iterable([p] if i % 2 else self._plain_fragments(p) for i, p in enumerate(parts)))
+        return self._plain_fragments(text)
+
+    def _plain_fragments(self, text: bytes) -> list[bytes]:
         fragments = _UNIT.findall(text)
         if self.doubtful and self.doubtful.search(text):
             fragments = self._rejoined(fragments)
-        out: list[int] = []
-        for f in fragments:
-            got = units.get(f)
-            if got is None:
-                got = units[f] = tuple(self._unit(f))
-            out += got
-        return out
+        return fragments
 
     def _rejoined(self, fragments: list[bytes]) -> list[bytes]:
         whole: list[list[bytes]] = []
@@ -107,53 +144,95 @@ class ByteBpe:
                 whole.append([f])
         return [b"".join(w) for w in whole]
 
-    def _unit(self, unit: bytes) -> Iterator[int]:
-        for piece in self.split.findall(unit.decode("utf-8", "surrogateescape")):
-            raw = piece.encode("utf-8", "surrogateescape")
+    def _learn(self, fragments: set[bytes]) -> dict[bytes, list[int]]:
+        """Make sure that all ``fragments`` are remembered."""
+        if len(self.units) > _REMEMBERED:
+            self.units, self.older = {}, self.units
+        units, older = self.units, self.older
+        pieces: dict[bytes, list[bytes]] = {}
+        for f in fragments - units.keys():
+            if f in older:
+                units[f] = older[f]
+            elif f in self.special:
+                units[f] = [self.special[f]]
+            else:
+                pieces[f] = self._pieces(f)
+        new = list(set(chain.from_iterable(pieces.values())) - units.keys())
+        short = [p for p in new if len(p) <= _TOGETHER]
+        units.update(zip(short, self._merge_together(short), strict=True))
+        units.update((p, self._merge_one(p)) for p in new if len(p) > _TOGETHER)
+        for f, parts in pieces.items():
+            if len(parts) > 1:
+                units[f] = list(chain.from_iterable(units[p] for p in parts))
+        return units
+
+    def _pieces(self, fragment: bytes) -> list[bytes]:
+        """Where the splitting pattern and further certain cuts divide a fragment."""
+        core = fragment.rstrip(_MARKS)
+        word = core[1:] if core[:1] == b" " else core
+        if word.isalpha() or word.decode("utf-8", "surrogateescape").isalpha():
+            # letters and then only marks are two pieces to the pattern
+            pieces = [core, fragment[len(core) :]] if len(core) < len(fragment) else [fragment]
+        else:
+            pieces = [p.encode("utf-8", "surrogateescape") for p in self.split.findall(fragment.decode("utf-8", "surrogateescape"))]
+        if max(map(len, pieces)) <= _SHORT:
+            return pieces
+        out = []
+        for piece in pieces:
             at = 0
-            for k in range(1, len(raw)):
-                if raw[k - 1] in _PLAIN and not self.joined[raw[k - 1], raw[k]]:
-                    yield from self._merge(raw[at:k])
+            for k in range(1, len(piece)):
+                if piece[k - 1] in _PLAIN and not self.joined[piece[k - 1], piece[k]]:
+                    out.append(piece[at:k])
                     at = k
-            yield from self._merge(raw[at:])
-
-    def _merge(self, raw: bytes) -> list[int]:
-        if (whole := self.ids.get(raw)) is not None and len(raw) == 1:
-            return [whole]
-        ids = [self.ids[raw[k : k + 1]] for k in range(len(raw))]
-        return self._scan(ids) if len(ids) <= _SHORT else self._heap(ids)
-
-    def _scan(self, ids: list[int]) -> list[int]:
-        merges = self.merges
-        while len(ids) > 1:
-            best, at, made = len(merges), -1, -1
-            for k in range(len(ids) - 1):
-                found = merges.get((ids[k], ids[k + 1]))
-                if found and found[0] < best:
-                    (best, made), at = found, k
-            if at < 0:
-                break
-            ids[at : at + 2] = [made]
-        return ids
+            out.append(piece[at:])
+        return out
+
+    def _merge_together(self, pieces: list[bytes]) -> list[list[int]]:
+        """Merge the leftmost pair of the best rank in every piece, again and again."""
+        ids = self.single[np.frombuffer(b"".join(pieces), dtype=np.uint8)]
+        piece = np.repeat(np.arange(len(pieces)), [len(p) for p in pieces])
+        none, done = len(self.made), []
+        while len(ids):
+            rank = np.full(len(ids), none, dtype=np.int64)
+            inner = np.flatnonzero(piece[:-1] == piece[1:])
+            rank[inner] = self._ranks_of(ids[inner] << 32 | ids[inner + 1])
+            turn = np.flatnonzero(np.diff(piece, prepend=-1))
+            best = np.repeat(np.minimum.reduceat(rank, turn), np.diff(np.append(turn, len(ids))))
+            over = best == none
+            done.append((piece[over], ids[over]))
+            at = np.flatnonzero((rank == best) & ~over)
+            at = at[np.diff(piece[at], prepend=-1) != 0]
+            ids[at] = self.made_ids[rank[at]]
+            stay = ~over
+            stay[at + 1] = False
+            ids, piece = ids[stay], piece[stay]
+        piece, ids = (np.concatenate(x) for x in zip(*done, strict=True)) if done else (piece, ids)
+        order = np.argsort(piece, kind="stable")
+        edge = np.cumsum(np.bincount(piece, minlength=len(pieces))).tolist()
+        flat = ids[order].tolist()
+        return [flat[a:b] for a, b in zip([0, *edge], edge, strict=False)]
+
+    def _merge_one(self, piece: bytes) -> list[int]:
+        return self._heap(self.single[np.frombuffer(piece, dtype=np.uint8)].tolist())
 
     def _heap(self, ids: list[int]) -> list[int]:
-        merges, n = self.merges, len(ids)
+        get, n = self.ranks.get, len(ids)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        todo = [(m[0], k, ids[k], ids[k + 1], m[1]) for k in range(n - 1) if (m := merges.get((ids[k], ids[k + 1])))]
+        todo = [(r, k, ids[k], ids[k + 1]) for k in range(n - 1) if (r := get(ids[k] << 32 | ids[k + 1])) is not None]
         heapq.heapify(todo)
         while todo:
-            _, k, a, b, made = heapq.heappop(todo)
+            rank, k, a, b = heapq.heappop(todo)
             j = after[k]
             if ids[k] != a or j >= n or ids[j] != b:
                 continue
-            ids[k], ids[j] = made, -1
+            ids[k], ids[j] = self.made[rank], -1
             after[k] = after[j]
             if after[k] < n:
                 before[after[k]] = k
             for left in (before[k], k):
                 right = after[left] if left >= 0 else n
-                if left >= 0 and right < n and (m := merges.get((ids[left], ids[right]))):
-                    heapq.heappush(todo, (m[0], left, ids[left], ids[right], m[1]))
+                if left >= 0 and right < n and (r := get(ids[left] << 32 | ids[right])) is not None:
+                    heapq.heappush(todo, (r, left, ids[left], ids[right]))
         return [i for i in ids if i >= 0]
 
 
@@ -166,18 +245,19 @@ def load(path: str, pattern: str) -> ByteBpe:
 def _coding(path: str, pattern: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(path, pattern)
+        gc.disable()  # nothing here refers to itself, and the collector would visit all that is remembered
         for whole in batches:
-            for at in range(0, whole.num_rows, 1000):
-                batch = whole.slice(at, 1000)
+            for at in range(0, whole.num_rows, 400):
+                batch = whole.slice(at, 400)
                 ids, texts = [], []
-                for text in texts_of(pa.Table.from_batches([batch])):
-                    got = bpe.encode(text)
+                for got in bpe.encode_many(texts_of(pa.Table.from_batches([batch]))):
                     ids.append(np.array(got, dtype=np.int32))
                     texts.append(bpe.decode(got))
                 yield pa.RecordBatch.from_arrays(
                     [*batch.columns[1:], pa.array(ids, pa.list_(pa.int32())), pa.array(texts, pa.binary())],
                     names=[*batch.schema.names[1:], "_ids", "_decoded"],
                 )
+        gc.enable()
 
     return run
 
