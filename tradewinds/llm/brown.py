@@ -107,7 +107,7 @@ def _tell(table: pa.Table) -> pa.Table:
     total = np.bincount(number, weights=counts, minlength=len(names)).astype(np.int64)
     shapes = np.concatenate(numbers(table.column("_shapes"), np.uint8))[place]
     known = np.flatnonzero(total)
-    top = known[np.lexsort((names[known], -total[known]))][:TOP]
+    top = known[np.lexsort((names[known].view(np.int64), -total[known]))][:TOP]
     edge = np.cumsum([len(a) for a in asked])[:-1]
     told = [_packed(part) for part in np.split(total[number], edge)]
     n = len(told)
@@ -136,7 +136,7 @@ def _stats_of_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     for batch in batches:
         for row in batch.to_pylist():
             top = np.hstack([top, np.array([row["_top"], row["_top_n"], row["_top_shape"]], dtype=np.int64)])
-            top = top[:, np.lexsort((top[0].view(np.uint64), -top[1]))[:TOP]]
+            top = top[:, np.lexsort((top[0], -top[1]))[:TOP]]
             n += row["_shape_n"]
             v += row["_shape_v"]
     yield pa.RecordBatch.from_arrays([pa.array([c], pa.list_(pa.int64())) for c in (*top, n, v)], names=list(_STATISTICS))
