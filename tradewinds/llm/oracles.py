@@ -38,3 +38,86 @@ SELECT conv_id, turn,
     || ',"status":' || to_json(status) || '}' AS json
 FROM joined
 """
+
+SUBSTRING_DEDUP = """
+WITH split AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') AS words
+  FROM documents
+), windows AS (
+  SELECT doc_id, u.k AS k, list_aggregate(words[u.k : u.k + 12], 'string_agg', ' ') AS line
+  FROM split, unnest(range(1, len(words) - 11)) AS u(k)
+), least AS (
+  SELECT line, min(doc_id) AS first_doc FROM windows GROUP BY line
+), hit AS (
+  SELECT DISTINCT doc_id, u.k AS k
+  FROM windows JOIN least USING (line), unnest(range(windows.k, windows.k + 13)) AS u(k)
+  WHERE first_doc < doc_id
+), gone AS (
+  SELECT doc_id, list(k) AS ks FROM hit GROUP BY doc_id
+)
+SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(coalesce(len(ks), 0) AS BIGINT) AS n_removed,
+  sha256(array_to_string(CASE WHEN ks IS NULL THEN words
+    ELSE list_filter(words, lambda w, i: NOT list_contains(ks, i)) END, ' ')) AS kept_sha256
+FROM split LEFT JOIN gone USING (doc_id)
+"""
+
+DECONTAMINATION = """
+WITH sources AS (
+  SELECT 'd' AS kind, doc_id AS id, text FROM documents UNION ALL SELECT 'b', item_id, text FROM benchmark
+), split AS (
+  SELECT kind, id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS words
+  FROM sources
+), wanted AS (
+  SELECT DISTINCT CAST(id AS VARCHAR) AS item, least(13, len(words)) AS m,
+    array_to_string(words[u.k : u.k + least(13, len(words)) - 1], ' ') AS line
+  FROM split, unnest(range(1, greatest(len(words) - 12, least(len(words), 1)) + 1)) AS u(k)
+  WHERE kind = 'b' AND len(words) > 0
+), sizes AS (
+  SELECT DISTINCT m FROM wanted
+), found AS (
+  SELECT d.id AS doc_id, u.k AS k, s.m AS m, w.item AS item
+  FROM split d, sizes s, unnest(range(1, len(d.words) - s.m + 2)) AS u(k), wanted w
+  WHERE d.kind = 'd' AND w.m = s.m AND w.line = array_to_string(d.words[u.k : u.k + s.m - 1], ' ')
+), hits AS (
+  SELECT doc_id, count(DISTINCT u.k) AS n_hit FROM found, unnest(range(found.k, found.k + m)) AS u(k) GROUP BY doc_id
+), items AS (
+  SELECT doc_id, list_sort(list(DISTINCT item)) AS items FROM found GROUP BY doc_id
+)
+SELECT id AS doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit,
+  CAST(coalesce(len(items), 0) AS BIGINT) AS n_items, sha256(coalesce(array_to_string(items, ','), '')) AS items_sha256,
+  coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(words) AS contaminated
+FROM split LEFT JOIN hits ON id = hits.doc_id LEFT JOIN items ON id = items.doc_id WHERE kind = 'd'
+"""
+
+NEAR_DUPLICATES = """
+WITH RECURSIVE split AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') AS words
+  FROM documents
+), shingles AS (
+  SELECT DISTINCT doc_id, array_to_string(words[u.k : u.k + 3], ' ') AS line
+  FROM split, unnest(range(1, greatest(len(words) - 2, 2))) AS u(k) WHERE len(words) > 0
+), sizes AS (
+  SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id
+), pairs AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared FROM shingles a JOIN shingles b ON a.line = b.line AND a.doc_id < b.doc_id
+  GROUP BY ALL
+), links AS (
+  SELECT a, b FROM pairs JOIN sizes x ON a = x.doc_id JOIN sizes y ON b = y.doc_id WHERE 100 * shared >= 80 * (x.n + y.n - shared)
+), edges AS (
+  SELECT a, b FROM links UNION ALL SELECT b, a FROM links
+), reach AS (
+  SELECT doc_id AS node, doc_id AS met FROM documents
+  UNION SELECT reach.node, edges.b FROM reach JOIN edges ON reach.met = edges.a
+)
+SELECT d.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, low AS component_id, d.doc_id = low AS kept
+FROM split d LEFT JOIN sizes USING (doc_id) JOIN (SELECT node, min(met) AS low FROM reach GROUP BY node) r ON d.doc_id = r.node
+"""
+
+ORACLES: dict[str, str] = {
+    "op2_substring_dedup": SUBSTRING_DEDUP,
+    "op8_decontamination": DECONTAMINATION,
+    "op9_chat_format": CHAT_FORMAT,
+    "op10_minhash_near_dedup": NEAR_DUPLICATES,
+}

@@ -7,7 +7,6 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tradewinds.llm import oracles
 from tradewinds.llm.bpe import encode_and_decode
 from tradewinds.llm.brown import score_texts
 from tradewinds.llm.chat_format import SAY, calls_of_conversations, link_tool_calls
@@ -16,9 +15,12 @@ from tradewinds.llm.html_text import extract_main_text
 from tradewinds.llm.language_id import identify_languages
 from tradewinds.llm.minhash import near_duplicate_groups
 from tradewinds.llm.neighbours import nearest_neighbours
+from tradewinds.llm.oracles import ORACLES
 from tradewinds.llm.quality import score_quality
 from tradewinds.llm.substring_dedup import remove_repeats
 
+__all__ = ["ORACLES", "QUERIES"]
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -114,5 +116,3 @@ QUERIES: dict[str, Query] = {
         op10_minhash_near_dedup,
     )
 }
-
-ORACLES: dict[str, str] = {"op9_chat_format": oracles.CHAT_FORMAT}
