@@ -251,6 +251,21 @@ def totals(rows: dict[str, tuple[str, str, str, str]]) -> str:
     )
 
 
+def month0(cohorts: str) -> str:
+    return union(
+        [
+            f"SELECT cohort_year_month, year_month, month_n, '{r}' AS rule_name FROM {cohorts} AS t WHERE {c}"
+            for r, c in {
+                "month_before_cohort": "year_month < cohort_year_month",
+                "month0_active_is_size": "month_n = 0 AND cohort_active_buyers <> cohort_size",
+                "no_buyers_no_measures": "cohort_active_buyers = 0 AND (cohort_order_cnt <> 0 OR cohort_gross_revenue <> 0)",
+                "month0_cumulative_revenue": "month_n = 0 AND cum_gross_revenue <> cohort_gross_revenue",
+                "month0_cumulative_orders": "month_n = 0 AND cum_order_cnt <> cohort_order_cnt",
+            }.items()
+        ]
+    )
+
+
 def _section(sql: str, section: str, subject: str, check: str, value: str, severity: str) -> str:
     return f"""SELECT '{section}' AS section, {subject} AS subject, {check} AS check_name, {severity} AS severity,
     CAST({value} AS DECIMAL(20,2)) AS value FROM ({sql}) AS s"""
@@ -356,6 +371,7 @@ WHERE geolocation_lat NOT BETWEEN -35 AND 6 OR geolocation_lng NOT BETWEEN -75 A
     "row_filter_listing": "SELECT * FROM stg_order_payments WHERE payment_value = 0",
     "mode_confidence": f"""SELECT zip_prefix, CAST(row_cnt AS BIGINT) AS row_cnt, mode_cnt, {pct("mode_cnt", "row_cnt")} AS mode_ratio_pct
 FROM geo_counts JOIN point_mode USING (zip_prefix)""",
+    "mode_confidence_low": f"SELECT {ZIP}, row_cnt, mode_cnt, mode_ratio_pct FROM stg_geolocation WHERE mode_ratio_pct < 5",
     "mode_confidence_summary": f"""SELECT low_mode_cnt, total_cnt, {pct("low_mode_cnt", "total_cnt")} AS low_mode_pct
 FROM (SELECT {n("mode_ratio_pct < 5")} AS low_mode_cnt, count(*) AS total_cnt FROM stg_geolocation) AS t""",
     # row rules
@@ -401,6 +417,24 @@ FROM parsed_orders WHERE order_delivered_carrier_dt < order_purchase_dt""",
             "point_known": f"is_invalid_latlng_exists <> {flag('geolocation_lat IS NULL')}",
         },
     ),
+    "flag_rule_consistency_products": violations(
+        "dim_product",
+        {
+            "category_blank": f"is_category_blank <> {flag('product_category_name IS NULL')}",
+            "category_unmapped": "is_category_en_unmapped <> "
+            + flag("product_category_name IS NOT NULL AND product_category_name_en IS NULL"),
+            "weight_zero": f"is_weight_zero <> {flag('product_weight_g = 0')}",
+            "weight_known": f"is_weight_zero <> {flag('product_weight_g IS NOT NULL')}",
+        },
+    ),
+    "flag_agreement_reviews": violations(
+        "stg_order_reviews",
+        {
+            "title_blank": f"is_title_blank <> {flag('review_comment_title IS NULL')}",
+            "message_blank": f"is_message_blank <> {flag('review_comment_message IS NULL')}",
+            "title_blank_as_message": f"is_title_blank <> {flag('review_comment_message IS NULL')}",
+        },
+    ),
     "flag_rule_consistency_calendar": violations(
         "dim_date",
         {
@@ -452,9 +486,82 @@ FROM kpi_core AS v JOIN kpi_cancel AS s USING (year_month) WHERE v.order_cnt <>
             "revenue: items vs months": ("delivered_items", "sum(item_total_value)", "kpi_core", "sum(gross_revenue)"),
             "revenue: persons vs cohorts": ("base", "sum(gross_revenue)", "cohort_core", "sum(cohort_gross_revenue)"),
             "orders: persons vs cohorts": ("base", "sum(order_cnt)", "cohort_core", "sum(cohort_order_cnt)"),
-            "orders: all vs delivered": ("fact_orders", "count(*)", "kpi_core", "sum(order_cnt)"),
         }
     ),
+    "grand_total_reconcile_gap": totals({"orders: all vs delivered": ("fact_orders", "count(*)", "kpi_core", "sum(order_cnt)")}),
+    "row_count_reconcile_star": union(
+        [
+            f"SELECT '{entity}' AS entity, {source} AS source_cnt, count(*) AS target_cnt, count(*) - {source} AS diff FROM {target}"
+            for entity, source, target in [
+                ("customers", "(SELECT count(*) FROM stg_customers)", "dim_customer"),
+                ("products", "(SELECT count(*) FROM stg_products)", "dim_product"),
+                ("sellers", "(SELECT count(*) FROM stg_sellers)", "dim_seller"),
+                ("geolocation", "(SELECT count(*) FROM stg_geolocation)", "dim_geolocation"),
+                ("orders", "(SELECT count(*) FROM stg_orders)", "fact_orders"),
+                ("order_items", "(SELECT count(*) FROM stg_order_items)", "fact_order_items"),
+                (
+                    "order_items with an order",
+                    "(SELECT count(*) FROM stg_order_items AS i JOIN stg_orders AS o ON o.order_id = i.order_id)",
+                    "fact_order_items",
+                ),
+            ]
+        ]
+    ),
+    "view_vs_source_person_month": """SELECT * FROM (
+  SELECT v.customer_unique_id, v.year_month, v.order_cnt, v.item_cnt, v.gross_revenue, o.order_cnt AS order_cnt_source,
+         i.item_cnt AS item_cnt_source, i.gross_revenue AS gross_revenue_source, v.order_cnt - o.order_cnt AS order_cnt_diff,
+         v.item_cnt - i.item_cnt AS item_cnt_diff, v.gross_revenue - i.gross_revenue AS gross_revenue_diff
+  FROM base AS v JOIN person_orders AS o ON o.customer_unique_id = v.customer_unique_id AND o.year_month = v.year_month
+  JOIN person_items AS i ON i.customer_unique_id = v.customer_unique_id AND i.year_month = v.year_month) AS t
+WHERE order_cnt_diff <> 0 OR item_cnt_diff <> 0 OR gross_revenue_diff <> 0""",
+    "view_vs_source_person_month_gap": """SELECT v.customer_unique_id, v.year_month, v.order_cnt, i.item_cnt AS order_cnt_source,
+       v.order_cnt - i.item_cnt AS order_cnt_diff
+FROM base AS v JOIN person_items AS i ON i.customer_unique_id = v.customer_unique_id AND i.year_month = v.year_month
+WHERE v.order_cnt <> i.item_cnt""",
+    "copy_mismatch_geolocation": mismatches(
+        "dim_geolocation",
+        "stg_geolocation",
+        ZIP,
+        [
+            "geolocation_lat",
+            "geolocation_lng",
+            "geolocation_city",
+            "geolocation_state",
+            "geolocation_city_state",
+            "row_cnt",
+            "mode_cnt",
+            "mode_ratio_pct",
+            "invalid_latlng_cnt",
+            "city_cnt",
+            "state_cnt",
+            "is_invalid_latlng_exists",
+            "is_multi_city",
+            "is_multi_state",
+        ],
+    ),
+    "copy_mismatch_product": mismatches(
+        "dim_product",
+        "stg_products",
+        "product_id",
+        [
+            "product_category_name",
+            "product_category_name_en",
+            "product_name_length",
+            "product_description_length",
+            "product_photos_qty",
+            "product_weight_g",
+            "product_length_cm",
+            "product_height_cm",
+            "product_width_cm",
+            "product_volume_cm3",
+            "is_category_blank",
+            "is_category_en_unmapped",
+            "is_weight_zero",
+        ],
+    ),
+    "copy_mismatch_seller": mismatches(
+        "dim_seller", "stg_sellers", "seller_id", ["seller_zip_code_prefix", "seller_city", "seller_state", "seller_city_state"]
+    ),
     # KPI and cohort invariants
     "buyer_flag_invariants": violations(
         "base",
@@ -514,18 +621,8 @@ WHERE abs(stored - recomputed) > 0.01""",
   lag(cum_gross_revenue) OVER (PARTITION BY cohort_year_month ORDER BY month_n) AS previous FROM cohort_core) AS t WHERE value < previous""",
     "monotone_cumulative_gap": """SELECT * FROM (SELECT cohort_year_month, month_n, cohort_order_cnt AS value,
   lag(cohort_order_cnt) OVER (PARTITION BY cohort_year_month ORDER BY month_n) AS previous FROM cohort_core) AS t WHERE value < previous""",
-    "month0_invariants": union(
-        [
-            f"SELECT cohort_year_month, year_month, month_n, '{r}' AS rule_name FROM cohort_core WHERE {c}"
-            for r, c in {
-                "month_before_cohort": "year_month < cohort_year_month",
-                "month0_active_is_size": "month_n = 0 AND cohort_active_buyers <> cohort_size",
-                "no_buyers_no_measures": "cohort_active_buyers = 0 AND (cohort_order_cnt <> 0 OR cohort_gross_revenue <> 0)",
-                "month0_cumulative_revenue": "month_n = 0 AND cum_gross_revenue <> cohort_gross_revenue",
-                "month0_cumulative_orders": "month_n = 0 AND cum_order_cnt <> cohort_order_cnt",
-            }.items()
-        ]
-    ),
+    "month0_invariants": month0("cohort_core"),
+    "month0_invariants_gap": month0("(SELECT * REPLACE (CAST(month_n - 1 AS INTEGER) AS month_n) FROM cohort_core)"),
     "last_cumulative_equals_total": f"""SELECT * FROM (SELECT cohort_year_month, arg_max(cum_gross_revenue, month_n) AS last_cumulative,
   CAST(sum(cohort_gross_revenue) AS DECIMAL(28,2)) AS total FROM cohort_core GROUP BY 1) AS t
 WHERE abs(last_cumulative - total) > 0.001""",

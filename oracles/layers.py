@@ -3,6 +3,15 @@
 from oracles.sqltext import clean, flag, n, ratio, ts, union
 from oracles.tables.analysis import CANCEL_COUNTS, CANCEL_RATES, MONEY, MONTHS_BETWEEN
 from oracles.tables.marts import DATE_KEY
+from tradewinds.sources.schemas import TABLE_SCHEMAS
+
+# the names that these queries give to the tables
+SQL_NAMES = {t: t for t in TABLE_SCHEMAS} | {
+    "base_customer_monthly_purchase": "base",
+    "kpi_monthly_core": "kpi_core",
+    "kpi_monthly_cancellation": "kpi_cancel",
+    "cohort_monthly_core": "cohort_core",
+}
 
 PRODUCT_COLUMNS = {
     "product_id": "string",
@@ -117,7 +126,7 @@ SELECT year_month, count(*) AS order_cnt, min(delivery_lead_days) AS fastest FRO
                 **{t: f"raw_{t}" for t in ("orders", "order_items", "order_payments", "order_reviews", "customers")},
                 **{t: f"raw_{t}" for t in ("products", "sellers", "geolocation")},
                 "category_translation": "raw_translation",
-                **{t: t for t in ("stg_orders", "stg_customers", "stg_order_items", "stg_geolocation", "dim_date")},
+                **SQL_NAMES,
             }.items()
         ]
     ),
@@ -131,6 +140,15 @@ ORDER BY item_total_value DESC NULLS LAST, order_id, order_item_id, product_id L
             for i, (c, t) in enumerate(PRODUCT_COLUMNS.items(), start=1)
         ]
     ),
+    "schema_report_all": union(
+        [
+            f"SELECT '{table}' AS table_name, CAST({i} AS INTEGER) AS ordinal, '{f.name}' AS column_name, "
+            f"'{f.dataType.simpleString()}' AS data_type, count(\"{f.name}\") AS present_cnt FROM {SQL_NAMES[table]}"
+            for table, schema in TABLE_SCHEMAS.items()
+            for i, f in enumerate(schema.fields, start=1)
+        ]
+    ),
+    "fact_orders_of_month": "SELECT * FROM fact_orders WHERE order_purchase_date_key BETWEEN 19950301 AND 19950331",
     # staging
     **{
         t: _copy(t)
@@ -199,7 +217,7 @@ SELECT zip_prefix, city, state, place_cnt FROM (
     "cohort_pivot_buyers": _pivot("cohort_active_buyers", "buyers", "sum", "BIGINT"),
     "cohort_pivot_orders": _pivot("cohort_order_cnt", "orders", "sum", "BIGINT", "0"),
     "cohort_pivot_revenue": _pivot("cohort_gross_revenue", "revenue", "sum", MONEY, "0"),
-    "cohort_pivot_retention": _pivot("cohort_retention_rate", "retention", "max", "DECIMAL(10,6)"),
+    "cohort_pivot_retention": _pivot("cohort_retention_rate", "retention", "max", "DECIMAL(18,6)"),
     "cohort_pivot_aov": _pivot("cohort_aov", "aov", "max", MONEY),
     "base_orders": _copy("person_orders"),
     "base_items": _copy("person_items"),

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 
-def ratio(num: str, den: str, digits: int = 6, kind: str = "DECIMAL(10,6)", num_scale: int = 0) -> str:
+def ratio(num: str, den: str, digits: int = 6, kind: str = "DECIMAL(18,6)", num_scale: int = 0) -> str:
     """num / den rounded half away from zero; NULL for a 0 or NULL denominator.
 
     ``num_scale`` is the number of decimals of ``num`` (2 for money).

@@ -83,8 +83,8 @@ SELECT * FROM (
          {flag("geolocation_lat BETWEEN -35 AND 6 AND geolocation_lng BETWEEN -75 AND -30")} AS is_valid
   FROM raw_geolocation) AS p WHERE zip_prefix <> ''""",
     "geo_counts": """
-SELECT zip_prefix, CAST(count(*) AS INTEGER) AS row_cnt, CAST(count(*) FILTER (WHERE is_valid = 0) AS INTEGER) AS invalid_latlng_cnt,
-       CAST(count(DISTINCT city) AS INTEGER) AS city_cnt, CAST(count(DISTINCT state) AS INTEGER) AS state_cnt
+SELECT zip_prefix, count(*) AS row_cnt, count(*) FILTER (WHERE is_valid = 0) AS invalid_latlng_cnt,
+       count(DISTINCT city) AS city_cnt, count(DISTINCT state) AS state_cnt
 FROM geo_points GROUP BY zip_prefix""",
     "point_mode": """
 SELECT zip_prefix, lat, lng, mode_cnt FROM (
@@ -99,7 +99,7 @@ SELECT zip_prefix, city, state, place_cnt FROM (
     "stg_geolocation": f"""
 SELECT zip_prefix AS geolocation_zip_code_prefix, lat AS geolocation_lat, lng AS geolocation_lng,
        city AS geolocation_city, state AS geolocation_state, city || '_' || state AS geolocation_city_state,
-       row_cnt, CAST(coalesce(mode_cnt, 0) AS INTEGER) AS mode_cnt, {pct("coalesce(mode_cnt, 0)", "row_cnt")} AS mode_ratio_pct,
+       row_cnt, coalesce(mode_cnt, 0) AS mode_cnt, {pct("coalesce(mode_cnt, 0)", "row_cnt")} AS mode_ratio_pct,
        invalid_latlng_cnt, city_cnt, state_cnt, {flag("invalid_latlng_cnt > 0")} AS is_invalid_latlng_exists,
        {flag("city_cnt > 1")} AS is_multi_city, {flag("state_cnt > 1")} AS is_multi_state
 FROM geo_counts LEFT JOIN point_mode USING (zip_prefix) LEFT JOIN place_mode USING (zip_prefix)""",

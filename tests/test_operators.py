@@ -37,7 +37,8 @@ def test_lookup_join_paths_agree(spark, large_sides):
     heavy = dict(joins.heavy_keys(left, "key"))
     assert heavy["hot"] > 100 and heavy[None] > 10
     for how in ("inner", "left"):
-        salted = joins.lookup_join(left, right, "key", how)
+        salted = joins.lookup_join(left, right, "key", how, list(heavy.items()))
+        assert rows(salted) == rows(joins.lookup_join(left, right, "key", how))
         assert rows(salted) == rows(left.join(right, "key", how))
         plan = salted._jdf.queryExecution().executedPlan().toString()
         assert "Cartesian" not in plan and "NestedLoop" not in plan
@@ -46,7 +47,7 @@ def test_lookup_join_paths_agree(spark, large_sides):
 def test_salts_spread_the_heavy_key(spark, large_sides):
     left = spark.range(30000).select(F.lit("hot").alias("key"), F.col("id").alias("v"))
     right = spark.createDataFrame([("hot", 1)], "key string, w int")
-    joined = joins.lookup_join(left, right, "key")
+    joined = joins.lookup_join(left, right, "key", heavy=joins.heavy_keys(left, "key"))
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
     try:
         per_task = joined.groupBy(F.spark_partition_id()).count().collect()

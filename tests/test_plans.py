@@ -1,13 +1,17 @@
 from __future__ import annotations
 
 import datetime as dt
+import re
 from collections import Counter
 from decimal import Decimal
 
+import duckdb
 import pytest
 
+from pyspark.sql import functions as F
 from tests.shop import raw_shop
-from tradewinds.plans import analysis, kpis, marts, quality_suite
+from tradewinds.functions import safe_ratio
+from tradewinds.plans import analysis, kpis, marts, quality_suite, staging
 from tradewinds.plans.warehouse import LAYERS, Warehouse, build_all
 
 
@@ -69,6 +73,53 @@ def test_repeated_order_rows_count_once(shop):
     assert got["u1"]["order_cnt"] == 2 and got["u1"]["item_cnt"] == 4
 
 
+def test_counts_beyond_int(spark):
+    rows = [("z", kind, None, None, 1, "c", "s", 2**31 + 5) for kind in (staging.POINT, staging.PLACE)]
+    counted = spark.createDataFrame(rows, "zip_prefix string, kind int, lat double, lng double, is_valid int, city string, state string, n long")
+    assert counted.groupBy("zip_prefix").agg(*staging._zip_counts()).first()["row_cnt"] == 2**31 + 5
+    ratio = spark.range(1).select(safe_ratio(F.lit(10**9), F.lit(3)).alias("r")).first()["r"]
+    assert ratio == Decimal("333333333.333333")
+
+
+RECOMPUTED = """
+WITH o AS (
+  SELECT order_id, customer_id, order_purchase_date_key // 100 AS m FROM fact_orders WHERE order_status = 'delivered' AND is_delivered = 1
+), people AS (
+  SELECT c.customer_unique_id AS person, m, count(DISTINCT order_id) AS orders FROM o JOIN dim_customer c USING (customer_id) GROUP BY ALL
+), items AS (
+  SELECT c.customer_unique_id AS person, o.m, count(*) AS items, sum(i.item_total_value) AS revenue
+  FROM fact_order_items i JOIN o ON o.order_id = i.order_id JOIN dim_customer c ON c.customer_id = o.customer_id GROUP BY ALL
+)
+SELECT person, m, orders, coalesce(items, 0), coalesce(revenue, 0) FROM people LEFT JOIN items USING (person, m)"""
+
+
+def test_repeated_order_and_customer_rows_have_one_answer(spark, tmp_path):
+    raw = raw_shop(spark)
+    raw["orders"] = raw["orders"].union(raw["orders"].filter("order_id in ('o1', 'o6')"))
+    raw["customers"] = raw["customers"].union(raw["customers"].filter("customer_id = 'c2'"))
+    lazy, stored = Warehouse(raw), build_all(raw, str(tmp_path))
+
+    def totals(w):
+        columns = ("customer_unique_id", "year_month", "order_cnt", "item_cnt", "gross_revenue")
+        return {tuple(r) for r in w.base_customer_monthly_purchase.select(*columns).collect()}
+
+    assert totals(lazy) == totals(stored)
+    con = duckdb.connect()
+    for name in ("fact_orders", "fact_order_items", "dim_customer"):
+        con.register(name, lazy.table(name).toArrow())
+    again = {(p, f"{m // 100}-{m % 100:02}", n, i, r) for p, m, n, i, r in con.sql(RECOMPUTED).fetchall()}
+    assert totals(lazy) == again
+
+
+def test_one_month_opens_one_folder(spark, tmp_path):
+    stored = build_all(raw_shop(spark), str(tmp_path))
+    january = stored.vw_delivered_orders.filter("year_month = '2017-01'")
+    plan = january._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"PartitionFilters: \[[^\]]*year_month", plan)
+    assert {r["order_id"] for r in january.collect()} == {"o1", "o7"}
+    assert list((tmp_path / "dm" / "fact_order_items").glob("v-*/year_month=2017-01"))
+
+
 def test_core_kpis(shop):
     core = by_key(shop.kpi_monthly_core, "year_month")
     assert sorted(core) == ["2016-12", "2017-01", "2017-02", "2017-03", "2017-04", "2017-05"]

@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 COUNT_TYPE = "decimal(20,0)"
-RATE_TYPE = "decimal(10,6)"
+RATE_TYPE = "decimal(18,6)"
 MONEY_TYPE = "decimal(18,2)"
 PERCENT_TYPE = "decimal(6,2)"
 

@@ -1,16 +1,13 @@
 """Key lookups that stay safe when one key owns a large share of the rows.
 
-``lookup_join`` has two forms, chosen at plan time:
-
-* the looked-up side reads little input (its size is checked, see ``input_bytes``):
-  it is broadcast and the big side is not shuffled at all;
-* otherwise both sides are shuffled on the key. Heavy keys, found beforehand with a
-  frequent-items sketch, are salted: their rows are spread by a hash of the whole row and
-  the looked-up row is repeated once per salt. At most ``MAX_HEAVY_KEYS`` keys are heavy,
-  so the repeats are few. The list of heavy keys is a fixed part of the plan - both sides
-  and every retried task see the same salts - and an error of the sketch costs balance
-  only, never a row. Identical copies of a row share a salt; those are left to the skew
-  handling of adaptive execution.
+``lookup_join`` starts no job. It has two forms, chosen while the plan is built:
+
+* the looked-up side is small in memory (``is_small``): it is broadcast and the big side is not shuffled at all;
+* otherwise both sides are shuffled on the key, and adaptive execution splits the partitions of heavy keys.
+
+Where heavy keys are known beforehand, for example from ``heavy_keys`` over a stored table, they can be passed in and
+are salted: their rows are spread by a hash of the whole row and the looked-up row is repeated once per salt. The
+list is a fixed part of the plan - both sides and every retried task see the same salts.
 
 ``count_by_key`` + ``match_counts`` serve the checks that only need totals: rows are
 counted per key before the shuffle, so a heavy key travels as one row per task.
@@ -18,13 +15,16 @@ counted per key before the shuffle, so a heavy key travels as one row per task.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from math import ceil
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BROADCAST_LIMIT_CONF = "spark.tradewinds.broadcastInputBytes"
-DEFAULT_BROADCAST_LIMIT = 32 * 1024 * 1024
+DEFAULT_BROADCAST_LIMIT = 64 * 1024 * 1024
+# rows in memory take several times the bytes of compressed column files
+BYTES_IN_MEMORY_PER_FILE_BYTE = 4
 MAX_HEAVY_KEYS = 1000
 SKETCH_ITEMS = 20000
 HEAVY_SHARE = 0.001
@@ -49,8 +49,9 @@ def broadcast_limit(df: DataFrame) -> int:
 
 
 def is_small(df: DataFrame) -> bool:
+    """Whether the inputs of ``df`` take at most the limit in memory, as estimated from the size of their files."""
     size = input_bytes(df)
-    return size is not None and size <= broadcast_limit(df)
+    return size is not None and size * BYTES_IN_MEMORY_PER_FILE_BYTE <= broadcast_limit(df)
 
 
 def heavy_keys(df: DataFrame, key: str) -> list[tuple[object, int]]:
@@ -71,23 +72,22 @@ def heavy_keys(df: DataFrame, key: str) -> list[tuple[object, int]]:
 
 
 def lookup_join(
-    left: DataFrame, right: DataFrame, key: str, how: str = "inner", heavy_from: DataFrame | None = None
+    left: DataFrame, right: DataFrame, key: str, how: str = "inner", heavy: Sequence[tuple[object, int]] = ()
 ) -> DataFrame:
     """Join ``left`` (any skew) with ``right`` (one row per key) on ``key``; how is inner or left.
 
-    ``heavy_from`` names a cheaper frame with the same distribution of ``key`` as ``left``,
-    typically the table ``left`` was built from.
+    ``heavy``: (key, salts) of keys known to be heavy, at most MAX_HEAVY_KEYS.
     """
     if how not in ("inner", "left"):
         raise ValueError(f"lookup_join supports inner and left, not {how!r}")
     if is_small(right):
         return left.join(F.broadcast(right), key, how)
-    source = left if heavy_from is None else heavy_from
-    heavy = heavy_keys(source.select(key), key)
     if how == "inner":
         heavy = [(item, n) for item, n in heavy if item is not None]
     if not heavy:
         return left.join(right, key, how)
+    if len(heavy) > MAX_HEAVY_KEYS + 1:
+        raise ValueError(f"at most {MAX_HEAVY_KEYS} heavy keys")
     row_hash = F.xxhash64(*left.columns)
     null_salts = dict(heavy).get(None, 1)
     table = left.sparkSession.createDataFrame(

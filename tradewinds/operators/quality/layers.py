@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tradewinds.operators.aggregates import one_row_to_long
 from tradewinds.operators.quality.keys import union_all
 
 TOTAL_TYPE = "decimal(20,2)"
@@ -63,12 +64,23 @@ def view_vs_source(
 def grand_total_reconcile(
     totals: Mapping[str, tuple[tuple[DataFrame, Column], tuple[DataFrame, Column]]],
 ) -> DataFrame:
-    """measure -> ((frame, aggregate), (frame, aggregate)): both totals and their difference."""
-    parts = []
-    for name, ((left, left_total), (right, right_total)) in totals.items():
-        right_value = right.agg(right_total.cast(TOTAL_TYPE)).scalar()
-        row = left.agg(left_total.cast(TOTAL_TYPE).alias("left_total")).select(
-            F.lit(name).alias("measure"), "left_total", right_value.alias("right_total")
-        )
-        parts.append(row.withColumn("diff", (F.col("left_total") - F.col("right_total")).cast(TOTAL_TYPE)))
-    return union_all(parts)
+    """measure -> ((frame, aggregate), (frame, aggregate)): both totals and their difference.
+
+    A frame that occurs in several measures is aggregated once.
+    """
+    frames: dict[int, tuple[DataFrame, list[tuple[str, str, Column]]]] = {}
+    for name, sides in totals.items():
+        for side, (frame, total) in zip(("left_total", "right_total"), sides, strict=True):
+            frames.setdefault(id(frame), (frame, []))[1].append((name, side, total))
+    long = union_all(
+        [
+            one_row_to_long(
+                frame,
+                [{"measure": F.lit(m), "side": F.lit(side), "total": total.cast(TOTAL_TYPE)} for m, side, total in wanted],
+            )
+            for frame, wanted in frames.values()
+        ]
+    )
+    sides = [F.max(F.when(F.col("side") == side, F.col("total"))).alias(side) for side in ("left_total", "right_total")]
+    diff = (F.col("left_total") - F.col("right_total")).cast(TOTAL_TYPE).alias("diff")
+    return long.groupBy("measure").agg(*sides).select("measure", "left_total", "right_total", diff)

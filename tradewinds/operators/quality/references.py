@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tradewinds.functions import percent, whole_minutes_between
-from tradewinds.operators.joins import count_by_key, is_small, lookup_join, match_counts
+from tradewinds.operators.joins import count_by_key, lookup_join, match_counts
 from tradewinds.operators.quality.keys import union_all
 
 
@@ -17,9 +17,8 @@ def orphan_values(
 ) -> DataFrame:
     """(key, cnt): key values without a parent and the child rows behind them."""
     keys = count_by_key(child, child_key)
-    parents = parent.select(F.col(parent_key).alias("key"))
-    if not is_small(parents):
-        parents = parents.distinct()  # repeated parent keys collapse before they travel
+    # repeated parent keys collapse before they travel
+    parents = parent.select(F.col(parent_key).alias("key")).distinct()
     lost = keys.join(parents, "key", "left_anti")
     return (lost.filter("key is not null") if skip_null else lost).select("key", F.col("rows").alias("cnt"))
 

@@ -42,11 +42,13 @@ def value_distribution(df: DataFrame, value: Column | str, name: str = "value")
 
 
 def value_share(df: DataFrame, value: Column | str, name: str = "value") -> DataFrame:
-    """Rows per value and their percentage of all rows. The total is a scalar subquery, not an unpartitioned window."""
-    total = df.agg(F.count(F.lit(1))).scalar()
-    return value_distribution(df, value, name).select(
-        name, "cnt", percent(F.col("cnt"), total).alias("cnt_pct")
-    )
+    """Rows per value and their percentage of all rows.
+
+    The total is a scalar subquery over the distribution, whose shuffle serves both, not an unpartitioned window.
+    """
+    counts = value_distribution(df, value, name)
+    total = counts.agg(F.sum("cnt")).scalar()
+    return counts.select(name, "cnt", percent(F.col("cnt"), total).alias("cnt_pct"))
 
 
 def numeric_profile(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -120,7 +122,7 @@ def multi_mapped_values(df: DataFrame, key: str, value: str) -> DataFrame:
     """Drill-down of ``multi_mapped_keys``: how often each value occurs under such a key."""
     counts = df.groupBy(key, value).agg(F.count(F.lit(1)).alias("cnt"))
     wide = counts.groupBy(key).agg(F.count(value).alias("value_cnt")).filter("value_cnt > 1")
-    return lookup_join(counts, wide.select(key), key, heavy_from=df)
+    return lookup_join(counts, wide.select(key), key)
 
 
 def row_filter_listing(df: DataFrame, condition: Column | str, columns: Sequence[str] = ("*",)) -> DataFrame:

@@ -17,6 +17,7 @@ from tradewinds.operators.aggregates import conditional_distinct, pivot_months
 from tradewinds.operators.calendar import dense_months, fill_months
 from tradewinds.operators.joins import lookup_join
 from tradewinds.plans.marts import with_month
+from tradewinds.sources.schemas import columns_of
 
 PERSON_MONTH = ("customer_unique_id", "year_month")
 
@@ -61,8 +62,8 @@ def base_customer_monthly_purchase(
 ) -> DataFrame:
     """Sparse person-month table with cohort month, order, item and revenue totals.
 
-    ``items`` needs order_id and item_total_value: the item fact or the staged items, of which
-    only those of delivered orders come through.
+    ``items`` is the item fact, of which only items of delivered orders come through. The totals are those of
+    the view of delivered items: an order row that occurs twice brings its items twice, but counts as one order.
 
     Built as one flow: items collapse per order and meet the orders on the order key, which also
     serves the grouping per order; the totals collapse to (person, month), and the cohort month
@@ -199,10 +200,7 @@ def cohort_monthly_core(dim_date: DataFrame, base: DataFrame) -> DataFrame:
     )
     first_buyers = F.max(F.when(F.col("month_n") == 0, F.col("cohort_active_buyers")))
     sized = filled.withColumn("cohort_size", first_buyers.over(W.partitionBy("cohort_year_month")))
-    values = ["cohort_size", *empty]
-    return sized.select(
-        *["cohort_year_month", "year_month", "month_n", *values], *cohort_retention_aov(), *cohort_cumulative()
-    )
+    return sized.select("*", *cohort_retention_aov(), *cohort_cumulative()).select(columns_of("cohort_monthly_core"))
 
 
 def cohort_retention_aov() -> list[Column]:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tradewinds.functions import date_key, month_label_of_key
 from tradewinds.operators.calendar import calendar_table, date_bounds, generate_calendar
 from tradewinds.operators.joins import lookup_join
+from tradewinds.sources.schemas import columns_of
 
 ORDER_DATES = (
     "order_purchase_dt",
@@ -24,45 +25,26 @@ def dim_date(stg_orders: DataFrame) -> DataFrame:
 
 
 def dim_geolocation(stg_geolocation: DataFrame) -> DataFrame:
-    return stg_geolocation.select(
-        *[f"geolocation_{c}" for c in ("zip_code_prefix", "lat", "lng", "city", "state", "city_state")],
-        *["row_cnt", "mode_cnt", "mode_ratio_pct", "invalid_latlng_cnt", "city_cnt", "state_cnt"],
-        *["is_invalid_latlng_exists", "is_multi_city", "is_multi_state"],
-    )
+    return stg_geolocation.select(columns_of("dim_geolocation"))
 
 
 def dim_customer(stg_customers: DataFrame) -> DataFrame:
-    return stg_customers.select(
-        "customer_id", "customer_unique_id", *[f"customer_{c}" for c in ("zip_code_prefix", "city", "state", "city_state")]
-    )
+    return stg_customers.select(columns_of("dim_customer"))
 
 
 def dim_product(stg_products: DataFrame) -> DataFrame:
-    measures = ["name_length", "description_length", "photos_qty", "weight_g", "length_cm", "height_cm", "width_cm"]
-    return stg_products.select(
-        *["product_id", "product_category_name", "product_category_name_en"],
-        *[f"product_{m}" for m in [*measures, "volume_cm3"]],
-        *["is_category_blank", "is_category_en_unmapped", "is_weight_zero"],
-    )
+    return stg_products.select(columns_of("dim_product"))
 
 
 def dim_seller(stg_sellers: DataFrame) -> DataFrame:
-    return stg_sellers.select("seller_id", *[f"seller_{c}" for c in ("zip_code_prefix", "city", "state", "city_state")])
+    return stg_sellers.select(columns_of("dim_seller"))
 
 
 def fact_orders(stg_orders: DataFrame, stg_customers: DataFrame) -> DataFrame:
     """Grain: order. Adds the customer's zip (NULL when unknown) and the integer date key."""
     zips = stg_customers.select("customer_id", "customer_zip_code_prefix")
-    return lookup_join(stg_orders, zips, "customer_id", "left").select(
-        "order_id",
-        "customer_id",
-        date_key("order_purchase_dt").alias("order_purchase_date_key"),
-        "customer_zip_code_prefix",
-        "order_status",
-        *ORDER_DATES,
-        *["approve_lead_days", "delivery_lead_days", "delivery_delay_days"],
-        *["is_delivered", "is_canceled"],
-    )
+    keyed = stg_orders.withColumn("order_purchase_date_key", date_key("order_purchase_dt"))
+    return lookup_join(keyed, zips, "customer_id", "left").select(columns_of("fact_orders"))
 
 
 def fact_order_items(
@@ -79,34 +61,44 @@ def fact_order_items(
     seller_zips = stg_sellers.select("seller_id", "seller_zip_code_prefix")
     located = lookup_join(orders, customer_zips, "customer_id", "left")
     items = lookup_join(stg_order_items, located, "order_id")
-    return lookup_join(items, seller_zips, "seller_id", "left", heavy_from=stg_order_items).select(
-        *["order_id", "order_item_id", "order_item_seq", "customer_id", "product_id", "seller_id"],
-        *["order_purchase_date_key", "customer_zip_code_prefix", "seller_zip_code_prefix"],
-        *["price", "freight_value", "item_total_value"],
-    )
+    return lookup_join(items, seller_zips, "seller_id", "left").select(columns_of("fact_order_items"))
 
 
 def with_month(df: DataFrame, key: str, dim_date: DataFrame | None = None, name: str = "year_month") -> DataFrame:
     """Add the month label of a date key.
 
-    The calendar spans every order date by construction, so the label can be read off the key
+    A table stored by month brings the label along. Else the calendar spans every order date by construction, so the label can be read off the key
     without touching the calendar. Given a ``dim_date`` of another origin, rows on days it
-    lacks are dropped; four-digit years have fewer than 3.7 million days, so it may be broadcast.
+    lacks are dropped.
     """
+    if dim_date is None and name in df.columns:
+        return df
     if dim_date is None:
         return df.withColumn(name, month_label_of_key(key))
     days = dim_date.select(F.col("date_key").alias(key), F.col("year_month").alias(name))
-    return df.join(F.broadcast(days), key)
+    return lookup_join(df.drop(name), days, key)
 
 
 def vw_delivered_orders(fact_orders: DataFrame, dim_date: DataFrame | None = None) -> DataFrame:
     """Orders with status 'delivered' and a delivery time, with their month label."""
     delivered = fact_orders.filter((F.col("order_status") == "delivered") & (F.col("is_delivered") == 1))
     return with_month(delivered, "order_purchase_date_key", dim_date).select(
-        *["order_id", "customer_id", "customer_zip_code_prefix", "order_purchase_date_key", "year_month"],
-        *["order_status", "is_delivered", "is_canceled"],
-        *ORDER_DATES,
-        *["approve_lead_days", "delivery_lead_days", "delivery_delay_days"],
+        "order_id",
+        "customer_id",
+        "customer_zip_code_prefix",
+        "order_purchase_date_key",
+        "year_month",
+        "order_status",
+        "is_delivered",
+        "is_canceled",
+        "order_purchase_dt",
+        "order_approved_dt",
+        "order_delivered_carrier_dt",
+        "order_delivered_customer_dt",
+        "order_estimated_delivery_dt",
+        "approve_lead_days",
+        "delivery_lead_days",
+        "delivery_delay_days",
     )
 
 
@@ -117,9 +109,19 @@ def vw_delivered_order_items(fact_order_items: DataFrame, delivered_orders: Data
     )
     items = fact_order_items.drop("customer_id", "customer_zip_code_prefix", "order_purchase_date_key")
     return lookup_join(items, orders, "order_id").select(
-        *["order_id", "order_item_id", "order_item_seq", "customer_id", "customer_zip_code_prefix"],
-        *["product_id", "seller_id", "seller_zip_code_prefix", "order_purchase_date_key", "year_month"],
-        *["price", "freight_value", "item_total_value"],
+        "order_id",
+        "order_item_id",
+        "order_item_seq",
+        "customer_id",
+        "customer_zip_code_prefix",
+        "product_id",
+        "seller_id",
+        "seller_zip_code_prefix",
+        "order_purchase_date_key",
+        "year_month",
+        "price",
+        "freight_value",
+        "item_total_value",
     )
 
 
@@ -142,6 +144,10 @@ def cohort_order_history(
     people = first_purchase.filter(F.col("first_purchase_year_month").isin(*cohorts)).select("customer_unique_id")
     ids = lookup_join(dim_customer.select("customer_id", "customer_unique_id"), people, "customer_unique_id")
     return lookup_join(delivered_orders, ids, "customer_id").select(
-        *["customer_unique_id", "order_id", "order_purchase_date_key", "year_month"],
-        *["order_purchase_dt", "order_delivered_customer_dt"],
+        "customer_unique_id",
+        "order_id",
+        "order_purchase_date_key",
+        "year_month",
+        "order_purchase_dt",
+        "order_delivered_customer_dt",
     )

@@ -240,12 +240,17 @@ def stg_products(raw_products: DataFrame, raw_translation: DataFrame) -> DataFra
         out="product_category_name_en",
         found="_translated",
     )
-    measures = ["name_length", "description_length", "photos_qty", "weight_g", "length_cm", "height_cm", "width_cm"]
     return translated.select(
         "product_id",
         "product_category_name",
         "product_category_name_en",
-        *[f"product_{m}" for m in measures],
+        "product_name_length",
+        "product_description_length",
+        "product_photos_qty",
+        "product_weight_g",
+        "product_length_cm",
+        "product_height_cm",
+        "product_width_cm",
         volume_cm3("product_length_cm", "product_height_cm", "product_width_cm").alias("product_volume_cm3"),
         *product_flags(),
     )
@@ -302,12 +307,10 @@ def _geo_frequencies(points: DataFrame) -> DataFrame:
 def _zip_counts() -> list[Column]:
     kind = F.col("kind")
     return [
-        F.sum(F.when(kind == POINT, F.col("n"))).cast("int").alias("row_cnt"),
-        F.sum(F.when((kind == POINT) & (F.col("is_valid") == 0), F.col("n")).otherwise(0))
-        .cast("int")
-        .alias("invalid_latlng_cnt"),
-        F.count_if((kind == CITY) & F.col("city").isNotNull()).cast("int").alias("city_cnt"),
-        F.count_if((kind == STATE) & F.col("state").isNotNull()).cast("int").alias("state_cnt"),
+        F.sum(F.when(kind == POINT, F.col("n"))).alias("row_cnt"),
+        F.sum(F.when((kind == POINT) & (F.col("is_valid") == 0), F.col("n")).otherwise(0)).alias("invalid_latlng_cnt"),
+        F.count_if((kind == CITY) & F.col("city").isNotNull()).alias("city_cnt"),
+        F.count_if((kind == STATE) & F.col("state").isNotNull()).alias("state_cnt"),
     ]
 
 
@@ -335,7 +338,7 @@ def _assembled() -> list[Column]:
         F.col("state").alias("geolocation_state"),
         joined_label("city", "state").alias("geolocation_city_state"),
         "row_cnt",
-        F.coalesce("mode_cnt", F.lit(0)).cast("int").alias("mode_cnt"),
+        F.coalesce("mode_cnt", F.lit(0)).alias("mode_cnt"),
         percent(F.coalesce("mode_cnt", F.lit(0)), F.col("row_cnt")).alias("mode_ratio_pct"),
         "invalid_latlng_cnt",
         "city_cnt",
@@ -363,10 +366,10 @@ def stg_geolocation(raw_geolocation: DataFrame, collation: str | None = None) ->
     if collation is not None:
         folded = points.withColumns({c: F.collate(c, collation) for c in ("city", "state")})
         counts = folded.groupBy("zip_prefix").agg(
-            F.count(F.lit(1)).cast("int").alias("row_cnt"),
-            F.count_if(F.col("is_valid") == 0).cast("int").alias("invalid_latlng_cnt"),
-            F.count_distinct("city").cast("int").alias("city_cnt"),
-            F.count_distinct("state").cast("int").alias("state_cnt"),
+            F.count(F.lit(1)).alias("row_cnt"),
+            F.count_if(F.col("is_valid") == 0).alias("invalid_latlng_cnt"),
+            F.count_distinct("city").alias("city_cnt"),
+            F.count_distinct("state").alias("state_cnt"),
         )
         return geo_assemble(counts, geo_point_mode(points), geo_place_mode(points, collation))
     kind = F.col("kind")

@@ -11,8 +11,10 @@ from collections.abc import Callable, Mapping, Sequence
 from functools import cached_property
 
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 
 from tradewinds.plans import analysis, marts, staging
+from tradewinds.sources.schemas import TABLE_SCHEMAS
 from tradewinds.sources.sinks import overwrite_table
 
 LAYERS: dict[str, tuple[str, ...]] = {
@@ -60,10 +62,13 @@ class Warehouse:
     def table(self, name: str) -> DataFrame:
         return getattr(self, name)
 
-    def _keep(self, layer: str, name: str, df: DataFrame, cluster_by: Sequence[str] = ()) -> DataFrame:
+    def _keep(
+        self, layer: str, name: str, df: DataFrame, partition_by: Sequence[str] = (), cluster_by: Sequence[str] = ()
+    ) -> DataFrame:
         if self._storage is None:
             return df
-        return overwrite_table(df, f"{self._storage}/{layer}/{name}", cluster_by=cluster_by)
+        schema = T.StructType(TABLE_SCHEMAS[name].fields + [df.schema[c] for c in partition_by])
+        return overwrite_table(df, f"{self._storage}/{layer}/{name}", schema, partition_by, cluster_by)
 
     # staging
 
@@ -123,20 +128,32 @@ class Warehouse:
         return self._keep("dm", "dim_seller", marts.dim_seller(self.stg_sellers))
 
     @cached_property
-    def fact_order_items(self) -> DataFrame:
+    def fact_order_items_by_month(self) -> DataFrame:
         items = marts.fact_order_items(self.stg_order_items, self.stg_orders, self.stg_customers, self.stg_sellers)
-        return self._keep("dm", "fact_order_items", items, ["order_purchase_date_key"])
+        return self._by_month("fact_order_items", items)
+
+    @cached_property
+    def fact_orders_by_month(self) -> DataFrame:
+        return self._by_month("fact_orders", marts.fact_orders(self.stg_orders, self.stg_customers))
+
+    def _by_month(self, name: str, fact: DataFrame) -> DataFrame:
+        """The fact with the month label of its purchase, by which its files are kept apart."""
+        dated = marts.with_month(fact, "order_purchase_date_key")
+        return self._keep("dm", name, dated, ["year_month"], ["order_purchase_date_key"])
+
+    @cached_property
+    def fact_order_items(self) -> DataFrame:
+        return self.fact_order_items_by_month.drop("year_month")
 
     @cached_property
     def fact_orders(self) -> DataFrame:
-        orders = marts.fact_orders(self.stg_orders, self.stg_customers)
-        return self._keep("dm", "fact_orders", orders, ["order_purchase_date_key"])
+        return self.fact_orders_by_month.drop("year_month")
 
     # views over the star schema, never stored
 
     @cached_property
     def vw_delivered_orders(self) -> DataFrame:
-        return marts.vw_delivered_orders(self.fact_orders)
+        return marts.vw_delivered_orders(self.fact_orders_by_month)
 
     @cached_property
     def vw_delivered_order_items(self) -> DataFrame:
@@ -150,9 +167,8 @@ class Warehouse:
 
     @cached_property
     def base_customer_monthly_purchase(self) -> DataFrame:
-        # a plan down to the raw tables needs no item fact: its lookups would change no total
-        items = self.stg_order_items if self._storage is None else self.fact_order_items
-        base = analysis.base_customer_monthly_purchase(self.vw_delivered_orders, items, self.dim_customer)
+        # the item fact, stored or not: repeated order or customer rows repeat items there
+        base = analysis.base_customer_monthly_purchase(self.vw_delivered_orders, self.fact_order_items, self.dim_customer)
         return self._keep("am", "base_customer_monthly_purchase", base)
 
     @cached_property
@@ -177,6 +193,9 @@ def over_layers(stored: Warehouse, *layers: str) -> Warehouse:
     for layer in layers:
         for name in LAYERS[layer]:
             lazy.__dict__[name] = stored.table(name)
+    if "dm" in layers:
+        for name in ("fact_orders_by_month", "fact_order_items_by_month"):
+            lazy.__dict__[name] = stored.table(name)
     return lazy
 
 

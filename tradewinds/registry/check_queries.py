@@ -10,6 +10,7 @@ from tradewinds.functions.ratios import MONEY_TYPE
 from tradewinds.operators import quality as qc
 from tradewinds.plans import analysis, kpis, marts, quality_suite, staging
 from tradewinds.registry.base import Context, query
+from tradewinds.sources.schemas import columns_of
 
 # --- keys -------------------------------------------------------------------------------------
 
@@ -123,8 +124,19 @@ def _numeric_profile(c: Context) -> DataFrame:
 
 @query("numeric_profile_products")
 def _numeric_profile_products(c: Context) -> DataFrame:
-    measures = ["name_length", "description_length", "photos_qty", "weight_g", "length_cm", "height_cm", "width_cm"]
-    return qc.numeric_profile(c.stg_products, [f"product_{m}" for m in [*measures, "volume_cm3"]])
+    return qc.numeric_profile(
+        c.stg_products,
+        [
+            "product_name_length",
+            "product_description_length",
+            "product_photos_qty",
+            "product_weight_g",
+            "product_length_cm",
+            "product_height_cm",
+            "product_width_cm",
+            "product_volume_cm3",
+        ],
+    )
 
 
 @query("numeric_profile_payments")
@@ -220,6 +232,13 @@ def _mode_confidence(c: Context) -> DataFrame:
     return qc.mode_confidence(points, "zip_prefix", ["lat", "lng"], F.col("is_valid") == 1)
 
 
+@query("mode_confidence_low")
+def _mode_confidence_low(c: Context) -> DataFrame:
+    """Zips whose most frequent point holds less than a twentieth of their rows."""
+    columns = ["geolocation_zip_code_prefix", "row_cnt", "mode_cnt", "mode_ratio_pct"]
+    return qc.row_filter_listing(c.stg_geolocation, F.col("mode_ratio_pct") < 5, columns)
+
+
 @query("mode_confidence_summary")
 def _mode_confidence_summary(c: Context) -> DataFrame:
     return qc.mode_confidence_summary(c.stg_geolocation, "mode_ratio_pct", 5)
@@ -286,6 +305,35 @@ def _flag_rule_consistency(c: Context) -> DataFrame:
     )
 
 
+@query("flag_rule_consistency_products")
+def _flag_rule_consistency_products(c: Context) -> DataFrame:
+    return qc.flag_rule_consistency(
+        c.dim_product,
+        {
+            "category_blank": ("is_category_blank", F.col("product_category_name").isNull()),
+            "category_unmapped": (
+                "is_category_en_unmapped",
+                F.col("product_category_name").isNotNull() & F.col("product_category_name_en").isNull(),
+            ),
+            "weight_zero": ("is_weight_zero", F.col("product_weight_g") == 0),
+            "weight_known": ("is_weight_zero", F.col("product_weight_g").isNotNull()),
+        },
+    )
+
+
+@query("flag_agreement_reviews")
+def _flag_agreement_reviews(c: Context) -> DataFrame:
+    """Blank flags of the reviews against the cleaned text."""
+    return qc.flag_rule_consistency(
+        c.stg_order_reviews,
+        {
+            "title_blank": ("is_title_blank", F.col("review_comment_title").isNull()),
+            "message_blank": ("is_message_blank", F.col("review_comment_message").isNull()),
+            "title_blank_as_message": ("is_title_blank", F.col("review_comment_message").isNull()),
+        },
+    )
+
+
 @query("flag_rule_consistency_calendar")
 def _flag_rule_consistency_calendar(c: Context) -> DataFrame:
     day = F.col("date")
@@ -416,17 +464,69 @@ def _view_vs_source_gap(c: Context) -> DataFrame:
 @query("grand_total_reconcile")
 def _grand_total_reconcile(c: Context) -> DataFrame:
     core, base, items = c.kpi_monthly_core, c.base_customer_monthly_purchase, c.vw_delivered_order_items
-    cohorts, everything = c.cohort_monthly_core, c.fact_orders
+    cohorts = c.cohort_monthly_core
     return qc.grand_total_reconcile(
         {
             "revenue: items vs months": ((items, F.sum("item_total_value")), (core, F.sum("gross_revenue"))),
             "revenue: persons vs cohorts": ((base, F.sum("gross_revenue")), (cohorts, F.sum("cohort_gross_revenue"))),
             "orders: persons vs cohorts": ((base, F.sum("order_cnt")), (cohorts, F.sum("cohort_order_cnt"))),
-            "orders: all vs delivered": ((everything, F.count(F.lit(1))), (core, F.sum("order_cnt"))),
         }
     )
 
 
+@query("grand_total_reconcile_gap")
+def _grand_total_reconcile_gap(c: Context) -> DataFrame:
+    """All orders against delivered ones: differs."""
+    orders, core = c.fact_orders, c.kpi_monthly_core
+    return qc.grand_total_reconcile({"orders: all vs delivered": ((orders, F.count(F.lit(1))), (core, F.sum("order_cnt")))})
+
+
+@query("row_count_reconcile_star")
+def _row_count_reconcile_star(c: Context) -> DataFrame:
+    """Staging against the star schema, and a lookup that must not change the number of rows."""
+    items_with_order = c.stg_order_items.join(c.stg_orders.select("order_id"), "order_id")
+    return qc.row_count_reconcile(
+        {
+            "customers": (c.stg_customers, c.dim_customer),
+            "products": (c.stg_products, c.dim_product),
+            "sellers": (c.stg_sellers, c.dim_seller),
+            "geolocation": (c.stg_geolocation, c.dim_geolocation),
+            "orders": (c.stg_orders, c.fact_orders),
+            "order_items": (c.stg_order_items, c.fact_order_items),
+            "order_items with an order": (items_with_order, c.fact_order_items),
+        }
+    )
+
+
+@query("view_vs_source_person_month")
+def _view_vs_source_person_month(c: Context) -> DataFrame:
+    """Orders, items and revenue of persons and months, recomputed from the views of delivered orders and items."""
+    keys, measures = ["customer_unique_id", "year_month"], ["order_cnt", "item_cnt", "gross_revenue"]
+    orders = analysis.base_orders(c.vw_delivered_orders, c.dim_customer)
+    source = orders.join(analysis.base_items(c.vw_delivered_order_items, c.dim_customer), keys)
+    return qc.view_vs_source(c.base_customer_monthly_purchase, source, keys, measures)
+
+
+@query("view_vs_source_person_month_gap")
+def _view_vs_source_person_month_gap(c: Context) -> DataFrame:
+    """Orders against items of persons and months: differs where an order has several items."""
+    keys = ["customer_unique_id", "year_month"]
+    items = analysis.base_items(c.vw_delivered_order_items, c.dim_customer)
+    return qc.view_vs_source(c.base_customer_monthly_purchase, items.select(*keys, F.col("item_cnt").alias("order_cnt")), keys, ["order_cnt"])
+
+
+for _name, _dim, _stg, _key in (
+    ("copy_mismatch_geolocation", "dim_geolocation", "stg_geolocation", "geolocation_zip_code_prefix"),
+    ("copy_mismatch_product", "dim_product", "stg_products", "product_id"),
+    ("copy_mismatch_seller", "dim_seller", "stg_sellers", "seller_id"),
+):
+    query(_name)(
+        lambda c, _dim=_dim, _stg=_stg, _key=_key: qc.copy_mismatch(
+            c.table(_dim), c.table(_stg), _key, [x for x in columns_of(_dim) if x != _key]
+        )
+    )
+
+
 # --- KPI and cohort invariants ------------------------------------------------------------------------------
 
 
@@ -449,9 +549,20 @@ def _kpi_range_report_cancellation(c: Context) -> DataFrame:
 
 @query("kpi_range_report_cohorts")
 def _kpi_range_report_cohorts(c: Context) -> DataFrame:
-    cohort = ["size", "active_buyers", "order_cnt", "gross_revenue", "retention_rate", "aov"]
-    columns = ["month_n", *[f"cohort_{x}" for x in cohort], "cum_gross_revenue", "cum_order_cnt"]
-    return qc.kpi_range_report(c.cohort_monthly_core, columns)
+    return qc.kpi_range_report(
+        c.cohort_monthly_core,
+        [
+            "month_n",
+            "cohort_size",
+            "cohort_active_buyers",
+            "cohort_order_cnt",
+            "cohort_gross_revenue",
+            "cohort_retention_rate",
+            "cohort_aov",
+            "cum_gross_revenue",
+            "cum_order_cnt",
+        ],
+    )
 
 
 @query("month_axis_completeness")
@@ -534,6 +645,13 @@ def _month0_invariants(c: Context) -> DataFrame:
     return qc.month0_invariants(c.cohort_monthly_core)
 
 
+@query("month0_invariants_gap")
+def _month0_invariants_gap(c: Context) -> DataFrame:
+    """Rows one month late: every cohort breaks the rules of its first month."""
+    late = c.cohort_monthly_core.withColumn("month_n", F.col("month_n") - 1)
+    return qc.month0_invariants(late)
+
+
 @query("last_cumulative_equals_total")
 def _last_cumulative_equals_total(c: Context) -> DataFrame:
     return qc.last_cumulative_equals_total(

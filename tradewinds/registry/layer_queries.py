@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -11,7 +9,9 @@ from pyspark.sql import types as T
 from tradewinds import functions as fx
 from tradewinds.operators.aggregates import conditional_distinct
 from tradewinds.operators.calendar import date_bounds, dense_months, generate_calendar
+from tradewinds.operators.quality.keys import union_all
 from tradewinds.plans import analysis, kpis, marts, staging
+from tradewinds.plans.warehouse import LAYERS
 from tradewinds.registry.base import Context, query
 from tradewinds.sources import driver_tables, sinks
 from tradewinds.sources.csv import blank_numeric_to_null, load_raw_table, write_csv_table
@@ -20,7 +20,7 @@ from tradewinds.sources.csv import blank_numeric_to_null, load_raw_table, write_
 
 
 def _scratch(c: Context, name: str) -> str:
-    return f"{sinks.shared_folder(c.spark)}/scratch/{name}-{uuid.uuid4().hex}"
+    return sinks.scratch_folder(c.spark, name)
 
 
 def _csv_round_trip(name: str):
@@ -55,6 +55,13 @@ def _overwrite_table(c: Context) -> DataFrame:
     return sinks.overwrite_table(c.stg_order_payments, _scratch(c, "stg_order_payments"))
 
 
+@query("fact_orders_of_month")
+def _fact_orders_of_month(c: Context) -> DataFrame:
+    """One month of the fact as stored by month: other months' files are not opened."""
+    stored = sinks.overwrite_table(c.fact_orders_by_month, _scratch(c, "fact_orders"), partition_by=["year_month"])
+    return stored.filter("year_month = '1995-03'").drop("year_month")
+
+
 @query("register_view")
 def _register_view(c: Context) -> DataFrame:
     sinks.register_view(c.vw_delivered_orders, "vw_delivered_orders")
@@ -66,8 +73,7 @@ def _register_view(c: Context) -> DataFrame:
 @query("row_count_report")
 def _row_count_report(c: Context) -> DataFrame:
     raw = {name: c.raw(name) for name in driver_tables.ADAPTERS}
-    stg = {n: c.table(n) for n in ("stg_orders", "stg_customers", "stg_order_items", "stg_geolocation", "dim_date")}
-    return sinks.row_count_report({**raw, **stg})
+    return sinks.row_count_report({**raw, **{n: c.table(n) for tables in LAYERS.values() for n in tables}})
 
 
 @query("sample_rows")
@@ -82,6 +88,18 @@ def _schema_report(c: Context) -> DataFrame:
     return sinks.schema_report(c.stg_products)
 
 
+@query("schema_report_all")
+def _schema_report_all(c: Context) -> DataFrame:
+    """Every column of every table of the layers."""
+    return union_all(
+        [
+            sinks.schema_report(c.table(name)).select(F.lit(name).alias("table_name"), "ordinal", "column_name", "data_type", "present_cnt")
+            for tables in LAYERS.values()
+            for name in tables
+        ]
+    )
+
+
 # --- staging -------------------------------------------------------------------------------------
 
 for _name in (
