@@ -279,6 +279,15 @@ def test_recall_of_nearest_neighbours(spark):
     assert hits >= 0.9 * 10 * len(got) and len(got) == (ids % 100 == 0).sum()
 
 
+def test_shares_of_leaves_change_nothing(make, monkeypatch):
+    draw = np.random.default_rng(11)
+    table = make([(i, draw.normal(size=4).tolist()) for i in range(400)], "vec_id long, embedding array<double>")
+    whole = sorted(map(tuple, neighbours.nearest_neighbours(table, F.col("vec_id") % 4 == 0).collect()))
+    monkeypatch.setattr(neighbours, "BLOCK", 7)
+    monkeypatch.setattr(neighbours, "PART", 5)
+    assert sorted(map(tuple, neighbours.nearest_neighbours(table, F.col("vec_id") % 4 == 0).collect())) == whole
+
+
 def test_neighbours_of_odd_vectors(make):
     rows = [(i, [1.0, 0.0]) for i in range(0, 40)] + [(40, [0.0, 1.0]), (41, None), (42, [0.0, 0.0]), (43, [float("nan"), 1.0])]
     rows += [(44, [float("inf"), 1.0]), (45, [None, 1.0]), (46, [1.0]), (None, [1.0, 0.0]), (0, [1.0, 0.0])]

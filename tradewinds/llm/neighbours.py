@@ -7,7 +7,7 @@ The number of leaves to visit is widened on sample queries, compared with all sa
 reached; as the whole table is denser than the sample, its neighbours are nearer and the recall higher.
 
 Equal vectors are filed once with the smallest ids that can be among the nearest. A leaf with many vectors is dealt
-out in blocks.
+out in blocks, and the queries that visit a leaf in parts, so a task holds a bounded number of both.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ from tradewinds.llm.components import checkpointed
 
 SAMPLE, BRANCHES, LEAF = 20_000, 8, 64
 RECALL, TRIED = 0.97, 200
-BLOCK = 4096  # distinct vectors of a leaf that are searched together
+BLOCK, PART = 4096, 20_000  # distinct vectors of a leaf and queries that a task holds
 
 
 class Tree(NamedTuple):
@@ -145,8 +145,7 @@ def _walking(tree: Tree, most: int):
                 found = [visits(tree, q, most) for q in _matrix(batch.column("_v"))]
                 row = np.repeat(np.arange(len(found)), [len(f) for f in found])
                 yield pa.RecordBatch.from_arrays(
-                    [*[c.take(pa.array(row)) for c in batch.columns], pa.array(np.concatenate(found), pa.int32())],
-                    names=[*batch.schema.names, "_leaf"],
+                    [batch.column("_q").take(pa.array(row)), pa.array(np.concatenate(found), pa.int32())], names=["_q", "_leaf"]
                 )
 
     return run
@@ -171,6 +170,14 @@ def _searching(k: int):
     return run
 
 
+def _shares(rows: DataFrame, most: int) -> Column:
+    """Into how many shares of about ``most`` the rows of each leaf are to be dealt. Collects as many rows as leaves."""
+    large = {r[0]: -(-r[1] // most) for r in rows.groupBy("_leaf").count().filter(F.col("count") > most).collect()}
+    if not large:
+        return F.lit(1)
+    return F.coalesce(F.create_map(*[F.lit(x) for pair in large.items() for x in pair])[F.col("_leaf")], F.lit(1))
+
+
 def nearest_neighbours(
     vectors: DataFrame, is_query: Column, k: int = 10, vec_id: str = "vec_id", embedding: str = "embedding"
 ) -> DataFrame:
@@ -209,22 +216,22 @@ def nearest_neighbours(
         sample = np.array([distinct.first()["_v"]], dtype=np.float64)
     tree = build_tree(sample)
     most = calibrate(tree, sample, k)
-    shared = tree
-    filed = checkpointed(distinct.mapInArrow(_filing(shared), "_v array<double>, _ids array<long>, _leaf int"))
-    # as many rows as the tree has leaves at most
-    sizes = {r[0]: r[1] for r in filed.groupBy("_leaf").count().filter(F.col("count") > BLOCK).collect()}
-    if sizes:
-        blocks = F.coalesce(F.create_map(*[F.lit(x) for leaf, n in sizes.items() for x in (leaf, -(-n // BLOCK))])[F.col("_leaf")], F.lit(1))
-    else:
-        blocks = F.lit(1)
+    filed = checkpointed(distinct.mapInArrow(_filing(tree), "_v array<double>, _ids array<long>, _leaf int"))
     asking = checkpointed(rows.filter("_asks").select("_id", "_v").distinct())
     questions = checkpointed(asking.groupBy("_v").agg(F.min("_id").alias("_q")))
-    walked = questions.select("_q", "_v").mapInArrow(_walking(shared, most), "_q long, _v array<double>, _leaf int")
-    asked = walked.withColumn("_block", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    filed = filed.withColumn("_block", F.pmod(F.xxhash64(F.col("_ids")[0]), blocks).cast("int"))
+    walked = checkpointed(questions.select("_q", "_v").mapInArrow(_walking(tree, most), "_q long, _leaf int"))
+    blocks, parts = _shares(filed, BLOCK), _shares(walked, PART)
+    asked = (
+        walked.withColumn("_part", F.pmod(F.xxhash64("_q"), parts).cast("int"))
+        .withColumn("_block", F.explode(F.sequence(F.lit(0), blocks - 1)))
+        .join(questions, "_q")
+    )
+    filed = filed.withColumn("_block", F.pmod(F.xxhash64(F.col("_ids")[0]), blocks).cast("int")).withColumn(
+        "_part", F.explode(F.sequence(F.lit(0), parts - 1))
+    )
     found = (
-        filed.groupBy("_leaf", "_block")
-        .cogroup(asked.groupBy("_leaf", "_block"))
+        filed.groupBy("_leaf", "_block", "_part")
+        .cogroup(asked.groupBy("_leaf", "_block", "_part"))
         .applyInArrow(_searching(k + 1), "_q long, _ids array<long>, _scores array<double>")
         .select("_q", F.explode(F.arrays_zip("_ids", "_scores")).alias("_f"))
         .select("_q", F.col("_f._ids").alias("_near"), F.col("_f._scores").alias("_score"))
