@@ -34,7 +34,9 @@ WHERE o_orderkey % 1000 <> 7 AND (part_no = 1 OR o_orderkey % 20 = 0)""",
 SELECT 'r' || CAST(o_orderkey AS VARCHAR) AS review_id, CAST(o_orderkey AS VARCHAR) AS order_id,
        CAST(o_orderkey % 5 + 1 AS INTEGER) AS review_score,
        CASE WHEN o_orderkey % 3 = 0 THEN ' title' ELSE ' ' END AS review_comment_title,
-       CASE WHEN o_orderkey % 2 = 0 THEN o_orderpriority || chr(13) ELSE '' END AS review_comment_message,
+       CASE WHEN o_orderkey % 4 = 0
+              THEN o_orderpriority || ', "quick"' || chr(10) || 'and "", well,' || chr(10) || chr(10) || 'packed' || chr(13)
+            WHEN o_orderkey % 2 = 0 THEN o_orderpriority || chr(13) ELSE '' END AS review_comment_message,
        CAST(CASE WHEN o_orderkey % 40 = 0 THEN o_orderdate - INTERVAL 1 DAY ELSE o_orderdate + INTERVAL 12 DAY END AS VARCHAR)
          AS review_creation_date,
        CAST(o_orderdate + INTERVAL 15 DAY AS VARCHAR) AS review_answer_timestamp

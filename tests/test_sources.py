@@ -39,6 +39,24 @@ def test_multiline_reviews(spark, tmp_path):
     assert rows[1]["review_score"] is None and rows[1]["review_comment_title"] == ""
 
 
+def test_corrupt_rows_are_counted(spark, tmp_path):
+    path = tmp_path / "sellers.csv"
+    path.write_text("a,b,c,d\ns1,00001,city,SP\ns2,00002\ns3,00003,city,SP,more\n")
+    assert tuple(csv.corrupt_rows(spark, "sellers", str(path)).first()) == ("sellers", 3, 2)
+    path = tmp_path / "reviews.csv"
+    path.write_text('review_id,o,s,t,m,c,a\nr1,o1,5,t,"two\nlines",x,y\nr2,o2\n')
+    assert tuple(csv.corrupt_rows(spark, "order_reviews", str(path)).first()) == ("order_reviews", 2, 1)
+
+
+def test_a_large_file_with_line_breaks_is_refused(spark, tmp_path, monkeypatch):
+    path = tmp_path / "reviews.csv"
+    path.write_text("review_id,o,s,t,m,c,a\nr1,o1,5,t,m,x,y\n")
+    assert csv.load_raw_table(spark, "order_reviews", str(tmp_path)).count() == 1
+    monkeypatch.setattr(csv, "MULTILINE_FILE_BYTES", 10)
+    with pytest.raises(ValueError, match="split it"):
+        csv.load_raw_table(spark, "order_reviews", str(path))
+
+
 def test_csv_round_trip_of_awkward_text(spark, tmp_path):
     schema = RAW_SCHEMAS["category_translation"]
     values = [(' lead and trail ', 'a,b'), ('he said "x"', ""), ("c\r", "tab\t"), ("", "é")]

@@ -8,6 +8,8 @@ from pyspark.sql import types as T
 
 from tradewinds.sources.schemas import MULTILINE_TABLES, RAW_SCHEMAS
 
+MULTILINE_FILE_BYTES = 1 << 30
+
 
 def _as_text(schema: T.StructType) -> T.StructType:
     return T.StructType([T.StructField(f.name, T.StringType(), True) for f in schema.fields])
@@ -37,14 +39,49 @@ def load_csv_raw(spark: SparkSession, path: str | list[str], schema: T.StructTyp
 def load_csv_multiline(spark: SparkSession, path: str | list[str], schema: T.StructType, **options: str) -> DataFrame:
     """As ``load_csv_raw`` for text holding commas, doubled quotes and line breaks inside quotes.
 
-    Such a file cannot be split, so a file is one task: give a large table as a folder of files.
+    Such a file cannot be split, so a file is one task: give a large table as a folder of files. A single file of more
+    than ``MULTILINE_FILE_BYTES`` is refused rather than left to one task.
     """
+    for name, size in _file_sizes(spark, path):
+        if size > MULTILINE_FILE_BYTES:
+            raise ValueError(f"{name} has {size} bytes; a file with quoted line breaks may have {MULTILINE_FILE_BYTES}: split it")
     reader = spark.read.schema(_as_text(schema)).options(
         header=True, sep=",", quote='"', escape='"', multiLine=True, encoding="UTF-8", mode="PERMISSIVE"
     )
     return _finish(reader.options(**options).csv(path), schema)
 
 
+def _file_sizes(spark: SparkSession, path: str | list[str]) -> list[tuple[str, int]]:
+    context, found = spark.sparkContext, []
+    for pattern in [path] if isinstance(path, str) else path:
+        where = context._jvm.org.apache.hadoop.fs.Path(pattern)
+        files = where.getFileSystem(context._jsc.hadoopConfiguration())
+        for start in files.globStatus(where) or []:
+            listed = files.listFiles(start.getPath(), True)
+            while listed.hasNext():
+                status = listed.next()
+                found.append((status.getPath().toString(), status.getLen()))
+    return found
+
+
+CORRUPT = "_corrupt_record"
+
+
+def corrupt_rows(spark: SparkSession, name: str, path: str | list[str]) -> DataFrame:
+    """(table_name, row_cnt, corrupt_cnt): rows whose number of fields is not that of the table.
+
+    The loaders cut extra fields and fill missing ones; this says how often.
+    """
+    schema = T.StructType([*_as_text(RAW_SCHEMAS[name]).fields, T.StructField(CORRUPT, T.StringType(), True)])
+    lines = {"multiLine": "true"} if name in MULTILINE_TABLES else {"lineSep": "\n"}
+    read = spark.read.schema(schema).options(
+        header=True, sep=",", quote='"', escape='"', encoding="UTF-8", mode="PERMISSIVE", columnNameOfCorruptRecord=CORRUPT, **lines
+    )
+    # a row is only parsed as far as its columns are asked for, so all of them are
+    parsed = F.count_if(F.length(F.concat_ws("", *schema.names[:-1])) >= 0).alias("row_cnt")
+    return read.csv(path).agg(parsed, F.count(CORRUPT).alias("corrupt_cnt")).select(F.lit(name).alias("table_name"), "row_cnt", "corrupt_cnt")
+
+
 def load_raw_table(spark: SparkSession, name: str, path: str | list[str]) -> DataFrame:
     """Load one of the nine raw tables (see ``RAW_SCHEMAS``) from CSV files or folders."""
     load = load_csv_multiline if name in MULTILINE_TABLES else load_csv_raw

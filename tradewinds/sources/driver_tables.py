@@ -2,7 +2,8 @@
 
 Defects are planted on purpose so that the cleaning and quality operators have work to do:
 case noise, carriage returns, blanks, unparseable times, zero values, missing payments, a
-coverage gap, out-of-range latitudes, several states per zip, reviews before the purchase.
+coverage gap, out-of-range latitudes, several states per zip, reviews before the purchase, reviews with commas, quotes
+and line breaks.
 """
 
 from __future__ import annotations
@@ -104,7 +105,8 @@ def order_reviews(t) -> DataFrame:
         _text("o_orderkey").alias("order_id"),
         (F.col("o_orderkey") % 5 + 1).cast("int").alias("review_score"),
         F.when(_every("o_orderkey", 3), " title").otherwise(" ").alias("review_comment_title"),
-        F.when(_every("o_orderkey", 2), F.concat("o_orderpriority", F.lit(CR)))
+        F.when(_every("o_orderkey", 4), F.concat("o_orderpriority", F.lit(', "quick"\nand "", well,\n\npacked' + CR)))
+        .when(_every("o_orderkey", 2), F.concat("o_orderpriority", F.lit(CR)))
         .otherwise("")
         .alias("review_comment_message"),
         _text(written).alias("review_creation_date"),
