@@ -44,8 +44,10 @@ _NO_NAME = frozenset(
     "ad ads adbox advert adverts advertisement advertising sponsor sponsored promo promotion banner nav navbar navigation menu "
     "submenu breadcrumb breadcrumbs sidebar footer masthead comment comments commentlist disqus respond replies reply "
     "cookie cookies consent gdpr notice notices notification newsletter subscribe subscription signup social share sharing "
-    "related recommended recommendations widget popup modal overlay toolbar pagination pager login search skip toc".split()
+    "related recommended recommendations widget popup modal overlay toolbar pagination pager login search skip toc "
+    "discussion usercomments topbar rail adsense alert toast cookiebar cookiebanner".split()
 )
+_LAYOUT = frozenset("has with without no".split())  # "has-sidebar" is no sidebar
 _GOOD_NAME = frozenset("article articlebody content main post entry story text body blog".split())
 _PARAGRAPH = frozenset("p pre td blockquote li dd div section article main figcaption".split())
 _CLOSES_P = frozenset(
@@ -130,8 +132,9 @@ class Page:
             hidden = "hidden" in given or given.get("aria-hidden") == "true" or "display:none" in style or "visibility:hidden" in style
         if tag in ("html", "body"):
             return names, False
-        heading = not self._articles and (tag == "header" or "header" in names)
-        return names, hidden or heading or tag in _NEVER or role in _NO_ROLE or bool(names & _NO_NAME)
+        heading = not self._articles and (tag == "header" or ("header" in names and not names & _GOOD_NAME))
+        named = bool(names & _NO_NAME) and not names & _LAYOUT
+        return names, hidden or heading or named or tag in _NEVER or role in _NO_ROLE
 
     def _end_implied(self, tags: tuple[str, ...], scope: frozenset[str]) -> None:
         if not any(self._opened[t] for t in tags):
