@@ -33,7 +33,7 @@ _UNIT = re.compile(rb"[\x09-\x0d\x20]*[^\x09-\x0d\x20]+|[\x09-\x0d\x20]+\Z")
 _WHITE = frozenset(b"\x09\x0a\x0b\x0c\x0d\x20")
 _MARKS = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 _PLAIN = frozenset(b"0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz")
-_REMEMBERED = 200_000  # fragments of a generation that a worker remembers; it keeps the last two
+_REMEMBERED = 80_000  # fragments of a generation that a worker remembers; it keeps the last two
 _SHORT = 32  # bytes of a fragment up to which no further cut is looked for
 _TOGETHER = 64  # bytes of a piece up to which it is encoded together with others
 _SLOT_BITS = 20
