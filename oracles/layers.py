@@ -1,6 +1,6 @@
 """Oracle SELECTs for sources, sinks, staging, star schema, KPIs and cohorts."""
 
-from oracles.sqltext import clean, flag, n, ratio, ts, union
+from oracles.sqltext import clean, flag, n, pct, ratio, ts, union
 from oracles.tables.analysis import CANCEL_COUNTS, CANCEL_RATES, MONEY, MONTHS_BETWEEN
 from oracles.tables.marts import DATE_KEY
 from tradewinds.sources.schemas import TABLE_SCHEMAS
@@ -194,6 +194,23 @@ SELECT zip_prefix, city, state, place_cnt FROM (
          row_number() OVER (PARTITION BY zip_prefix ORDER BY count(*) DESC, min(city), min(state)) AS place
   FROM (SELECT geolocation_zip_code_prefix AS zip_prefix, replace(geolocation_city, chr(13), '') AS city, geolocation_state AS state
         FROM raw_geolocation) AS g GROUP BY zip_prefix, lower(city), lower(state)) AS r WHERE place = 1""",
+    "stg_geolocation_collated": f"""
+SELECT * FROM (
+  SELECT zip_prefix AS geolocation_zip_code_prefix, lat AS geolocation_lat, lng AS geolocation_lng,
+         city AS geolocation_city, state AS geolocation_state, city || '_' || state AS geolocation_city_state,
+         row_cnt, coalesce(mode_cnt, 0) AS mode_cnt, {pct("coalesce(mode_cnt, 0)", "row_cnt")} AS mode_ratio_pct,
+         invalid_latlng_cnt, city_cnt, state_cnt, {flag("invalid_latlng_cnt > 0")} AS is_invalid_latlng_exists,
+         {flag("city_cnt > 1")} AS is_multi_city, {flag("state_cnt > 1")} AS is_multi_state
+  FROM (
+    SELECT zip_prefix, count(*) AS row_cnt, count(*) FILTER (WHERE is_valid = 0) AS invalid_latlng_cnt,
+           count(DISTINCT strip_accents(lower(city))) AS city_cnt, count(DISTINCT strip_accents(lower(state))) AS state_cnt
+    FROM accented GROUP BY zip_prefix) AS counts
+  LEFT JOIN point_mode USING (zip_prefix)
+  LEFT JOIN (
+    SELECT zip_prefix, min(city) AS city, min(state) AS state,
+           row_number() OVER (PARTITION BY zip_prefix ORDER BY count(*) DESC, min(city), min(state)) AS place
+    FROM accented GROUP BY zip_prefix, strip_accents(lower(city)), strip_accents(lower(state))) AS places USING (zip_prefix)
+  WHERE place = 1) AS t""",
     "geo_assemble": _copy("stg_geolocation"),
     # star schema
     "dim_date": _copy("dim_date"),

@@ -82,6 +82,8 @@ SELECT * FROM (
          {clean("geolocation_city", "lower")} AS city, {clean("geolocation_state", "upper")} AS state,
          {flag("geolocation_lat BETWEEN -35 AND 6 AND geolocation_lng BETWEEN -75 AND -30")} AS is_valid
   FROM raw_geolocation) AS p WHERE zip_prefix <> ''""",
+    "accented": """
+SELECT * REPLACE (CASE WHEN lat > -16 THEN translate(city, 'aei', 'áéí') ELSE city END AS city) FROM geo_points""",
     "geo_counts": """
 SELECT zip_prefix, count(*) AS row_cnt, count(*) FILTER (WHERE is_valid = 0) AS invalid_latlng_cnt,
        count(DISTINCT city) AS city_cnt, count(DISTINCT state) AS state_cnt

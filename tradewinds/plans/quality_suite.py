@@ -37,6 +37,7 @@ FLAG_TABLES = ["stg_orders", "stg_products", "stg_order_payments", "stg_order_re
 
 PAYMENT_TYPES = ["credit_card", "boleto", "voucher", "debit_card", "not_defined"]
 
+# The names of these rules and of the domain rules below are those that users of the report look up.
 # rule -> (child table, child key, parent table, parent key)
 REFERENCES: dict[str, tuple[str, str, str, str]] = {
     "orders.customer_id -> customers": ("stg_orders", "customer_id", "stg_customers", "customer_id"),

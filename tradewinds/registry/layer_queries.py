@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tradewinds import functions as fx
-from tradewinds.operators.aggregates import conditional_distinct
+from tradewinds.operators.aggregates import ACCENT_FREE, conditional_distinct
 from tradewinds.operators.calendar import date_bounds, dense_months, generate_calendar
 from tradewinds.operators.quality.keys import union_all
 from tradewinds.plans import analysis, kpis, marts, staging
@@ -215,6 +215,14 @@ def _mode_by_key_collated(c: Context) -> DataFrame:
     return staging.geo_place_mode(points, collation="UNICODE_CI_AI")
 
 
+@query("stg_geolocation_collated")
+def _stg_geolocation_collated(c: Context) -> DataFrame:
+    """The whole table as a database compares that is blind to case and accents; points in the north are spelled with accents."""
+    accented = F.translate("geolocation_city", "aAeEiI", "áÁéÉíÍ")
+    north = F.when(F.col("geolocation_lat") > -16, accented).otherwise(F.col("geolocation_city"))
+    return staging.stg_geolocation(c.raw("geolocation").withColumn("geolocation_city", north), collation=ACCENT_FREE)
+
+
 @query("geo_assemble")
 def _geo_assemble(c: Context) -> DataFrame:
     points = _points(c)
