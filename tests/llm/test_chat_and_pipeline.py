@@ -10,7 +10,7 @@ import corpus_pipeline
 from pyspark.sql import functions as F
 from tests.compare import differences, duck
 from tests.llm.test_text_operators import contaminated, near_groups, repeats
-from tradewinds.llm.chat_format import Parameter, link_tool_calls
+from tradewinds.llm.chat_format import SAY, Parameter, calls_of_conversations, link_tool_calls, with_messages
 from tradewinds.llm.queries import ORACLES, QUERIES
 
 FOLDER = "/root/testdata/sf0.001"
@@ -85,6 +85,21 @@ def test_canonical_json(make):
     assert link_tool_calls(make([], CALL), make([], RESULT), ADD).count() == 0
 
 
+def test_every_turn_has_its_row(make):
+    rows = [
+        (1, 0, "system", "Be brief"), (1, 1, "user", "a\nb"), (1, 1, "user", "other"), (1, 1, "user", "other"), (1, 2, "assistant", "x"),
+        (1, 2, "tool", "t"), (1, 3, "User", "c"), (1, 4, None, "d"), (1, None, "user", "e"), (1, 5, "user", None), (None, 6, "user", "f"),
+    ]
+    turns = make(rows, "conv_id long, turn long, role string, text string")
+    got = with_messages(turns, link_tool_calls(*calls_of_conversations(turns), SAY)).collect()
+    said = sorted((r.conv_id or "", r.turn, json.loads(r.json).get("role") or "", json.loads(r.json).get("content") or "") for r in got if r.kind == "message")
+    assert said == sorted((str(c or ""), -1 if t is None else t, r or "", x or "") for c, t, r, x in rows)
+    assert sorted(json.loads(r.json)["arguments"]["text"] for r in got if r.kind == "call") == ["a", "b", "other"]
+    assert [(r.kind, r.place) for r in sorted(got, key=lambda r: (r.conv_id or "", r.turn, r.place)) if (r.conv_id, r.turn) == ("1", 1)] == [
+        *(("message", p) for p in (1, 2, 3)), *(("call", p) for p in (4, 5, 6)),
+    ]
+
+
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query_equals_its_sql(spark, name):
     _, found = differences(QUERIES[name](spark, FOLDER), duck(FOLDER), ORACLES[name])

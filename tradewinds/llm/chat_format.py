@@ -179,20 +179,46 @@ def calls_of_conversations(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     Each line of a user's turn is a call of the tool ``say`` with the line, its number and its count of words; line k
     waits for line (k - 1) div 2, the first for the first of the user's turn two turns before, if there is one. Line k of
-    an assistant's turn is the result of line k of the turn before. Null texts have no lines.
+    an assistant's turn is the result of line k of the turn before. Null texts have no lines, and other roles have
+    neither calls nor results; ``with_messages`` adds those turns. Repeated rows count once. If one turn of a role is
+    given with different texts, the smallest has the plain ids and the ids of any other hold the MD5 sum of its text.
     """
-    lines = turns.filter("conv_id is not null and turn is not null").select(
-        F.col("conv_id").cast("string").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", F.posexplode(F.split("text", "\n")).alias("_k", "_line")
-    )
-    name = lambda turn, k: F.concat_ws("-", "conv_id", turn.cast("string"), k.cast("string"))
-    turn, k = F.col("turn"), F.col("_k")
+    turns = turns.filter("conv_id is not null and turn is not null and text is not null and role in ('user', 'assistant')").select(
+        F.col("conv_id").cast("string").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text"
+    ).distinct()
+    plain = turns.groupBy("conv_id", "turn", "role").agg(F.min("text").alias("_plain"))
+    given = turns.join(plain, ["conv_id", "turn", "role"]).withColumn("_mark", F.when(F.col("text") == F.col("_plain"), "").otherwise(F.concat(F.lit("~"), F.md5("text"))))
+    lines = given.select("conv_id", "turn", "role", "_mark", F.posexplode(F.split("text", "\n")).alias("_k", "_line"))
+    name = lambda turn, mark, k: F.concat_ws("-", "conv_id", F.concat(turn.cast("string"), mark), k.cast("string"))
+    turn, mark, k = F.col("turn"), F.col("_mark"), F.col("_k")
     asked = lines.filter("role = 'user'")
-    before = turns.filter("role = 'user'").select(F.col("conv_id").cast("string").alias("conv_id"), (F.col("turn") + 2).cast("long").alias("turn"), F.lit(True).alias("_before")).distinct()
-    waits = F.when(k > 0, F.array(name(turn, F.floor((k - 1) / 2)))).when(F.col("_before"), F.array(name(turn - 2, F.lit(0)))).otherwise(F.array().cast("array<string>"))
+    before = plain.filter("role = 'user'").select("conv_id", (F.col("turn") + 2).alias("turn"), F.lit(True).alias("_before"))
+    no_calls = F.array().cast("array<string>")
+    waits = F.when(k > 0, F.array(name(turn, mark, F.floor((k - 1) / 2)))).when(F.col("_before"), F.array(name(turn - 2, F.lit(""), F.lit(0)))).otherwise(no_calls)
     words = F.size(F.filter(F.split("_line", "[ \\t\\r]+"), lambda w: w != ""))
     arguments = F.to_json(F.struct(k.alias("line"), F.col("_line").alias("text"), words.alias("words")))
     calls = asked.join(before, ["conv_id", "turn"], "left").select(
-        "conv_id", "turn", name(turn, k).alias("call_id"), F.lit("say").alias("name"), arguments.alias("arguments"), waits.alias("after")
+        "conv_id", "turn", name(turn, mark, k).alias("call_id"), F.lit("say").alias("name"), arguments.alias("arguments"), waits.alias("after")
     )
-    results = lines.filter("role = 'assistant'").select("conv_id", "turn", name(turn - 1, k).alias("call_id"), F.col("_line").alias("content"))
+    results = lines.filter("role = 'assistant'").select("conv_id", "turn", name(turn - 1, mark, k).alias("call_id"), F.col("_line").alias("content"))
     return calls, results
+
+
+def with_messages(turns: DataFrame, linked: DataFrame) -> DataFrame:
+    """The rows of ``link_tool_calls`` and one row of kind message for every row of ``turns`` (conv_id, turn, role, text).
+
+    No turn is left out: any role, null roles and texts, and repeated rows have their row. Messages stand first in
+    their turn, ordered by role and text, and ``place`` counts on from them. A missing turn counts as -1; a message
+    without a conversation has no place. Status is said, call_id null, and the JSON holds role and content.
+    """
+    known = F.col("role").isin("system", "user", "assistant", "tool")
+    errors = F.when(F.col("role").isNull(), F.array(F.lit("role: missing"))).when(~known, F.array(F.lit("role: unknown"))).otherwise(F.array().cast("array<string>"))
+    said = turns.select(
+        F.col("conv_id").cast("string").alias("conv_id"), F.coalesce(F.col("turn").cast("long"), F.lit(-1)).alias("turn"), F.lit(None).cast("int").alias("place"),
+        F.lit("message").alias("kind"), F.lit(None).cast("string").alias("call_id"), F.lit("said").alias("status"), errors.alias("errors"), "role", "text",
+    )
+    written = F.to_json(F.struct(F.col("text").alias("content"), "errors", "kind", "role", "status"))
+    said = said.select(*linked.columns[:-2], (F.size("errors") == 0).alias("valid"), written.alias("json"), "role", "text")
+    named = linked.select("*", F.lit(None).cast("string").alias("role"), F.lit(None).cast("string").alias("text")).union(said.filter("conv_id is not null"))
+    within = Window.partitionBy("conv_id", "turn").orderBy(F.col("place").isNotNull(), "place", "role", "text")
+    return named.withColumn("place", F.row_number().over(within)).union(said.filter("conv_id is null")).select(*linked.columns)

@@ -39,6 +39,25 @@ SELECT conv_id, turn,
 FROM joined
 """
 
+CHAT_TURNS = f"""
+WITH linked AS ({CHAT_FORMAT}), said AS (
+  SELECT CAST(conv_id AS VARCHAR) AS conv_id, coalesce(turn, -1) AS turn, role, text,
+    CASE WHEN role IS NULL THEN 'role: missing' WHEN role NOT IN ('system', 'user', 'assistant', 'tool') THEN 'role: unknown' ELSE '' END AS error
+  FROM conversations
+), rows AS (
+  SELECT conv_id, turn, place AS old_place, kind, call_id, status, valid, errors, json, NULL AS role, NULL AS text FROM linked
+  UNION ALL SELECT conv_id, turn, NULL, 'message', NULL, 'said', error = '', error,
+    '{{' || CASE WHEN text IS NULL THEN '' ELSE '"content":' || to_json(text) || ',' END
+      || '"errors":' || to_json(CASE WHEN error = '' THEN [] ELSE [error] END) || ',"kind":"message"'
+      || CASE WHEN role IS NULL THEN '' ELSE ',"role":' || to_json(role) END || ',"status":"said"}}', role, text
+  FROM said
+)
+SELECT conv_id, turn, CASE WHEN conv_id IS NOT NULL THEN CAST(row_number() OVER (
+    PARTITION BY conv_id, turn ORDER BY old_place IS NOT NULL, old_place, role NULLS FIRST, text NULLS FIRST) AS INTEGER) END AS place,
+  kind, call_id, status, valid, errors, json
+FROM rows
+"""
+
 SUBSTRING_DEDUP = """
 WITH split AS (
   SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') AS words
@@ -119,5 +138,6 @@ ORACLES: dict[str, str] = {
     "op2_substring_dedup": SUBSTRING_DEDUP,
     "op8_decontamination": DECONTAMINATION,
     "op9_chat_format": CHAT_FORMAT,
+    "op9_chat_turns": CHAT_TURNS,
     "op10_minhash_near_dedup": NEAR_DUPLICATES,
 }

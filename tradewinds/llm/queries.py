@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tradewinds.llm.bpe import encode_and_decode
 from tradewinds.llm.brown import score_texts
-from tradewinds.llm.chat_format import SAY, calls_of_conversations, link_tool_calls
+from tradewinds.llm.chat_format import SAY, calls_of_conversations, link_tool_calls, with_messages
 from tradewinds.llm.decontamination import find_contamination
 from tradewinds.llm.html_text import extract_main_text
 from tradewinds.llm.language_id import identify_languages
@@ -45,6 +45,14 @@ def op9_chat_format(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op9_chat_turns(spark: SparkSession, folder: str) -> DataFrame:
+    turns = _read(spark, folder, "conversations")
+    done = with_messages(turns, link_tool_calls(*calls_of_conversations(turns), SAY))
+    return done.select(
+        "conv_id", "turn", "place", "kind", "call_id", "status", "valid", F.array_join("errors", "; ").alias("errors"), "json"
+    )
+
+
 def op10_minhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicate_groups(_read(spark, folder, "documents"))
 
@@ -113,6 +121,7 @@ QUERIES: dict[str, Query] = {
         op7_lm_scoring,
         op8_decontamination,
         op9_chat_format,
+        op9_chat_turns,
         op10_minhash_near_dedup,
     )
 }
