@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import random
 import re
+import time
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -257,6 +258,24 @@ def test_main_text():
     assert main_text("<div>" * 20_000 + "deep") == "deep"
 
 
+@pytest.mark.parametrize("n", [1, 5_000])
+def test_main_text_after_long_attributes(n):
+    inner = "<p>" + "x" * n + "</p>"
+    text = "The article has a paragraph with enough words, and a comma."
+    page = "<article>{}<p>" + text + "</p></article>"
+    assert main_text(page.format(f'<div class="ad" data-x="{inner}">Advert</div>')) == text
+    assert main_text(page.format(f"<div data-x='{inner}' class=ad>Advert</div>")) == text
+    assert main_text(page.format("<div " + "a='<' " * n + "class=ad>Advert</div>")) == text
+    assert main_text(page.format("<script>if (i<n) x = 1 // don't" + " " * n + "</script>") + "<!-- isn't -->") == text
+
+
+def test_main_text_of_unclosed_quotes_takes_linear_time():
+    for piece in ("<a \"", "<a '\"' \"'\"", "<a \"<b\" ", "<script x='", "</script x=\"<"):
+        began = time.process_time()
+        main_text(piece * 50_000)
+        assert time.process_time() - began < 20
+
+
 def test_pages(spark):
     rows = QUERIES["op3_html_extraction"](spark, FOLDER).collect()
     assert len(rows) == 50 and all(r.n_chars == len(r.text) for r in rows) and sum(r.n_chars > 0 for r in rows) >= 45

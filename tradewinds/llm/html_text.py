@@ -17,14 +17,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)"
-    r"|<[!?][^>]*(?:>|\Z)"
-    r"|<(/?)([a-zA-Z][^\s/<>]*+)((?:[^<>\"']++|\"[^\"]{0,4096}+\"|'[^']{0,4096}+'){0,200}+)>"
-    r"|<(/?)([a-zA-Z][^\s/<>]*+)([^<>]*+)>"
-    r"|</?(?:[a-zA-Z][^<>]*+)?\Z",
-    re.DOTALL,
-)
+_MARK = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/<>]*+)|</?\Z", re.DOTALL)
+_SIMPLE = re.compile(r"[^<>\"']*+(?:(?:\"[^\"<>]*+\"|'[^'<>]*+')[^<>\"']*+)*+>")  # the rest of a tag without '<' or '>' in quotes
+_UNQUOTED = re.compile(r"[^<>\"']*+")
+_ANGLE = re.compile("[<>]")
 _ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _COMMA = re.compile("[,،、，]")
 _NAME = re.compile("[a-z0-9]+")
@@ -62,6 +58,31 @@ _SCOPE = frozenset("ul ol dl table div section article main body td th blockquot
 _LEAST, _LEVELS = 25, 5  # characters of a paragraph that gets points, ancestors that it passes them to
 
 
+def _tag_end(source: str, at: int, last: dict[str, int], open_ended: set[int]) -> int:
+    """Where the tag ends whose name ends at ``at``: after the first '>' outside quotes, however long they are.
+
+    If there is none before a '<' or the end, quotes don't count; -1 if a '<' comes first then, the end of the page if
+    nothing does. ``last`` has the last place of each quote, ``open_ended`` those after a quote from where no end was
+    found: every stretch of a page is looked at a bounded number of times.
+    """
+    if simple := _SIMPLE.match(source, at):
+        return simple.end()
+    met, k = [], at
+    while k not in open_ended:
+        met.append(k)
+        k = _UNQUOTED.match(source, k).end()
+        if k == len(source) or source[k] == "<":
+            break
+        if source[k] == ">":
+            return k + 1
+        if k >= last[source[k]]:
+            break
+        k = source.index(source[k], k + 1) + 1
+    open_ended.update(met)
+    angle = _ANGLE.search(source, at)
+    return len(source) if not angle else angle.end() if angle[0] == ">" else -1
+
+
 class Page:
     """A parsed page. Elements are numbered in the order of their start tags, so those below one follow it directly."""
 
@@ -75,27 +96,31 @@ class Page:
             self.end[self._open.pop()] = len(self.tags)
 
     def _parse(self, source: str) -> None:
-        at, raw = 0, None
-        for m in _TOKEN.finditer(source):
-            tag = m[2] or m[5]
-            if raw:
-                # inside script, style and the like only their own end tag counts
-                if not (tag and (m[1] or m[4]) and tag.lower() == raw):
+        at = scan = 0
+        last = {quote: source.rfind(quote) for quote in "\"'"}
+        open_ended: set[int] = set()
+        while m := _MARK.search(source, scan):
+            tag, begin, end = m[2], m.start(), m.end()
+            if tag:
+                end = _tag_end(source, m.end(), last, open_ended)
+                if end < 0:
+                    scan = m.end()
                     continue
-                raw = None
-            elif m.start() > at:
-                self._text(source[at : m.start()])
-            at = m.end()
-            if not tag:
+            if begin > at:
+                self._text(source[at:begin])
+            at = scan = end
+            if not tag or source[end - 1] != ">":
                 continue
             tag = tag.lower()
-            if m[1] or m[4]:
+            if m[1]:
                 self._close(tag)
-            else:
-                self._start(tag, m[3] or m[6] or "")
-                if tag in _RAW:
-                    raw = tag
-        if not raw and at < len(source):
+                continue
+            self._start(tag, source[m.end() : end - 1])
+            if tag in _RAW:
+                # inside script, style and the like only their own end tag counts
+                ends = re.compile(rf"</{tag}(?=[\s/>])", re.IGNORECASE).finditer(source, at)
+                at = scan = next((e.start() for e in ends if _tag_end(source, e.end(), last, open_ended) >= 0), len(source))
+        if at < len(source):
             self._text(source[at:])
 
     def _text(self, text: str) -> None:
