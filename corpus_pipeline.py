@@ -35,8 +35,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cut the words of passages that a document with a smaller id holds; documents that lose none stay as they are."""
-    done = remove_repeats(docs, keep=_REST[1:], whole=True)
-    text = F.when(F.col("n_words") > 0, F.col("kept_text"))
+    done = remove_repeats(docs.withColumn("_given", F.col("text").isNotNull()), keep=(*_REST[1:], "_given"), whole=True)
+    text = F.when(F.col("_given"), F.col("kept_text"))
     changed = done.withColumn("text", text).withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("n_chars")).cast("long"))
     return changed.select(*COLUMNS)
 

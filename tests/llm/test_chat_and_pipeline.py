@@ -122,6 +122,14 @@ def test_pipeline_stages_equal_brute_force(spark):
     assert clean == {k for k, n, hit, _ in contaminated(rows, items, 13) if not (hit and 20 * hit >= n)}
 
 
+def test_texts_without_words_stay_as_they_are(spark, make):
+    rows = [(1, " \t\n ", "en", "s", 4), (2, "", "en", "s", 0), (3, None, "en", "s", None), (4, " one  two ", "en", "s", 10)]
+    docs = make(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = corpus_pipeline.repeated_passages(spark, docs, FOLDER)
+    assert sorted(map(tuple, got.collect())) == rows
+    assert all(r.round_trip and (r.n_tokens > 0) == (r.doc_id in (1, 4)) for r in corpus_pipeline.tokens(spark, got, FOLDER).collect())
+
+
 def test_pipeline_runs_whole(spark):
     done = corpus_pipeline.run(spark, FOLDER)
     assert done.columns == ["doc_id", "lang", "source", "n_tokens", "ids", "round_trip"]
