@@ -134,10 +134,79 @@ SELECT d.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, low AS component_
 FROM split d LEFT JOIN sizes USING (doc_id) JOIN (SELECT node, min(met) AS low FROM reach GROUP BY node) r ON d.doc_id = r.node
 """
 
+LEXICAL_SEARCH = """
+WITH sources AS (
+  SELECT 'd' AS kind, doc_id AS id, text FROM documents UNION ALL SELECT 'b', item_id, text FROM benchmark
+), split AS (
+  SELECT kind, id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS words
+  FROM sources
+), lengths AS (
+  SELECT id AS doc_id, len(words) AS n FROM split WHERE kind = 'd' AND len(words) > 0
+), totals AS (
+  SELECT count(*) AS all_n, CAST(sum(n) AS BIGINT) AS all_words FROM lengths
+), held AS (
+  SELECT s.id AS doc_id, u.w AS term, count(*) AS tf FROM split s, unnest(s.words) AS u(w) WHERE kind = 'd' GROUP BY ALL
+), asked AS (
+  SELECT DISTINCT s.id AS item_id, u.w AS term FROM split s, unnest(s.words) AS u(w) WHERE kind = 'b'
+), weights AS (
+  SELECT term, CAST(floor(1000 * ln((2 * any_value(all_n) + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM held, totals GROUP BY term
+), scores AS (
+  SELECT item_id, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * all_n) // all_words)))) AS BIGINT) AS score
+  FROM asked JOIN held USING (term) JOIN weights USING (term) JOIN lengths USING (doc_id), totals GROUP BY item_id, doc_id
+)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score
+FROM scores WHERE score > 0 QUALIFY rank <= 10
+"""
+
+TARGET_RESAMPLING = """
+WITH RECURSIVE steps(i, k, v) AS (
+  SELECT i, 0, CAST(i AS BIGINT) FROM range(256) AS t(i)
+  UNION ALL SELECT i, k + 1, CASE WHEN (v & 1) = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END FROM steps WHERE k < 8
+), bytes AS (
+  SELECT list(v ORDER BY i) AS step FROM steps WHERE k = 8
+), sources AS (
+  SELECT 'd' AS kind, doc_id AS id, text FROM documents UNION ALL SELECT 'b', item_id, text FROM benchmark
+), split AS (
+  SELECT kind, id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS words
+  FROM sources
+), used AS (
+  SELECT kind, id, u.w AS word, count(*) AS n FROM split, unnest(words) AS u(w) GROUP BY ALL
+), coded AS (
+  SELECT word, hex(encode(word)) AS h FROM (SELECT DISTINCT word FROM used)
+), hashed AS (
+  SELECT word, xor(list_reduce(
+      list_prepend(CAST(4294967295 AS BIGINT), list_transform(range(1, len(h), 2), lambda i: CAST('0x' || substr(h, i, 2) AS BIGINT))),
+      lambda crc, b: xor(crc >> 8, step[(xor(crc, b) & 255) + 1])), 4294967295) % 10000 AS bucket
+  FROM coded, bytes
+), counts AS (
+  SELECT bucket, CAST(coalesce(sum(n) FILTER (kind = 'd'), 0) AS BIGINT) AS s, CAST(coalesce(sum(n) FILTER (kind = 'b'), 0) AS BIGINT) AS t
+  FROM used JOIN hashed USING (word) GROUP BY bucket
+), totals AS (
+  SELECT CAST(sum(s) AS BIGINT) AS all_s, CAST(sum(t) AS BIGINT) AS all_t FROM counts
+), gains AS (
+  SELECT bucket, CAST(floor(1000 * ln(((t + 1) * (all_s + 10000)) / ((s + 1) * (all_t + 10000)))) AS BIGINT) AS gain FROM counts, totals
+), weights AS (
+  SELECT id, CAST(floor(sum(n * gain) / sum(n)) AS BIGINT) AS weight
+  FROM used JOIN hashed USING (word) JOIN gains USING (bucket) WHERE kind = 'd' GROUP BY id
+), scored AS (
+  SELECT id AS doc_id, CAST(len(words) AS BIGINT) AS n_features, coalesce(weight, 0) AS weight, coalesce(weight, 0) + CAST(floor(
+      -1000 * ln(-ln((CAST('0x' || substr(sha256('2024:' || id), 1, 8) AS BIGINT) + 0.5::DOUBLE) / 4294967296::DOUBLE))) AS BIGINT) AS score
+  FROM split LEFT JOIN weights USING (id) WHERE kind = 'd'
+), placed AS (
+  SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS place, count(*) OVER () AS n FROM scored WHERE n_features >= 20
+)
+SELECT doc_id, n_features, weight, score, CASE WHEN place <= 10 * n // 100 THEN place END AS rank
+FROM scored LEFT JOIN placed USING (doc_id)
+"""
+
 ORACLES: dict[str, str] = {
     "op2_substring_dedup": SUBSTRING_DEDUP,
     "op8_decontamination": DECONTAMINATION,
     "op9_chat_format": CHAT_FORMAT,
     "op9_chat_turns": CHAT_TURNS,
     "op10_minhash_near_dedup": NEAR_DUPLICATES,
+    "op11_lexical_search": LEXICAL_SEARCH,
+    "op13_target_resampling": TARGET_RESAMPLING,
 }

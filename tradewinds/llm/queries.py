@@ -13,11 +13,14 @@ from tradewinds.llm.chat_format import SAY, calls_of_conversations, link_tool_ca
 from tradewinds.llm.decontamination import find_contamination
 from tradewinds.llm.html_text import extract_main_text
 from tradewinds.llm.language_id import identify_languages
+from tradewinds.llm.lexical_search import search
 from tradewinds.llm.minhash import near_duplicate_groups
 from tradewinds.llm.neighbours import nearest_neighbours
 from tradewinds.llm.oracles import ORACLES
 from tradewinds.llm.quality import score_quality
 from tradewinds.llm.substring_dedup import remove_repeats
+from tradewinds.llm.target_resampling import resample
+from tradewinds.llm.token_counts import count_tokens
 
 __all__ = ["ORACLES", "QUERIES"]
 
@@ -109,6 +112,21 @@ def op8_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op11_lexical_search(spark: SparkSession, folder: str) -> DataFrame:
+    return search(_read(spark, folder, "documents"), _read(spark, folder, "benchmark"))
+
+
+def op12_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    import public_tokenizers
+
+    path = str(public_tokenizers.path("byte_bpe_50k.json"))
+    return count_tokens(_read(spark, folder, "documents"), path, public_tokenizers.PATTERN)
+
+
+def op13_target_resampling(spark: SparkSession, folder: str) -> DataFrame:
+    return resample(_read(spark, folder, "documents"), _read(spark, folder, "benchmark"))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
@@ -123,5 +141,8 @@ QUERIES: dict[str, Query] = {
         op9_chat_format,
         op9_chat_turns,
         op10_minhash_near_dedup,
+        op11_lexical_search,
+        op12_token_counts,
+        op13_target_resampling,
     )
 }
