@@ -1,9 +1,10 @@
 """Importance resampling towards a target distribution, over hashed word features.
 
-A dictionary of the distinct words of a piece of text, each between delimiters, is made into an Aho-Corasick automaton
-whose entries carry the CRC-32 and the length of their word. Scanning a text emits these payloads in order. The CRC of a
-run of words follows from the payloads of neighbours alone: the CRC so far is moved on by the length of the next word
-and combined with its own. CRCs modulo the number of buckets are the features.
+The distinct words that a piece of text repeats, each between delimiters, are made into an Aho-Corasick automaton whose
+entries carry the CRC-32 and the length of their word. Scanning texts emits these payloads in order; a word that is not
+in the dictionary gets its payload on the spot. The CRC of a run of words follows from the payloads of neighbours alone:
+the CRC so far is moved on by the length of the next word and combined with its own. CRCs modulo the number of buckets
+are the features.
 
 Features are made once and written to the shared folder. Counts over all documents and over the target give every bucket
 a gain; a document's mean gain and a draw of its own from a Gumbel distribution are its score, and the best are drawn.
@@ -12,10 +13,11 @@ The places of the drawn documents are found by sorting them in ranges, so no tas
 
 from __future__ import annotations
 
-import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from functools import cache
+from itertools import chain
 
 import ahocorasick
 import numpy as np
@@ -27,12 +29,12 @@ from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, Str
 
 from tradewinds.llm.chunks import texts_of
 from tradewinds.llm.scratch import written
-from tradewinds.llm.words import ALPHANUMERIC
+from tradewinds.llm.words import ALPHANUMERIC, spans
 
 BUCKETS, LONGEST, PERCENT, LEAST_WORDS, SEED = 10_000, 1, 10, 20, 2024
-_PIECE = 2 << 20  # bytes of text that share a dictionary
-_IN_FULL = 64  # bytes of a word that is in the dictionary as it is; a longer one has a short name there
-_LONG_WORD = re.compile(rb"[^ ]{%d,}" % (_IN_FULL + 1))
+_PIECE = 1 << 20  # bytes of text that are scanned at once
+_ENTRIES, _ENTRY_BYTES = 30_000, 48  # words of a dictionary, and bytes of a word in it
+_COVERED = 0.5  # share of the words of a piece below which a new dictionary is made
 
 
 @cache
@@ -67,42 +69,55 @@ def crc_joined(left: np.ndarray, right: np.ndarray, right_length: np.ndarray) ->
     return out ^ right
 
 
-def build_automaton(texts: list[bytes], longer: dict[bytes, bytes]) -> ahocorasick.Automaton:
-    """The distinct words of ``texts`` (words between spaces) with their payloads, CRC and length in one number;
-    ``longer`` are words by the short names that stand for them."""
+def build_automaton(text: bytes) -> ahocorasick.Automaton:
+    """The words (between spaces) that ``text`` holds more than once, with CRC and length in one number."""
     automaton = ahocorasick.Automaton()
-    for name in set(b" ".join(texts).split()):
-        word = longer.get(name, name)
-        automaton.add_word(f" {name.decode('latin-1')} ", zlib.crc32(word) | len(word) << 32)
+    for word, n in Counter(text.split()).most_common(_ENTRIES):
+        if n > 1 and len(word) <= _ENTRY_BYTES:
+            automaton.add_word(f" {word.decode('latin-1')} ", zlib.crc32(word) | len(word) << 32)
     automaton.make_automaton()
     return automaton
 
 
-def payloads(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """CRCs and lengths of the words of ``texts`` in order, and the number of words of each text. Words are runs of
-    digits, letters and bytes outside ASCII, with A-Z lower-cased."""
-    names: dict[bytes, bytes] = {}
-
-    def named(found: re.Match) -> bytes:
-        return names.setdefault(found[0], b"\0%d" % len(names))  # no word holds a zero byte
-
-    plain = [_LONG_WORD.sub(named, t.translate(ALPHANUMERIC)) for t in texts]
-    automaton = build_automaton(plain, {name: word for word, name in names.items()})
-    found, counts = [np.zeros(0, dtype=np.int64)], []
-    for text in plain:
-        got = [value for _, value in automaton.iter(f" {text.decode('latin-1')} ")] if len(automaton) else []
-        found.append(np.array(got, dtype=np.int64))
-        counts.append(len(got))
-    all_found = np.concatenate(found)
-    return (all_found & 0xFFFFFFFF).astype(np.uint32), all_found >> 32, np.array(counts, dtype=np.int64)
-
-
-def features(texts: list[bytes], longest: int, buckets: int) -> tuple[list[np.ndarray], np.ndarray]:
+class Scanner:
+    """Payloads of the words of texts, by a dictionary that follows what the texts hold."""
+
+    def __init__(self) -> None:
+        self.automaton: ahocorasick.Automaton | None = None
+
+    def payloads(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """CRCs and lengths of the words of ``texts`` in order, and the number of words of each text. Words are runs of
+        digits, letters and bytes outside ASCII, with A-Z lower-cased."""
+        joined = b" " + b" ".join(texts).translate(ALPHANUMERIC) + b" "
+        start, stop = spans(np.frombuffer(joined, dtype=np.uint8))
+        edge = np.cumsum([1, *(len(t) + 1 for t in texts)])
+        crc, known = np.zeros(len(start), dtype=np.uint32), np.zeros(len(start), dtype=bool)
+        if self.automaton is None:
+            self.automaton = build_automaton(joined)
+        self._scan(joined, stop, crc, known)
+        if known.sum() < _COVERED * len(known):
+            self.automaton = build_automaton(joined)
+        for k in np.flatnonzero(~known).tolist():
+            crc[k] = zlib.crc32(joined[start[k] : stop[k]])
+        return crc, stop - start, np.diff(np.searchsorted(start, edge))
+
+    def _scan(self, joined: bytes, stop: np.ndarray, crc: np.ndarray, known: np.ndarray) -> None:
+        if not len(self.automaton):
+            return
+        met = np.fromiter(chain.from_iterable(self.automaton.iter(joined.decode("latin-1"))), dtype=np.int64)
+        # an entry ends with the delimiter after its word
+        word = np.searchsorted(stop, met[0::2])
+        crc[word] = met[1::2] & 0xFFFFFFFF
+        known[word] = True
+
+
+def features(scanner: Scanner, texts: list[bytes], longest: int, buckets: int) -> tuple[list[np.ndarray], np.ndarray]:
     """Buckets of all runs of 1 to ``longest`` words of each text, and its number of words."""
-    crc, length, counts = payloads(texts)
+    crc, length, counts = scanner.payloads(texts)
     edge = np.concatenate([[0], np.cumsum(counts)])
     owner = np.repeat(np.arange(len(texts)), counts)
-    parts, run = [[(crc % buckets).astype(np.int32)[a:b] for a, b in zip(edge[:-1], edge[1:], strict=True)]], crc
+    single = (crc % buckets).astype(np.int32)
+    parts, run = [[single[a:b] for a, b in zip(edge[:-1], edge[1:], strict=True)]], crc
     space = np.uint32(zlib.crc32(b" "))
     for k in range(2, longest + 1):
         inside = owner[k - 1 :] == owner[: len(owner) - k + 1]
@@ -117,6 +132,7 @@ def features(texts: list[bytes], longest: int, buckets: int) -> tuple[list[np.nd
 
 def _featuring(longest: int, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scanner = Scanner()
         for batch in batches:
             texts = texts_of(pa.Table.from_batches([batch]))
             at = 0
@@ -125,7 +141,7 @@ def _featuring(longest: int, buckets: int):
                 while end < len(texts) and (end == at or size + len(texts[end]) < _PIECE):
                     size += len(texts[end])
                     end += 1
-                made, words = features(texts[at:end], longest, buckets)
+                made, words = features(scanner, texts[at:end], longest, buckets)
                 keep = batch.schema.names[1:]
                 columns = [batch.column(c).slice(at, end - at) for c in keep]
                 yield pa.RecordBatch.from_arrays(
