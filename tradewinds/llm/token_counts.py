@@ -6,7 +6,8 @@ table that every task gets; a pre-token that is not there is looked for among th
 and encoded by the vocabulary's own model if it is not there either.
 
 What is frequent is found in all documents: each task counts white-space words in bounded memory and hands on its most
-frequent ones. The table only saves work, so an inexact count there changes no result.
+frequent ones; those that make up a given share of all words are looked up, which at most as many words as the share
+goes into one can do. The table only saves work, so an inexact count there changes no result.
 """
 
 from __future__ import annotations
@@ -14,7 +15,6 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from functools import cache
-from itertools import islice
 
 import pyarrow as pa
 import regex
@@ -24,11 +24,13 @@ from tokenizers import Tokenizer
 
 from tradewinds.llm.bpe import byte_letters
 from tradewinds.llm.chunks import texts_of
+from tradewinds.llm.scratch import written
 
 LIMIT = 1024
-FREQUENT = 16_384  # words whose pre-tokens are in the table
+SHARE = 2.0**-17  # of all words, from which on a word's pre-tokens are in the table: 131,072 words at most
 LONGEST = 48  # characters of a word or pre-token that is remembered
 _COUNTED, _KEPT = 300_000, 60_000  # different words a task counts before it lets the rare ones go, and those that stay
+_HANDED_ON = 16_384  # words that a task hands on
 _REMEMBERED = 150_000  # pre-tokens of a generation that a worker remembers; it keeps the last two
 _WHOLE = 1 << 20  # characters of a text up to which its pre-tokens are listed at once
 
@@ -99,29 +101,32 @@ def _strings(batch: pa.RecordBatch) -> Iterator[str]:
         yield text.decode("utf-8", "replace")
 
 
-def _counting(most: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter[str] = Counter()
-        for batch in batches:
-            for text in _strings(batch):
-                counts.update(text.split())
-                if len(counts) > _COUNTED:
-                    counts = Counter(dict(counts.most_common(_KEPT)))
-        ranked = ((word, n) for word, n in counts.most_common() if len(word) < LONGEST)
-        words, numbers = zip(*islice(ranked, most), strict=True) if counts else ((), ())
-        yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(numbers, pa.int64())], names=["_word", "_n"])
-
-    return run
+def _counting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The most frequent words of a task with their counts, and under null the number of all its words."""
+    counts: Counter[str] = Counter()
+    total = 0
+    for batch in batches:
+        for text in _strings(batch):
+            words = text.split()
+            total += len(words)
+            counts.update(words)
+            if len(counts) > _COUNTED:
+                counts = Counter(dict(counts.most_common(_KEPT)))
+    best = [(word, n) for word, n in counts.most_common() if len(word) < LONGEST][:_HANDED_ON]
+    words, numbers = zip((None, total), *best, strict=True)
+    yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(numbers, pa.int64())], names=["_word", "_n"])
 
 
-def frequent_words(docs: DataFrame, text: str = "text", most: int = FREQUENT) -> list[str]:
-    """About the ``most`` most frequent white-space words of all texts, shorter than ``LONGEST`` characters.
+def frequent_words(docs: DataFrame, text: str = "text", share: float = SHARE) -> list[str]:
+    """The white-space words, shorter than ``LONGEST`` characters, that make up ``share`` of all words or more.
 
-    A task hands on at most ``most`` words with their counts, whatever it reads, and the driver gets ``most`` words.
+    A task hands on a bounded number of words, whatever it reads, and no more than 1 / ``share`` words reach the driver.
     """
-    met = docs.select(F.col(text).cast("binary").alias("_text")).mapInArrow(_counting(most), "_word string, _n long")
-    total = met.groupBy("_word").agg(F.sum("_n").alias("_n"))
-    return [r["_word"] for r in total.orderBy(F.desc("_n"), "_word").limit(most).collect()]
+    met = docs.select(F.col(text).cast("binary").alias("_text")).mapInArrow(_counting, "_word string, _n long")
+    counts = written(met.groupBy("_word").agg(F.sum("_n").alias("_n")), "words")
+    total = counts.filter("_word is null").first()
+    least = share * total["_n"] if total else 0
+    return [r["_word"] for r in counts.filter(F.col("_word").isNotNull() & (F.col("_n") >= least)).collect()]
 
 
 def length_table(words: Iterable[str], vocabulary: Vocabulary) -> dict[str, int]:
@@ -149,7 +154,7 @@ def count_tokens(
     text: str = "text",
     keep: tuple[str, ...] = (),
     limit: int = LIMIT,
-    frequent: int = FREQUENT,
+    share: float = SHARE,
 ) -> DataFrame:
     """Count the tokens of every whole text by the byte-level vocabulary at ``path`` (on every machine).
 
@@ -162,7 +167,7 @@ def count_tokens(
     texts and repeated rows stay as they are; a table without rows gives none. Other columns have no influence,
     whatever their names.
     """
-    lengths = length_table(frequent_words(docs, text, frequent), load(path, pattern))
+    lengths = length_table(frequent_words(docs, text, share), load(path, pattern))
     shared = docs.sparkSession.sparkContext.broadcast(lengths)
     rows = docs.select(
         F.col(text).cast("binary").alias("_text"),
