@@ -3,7 +3,7 @@
 from oracles.sqltext import clean, flag, n, pct, ratio, ts, union
 from oracles.tables.analysis import CANCEL_COUNTS, CANCEL_RATES, MONEY, MONTHS_BETWEEN
 from oracles.tables.marts import DATE_KEY
-from tradewinds.sources.schemas import TABLE_SCHEMAS
+from tradewinds.sources.schemas import RAW_SCHEMAS, TABLE_SCHEMAS
 
 # the names that these queries give to the tables
 SQL_NAMES = {t: t for t in TABLE_SCHEMAS} | {
@@ -48,6 +48,18 @@ def _copy(name: str) -> str:
     return f"SELECT * FROM {name}"
 
 
+def _damaged(name: str, key: str) -> str:
+    """Records with a field too few or too many, as text."""
+    columns = RAW_SCHEMAS[name].names
+    fields = ", ".join(f"'\"' || replace(coalesce(CAST({c} AS VARCHAR), ''), '\"', '\"\"') || '\"'" for c in columns)
+    few = f"CAST({key} AS BIGINT) % 13 = 1"
+    return f"""SELECT '{name}' AS table_name, CAST(len(f) AS INTEGER) AS n_fields,
+       CASE WHEN len(f) < {len(columns)} THEN 'too few fields' ELSE 'too many fields' END AS reason,
+       array_to_string(f, ',') AS record, TRUE AS has_position
+FROM (SELECT CASE WHEN {few} THEN [{fields}][:{len(columns) - 1}] ELSE list_append([{fields}], 'more') END AS f
+      FROM raw_{name} WHERE CAST({key} AS BIGINT) % 13 IN (1, 2)) AS damaged"""
+
+
 def _pivot(value: str, suffix: str, reduce: str, kind: str, fill: str | None = None) -> str:
     def cell(k: int) -> str:
         out = f"{reduce}({value}) FILTER (WHERE month_n = {k})"
@@ -107,6 +119,8 @@ QUERIES = {
     "raw_order_items": _copy("raw_order_items"),
     "raw_order_payments": _copy("raw_order_payments"),
     "raw_order_reviews": _copy("raw_order_reviews"),
+    "raw_rejects": union([_damaged("order_reviews", "order_id"), _damaged("sellers", "seller_id")]),
+    "raw_accepted": "SELECT * FROM raw_order_reviews WHERE CAST(order_id AS BIGINT) % 13 NOT IN (1, 2)",
     "raw_customers": _copy("raw_customers"),
     "raw_products": _copy("raw_products"),
     "raw_sellers": _copy("raw_sellers"),

@@ -117,7 +117,7 @@ def test_one_month_opens_one_folder(spark, tmp_path):
     plan = january._jdf.queryExecution().executedPlan().toString()
     assert re.search(r"PartitionFilters: \[[^\]]*year_month", plan)
     assert {r["order_id"] for r in january.collect()} == {"o1", "o7"}
-    assert list((tmp_path / "dm" / "fact_order_items").glob("v-*/year_month=2017-01"))
+    assert list((tmp_path / "dm" / "fact_order_items").glob("_version=*/year_month=2017-01"))
 
 
 def test_core_kpis(shop):

@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import random
+from collections import Counter
 from decimal import Decimal
 
 import pytest
@@ -48,13 +50,97 @@ def test_corrupt_rows_are_counted(spark, tmp_path):
     assert tuple(csv.corrupt_rows(spark, "order_reviews", str(path)).first()) == ("order_reviews", 2, 1)
 
 
-def test_a_large_file_with_line_breaks_is_refused(spark, tmp_path, monkeypatch):
+def awkward_reviews(seed, rows, line_end="\n"):
+    """A file with quoted line breaks, commas and quotes, stray quotes, short and long rows, and empty lines."""
+    draw = random.Random(seed)
+
+    def field():
+        k = draw.random()
+        if k < 0.3:
+            return draw.choice(["a", "", "5", "x y", " lead"])
+        if k < 0.34:
+            return draw.choice(['st"ray', 'it"s "odd"'])
+        inner = "".join(draw.choice(["a", "b", " ", ",", '"', "\n", "\n\n", '""', "é"]) for _ in range(draw.randint(0, 12)))
+        return '"' + inner.replace('"', '""') + '"'
+
+    lines = ["review_id,o,s,t,m,c,a"]
+    for i in range(rows):
+        lines.append(",".join([f"r{seed}_{i}", *(field() for _ in range(draw.choice([6] * 8 + [2, 8])))]))
+        lines += [""] * (draw.random() < 0.05)
+    return line_end.join(lines)
+
+
+def one_task_reader(spark, path):
+    """Spark's own multi-line reader, a file as one task."""
+    schema = RAW_SCHEMAS["order_reviews"]
+    text = T.StructType([T.StructField(f.name, T.StringType()) for f in schema.fields])
+    read = spark.read.schema(text).options(header=True, multiLine=True, sep=",", quote='"', escape='"', encoding="UTF-8")
+    return csv._finish(read.csv(path), schema)
+
+
+@pytest.fixture
+def small_splits(spark):
+    kept = {"spark.sql.files.maxPartitionBytes": "2k", "spark.sql.files.openCostInBytes": "1"}
+    for key, value in kept.items():
+        spark.conf.set(key, value)
+    yield
+    for key in kept:
+        spark.conf.unset(key)
+
+
+@pytest.mark.parametrize("line_end", ["\n", "\r\n"])
+@pytest.mark.parametrize("rows", [0, 1, 1500])
+def test_split_files_have_the_rows_of_the_one_task_reader(spark, tmp_path, small_splits, line_end, rows):
+    for i in (1, 2):
+        (tmp_path / f"{i}.csv").write_bytes((awkward_reviews(i, rows, line_end) + line_end * (i - 1)).encode())
+    assert rows < 1000 or spark.read.text(str(tmp_path)).rdd.getNumPartitions() > 20
+    got = csv.load_raw_table(spark, "order_reviews", str(tmp_path)).collect()
+    assert len(got) == 2 * rows and Counter(map(tuple, got)) == Counter(map(tuple, one_task_reader(spark, str(tmp_path)).collect()))
+
+
+def test_one_record_over_many_splits(spark, tmp_path, small_splits):
     path = tmp_path / "reviews.csv"
-    path.write_text("review_id,o,s,t,m,c,a\nr1,o1,5,t,m,x,y\n")
-    assert csv.load_raw_table(spark, "order_reviews", str(tmp_path)).count() == 1
-    monkeypatch.setattr(csv, "MULTILINE_FILE_BYTES", 10)
-    with pytest.raises(ValueError, match="split it"):
-        csv.load_raw_table(spark, "order_reviews", str(path))
+    long = 'line, with "quotes"\n' * 2000
+    path.write_text('review_id,o,s,t,m,c,a\nr1,o1,5,t,m,x,y\nr2,o2,4,t,"' + long.replace('"', '""') + '",x,y\nr3,o3,3,t,m,x,y\n')
+    rows = {r.review_id: r for r in csv.load_raw_table(spark, "order_reviews", str(path)).collect()}
+    assert sorted(rows) == ["r1", "r2", "r3"] and rows["r2"].review_comment_message == long and rows["r3"].review_score == 3
+
+
+def test_a_quote_left_open_takes_the_rest_of_its_file_only(spark, tmp_path, small_splits):
+    (tmp_path / "1.csv").write_text('review_id,o,s,t,m,c,a\nr1,o1,5,t,"open' + "\nr,o,1,t,m,c,a" * 400)
+    (tmp_path / "2.csv").write_text("review_id,o,s,t,m,c,a\nr2,o2,5,t,m,x,y\n")
+    assert {r.review_id for r in csv.load_raw_table(spark, "order_reviews", str(tmp_path)).collect()} == {"r1", "r2"}
+    checked = csv.load_checked(spark, "order_reviews", str(tmp_path))
+    assert [r.review_id for r in checked.rows.collect()] == ["r2"]
+    assert [(r.reason, r.position, r.split_start) for r in checked.rejects.collect()] == [("quote left open", 2, 0)]
+
+
+def test_rejects_have_place_and_reason(spark, tmp_path):
+    path = tmp_path / "sellers.csv"
+    path.write_text('a,b,c,d\ns1,00001,city,SP\ns2,00002\ns3,"00,003",city,SP,more\ns4,"00004,city,SP\ns5,,"ci,""ty",\n')
+    loaded = csv.load_checked(spark, "sellers", str(path))
+    assert sorted(r.seller_id for r in loaded.rows.collect()) == ["s1", "s5"] and loaded.rows.columns == RAW_SCHEMAS["sellers"].names
+    found = sorted(loaded.rejects.collect(), key=lambda r: r.position)
+    assert [(r.position, r.n_fields, r.reason, r.record) for r in found] == [
+        (2, 2, "too few fields", "s2,00002"), (3, 5, "too many fields", 's3,"00,003",city,SP,more'), (4, 4, "quote left open", 's4,"00004,city,SP')
+    ]
+    assert {(r.table_name, r.file.rsplit("/", 1)[1], r.split_start) for r in found} == {("sellers", "sellers.csv", 0)}
+
+
+def test_rejects_over_splits_are_the_rows_the_reader_calls_corrupt(spark, tmp_path, small_splits):
+    (tmp_path / "r.csv").write_text(awkward_reviews(3, 1200))
+    loaded = csv.load_checked(spark, "order_reviews", str(tmp_path))
+    counted = csv.corrupt_rows(spark, "order_reviews", str(tmp_path)).first()
+    rejects = loaded.rejects.collect()
+    assert len(rejects) == counted.corrupt_cnt > 100 and loaded.rows.count() + len(rejects) == counted.row_cnt
+    assert {r.reason for r in rejects} == {"too few fields", "too many fields"} and len({r.split_start for r in rejects}) > 10
+    lines = {}
+    data = (tmp_path / "r.csv").read_bytes()
+    for r in rejects:
+        # the first lines of a split are those that begin after its first line end
+        start = r.split_start and data.index(b"\n", r.split_start) + 1
+        lines[r.record] = data[start:].split(b"\n")[r.position - 1].decode()
+    assert all(record.split("\n")[0] == line for record, line in lines.items())
 
 
 def test_csv_round_trip_of_awkward_text(spark, tmp_path):
@@ -80,7 +166,7 @@ def test_overwrite_table_is_repeatable_and_conforms(spark, tmp_path):
         written = sinks.overwrite_table(df, str(tmp_path / "t"), schema)
     assert written.count() == 100 and written.dtypes == [("v", "bigint"), ("k", "string")]
     split = sinks.overwrite_table(df, str(tmp_path / "p"), partition_by=["k"])
-    assert split.count() == 100 and len(list((tmp_path / "p").glob("v-*/k=x"))) == 1
+    assert split.count() == 100 and len(list((tmp_path / "p").glob("_version=*/k=x"))) == 1
 
 
 def test_small_reports(spark):

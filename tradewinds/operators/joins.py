@@ -60,32 +60,47 @@ def heavy_keys(df: DataFrame, key: str) -> list[tuple[object, int]]:
     A key gets one salt per HEAVY_SHARE of the rows it holds. Runs one job over the key column;
     what comes back to the driver is bounded by the sketch.
     """
-    found = df.agg(
-        F.expr(f"approx_top_k(`{key}`, {MAX_HEAVY_KEYS}, {SKETCH_ITEMS})").alias("top"),
-        F.count_if(F.col(key).isNull()).alias("nulls"),
-        F.count(F.lit(1)).alias("total"),
-    ).first()
-    counts = {t["item"]: t["count"] for t in found["top"] or [] if t["item"] is not None}
-    counts[None] = found["nulls"]
+    return heavy_keys_of(df, [key])[key]
+
+
+def heavy_keys_of(df: DataFrame, keys: Sequence[str]) -> dict[str, list[tuple[object, int]]]:
+    """As ``heavy_keys``, for several columns in one job."""
+    asked = {}
+    for key in keys:
+        asked[f"top_{key}"] = F.expr(f"approx_top_k(`{key}`, {MAX_HEAVY_KEYS}, {SKETCH_ITEMS})")
+        asked[f"nulls_{key}"] = F.count_if(F.col(key).isNull())
+    found = df.agg(F.count(F.lit(1)).alias("total"), *[c.alias(name) for name, c in asked.items()]).first()
     fair = max(found["total"] * HEAVY_SHARE, 1)
-    return [(item, ceil(n / fair)) for item, n in counts.items() if n > fair]
+    out = {}
+    for key in keys:
+        counts = {t["item"]: t["count"] for t in found[f"top_{key}"] or [] if t["item"] is not None}
+        counts[None] = found[f"nulls_{key}"]
+        out[key] = [(item, ceil(n / fair)) for item, n in counts.items() if n > fair]
+    return out
 
 
 def lookup_join(
-    left: DataFrame, right: DataFrame, key: str, how: str = "inner", heavy: Sequence[tuple[object, int]] = ()
+    left: DataFrame,
+    right: DataFrame,
+    key: str,
+    how: str = "inner",
+    heavy: Sequence[tuple[object, int]] = (),
+    also: Sequence[str] = (),
 ) -> DataFrame:
     """Join ``left`` (any skew) with ``right`` (one row per key) on ``key``; how is inner or left.
 
-    ``heavy``: (key, salts) of keys known to be heavy, at most MAX_HEAVY_KEYS.
+    ``heavy``: (key, salts) of keys known to be heavy, at most MAX_HEAVY_KEYS. ``also``: further columns that are equal
+    where the keys are; a filter on one of them reaches both sides.
     """
+    keys = [key, *also]
     if how not in ("inner", "left"):
         raise ValueError(f"lookup_join supports inner and left, not {how!r}")
     if is_small(right):
-        return left.join(F.broadcast(right), key, how)
+        return left.join(F.broadcast(right), keys, how)
     if how == "inner":
         heavy = [(item, n) for item, n in heavy if item is not None]
     if not heavy:
-        return left.join(right, key, how)
+        return left.join(right, keys, how)
     if len(heavy) > MAX_HEAVY_KEYS + 1:
         raise ValueError(f"at most {MAX_HEAVY_KEYS} heavy keys")
     row_hash = F.xxhash64(*left.columns)
@@ -100,7 +115,7 @@ def lookup_join(
     copies = F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1)
     salted_left = left.join(F.broadcast(table), key, "left").withColumn("_salt", salt).drop("_salts")
     salted_right = right.join(F.broadcast(table), key, "left").withColumn("_salt", F.explode(copies)).drop("_salts")
-    return salted_left.join(salted_right, [key, "_salt"], how).drop("_salt")
+    return salted_left.join(salted_right, [*keys, "_salt"], how).drop("_salt")
 
 
 def count_by_key(df: DataFrame, key: Column | str, name: str = "key") -> DataFrame:

@@ -58,7 +58,7 @@ def new_repeat_flags(month: str = "year_month", cohort: str = "cohort_year_month
 
 
 def base_customer_monthly_purchase(
-    delivered_orders: DataFrame, items: DataFrame, dim_customer: DataFrame
+    delivered_orders: DataFrame, items: DataFrame, dim_customer: DataFrame, colocated: bool = False
 ) -> DataFrame:
     """Sparse person-month table with cohort month, order, item and revenue totals.
 
@@ -68,18 +68,20 @@ def base_customer_monthly_purchase(
     Built as one flow: items collapse per order and meet the orders on the order key, which also
     serves the grouping per order; the totals collapse to (person, month), and the cohort month
     is the earliest month of the person. The window runs over a person's months, never over raw rows.
+
+    ``colocated``: orders and items are stored in equal buckets by order, so they meet before anything moves the orders.
     """
     per_order = items.groupBy("order_id").agg(
         F.count(F.lit(1)).alias("item_cnt"), F.sum("item_total_value").alias("revenue")
     )
     ids = dim_customer.select("customer_id", "customer_unique_id")
-    owned = lookup_join(delivered_orders.select("order_id", "customer_id", "year_month"), ids, "customer_id")
+    placed = delivered_orders.select("order_id", "customer_id", "year_month")
+    if colocated:
+        owned = lookup_join(placed.join(per_order, "order_id", "left"), ids, "customer_id")
+    else:
+        owned = lookup_join(placed, ids, "customer_id").join(per_order, "order_id", "left")
     # rows with the same order id meet here once more, so a repeated order row counts as one order
-    orders = (
-        owned.join(per_order, "order_id", "left")
-        .groupBy(*PERSON_MONTH, "order_id")
-        .agg(F.sum("item_cnt").alias("item_cnt"), F.sum("revenue").alias("revenue"))
-    )
+    orders = owned.groupBy(*PERSON_MONTH, "order_id").agg(F.sum("item_cnt").alias("item_cnt"), F.sum("revenue").alias("revenue"))
     person_month = orders.groupBy(*PERSON_MONTH).agg(
         F.count(F.lit(1)).alias("order_cnt"),
         F.coalesce(F.sum("item_cnt"), F.lit(0)).alias("item_cnt"),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping, Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -10,6 +12,9 @@ from tradewinds.operators.calendar import calendar_table, date_bounds, generate_
 from tradewinds.operators.joins import lookup_join
 from tradewinds.sources.schemas import columns_of
 
+HeavyKeys = Mapping[str, Sequence[tuple[object, int]]]
+NONE_HEAVY: HeavyKeys = {}
+
 ORDER_DATES = (
     "order_purchase_dt",
     "order_approved_dt",
@@ -40,28 +45,33 @@ def dim_seller(stg_sellers: DataFrame) -> DataFrame:
     return stg_sellers.select(columns_of("dim_seller"))
 
 
-def fact_orders(stg_orders: DataFrame, stg_customers: DataFrame) -> DataFrame:
+def fact_orders(stg_orders: DataFrame, stg_customers: DataFrame, heavy: HeavyKeys = NONE_HEAVY) -> DataFrame:
     """Grain: order. Adds the customer's zip (NULL when unknown) and the integer date key."""
     zips = stg_customers.select("customer_id", "customer_zip_code_prefix")
     keyed = stg_orders.withColumn("order_purchase_date_key", date_key("order_purchase_dt"))
-    return lookup_join(keyed, zips, "customer_id", "left").select(columns_of("fact_orders"))
+    return lookup_join(keyed, zips, "customer_id", "left", heavy.get("customer_id", ())).select(columns_of("fact_orders"))
 
 
 def fact_order_items(
-    stg_order_items: DataFrame, stg_orders: DataFrame, stg_customers: DataFrame, stg_sellers: DataFrame
+    stg_order_items: DataFrame,
+    stg_orders: DataFrame,
+    stg_customers: DataFrame,
+    stg_sellers: DataFrame,
+    heavy: HeavyKeys = NONE_HEAVY,
 ) -> DataFrame:
     """Grain: (order, item). Items without an order drop out; unknown customers or sellers leave NULL zips.
 
-    The customer's zip is attached to the orders first, which are fewer than the items.
+    The customer's zip is attached to the orders first, which are fewer than the items. ``heavy``: keys that hold a large
+    share of the rows, by column, as stored beside the staging tables.
     """
     orders = stg_orders.select(
         "order_id", "customer_id", date_key("order_purchase_date").alias("order_purchase_date_key")
     )
     customer_zips = stg_customers.select("customer_id", "customer_zip_code_prefix")
     seller_zips = stg_sellers.select("seller_id", "seller_zip_code_prefix")
-    located = lookup_join(orders, customer_zips, "customer_id", "left")
-    items = lookup_join(stg_order_items, located, "order_id")
-    return lookup_join(items, seller_zips, "seller_id", "left").select(columns_of("fact_order_items"))
+    located = lookup_join(orders, customer_zips, "customer_id", "left", heavy.get("customer_id", ()))
+    items = lookup_join(stg_order_items, located, "order_id", "inner", heavy.get("order_id", ()))
+    return lookup_join(items, seller_zips, "seller_id", "left", heavy.get("seller_id", ())).select(columns_of("fact_order_items"))
 
 
 def with_month(df: DataFrame, key: str, dim_date: DataFrame | None = None, name: str = "year_month") -> DataFrame:
@@ -102,13 +112,20 @@ def vw_delivered_orders(fact_orders: DataFrame, dim_date: DataFrame | None = Non
     )
 
 
-def vw_delivered_order_items(fact_order_items: DataFrame, delivered_orders: DataFrame) -> DataFrame:
-    """Items of delivered orders; customer and month come from the order."""
+def vw_delivered_order_items(
+    fact_order_items: DataFrame, delivered_orders: DataFrame, heavy: Sequence[tuple[object, int]] = ()
+) -> DataFrame:
+    """Items of delivered orders; customer and month come from the order.
+
+    Where the items bring their month along, which is that of their order, it is part of the join, so a filter on months
+    reads those months of both facts only.
+    """
     orders = delivered_orders.select(
         "order_id", "customer_id", "customer_zip_code_prefix", "order_purchase_date_key", "year_month"
     )
     items = fact_order_items.drop("customer_id", "customer_zip_code_prefix", "order_purchase_date_key")
-    return lookup_join(items, orders, "order_id").select(
+    also = [c for c in ("year_month",) if c in items.columns]
+    return lookup_join(items, orders, "order_id", "inner", heavy, also).select(
         "order_id",
         "order_item_id",
         "order_item_seq",

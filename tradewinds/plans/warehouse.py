@@ -3,6 +3,9 @@
 Without ``storage`` every table is a lazy plan down to the raw tables. With it a table is
 written once (Parquet) and everything above reads the written table, which cuts lineage,
 gives the planner true sizes and shares work between reports.
+
+Stored tables with an order key are bucketed by it where they are large, so that they join without a shuffle; keys that
+hold a large share of a table are found when it is written, and the plans above salt them.
 """
 
 from __future__ import annotations
@@ -13,9 +16,16 @@ from functools import cached_property
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from tradewinds.operators.joins import BYTES_IN_MEMORY_PER_FILE_BYTE, HEAVY_SHARE, input_bytes
 from tradewinds.plans import analysis, marts, staging
 from tradewinds.sources.schemas import TABLE_SCHEMAS
-from tradewinds.sources.sinks import overwrite_table
+from tradewinds.sources.storage import overwrite_table, stored_table
+
+BUCKET_BYTES = 256 << 20
+# stored by order where there are buckets
+BY_ORDER = ("stg_orders", "stg_order_items", "stg_order_payments", "stg_order_reviews", "fact_orders", "fact_order_items")
+# columns of stored tables whose heavy keys are looked for
+LOOKED_UP = {"stg_orders": ("customer_id",), "stg_order_items": ("order_id", "seller_id"), "fact_order_items": ("order_id",)}
 
 LAYERS: dict[str, tuple[str, ...]] = {
     "stg": (
@@ -47,12 +57,18 @@ LAYERS: dict[str, tuple[str, ...]] = {
 
 
 class Warehouse:
-    """Tables as attributes: ``Warehouse(raw).kpi_monthly_core``."""
+    """Tables as attributes: ``Warehouse(raw).kpi_monthly_core``.
+
+    ``buckets``: of the tables by order; None for a number that follows the size of the items, 0 where they are small.
+    """
 
-    def __init__(self, raw: Mapping[str, DataFrame] | Callable[[str], DataFrame], storage: str | None = None):
+    def __init__(
+        self, raw: Mapping[str, DataFrame] | Callable[[str], DataFrame], storage: str | None = None, buckets: int | None = None
+    ):
         self._raw = raw if callable(raw) else raw.__getitem__
         self._storage = storage
         self._raw_cache: dict[str, DataFrame] = {}
+        self._asked_buckets = buckets
 
     def raw(self, name: str) -> DataFrame:
         if name not in self._raw_cache:
@@ -62,84 +78,113 @@ class Warehouse:
     def table(self, name: str) -> DataFrame:
         return getattr(self, name)
 
-    def _keep(
-        self, layer: str, name: str, df: DataFrame, partition_by: Sequence[str] = (), cluster_by: Sequence[str] = ()
-    ) -> DataFrame:
+    @cached_property
+    def _buckets(self) -> int:
+        if self._storage is None:
+            return 0
+        if self._asked_buckets is not None:
+            return self._asked_buckets
+        size = (input_bytes(self.raw("order_items")) or 0) * BYTES_IN_MEMORY_PER_FILE_BYTE
+        return 1 << (size // BUCKET_BYTES).bit_length() if size >= 2 * BUCKET_BYTES else 0
+
+    def _path(self, name: str) -> str:
+        layer = next(layer for layer, names in LAYERS.items() if name in names)
+        return f"{self._storage}/{layer}/{name}"
+
+    def heavy(self, name: str) -> dict[str, list[tuple[object, int]]]:
+        """The heavy keys kept beside a stored table, by column; none without storage."""
+        if self._storage is None:
+            return {}
+        self.table(name)
+        table = stored_table(self.raw("orders").sparkSession, self._path(name))
+        return {key: table.heavy_keys(key) for key in table.heavy} if table else {}
+
+    @cached_property
+    def fact_buckets(self) -> int:
+        """Buckets of the facts: none where one order would fill more than two buckets' share."""
+        widest = max((salts for _, salts in self.heavy("stg_order_items").get("order_id", [])), default=0)
+        return 0 if widest * HEAVY_SHARE * self._buckets > 2 else self._buckets
+
+    def _keep(self, name: str, df: DataFrame, partition_by: Sequence[str] = (), cluster_by: Sequence[str] = ()) -> DataFrame:
         if self._storage is None:
             return df
         schema = T.StructType(TABLE_SCHEMAS[name].fields + [df.schema[c] for c in partition_by])
-        return overwrite_table(df, f"{self._storage}/{layer}/{name}", schema, partition_by, cluster_by)
+        buckets = (self.fact_buckets if name.startswith("fact_") else self._buckets) if name in BY_ORDER else 0
+        return overwrite_table(
+            df, self._path(name), schema, partition_by, cluster_by, "order_id", buckets, LOOKED_UP.get(name, ())
+        )
 
     # staging
 
     @cached_property
     def stg_orders(self) -> DataFrame:
-        return self._keep("stg", "stg_orders", staging.stg_orders(self.raw("orders")))
+        return self._keep("stg_orders", staging.stg_orders(self.raw("orders")))
 
     @cached_property
     def stg_customers(self) -> DataFrame:
-        return self._keep("stg", "stg_customers", staging.stg_customers(self.raw("customers")))
+        return self._keep("stg_customers", staging.stg_customers(self.raw("customers")))
 
     @cached_property
     def stg_order_items(self) -> DataFrame:
-        return self._keep("stg", "stg_order_items", staging.stg_order_items(self.raw("order_items")))
+        return self._keep("stg_order_items", staging.stg_order_items(self.raw("order_items")))
 
     @cached_property
     def stg_products(self) -> DataFrame:
         products = staging.stg_products(self.raw("products"), self.raw("category_translation"))
-        return self._keep("stg", "stg_products", products)
+        return self._keep("stg_products", products)
 
     @cached_property
     def stg_sellers(self) -> DataFrame:
-        return self._keep("stg", "stg_sellers", staging.stg_sellers(self.raw("sellers")))
+        return self._keep("stg_sellers", staging.stg_sellers(self.raw("sellers")))
 
     @cached_property
     def stg_order_payments(self) -> DataFrame:
-        return self._keep("stg", "stg_order_payments", staging.stg_order_payments(self.raw("order_payments")))
+        return self._keep("stg_order_payments", staging.stg_order_payments(self.raw("order_payments")))
 
     @cached_property
     def stg_order_reviews(self) -> DataFrame:
-        return self._keep("stg", "stg_order_reviews", staging.stg_order_reviews(self.raw("order_reviews")))
+        return self._keep("stg_order_reviews", staging.stg_order_reviews(self.raw("order_reviews")))
 
     @cached_property
     def stg_geolocation(self) -> DataFrame:
-        return self._keep("stg", "stg_geolocation", staging.stg_geolocation(self.raw("geolocation")))
+        return self._keep("stg_geolocation", staging.stg_geolocation(self.raw("geolocation")))
 
     # star schema
 
     @cached_property
     def dim_date(self) -> DataFrame:
-        return self._keep("dm", "dim_date", marts.dim_date(self.stg_orders))
+        return self._keep("dim_date", marts.dim_date(self.stg_orders))
 
     @cached_property
     def dim_geolocation(self) -> DataFrame:
-        return self._keep("dm", "dim_geolocation", marts.dim_geolocation(self.stg_geolocation))
+        return self._keep("dim_geolocation", marts.dim_geolocation(self.stg_geolocation))
 
     @cached_property
     def dim_customer(self) -> DataFrame:
-        return self._keep("dm", "dim_customer", marts.dim_customer(self.stg_customers))
+        return self._keep("dim_customer", marts.dim_customer(self.stg_customers))
 
     @cached_property
     def dim_product(self) -> DataFrame:
-        return self._keep("dm", "dim_product", marts.dim_product(self.stg_products))
+        return self._keep("dim_product", marts.dim_product(self.stg_products))
 
     @cached_property
     def dim_seller(self) -> DataFrame:
-        return self._keep("dm", "dim_seller", marts.dim_seller(self.stg_sellers))
+        return self._keep("dim_seller", marts.dim_seller(self.stg_sellers))
 
     @cached_property
     def fact_order_items_by_month(self) -> DataFrame:
-        items = marts.fact_order_items(self.stg_order_items, self.stg_orders, self.stg_customers, self.stg_sellers)
+        heavy = {**self.heavy("stg_orders"), **self.heavy("stg_order_items")}
+        items = marts.fact_order_items(self.stg_order_items, self.stg_orders, self.stg_customers, self.stg_sellers, heavy)
         return self._by_month("fact_order_items", items)
 
     @cached_property
     def fact_orders_by_month(self) -> DataFrame:
-        return self._by_month("fact_orders", marts.fact_orders(self.stg_orders, self.stg_customers))
+        return self._by_month("fact_orders", marts.fact_orders(self.stg_orders, self.stg_customers, self.heavy("stg_orders")))
 
     def _by_month(self, name: str, fact: DataFrame) -> DataFrame:
         """The fact with the month label of its purchase, by which its files are kept apart."""
         dated = marts.with_month(fact, "order_purchase_date_key")
-        return self._keep("dm", name, dated, ["year_month"], ["order_purchase_date_key"])
+        return self._keep(name, dated, ["year_month"], ["order_purchase_date_key"])
 
     @cached_property
     def fact_order_items(self) -> DataFrame:
@@ -157,7 +202,8 @@ class Warehouse:
 
     @cached_property
     def vw_delivered_order_items(self) -> DataFrame:
-        return marts.vw_delivered_order_items(self.fact_order_items, self.vw_delivered_orders)
+        heavy = self.heavy("fact_order_items").get("order_id", ())
+        return marts.vw_delivered_order_items(self.fact_order_items_by_month, self.vw_delivered_orders, heavy)
 
     @cached_property
     def vw_customer_first_purchase_month(self) -> DataFrame:
@@ -168,23 +214,25 @@ class Warehouse:
     @cached_property
     def base_customer_monthly_purchase(self) -> DataFrame:
         # the item fact, stored or not: repeated order or customer rows repeat items there
-        base = analysis.base_customer_monthly_purchase(self.vw_delivered_orders, self.fact_order_items, self.dim_customer)
-        return self._keep("am", "base_customer_monthly_purchase", base)
+        base = analysis.base_customer_monthly_purchase(
+            self.vw_delivered_orders, self.fact_order_items, self.dim_customer, self.fact_buckets > 0
+        )
+        return self._keep("base_customer_monthly_purchase", base)
 
     @cached_property
     def kpi_monthly_core(self) -> DataFrame:
         core = analysis.kpi_monthly_core(self.dim_date, self.base_customer_monthly_purchase)
-        return self._keep("am", "kpi_monthly_core", core)
+        return self._keep("kpi_monthly_core", core)
 
     @cached_property
     def kpi_monthly_cancellation(self) -> DataFrame:
         kpi = analysis.kpi_monthly_cancellation(self.fact_orders, self.dim_date)
-        return self._keep("am", "kpi_monthly_cancellation", kpi)
+        return self._keep("kpi_monthly_cancellation", kpi)
 
     @cached_property
     def cohort_monthly_core(self) -> DataFrame:
         core = analysis.cohort_monthly_core(self.dim_date, self.base_customer_monthly_purchase)
-        return self._keep("am", "cohort_monthly_core", core)
+        return self._keep("cohort_monthly_core", core)
 
 
 def over_layers(stored: Warehouse, *layers: str) -> Warehouse:
@@ -196,12 +244,16 @@ def over_layers(stored: Warehouse, *layers: str) -> Warehouse:
     if "dm" in layers:
         for name in ("fact_orders_by_month", "fact_order_items_by_month"):
             lazy.__dict__[name] = stored.table(name)
+        lazy.__dict__["fact_buckets"] = stored.fact_buckets
+    lazy.__dict__["heavy"] = stored.heavy
     return lazy
 
 
-def build_all(raw: Mapping[str, DataFrame] | Callable[[str], DataFrame], storage: str) -> Warehouse:
+def build_all(
+    raw: Mapping[str, DataFrame] | Callable[[str], DataFrame], storage: str, buckets: int | None = None
+) -> Warehouse:
     """Write every table of every layer below ``storage``, bottom up, and return the warehouse."""
-    warehouse = Warehouse(raw, storage)
+    warehouse = Warehouse(raw, storage, buckets)
     for tables in LAYERS.values():
         for name in tables:
             warehouse.table(name)

@@ -14,7 +14,7 @@ from tradewinds.plans import analysis, kpis, marts, staging
 from tradewinds.plans.warehouse import LAYERS
 from tradewinds.registry.base import Context, query
 from tradewinds.sources import driver_tables, sinks
-from tradewinds.sources.csv import blank_numeric_to_null, load_raw_table, write_csv_table
+from tradewinds.sources.csv import Loaded, blank_numeric_to_null, load_checked, load_raw_table, write_csv_table
 
 # --- sources: the table goes out as CSV files and comes back through the loader -----------------
 
@@ -36,6 +36,32 @@ for _name in driver_tables.ADAPTERS:
     query(f"raw_{_name}")(_csv_round_trip(_name))
 
 
+# columns of the tables that go out with damaged records, and the number by which records are chosen
+_DAMAGED = {"order_reviews": "order_id", "sellers": "seller_id"}
+
+
+def _damaged(c: Context, name: str) -> Loaded:
+    """The table as lines of text, some with a field too few or too many, loaded with its rejects."""
+    rows = c.raw(name)
+    fields = F.array(*[F.concat(F.lit('"'), F.replace(F.coalesce(F.col(f).cast("string"), F.lit("")), F.lit('"'), F.lit('""')), F.lit('"')) for f in rows.columns])
+    rule = F.col(_DAMAGED[name]).cast("long") % 13
+    damaged = F.when(rule == 1, F.slice(fields, 1, len(rows.columns) - 1)).when(rule == 2, F.array_append(fields, F.lit("more")))
+    path = _scratch(c, f"lines-{name}")
+    rows.select(F.array_join(F.coalesce(damaged, fields), ",").alias("value")).write.text(path)
+    return load_checked(c.spark, name, path, header=False)
+
+
+@query("raw_rejects")
+def _raw_rejects(c: Context) -> DataFrame:
+    found = union_all([_damaged(c, name).rejects for name in _DAMAGED])
+    return found.select("table_name", "n_fields", "reason", "record", (F.col("position") > 0).alias("has_position"))
+
+
+@query("raw_accepted")
+def _raw_accepted(c: Context) -> DataFrame:
+    return _damaged(c, "order_reviews").rows
+
+
 @query("blank_numeric_to_null")
 def _blank_numeric_to_null(c: Context) -> DataFrame:
     price = F.col("price").cast("string")

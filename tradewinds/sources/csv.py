@@ -2,19 +2,28 @@
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tradewinds.sources.csv_records import AT, BLOCK, FILE, POSITION, RECORD, ends_open, field_count, quoted_records
 from tradewinds.sources.schemas import MULTILINE_TABLES, RAW_SCHEMAS
+from tradewinds.sources.sinks import scratch_folder
 
-MULTILINE_FILE_BYTES = 1 << 30
+CORRUPT = "_corrupt_record"
+_LAYOUT = {"sep": ",", "quote": '"', "escape": '"', "encoding": "UTF-8", "mode": "PERMISSIVE"}
 
 
 def _as_text(schema: T.StructType) -> T.StructType:
     return T.StructType([T.StructField(f.name, T.StringType(), True) for f in schema.fields])
 
 
+def _ddl(schema: T.StructType) -> str:
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields)
+
+
 def blank_numeric_to_null(df: DataFrame, columns: dict[str, T.DataType]) -> DataFrame:
     """Type text columns; blank text becomes NULL and so does text that is no number."""
     typed = {name: F.nullif(F.trim(F.col(name)), F.lit("")).try_cast(kind) for name, kind in columns.items()}
@@ -30,41 +39,74 @@ def _finish(df: DataFrame, schema: T.StructType) -> DataFrame:
 
 def load_csv_raw(spark: SparkSession, path: str | list[str], schema: T.StructType, **options: str) -> DataFrame:
     """One row per line. With '\\n' as the only line end a CRLF file keeps its '\\r' for the cleaning step."""
-    reader = spark.read.schema(_as_text(schema)).options(
-        header=True, sep=",", quote='"', escape='"', lineSep="\n", encoding="UTF-8", mode="PERMISSIVE"
-    )
+    reader = spark.read.schema(_as_text(schema)).options(header=True, lineSep="\n", **_LAYOUT)
     return _finish(reader.options(**options).csv(path), schema)
 
 
 def load_csv_multiline(spark: SparkSession, path: str | list[str], schema: T.StructType, **options: str) -> DataFrame:
     """As ``load_csv_raw`` for text holding commas, doubled quotes and line breaks inside quotes.
 
-    Such a file cannot be split, so a file is one task: give a large table as a folder of files. A single file of more
-    than ``MULTILINE_FILE_BYTES`` is refused rather than left to one task.
+    Files are split like any other, however large; see ``csv_records``. Rows are those of Spark's own multi-line
+    reader, which takes a file as one task.
     """
-    for name, size in _file_sizes(spark, path):
-        if size > MULTILINE_FILE_BYTES:
-            raise ValueError(f"{name} has {size} bytes; a file with quoted line breaks may have {MULTILINE_FILE_BYTES}: split it")
-    reader = spark.read.schema(_as_text(schema)).options(
-        header=True, sep=",", quote='"', escape='"', multiLine=True, encoding="UTF-8", mode="PERMISSIVE"
-    )
-    return _finish(reader.options(**options).csv(path), schema)
+    parsed = F.from_csv(F.col(RECORD), _ddl(_as_text(schema)), {**_LAYOUT, **options})
+    return _finish(quoted_records(spark, path).select(parsed.alias("_row")).select("_row.*"), schema)
 
 
-def _file_sizes(spark: SparkSession, path: str | list[str]) -> list[tuple[str, int]]:
-    context, found = spark.sparkContext, []
-    for pattern in [path] if isinstance(path, str) else path:
-        where = context._jvm.org.apache.hadoop.fs.Path(pattern)
-        files = where.getFileSystem(context._jsc.hadoopConfiguration())
-        for start in files.globStatus(where) or []:
-            listed = files.listFiles(start.getPath(), True)
-            while listed.hasNext():
-                status = listed.next()
-                found.append((status.getPath().toString(), status.getLen()))
-    return found
+class Loaded(NamedTuple):
+    """Rows with the right number of fields, and the others with their place and what is wrong with them."""
 
+    rows: DataFrame
+    rejects: DataFrame
 
-CORRUPT = "_corrupt_record"
+
+def load_checked(
+    spark: SparkSession, name: str, path: str | list[str], storage: str | None = None, header: bool = True
+) -> Loaded:
+    """Load a raw table and keep apart the records that do not have its fields. The files are read once.
+
+    What is parsed is written below ``storage`` (a scratch folder unless given), records to be rejected in a folder of
+    their own. rejects: (table_name, file, split_start, position, n_fields, reason, record). Byte split_start of the file is
+    where the split begins whose lines position counts from 1; past the start of a file these are the lines after the
+    first line end. Where no record can have several lines, rows are counted and neither a header nor blank lines.
+    """
+    schema = RAW_SCHEMAS[name]
+    marked = T.StructType([*_as_text(schema).fields, T.StructField(CORRUPT, T.StringType(), True)])
+    if name in MULTILINE_TABLES:
+        parsed = F.from_csv(F.col(RECORD), _ddl(marked), {**_LAYOUT, "columnNameOfCorruptRecord": CORRUPT})
+        found = quoted_records(spark, path, header).withColumn("_row", parsed).select(FILE, BLOCK, POSITION, RECORD, "_row.*")
+        text = F.col(RECORD)
+    else:
+        reader = spark.read.schema(marked).options(header=header, lineSep="\n", columnNameOfCorruptRecord=CORRUPT, **_LAYOUT)
+        place = [F.col("_metadata.file_path").alias(FILE), F.col("_metadata.file_block_start").alias(BLOCK)]
+        found = reader.csv(path).select("*", *place).withColumn(AT, F.monotonically_increasing_id())
+        text = F.col(CORRUPT)
+    n, fields = field_count(text), len(schema)
+    reason = (
+        F.when(ends_open(text), "quote left open")
+        .when(n < fields, "too few fields")
+        .when(n > fields, "too many fields")
+        .when(F.col(CORRUPT).isNotNull(), "malformed")
+    )
+    found = found.withColumn("_reason", reason).withColumn("_rejected", F.col("_reason").isNotNull())
+    found = found.withColumn(CORRUPT, F.when(F.col("_rejected"), text)).drop(RECORD)
+    target = storage or scratch_folder(spark, f"checked-{name}")
+    found.write.mode("overwrite").partitionBy("_rejected").parquet(target)
+    stored = spark.read.schema(found.schema).parquet(target)
+    rejects = stored.filter("_rejected")
+    if AT in found.columns:
+        begin = stored.groupBy(FILE, BLOCK).agg(F.min(AT).alias("_from"))
+        rejects = rejects.join(begin, [FILE, BLOCK]).withColumn(POSITION, F.col(AT) - F.col("_from") + 1)
+    rejects = rejects.select(
+        F.lit(name).alias("table_name"),
+        F.col(FILE).alias("file"),
+        F.col(BLOCK).alias("split_start"),
+        F.col(POSITION).alias("position"),
+        field_count(F.col(CORRUPT)).alias("n_fields"),
+        F.col("_reason").alias("reason"),
+        F.col(CORRUPT).alias("record"),
+    )
+    return Loaded(_finish(stored.filter("not _rejected").select(schema.names), schema), rejects)
 
 
 def corrupt_rows(spark: SparkSession, name: str, path: str | list[str]) -> DataFrame:
@@ -75,7 +117,7 @@ def corrupt_rows(spark: SparkSession, name: str, path: str | list[str]) -> DataF
     schema = T.StructType([*_as_text(RAW_SCHEMAS[name]).fields, T.StructField(CORRUPT, T.StringType(), True)])
     lines = {"multiLine": "true"} if name in MULTILINE_TABLES else {"lineSep": "\n"}
     read = spark.read.schema(schema).options(
-        header=True, sep=",", quote='"', escape='"', encoding="UTF-8", mode="PERMISSIVE", columnNameOfCorruptRecord=CORRUPT, **lines
+        header=True, columnNameOfCorruptRecord=CORRUPT, **_LAYOUT, **lines
     )
     # a row is only parsed as far as its columns are asked for, so all of them are
     parsed = F.count_if(F.length(F.concat_ws("", *schema.names[:-1])) >= 0).alias("row_cnt")

@@ -1,4 +1,4 @@
-"""Table writers and small table reports."""
+"""Scratch folders, views and small table reports; stored tables are in ``storage``."""
 
 from __future__ import annotations
 
@@ -8,14 +8,27 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tradewinds.operators.aggregates import one_row_to_long
 from tradewinds.operators.quality.keys import union_all
+from tradewinds.sources.storage import conform, hadoop_path, overwrite_partitions, overwrite_table, read_table, stored_table
+
+__all__ = [
+    "conform",
+    "overwrite_partitions",
+    "overwrite_table",
+    "read_table",
+    "register_view",
+    "row_count_report",
+    "sample_rows",
+    "schema_report",
+    "scratch_folder",
+    "shared_folder",
+    "stored_table",
+]
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
 WAREHOUSE_CONF = "spark.sql.warehouse.dir"
-CURRENT = "_CURRENT"
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -38,84 +51,14 @@ def scratch_folder(spark: SparkSession, name: str) -> str:
     return path
 
 
-def _hadoop_path(spark: SparkSession, path: str):
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
-
-
 def _remove_quietly(spark: SparkSession, path: str) -> None:
     try:
-        files, where = _hadoop_path(spark, path)
+        files, where = hadoop_path(spark, path)
         files.delete(where, True)
     except Exception:  # noqa: BLE001 - the session has ended before the program
         pass
 
 
-def conform(df: DataFrame, schema: T.StructType) -> DataFrame:
-    """Columns of ``schema`` in its order and types."""
-    return df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.fields])
-
-
-def overwrite_table(
-    df: DataFrame,
-    path: str,
-    schema: T.StructType | None = None,
-    partition_by: Sequence[str] = (),
-    cluster_by: Sequence[str] = (),
-) -> DataFrame:
-    """Full refresh of a Parquet table; returns the table as written. Repeating it gives the same table.
-
-    The rows go to a folder of their own below ``path``. Only after all are written does the table point to it, so a
-    failed write leaves the old rows in place; those written before stay for readers that hold them until the next write.
-
-    Rows are rebalanced to files of the advised size, with ``partition_by`` by those columns *and* within them, so
-    neither thousands of tiny files nor one giant writer task appear for a heavy month.
-    ``cluster_by`` sorts the rows of each file, without a shuffle, so that filters on those
-    columns skip row groups.
-    """
-    spark = df.sparkSession
-    out = df if schema is None else conform(df, schema)
-    out = out.hint("rebalance", *partition_by)
-    if cluster_by:
-        out = out.sortWithinPartitions(*partition_by, *cluster_by)
-    version = f"v-{uuid.uuid4().hex}"
-    out.write.partitionBy(*partition_by).parquet(f"{path}/{version}")
-    _point_to(spark, path, version)
-    return read_table(spark, path, out.schema)
-
-
-def _point_to(spark: SparkSession, path: str, version: str) -> None:
-    files, where = _hadoop_path(spark, path)
-    pointer = _hadoop_path(spark, f"{path}/{CURRENT}")[1]
-    before = current_version(spark, path)
-    stream = files.create(pointer, True)
-    stream.writeBytes(version)
-    stream.close()
-    for status in files.listStatus(where):
-        name = status.getPath().getName()
-        if name.startswith("v-") and name not in (version, before):
-            files.delete(status.getPath(), True)
-
-
-def current_version(spark: SparkSession, path: str) -> str | None:
-    """The folder that holds the rows of a table; None before the first write."""
-    files, pointer = _hadoop_path(spark, f"{path}/{CURRENT}")
-    if not files.exists(pointer):
-        return None
-    stream = files.open(pointer)
-    try:
-        return spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
-    finally:
-        stream.close()
-
-
-def read_table(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
-    """A table written by ``overwrite_table``."""
-    reader = spark.read if schema is None else spark.read.schema(schema)
-    return reader.parquet(f"{path}/{current_version(spark, path)}")
-
-
 def register_view(df: DataFrame, name: str) -> DataFrame:
     """Make the frame available to SQL under ``name``."""
     df.createOrReplaceTempView(name)
