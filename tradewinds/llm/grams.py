@@ -26,21 +26,26 @@ def pieces(texts: list[bytes], rows: int = 128) -> Iterator[list[bytes]]:
 
 def gram_counts(texts: list[bytes], sizes: tuple[int, ...], bins: int, table: bytes | None = None) -> list[np.ndarray]:
     """For each size, the counts of hashed n-grams of each text (rows) after translation by ``table``. A text is
-    taken to start after white space."""
+    taken to start after white space; no n-gram holds bytes of two texts."""
     most = max(sizes)
     lead = b"\n" * most
     joined = b"".join([lead + t for t in texts])
     if table:
         joined = joined.translate(table)
     raw = np.frombuffer(joined, dtype=np.uint8)
-    owner = np.repeat(np.arange(len(texts), dtype=np.int64) * bins, [len(t) + most for t in texts])
+    size = np.array([len(t) + most for t in texts], dtype=np.int64)
+    owner = np.repeat(np.arange(len(texts), dtype=np.int64) * bins, size)
+    begin = np.cumsum(size) - size
     out, key, shift = [], raw.astype(np.uint32), np.uint32(32 - int(bins).bit_length() + 1)
     for n in range(1, most + 1):
         if n > 1:
             key[n - 1 :] = key[n - 1 :] * np.uint32(257) + raw[: len(raw) - n + 1]
         if n in sizes:
             at = owner + ((key * _MIX) >> shift).astype(np.int64)
-            out.append(np.bincount(at, minlength=len(texts) * bins).reshape(len(texts), bins))
+            counts = np.bincount(at, minlength=len(texts) * bins)
+            # those that end before the n-th byte of a text began in the text before
+            np.subtract.at(counts, at[(begin[:, None] + np.arange(n - 1)).ravel()], 1)
+            out.append(counts.reshape(len(texts), bins))
     return out
 
 
