@@ -5,8 +5,9 @@ n-grams, predicts on which side a text stands. Decoding sums, for each codeword,
 the classifiers' margins, so a bit predicted with doubt counts less, and takes the codeword with the smallest sum. A
 text is flagged as ambiguous if the runner-up is close.
 
-The classifiers are fitted on about ``PER_LANGUAGE`` texts of each language, chosen by a hash of the id; the languages
-and their shares are counted over all rows.
+The classifiers are fitted on about ``PER_LANGUAGE`` texts of each language, or, of very many languages, on about ``SAMPLE``
+texts of all, chosen by a hash of id and text. The languages and their shares are counted over all rows, and every
+language is learned.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from tradewinds.llm.chunks import texts_of
 from tradewinds.llm.grams import gram_counts, pieces
 
 PER_LANGUAGE = 600
-LANGUAGES = 1000  # most frequent languages told apart
+SAMPLE = 24_000  # texts to fit on, at least one of each language
 SIZES, BINS = (1, 2, 3), 1024
 UNKNOWN = "und"
 _AMBIGUOUS = 0.8  # share of the likelihood below which a decision is flagged
@@ -83,7 +84,9 @@ def fit(x: np.ndarray, language: np.ndarray, languages: list[str]) -> Coder:
 
 def decode(coder: Coder, margins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The nearest codeword of each row by summed losses, and its share of the likelihood."""
-    loss = np.logaddexp(0, -margins[:, None, :] * coder.code[None]).sum(axis=2)
+    # the loss of a bit is that of one side, and the margin more on the other
+    right = np.logaddexp(0, -margins)
+    loss = right.sum(axis=1, keepdims=True) + margins @ ((1 - coder.code) / 2).T
     best = loss.argmin(axis=1)
     share = np.exp(loss.min(axis=1, keepdims=True) - loss)
     return best, 1 / share.sum(axis=1)
@@ -133,14 +136,19 @@ def learn_languages(docs: DataFrame, learn: Column, doc_id: str = "doc_id", text
     rows = docs.filter(learn & F.col(lang).isNotNull() & F.col(text).isNotNull()).select(
         F.col(lang).cast("string").alias("_lang"), F.col(text).cast("binary").alias("_text"), F.col(doc_id).alias("_id")
     )
-    counts = rows.groupBy("_lang").count().orderBy(F.desc("count"), "_lang").limit(LANGUAGES).collect()
+    parts = 1 << 30
+    draw = F.pmod(F.xxhash64(F.lit("languages"), F.col("_id").cast("string"), "_text"), F.lit(parts))
+    rows = rows.withColumn("_draw", draw)
+    counts = rows.groupBy("_lang").agg(F.count(F.lit(1)), F.min("_draw")).collect()  # one row a language
     if not counts:
         return None
     languages = sorted(r[0] for r in counts)
-    parts = 1 << 20
-    rates = F.create_map(*[F.lit(v) for r in counts for v in (r[0], min(parts, int(parts * PER_LANGUAGE / r[1]) + 1))])
-    draw = F.pmod(F.xxhash64(F.lit("languages"), F.col("_id").cast("string")), F.lit(parts))
-    sample = rows.filter(draw < rates[F.col("_lang")]).select("_lang", "_text").mapInArrow(_featuring, "_lang string, _x binary").collect()
+    each = max(1, min(PER_LANGUAGE, SAMPLE // len(languages)))
+    rates = [(r[0], max(r[2] + 1, min(parts, int(parts * each / r[1])))) for r in counts]
+    rated = rows.join(F.broadcast(docs.sparkSession.createDataFrame(rates, "_lang string, _rate long")), "_lang")
+    # rows that repeat are drawn together, so they count once
+    drawn = rated.filter(F.col("_draw") < F.col("_rate")).select("_lang", "_text").dropDuplicates()
+    sample = drawn.mapInArrow(_featuring, "_lang string, _x binary").collect()
     if not sample:
         return None
     x = np.stack([np.frombuffer(r[1], dtype=np.float16) for r in sample]).astype(np.float32)
@@ -158,7 +166,9 @@ def identify_languages(
 
     Returns per row: the id, the ``keep`` columns, lang_pred, score (share of the likelihood, 0 to 1) and ambiguous.
     A text that is null or has no letter is ``und`` with score 0, as are all if no row can be learned from. Rows
-    without an id are predicted; repeated rows count as often as they occur.
+    without an id are predicted; rows that repeat are each predicted and learned from once. A prediction depends on its
+    own text alone, of any length; the first of several codewords equally near, by name, is taken. A table without rows
+    gives none.
     """
     coder = learn_languages(docs, learn, doc_id, text, lang)
     names = ["_id", *[f"_keep_{c}" for c in keep]]

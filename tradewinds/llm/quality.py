@@ -1,9 +1,10 @@
 """Quality classification with supervised subword embeddings.
 
 Words, pairs of neighbouring words and byte n-grams are hashed to rows of a table of vectors. All pairs of a word
-and itself share a row, as repeating is what they have in common. The vectors of a document are averaged and a softmax layer gives the probability of each label. Table and layer are learned together by
-stochastic gradient descent on about ``PER_LABEL`` documents of each label, chosen by a hash of the id; a document
-weighs as many as it stands for, so the labels keep the shares that they have in all rows.
+and itself share a row, as repeating is what they have in common. The vectors of a document are averaged and a softmax
+layer gives the probability of each label. Table and layer are learned together by stochastic gradient descent on about
+``PER_LABEL`` documents of each label, chosen by a hash of the id, and by one of the text where ids repeat; a document weighs
+as many as it stands for, so the labels keep the shares that they have in all rows.
 """
 
 from __future__ import annotations
@@ -121,9 +122,16 @@ def learn_quality(
     draw = F.pmod(F.xxhash64(F.lit("quality"), F.col("_id").cast("string")), F.lit(parts))
     drawn = rows.filter(draw < F.when(F.col("_label") == 1, rate.get(1, 0)).otherwise(rate.get(0, 0)))
     stands_for = F.when(F.col("_label") == 1, parts / rate.get(1, parts)).otherwise(parts / rate.get(0, parts))
-    drawn = drawn.withColumn("_weight", stands_for.cast("double"))
-    # at most about PER_LABEL rows of each label, so a broadcast is bounded
-    known = docs.select(F.col(doc_id).alias("_id"), F.col(text).cast("binary").alias("_text")).join(F.broadcast(drawn), "_id")
+    # ids are drawn as a whole: about PER_LABEL of each label, each once, so a broadcast is bounded
+    drawn = drawn.withColumn("_weight", stands_for.cast("double")).dropDuplicates()
+    texts = docs.select(F.col(doc_id).alias("_id"), F.col(text).cast("binary").alias("_text"))
+    known = texts.join(F.broadcast(drawn), "_id")
+    # one id may have any number of rows
+    found = {r[0]: r[1] for r in known.groupBy("_label").count().collect()}
+    thin = {k: min(parts, int(parts * 2 * PER_LABEL / n) + 1) for k, n in found.items()}
+    share = F.when(F.col("_label") == 1, thin.get(1, parts)).otherwise(thin.get(0, parts))
+    known = known.filter(F.pmod(F.xxhash64(F.lit("texts"), "_text"), F.lit(parts)) < share).dropDuplicates()
+    known = known.withColumn("_weight", F.col("_weight") * parts / share)
     kinds = "_label int, _weight double, _places binary, _values binary"
     sample = known.select("_label", "_weight", "_text").mapInArrow(_featuring, kinds).collect()
     sample.sort(key=lambda r: (r[0], bytes(r[2]), bytes(r[3])))
@@ -146,7 +154,9 @@ def score_quality(
 
     Returns per row: the id, the ``keep`` columns and score, the probability of label 1. A null text is scored as an
     empty one. Without a label every score is 0.5. Labels other than 0 and 1 and labels of unknown documents are not
-    learned from; a document labelled or listed repeatedly counts as often. Rows without an id are scored.
+    learned from; a document labelled or listed repeatedly with the same label and text counts once. Rows without an id
+    are scored, and each of several equal rows. A score depends on its own text alone, of any length. A table without
+    rows gives none.
     """
     model = learn_quality(docs, labels, learn, doc_id, text, label)
     names = ["_id", *[f"_keep_{c}" for c in keep]]
