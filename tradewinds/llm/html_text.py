@@ -3,7 +3,9 @@
 Every paragraph with enough text gets points for its length and its commas. They are passed on to its ancestors, less
 the farther up, and an element's sum is discounted by the share of its text that stands in links. The element with the
 most points is the container of the article; siblings with enough points of their own, or that are plain long
-paragraphs, are kept with it. Elements that are no article by their tag, role, class or id are left out before.
+paragraphs, are kept with it. Elements that are no article by their tag, role, class or id are left out before. Class and id
+are only believed where something with points is left: where nothing is, those around the container that has the most
+points without them do not count.
 """
 
 from __future__ import annotations
@@ -31,7 +33,7 @@ _INLINE = frozenset(
     "strong sub sup time tt u var wbr img".split()
 )
 _NEVER = frozenset(
-    "nav footer aside form script style noscript template iframe object embed svg canvas audio video map button select "
+    "nav footer aside script style noscript template iframe object embed svg canvas audio video map button select "
     "textarea input dialog menu head title".split()
 )
 _ARTICLE = frozenset(("article", "main"))
@@ -43,6 +45,7 @@ _NO_NAME = frozenset(
     "related recommended recommendations widget popup modal overlay toolbar pagination pager login search skip toc "
     "discussion usercomments topbar rail adsense alert toast cookiebar cookiebanner".split()
 )
+_REMARKS = frozenset("comment comments commentlist disqus respond replies reply discussion usercomments".split())
 _LAYOUT = frozenset("has with without no".split())  # "has-sidebar" is no sidebar
 _GOOD_NAME = frozenset("article articlebody content main post entry story text body blog".split())
 _PARAGRAPH = frozenset("p pre td blockquote li dd div section article main figcaption".split())
@@ -56,6 +59,7 @@ _CLOSES = {
 }
 _SCOPE = frozenset("ul ol dl table div section article main body td th blockquote".split())
 _LEAST, _LEVELS = 25, 5  # characters of a paragraph that gets points, ancestors that it passes them to
+_BULK = 200  # characters of a container for which names do not count
 
 
 def _tag_end(source: str, at: int, last: dict[str, int], open_ended: set[int]) -> int:
@@ -88,6 +92,7 @@ class Page:
 
     def __init__(self, source: str):
         self.tags, self.parents, self.names, self.out, self.end = ["#"], [0], [frozenset()], [False], [0]
+        self.named = [False]  # left out by class, id or as a form, which may mean nothing
         self.runs: list[tuple[int, str]] = []  # (element, text); a block's edges are runs of white space
         self._open, self._articles = [0], 0
         self._opened: Counter[str] = Counter()
@@ -136,18 +141,19 @@ class Page:
             self.runs.append((parent, " "))
         if tag in _VOID:
             return
-        names, left_out = self._judge(tag, inside)
+        names, left_out, named = self._judge(tag, inside)
         self.tags.append(tag)
         self.parents.append(parent)
         self.names.append(names)
         self.out.append(left_out)
+        self.named.append(named)
         self.end.append(0)
         self._open.append(len(self.tags) - 1)
         self._articles += tag in _ARTICLE
         self._opened[tag] += 1
 
-    def _judge(self, tag: str, inside: str) -> tuple[frozenset[str], bool]:
-        """Words of class and id, and whether the element is no part of an article."""
+    def _judge(self, tag: str, inside: str) -> tuple[frozenset[str], bool, bool]:
+        """Words of class and id, whether the element is no part of an article, and whether it seems so by its names."""
         names, hidden, role = frozenset(), False, ""
         if inside.strip(" /\n\t\r"):
             given = {m[1].lower(): (m[2] or m[3] or m[4] or "").lower() for m in _ATTRIBUTE.finditer(inside)}
@@ -156,10 +162,11 @@ class Page:
             style = given.get("style", "").replace(" ", "")
             hidden = "hidden" in given or given.get("aria-hidden") == "true" or "display:none" in style or "visibility:hidden" in style
         if tag in ("html", "body"):
-            return names, False
-        heading = not self._articles and (tag == "header" or ("header" in names and not names & _GOOD_NAME))
+            return names, False, False
+        heading = not self._articles and "header" in names and not names & _GOOD_NAME
         named = bool(names & _NO_NAME) and not names & _LAYOUT
-        return names, hidden or heading or named or tag in _NEVER or role in _NO_ROLE
+        out = hidden or (tag == "header" and not self._articles) or tag in _NEVER or role in _NO_ROLE
+        return names, out, heading or named or tag == "form"
 
     def _end_implied(self, tags: tuple[str, ...], scope: frozenset[str]) -> None:
         if not any(self._opened[t] for t in tags):
@@ -200,20 +207,40 @@ class Page:
         own: list[list[str]] = [[] for _ in range(n)]
         for element, text in self.runs:
             own[element].append(text)
+        texts = [" ".join("".join(t).split()) for t in own]
+        cut = [a or b for a, b in zip(self.out, self.named, strict=True)]
+        kept, length, links, anchors, score = self._measured(cut, texts)
+        if any(self.named) and not any(s > 0 for s in score.values()) and not self._articles_of(kept, length):
+            wrongly = self._wrongly_named(texts)
+            if wrongly:
+                cut = [a and k not in wrongly for k, a in enumerate(cut)]
+                kept, length, links, anchors, score = self._measured(cut, texts)
+        chosen = self._chosen(score, kept, length, links)
+        for k in range(1, n):
+            if self.tags[k] in ("ul", "ol", "div", "table", "section", "dl") and anchors[k] >= 3 and links[k] > 0.8 * length[k]:
+                kept[k] = False  # a menu within the article
+            kept[k] = kept[k] and kept[self.parents[k]]
+        inside = [False] * n
+        for k in chosen:
+            inside[k : self.end[k]] = [True] * (self.end[k] - k)
+        return " ".join("".join([text if inside[k] and kept[k] else " " for k, text in self.runs]).split())
+
+    def _measured(self, cut, texts):
+        """What is kept with ``cut`` elements left out; characters, those in links and links below each element; points."""
+        n = len(self.tags)
         kept, linked = [True] * n, [False] * n
         for k in range(1, n):
-            kept[k] = kept[self.parents[k]] and not self.out[k]
+            kept[k] = kept[self.parents[k]] and not cut[k]
             linked[k] = linked[self.parents[k]] or self.tags[k] == "a"
         length, links, paragraph, anchors = [0] * n, [0] * n, [0] * n, [0] * n
         commas = [0] * n
         for k in range(n - 1, -1, -1):
             if kept[k]:
-                text = " ".join("".join(own[k]).split())
-                length[k] += len(text)
-                paragraph[k] += len(text)
-                commas[k] += len(_COMMA.findall(text))
+                length[k] += len(texts[k])
+                paragraph[k] += len(texts[k])
+                commas[k] += len(_COMMA.findall(texts[k]))
                 if linked[k]:
-                    links[k] += len(text)
+                    links[k] += len(texts[k])
                 if k:
                     up = self.parents[k]
                     length[up] += length[k]
@@ -222,16 +249,26 @@ class Page:
                     if self.tags[k] in _INLINE:
                         paragraph[up] += paragraph[k]
                         commas[up] += commas[k]
-        score = self._scores(kept, length, links, paragraph, commas)
-        chosen = self._chosen(score, kept, length, links)
-        for k in range(1, n):
-            if self.tags[k] in ("ul", "ol", "div", "table", "section", "dl") and anchors[k] >= 3 and links[k] > 0.8 * length[k]:
-                kept[k] = False  # a menu within the article
-            kept[k] = kept[k] and kept[self.parents[k]]
-        inside = [False] * n
-        for k in chosen:
-            inside[k : self.end[k]] = [True] * (self.end[k] - k)
-        return " ".join("".join([text if inside[k] and kept[k] else " " for k, text in self.runs]).split())
+        return kept, length, links, anchors, self._scores(kept, length, links, paragraph, commas)
+
+    def _wrongly_named(self, texts) -> set[int]:
+        """Elements around the container with the most points that only their names leave out; none of reader comments,
+        unless they hold an article, and none around a container of little text."""
+        kept, length, links, _, score = self._measured(self.out, texts)
+        if not score:
+            return set()
+        best = min(score, key=lambda k: (-score[k], k))
+        around, k = [], best
+        while k:
+            around.append(k)
+            k = self.parents[k]
+        article = any(self.tags[k] in _ARTICLE for k in around) or any(best < k < self.end[best] for k in self._articles_of(kept, length))
+        if length[best] < _BULK or (not article and any(self.names[k] & _REMARKS for k in around)):
+            return set()
+        return {k for k in around if self.named[k]}
+
+    def _articles_of(self, kept, length) -> list[int]:
+        return [k for k in range(1, len(self.tags)) if kept[k] and self.tags[k] in _ARTICLE and length[k]]
 
     def _scores(self, kept, length, links, paragraph, commas) -> dict[int, float]:
         score: dict[int, float] = {}
@@ -255,7 +292,7 @@ class Page:
         return by_tag + (25 if self.names[k] & _GOOD_NAME and tag != "body" else 0)
 
     def _chosen(self, score, kept, length, links) -> list[int]:
-        articles = [k for k in range(1, len(self.tags)) if kept[k] and self.tags[k] in _ARTICLE and length[k]]
+        articles = self._articles_of(kept, length)
         if not score:
             if articles:
                 return [max(articles, key=lambda k: (length[k], -k))]
