@@ -82,8 +82,9 @@ def _windows(table: pa.Table, size: int):
     """Documents of a chunk in the order of their ids (those without id last), their words, window starts, the window's
     name, and for each distinct name in order of appearance where it appears first."""
     table = table.take(pc.sort_indices(table, sort_keys=[("_id", "ascending")], null_placement="at_end"))
-    ids = table.column("_id").to_numpy(zero_copy_only=False) if table.num_rows else np.zeros(0)
     known = table.num_rows - table.column("_id").null_count
+    # a column with nulls would turn into floating point, which has not all ids
+    ids = table.column("_id").slice(0, known).to_numpy().astype(np.int64)
     texts = texts_of(table)
     words = name_words(texts)
     n = np.maximum(words.counts - size + 1, 0)
