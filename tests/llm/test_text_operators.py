@@ -15,7 +15,8 @@ from tokenizers import Tokenizer
 
 from pyspark.sql import functions as F
 from tradewinds.llm import bpe, brown, chunks, decontamination, language_id, minhash, neighbours, quality, substring_dedup, words
-from tradewinds.llm.html_text import main_text
+from tradewinds.llm.grams import gram_counts
+from tradewinds.llm.html_text import extract_main_text, main_text
 from tradewinds.llm.queries import QUERIES
 
 FOLDER = "/root/testdata/sf0.001"
@@ -224,6 +225,68 @@ def test_languages_of_odd_documents(odd_documents):
     assert {(r.lang_pred, r.score) for r in rows} == {("und", 0.0)}
 
 
+def odd_texts():
+    """Texts of no, one, two and more bytes of many kinds."""
+    texts = ["", "a", "ab", "é", "z" * 5, "hello qz", "other kv", "xyz abc", "中文", " ", "\n\t", "😀", "de la", "x" * 3000]
+    return [t.encode() for t in texts + [t for _, t in random_texts(12, 186, ["ab", "c", "é", "ñ,", "the"], 5)]]
+
+
+def test_a_text_has_the_same_features_alone_and_in_company():
+    texts = odd_texts()
+    for count in (language_id.features, quality.shares):
+        alone = np.vstack([count([t]) for t in texts])
+        assert (alone == count(texts)).all() and (alone[::-1] == count(texts[::-1])).all()
+        assert (alone == np.vstack([count(texts[a : a + 7]) for a in range(0, len(texts), 7)])).all()
+
+
+def test_grams_equal_brute_force():
+    for text, got in zip(odd_texts(), gram_counts(odd_texts(), (1, 2, 3), 1 << 12)[2], strict=True):
+        padded = b"\n\n\n" + text
+        assert sorted(Counter(padded[k : k + 3] for k in range(len(padded) - 2)).values()) == sorted(got[got > 0]) or len(text) > 1000
+
+
+def test_decoding_equals_the_sum_of_losses():
+    draw = np.random.default_rng(3)
+    code = language_id.codewords(9)
+    margins = draw.normal(size=(40, code.shape[1])) * 3
+    loss = np.log1p(np.exp(-margins[:, None, :] * code[None])).sum(axis=2)
+    best, share = language_id.decode(language_id.Coder(list("abcdefghi"), code, None, None), margins)
+    assert (best == loss.argmin(axis=1)).all() and np.allclose(share, 1 / np.exp(loss.min(axis=1, keepdims=True) - loss).sum(axis=1))
+
+
+def test_every_language_is_learned_and_repeated_rows_are_bounded(make, monkeypatch):
+    monkeypatch.setattr(language_id, "SAMPLE", 60)
+    rows = [(i, f"word{i % 30:02d} text number {i}", f"l{i % 30:02d}") for i in range(600)] + [(7, "the same row", "l07")] * 400
+    table = make(rows, "doc_id long, text string, lang string")
+    coder = language_id.learn_languages(table, F.lit(True))
+    assert coder.languages == [f"l{i:02d}" for i in range(30)]
+    empty = table.limit(0)
+    assert language_id.identify_languages(empty, F.lit(True)).count() == 0
+
+
+def test_quality_where_one_document_fills_a_third(make, monkeypatch):
+    monkeypatch.setattr(quality, "PER_LABEL", 20)
+    rows = [(i, "good fine text" if i % 2 else "bad poor junk") for i in range(200)] + [(1, f"good other {i}") for i in range(300)]
+    docs = make(rows, "doc_id long, text string")
+    labels = make([(i, i % 2) for i in range(200)] + [(3, 1)] * 150, "doc_id long, quality int")
+    seen = []
+    monkeypatch.setattr(quality, "fit", lambda x, label, weight: seen.append(len(x)) or real(x, label, weight))
+    got = quality.score_quality(docs, labels, F.lit(True))
+    assert got.count() == 500 and seen[0] < 200
+    assert quality.score_quality(docs.limit(0), labels, F.lit(True)).count() == 0
+
+
+real = quality.fit
+
+
+def test_repeats_decided_on_whole_ids(make):
+    """Ids that floating point can't tell apart, beside a row without one."""
+    text = " ".join(f"w{i}" for i in range(20))
+    rows = [(2**60 + 1, text), (2**60, text), (None, text), (2**60 + 2, "other words")]
+    got = {r.doc_id: r.n_removed for r in substring_dedup.remove_repeats(make(rows, "doc_id long, text string")).collect()}
+    assert got == {2**60: 0, 2**60 + 1: 20, None: 0, 2**60 + 2: 0}
+
+
 def test_codewords_are_apart():
     for n in (2, 4, 6, 40):
         code = language_id.codewords(n)
@@ -258,6 +321,32 @@ def test_main_text():
     assert main_text("<div>" * 20_000 + "deep") == "deep"
 
 
+ARTICLE = "<p>" + "A sentence of the article, long enough, with commas and more words. " * 3 + "</p>"
+
+
+@pytest.mark.parametrize(
+    "around",
+    [
+        '<div id="page" class="nav-open"><article>{}</article></div>',
+        '<div class="page-wrapper cookie-accepted"><div class="content">{}</div></div>',
+        '<div class="layout two-column sidebar-left"><div>{}</div><nav>menu</nav></div>',
+        '<form id="aspnetForm"><div><div>{}</div></div></form>',
+        '<article class="post comment-open">{}</article>',
+        '<div class="nav-open"><div class="cookie-accepted"><section>{}</section></div><div class="comments"><p>I say so, too, at length.</p></div></div>',
+    ],
+)
+def test_names_of_wrappers_do_not_hide_the_article(around):
+    whole = "<body><header>Site</header>" + around.format(ARTICLE * 2) + "<footer>Imprint</footer></body>"
+    assert main_text(whole) == " ".join(re.sub("<.*?>", " ", ARTICLE * 2).split())
+
+
+def test_names_count_where_something_is_left():
+    notice = f'<div class="cookie-notice">{ARTICLE}</div>'
+    assert main_text(f"<body><article><p>Short.</p></article>{notice}</body>") == "Short."
+    assert main_text(f'<body><div class="text">{ARTICLE}</div><div class="sidebar">{ARTICLE * 9}</div></body>') == main_text(ARTICLE)
+    assert main_text(f'<body><div class="comments"><div>{ARTICLE * 3}</div></div></body>') == ""
+
+
 @pytest.mark.parametrize("n", [1, 5_000])
 def test_main_text_after_long_attributes(n):
     inner = "<p>" + "x" * n + "</p>"
@@ -276,6 +365,16 @@ def test_main_text_of_unclosed_quotes_takes_linear_time():
         assert time.process_time() - began < 20
 
 
+def test_odd_pages(make):
+    rows = [(1, None, "a"), (1, None, "a"), (None, "", None), (2, "no markup", "b"), (3, "<p>" + "long text, " * 50_000, "c")]
+    table = make(rows, "page_id long, html string, _html string")
+    got = extract_main_text(table, keep=("page_id", "_html"))
+    assert got.columns == ["page_id", "_html", "text", "n_chars"]
+    found = Counter((r.page_id, r.text[:9], r.n_chars) for r in got.collect())
+    assert found == Counter({(1, "", 0): 2, (None, "", 0): 1, (2, "no markup", 9): 1, (3, "long text", 549_999): 1})
+    assert extract_main_text(table.limit(0), keep=("page_id",)).count() == 0
+
+
 def test_pages(spark):
     rows = QUERIES["op3_html_extraction"](spark, FOLDER).collect()
     assert len(rows) == 50 and all(r.n_chars == len(r.text) for r in rows) and sum(r.n_chars > 0 for r in rows) >= 45
