@@ -95,3 +95,52 @@ def test_event_order(spark):
     assert rows(qc.event_gap_histogram(child, "ct", orders, "t", "k")) == Counter({(-1439, 1): 1, (0, 1): 1})
     nothing = qc.cross_table_event_order(child.limit(0), "ct", orders, "t", "k").first()
     assert tuple(nothing) == (0, 0, None, None)
+
+
+def final_plan(df):
+    """The plan as it was run, without the one it began with."""
+    return df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+
+
+def test_references_read_every_table_once(spark, tmp_path, large_sides):
+    def stored(name, rows, schema):
+        spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / name))
+        return spark.read.parquet(str(tmp_path / name))
+
+    orders = stored("orders", [("o1", 1), ("o2", 2), (None, 3)], "order_id string, customer int")
+    items = stored("items", [("o1", 5), ("o9", 5), ("o9", 6), (None, 7), ("o2", None)], "order_id string, product long")
+    products = stored("products", [(5,), (5,), (8,)], "product int")
+    customers = stored("customers", [(1,), (3,)], "id int")
+    rules = {
+        "items.order": ("items", items, "order_id", orders, "order_id"),
+        "items.product": ("items", items, "product", products, "product"),
+        "orders.customer": ("orders", orders, "customer", customers, "id"),
+        "orders.order": ("orders", orders, "order_id", items, "order_id"),
+    }
+    got = qc.referential_summary(rules)
+    assert {r["rule_name"]: (r["table_name"], r["orphan_cnt"]) for r in got.collect()} == {
+        "items.order": ("items", 2), "items.product": ("items", 2), "orders.customer": ("orders", 1), "orders.order": ("orders", 0)
+    }
+    plan = final_plan(got)
+    assert plan.count("FileScan") == 4 and plan.count("Exchange hashpartitioning") == 1
+    none = qc.referential_summary({r: (t, c.limit(0), ck, p, pk) for r, (t, c, ck, p, pk) in rules.items()})
+    assert {r["orphan_cnt"] for r in none.collect()} == {0}
+
+
+def test_equal_copies_move_no_row(spark, tmp_path, large_sides):
+    rows = spark.range(5000).select("id", (F.col("id") % 7).cast("string").alias("t"), F.when(F.col("id") % 3 > 0, F.col("id")).alias("v"))
+    rows.write.parquet(str(tmp_path / "a"))
+    rows.repartition(5).write.parquet(str(tmp_path / "b"))
+    a, b = (spark.read.parquet(str(tmp_path / n)) for n in "ab")
+
+    def plan_and_answer(left, right):
+        got = qc.copy_mismatch(left, right, "id", ["t", "v"])
+        answer = tuple(got.collect()[0])
+        return final_plan(got), answer
+
+    plan, answer = plan_and_answer(a, b)
+    assert answer == (0, 0, 0) and "Join [id" not in plan and "hashpartitioning(id" not in plan
+    changed = b.withColumn("t", F.when(F.col("id").isin(3, 4), "x").otherwise(F.col("t"))).withColumn("v", F.when(F.col("id") == 4, None).otherwise(F.col("v")))
+    assert plan_and_answer(a, changed)[1] == (2, 2, 1)
+    assert plan_and_answer(a, changed.filter("id < 4").union(spark.createDataFrame([(9999, "t", 1)], b.schema)))[1] == (1, 1, 0)
+    assert plan_and_answer(a.limit(0), b)[1] == (0, 0, 0)

@@ -9,6 +9,7 @@ import pytest
 
 from pyspark.sql import functions as F
 from tests.shop import raw_shop
+from tradewinds.plans import quality_suite
 from tradewinds.plans.warehouse import LAYERS, Warehouse, build_all, over_layers
 from tradewinds.sources import storage
 
@@ -158,3 +159,22 @@ def test_heavy_keys_are_kept_with_the_table_and_salted(spark, tmp_path, large_si
 def marts_plan(stored):
     """The item fact over the stored staging tables, as yet unwritten."""
     return over_layers(stored, "stg").fact_order_items
+
+
+def test_the_report_over_stored_tables_uses_what_was_kept(spark, bucketed):
+    lazy, stored = quality_suite.run_qc(Warehouse(raw_shop(spark))), quality_suite.run_qc(bucketed)
+    assert lazy.dtypes == stored.dtypes
+    assert Counter(map(tuple, lazy.collect())) == Counter(map(tuple, stored.collect()))
+    # a key check and the references read each of the eight staging tables, nothing else does
+    plan = plan_of(stored).split("== Initial Plan ==")[0]
+    scans = re.findall(r"FileScan parquet|Scan ExistingRDD", plan)
+    assert plan.count("FileScan parquet") <= 16, scans
+
+
+def test_metrics_are_those_of_the_rows_written(spark, tmp_path):
+    path = str(tmp_path / "t")
+    wanted = {"rows": F.count(F.lit(1)), "most": F.max("v"), "none": F.max(F.when(F.col("v") < 0, F.col("v")))}
+    storage.overwrite_table(months(spark, 50), path, partition_by=["m"], metrics=wanted)
+    assert storage.stored_table(spark, path).metrics == {"rows": "50", "most": "98", "none": None}
+    storage.overwrite_partitions(months(spark, 3), path)
+    assert storage.stored_table(spark, path).metrics == {}

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tradewinds.functions import percent, whole_minutes_between
+from tradewinds.operators.aggregates import one_row_to_long
 from tradewinds.operators.joins import count_by_key, lookup_join, match_counts
 from tradewinds.operators.quality.keys import union_all
 
@@ -32,15 +33,37 @@ def orphan_count(
 
 
 def referential_summary(rules: Mapping[str, tuple[str, DataFrame, str, DataFrame, str]]) -> DataFrame:
-    """One row per rule: rule name -> (table name, child, child key, parent, parent key)."""
-    return union_all(
-        [
-            orphan_count(child, child_key, parent, parent_key).select(
-                F.lit(table).alias("table_name"), F.lit(rule).alias("rule_name"), "orphan_cnt"
-            )
-            for rule, (table, child, child_key, parent, parent_key) in rules.items()
-        ]
-    )
+    """One row per rule: rule name -> (table name, child, child key, parent, parent key).
+
+    All rules together are one aggregation. Every table is read once, whatever rules name it as child or parent: its keys
+    are unfolded with the key column of a parent they belong to and the rule they are counted for, counted before the
+    shuffle, and meet there.
+    """
+    spaces: dict[tuple[int, str], int] = {}
+    tables: dict[int, tuple[DataFrame, list[Column]]] = {}
+
+    def add(df: DataFrame, space: int, key: Column, rule: int) -> None:
+        entry = F.struct(F.lit(space).alias("space"), key.cast("string").alias("key"), F.lit(rule).alias("rule"))
+        tables.setdefault(id(df), (df, []))[1].append(entry)
+
+    for number, (_, child, child_key, parent, parent_key) in enumerate(rules.values()):
+        if (id(parent), parent_key) not in spaces:
+            spaces[id(parent), parent_key] = len(spaces)
+            add(parent, len(spaces) - 1, F.col(parent_key), -1)
+        space = spaces[id(parent), parent_key]
+        add(child, space, F.col(child_key).cast(parent.schema[parent_key].dataType), number)
+    parts = [df.select(F.explode(F.array(*entries)).alias("e")).select("e.*") for df, entries in tables.values()]
+    counts = [F.count_if(F.col("rule") == number).alias(f"n_{number}") for number in range(len(rules))]
+    met = union_all(parts).filter("key is not null").groupBy("space", "key").agg(F.max(F.col("rule") == -1).alias("known"), *counts)
+    rows = [
+        {
+            "table_name": F.lit(table),
+            "rule_name": F.lit(rule),
+            "orphan_cnt": F.coalesce(F.sum(F.when(~F.col("known"), F.col(f"n_{number}"))), F.lit(0)),
+        }
+        for number, (rule, (table, *_)) in enumerate(rules.items())
+    ]
+    return one_row_to_long(met, rows)
 
 
 def orphan_drilldown(

@@ -1,42 +1,15 @@
-"""The rules of the quality suite: which keys, domains and references hold for which table."""
+"""The rules of the quality suite: which references hold between tables, and the report over all rules."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tradewinds.functions import percent
 from tradewinds.operators import quality as qc
-from tradewinds.operators.aggregates import one_row_to_long
-from tradewinds.operators.quality.keys import any_null, key_label, missing_values, union_all
-from tradewinds.plans.staging import LAT_RANGE, LNG_RANGE
+from tradewinds.operators.quality.keys import union_all
+from tradewinds.plans.counters import CRITICAL_COLUMNS, FLAG_TABLES, PRIMARY_KEYS, ROWS, VALUE_TYPE, domain_rules, kept_counters, table_counters
 from tradewinds.plans.warehouse import Warehouse
 
-PRIMARY_KEYS: dict[str, list[str]] = {
-    "stg_orders": ["order_id"],
-    "stg_customers": ["customer_id"],
-    "stg_order_items": ["order_id", "order_item_id"],
-    "stg_products": ["product_id"],
-    "stg_sellers": ["seller_id"],
-    "stg_order_payments": ["order_id", "payment_sequential"],
-    "stg_order_reviews": ["review_id", "order_id"],
-    "stg_geolocation": ["geolocation_zip_code_prefix"],
-}
-
-# table -> (columns that must not be NULL, columns that must not be NULL or blank)
-CRITICAL_COLUMNS: dict[str, tuple[list[str], list[str]]] = {
-    "stg_orders": (["customer_id", "order_purchase_dt"], ["order_status"]),
-    "stg_customers": (["customer_unique_id", "customer_zip_code_prefix"], ["customer_city_state"]),
-    "stg_order_items": (["product_id", "seller_id", "price", "freight_value"], []),
-    "stg_sellers": (["seller_zip_code_prefix"], ["seller_city_state"]),
-    "stg_order_payments": (["payment_value"], ["payment_type"]),
-    "stg_order_reviews": (["review_score"], []),
-}
-
-FLAG_TABLES = ["stg_orders", "stg_products", "stg_order_payments", "stg_order_reviews", "stg_geolocation"]
-
-PAYMENT_TYPES = ["credit_card", "boleto", "voucher", "debit_card", "not_defined"]
-
 # The names of these rules and of the domain rules below are those that users of the report look up.
 # rule -> (child table, child key, parent table, parent key)
 REFERENCES: dict[str, tuple[str, str, str, str]] = {
@@ -63,28 +36,6 @@ REFERENCES: dict[str, tuple[str, str, str, str]] = {
 MONITORED_RULES = {"customers.zip -> geolocation", "sellers.zip -> geolocation"}
 
 
-def domain_rules() -> dict[str, dict[str, Column]]:
-    """table -> rule -> condition that present values meet."""
-    kind = F.col("payment_type")
-    return {
-        "stg_order_payments": {
-            "payment_type_domain": (F.trim(kind) == "") | kind.isin(*PAYMENT_TYPES),
-            "payment_sequential >= 1": F.col("payment_sequential") >= 1,
-            "payment_installments >= 0": F.col("payment_installments") >= 0,
-            "payment_value >= 0": F.col("payment_value") >= 0,
-        },
-        "stg_order_reviews": {"review_score BETWEEN 1 AND 5": F.col("review_score").between(1, 5)},
-        "stg_order_items": {
-            "price >= 0 AND freight_value >= 0": (F.coalesce("price", F.lit(0)) >= 0)
-            & (F.coalesce("freight_value", F.lit(0)) >= 0)
-        },
-        "stg_geolocation": {
-            "lat in range": F.col("geolocation_lat").between(*LAT_RANGE),
-            "lng in range": F.col("geolocation_lng").between(*LNG_RANGE),
-        },
-    }
-
-
 def pk_specs(w: Warehouse) -> dict[str, tuple[DataFrame, list[str]]]:
     return {name: (w.table(name), keys) for name, keys in PRIMARY_KEYS.items()}
 
@@ -128,54 +79,38 @@ RAW_OF = {
 
 def row_counts(w: Warehouse) -> DataFrame:
     """Raw against staging; the collapsed geolocation is compared with the distinct raw zips."""
-    pairs = {raw: (w.raw(raw), w.table(stg)) for stg, raw in RAW_OF.items()}
+    pairs = {raw: (w.raw(raw), _counted(w, stg)) for stg, raw in RAW_OF.items()}
     zips = w.raw("geolocation").select(F.trim("geolocation_zip_code_prefix").alias("zip")).distinct()
-    pairs["geolocation_zips"] = (zips, w.stg_geolocation)
+    pairs["geolocation_zips"] = (zips, _counted(w, "stg_geolocation"))
     return qc.row_count_reconcile(pairs)
 
 
+def _counted(w: Warehouse, table: str) -> DataFrame | int:
+    """The table, or the number of its rows where that is known since it was written."""
+    kept = w.metrics(table)
+    return int(kept[ROWS]) if kept else w.table(table)
+
+
+def _counters(w: Warehouse, table: str) -> DataFrame:
+    df, kept = w.table(table), w.metrics(table)
+    return kept_counters(df.sparkSession, table, df.columns, kept) if kept else table_counters(df, table)
+
+
 def _as_checks(df: DataFrame, section: str, subject: Column, check: Column, value: str, severity: Column) -> DataFrame:
     return df.select(
         F.lit(section).alias("section"),
         subject.alias("subject"),
         check.alias("check_name"),
         severity.alias("severity"),
-        F.col(value).cast("decimal(20,2)").alias("value"),
+        F.col(value).cast(VALUE_TYPE).alias("value"),
     )
 
 
-def table_counters(w: Warehouse, table: str) -> DataFrame:
-    """Every counter of one table that needs no other rows - keys, critical columns, flags, domains - in one pass."""
-    df = w.table(table)
-    total = F.count(F.lit(1))
-
-    def row(section: str, check: str, severity: str, value: Column) -> dict[str, Column]:
-        return {
-            "section": F.lit(section),
-            "subject": F.lit(table),
-            "check_name": F.lit(check),
-            "severity": F.lit(severity),
-            "value": value.cast("decimal(20,2)"),
-        }
-
-    keys = PRIMARY_KEYS[table]
-    rows = [row("keys", f"missing {key_label(keys)}", "fail", F.count_if(any_null(keys)))]
-    if table in CRITICAL_COLUMNS:
-        null_cols, blank_cols = CRITICAL_COLUMNS[table]
-        label = ", ".join([*null_cols, *blank_cols])
-        rows.append(row("critical columns", label, "fail", missing_values(null_cols, blank_cols)))
-    if table in FLAG_TABLES:
-        flag_cols = [c for c in df.columns if c.startswith("is_")]
-        rows += [row("flags", c, "monitor", percent(F.count_if(F.col(c) == 1), total)) for c in flag_cols]
-    rows += [row("domains", n, "fail", F.count_if(~ok)) for n, ok in domain_rules().get(table, {}).items()]
-    return one_row_to_long(df, rows)
-
-
 def run_qc(w: Warehouse) -> DataFrame:
     """The consolidated report: one row per check with its value, severity and verdict.
 
-    'fail' rows must be zero; 'monitor' rows are reported only. Each table is read once for
-    all its counters, once for its key, and by the references that name it.
+    'fail' rows must be zero; 'monitor' rows are reported only. Each table is read once for all its counters, unless they
+    were kept when it was written, once for its key, and once for all references together.
     """
     fail, monitor = F.lit("fail"), F.lit("monitor")
     table = F.col("table_name")
@@ -184,7 +119,7 @@ def run_qc(w: Warehouse) -> DataFrame:
     parts = [
         _as_checks(row_counts(w), "row counts", F.col("entity"), F.lit("staging - raw"), "diff", monitor),
         _as_checks(pk_uniqueness(w), "keys", table, repeated, "dup_cnt", fail),
-        *[table_counters(w, name) for name in PRIMARY_KEYS],
+        *[_counters(w, name) for name in PRIMARY_KEYS],
         _as_checks(references(w), "references", table, F.col("rule_name"), "orphan_cnt", watched),
     ]
     report = union_all(parts)

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from tradewinds.operators.joins import BYTES_IN_MEMORY_PER_FILE_BYTE, HEAVY_SHARE, input_bytes
-from tradewinds.plans import analysis, marts, staging
+from tradewinds.plans import analysis, counters, marts, staging
 from tradewinds.sources.schemas import TABLE_SCHEMAS
 from tradewinds.sources.storage import overwrite_table, stored_table
 
@@ -95,10 +95,16 @@ class Warehouse:
         """The heavy keys kept beside a stored table, by column; none without storage."""
         if self._storage is None:
             return {}
-        self.table(name)
-        table = stored_table(self.raw("orders").sparkSession, self._path(name))
+        table = stored_table(self.table(name).sparkSession, self._path(name))
         return {key: table.heavy_keys(key) for key in table.heavy} if table else {}
 
+    def metrics(self, name: str) -> dict[str, str | None]:
+        """The metrics kept beside a stored table; none without storage."""
+        if self._storage is None:
+            return {}
+        table = stored_table(self.table(name).sparkSession, self._path(name))
+        return dict(table.metrics) if table else {}
+
     @cached_property
     def fact_buckets(self) -> int:
         """Buckets of the facts: none where one order would fill more than two buckets' share."""
@@ -111,7 +117,15 @@ class Warehouse:
         schema = T.StructType(TABLE_SCHEMAS[name].fields + [df.schema[c] for c in partition_by])
         buckets = (self.fact_buckets if name.startswith("fact_") else self._buckets) if name in BY_ORDER else 0
         return overwrite_table(
-            df, self._path(name), schema, partition_by, cluster_by, "order_id", buckets, LOOKED_UP.get(name, ())
+            df,
+            self._path(name),
+            schema,
+            partition_by,
+            cluster_by,
+            "order_id",
+            buckets,
+            LOOKED_UP.get(name, ()),
+            counters.metrics(name, schema.names),
         )
 
     # staging
@@ -246,6 +260,8 @@ def over_layers(stored: Warehouse, *layers: str) -> Warehouse:
             lazy.__dict__[name] = stored.table(name)
         lazy.__dict__["fact_buckets"] = stored.fact_buckets
     lazy.__dict__["heavy"] = stored.heavy
+    if "stg" in layers:
+        lazy.__dict__["metrics"] = stored.metrics
     return lazy
 
 

@@ -13,10 +13,10 @@ from __future__ import annotations
 import atexit
 import json
 import uuid
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import asdict, dataclass, field, replace
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -28,14 +28,15 @@ VERSION = "_version"
 
 @dataclass(frozen=True)
 class Table:
-    """What the pointer says: schema, layout, heavy keys by column, and the version of each partition folder ('' where
-    the table has no partitions)."""
+    """What the pointer says: schema, layout, heavy keys by column, metrics taken while it was written, and the version of
+    each partition folder ('' where the table has no partitions)."""
 
     schema: str
     partition_by: list[str] = field(default_factory=list)
     bucket_by: str | None = None
     buckets: int = 0
     heavy: dict[str, list] = field(default_factory=dict)
+    metrics: dict[str, str | None] = field(default_factory=dict)
     parts: dict[str, str] = field(default_factory=dict)
 
     @property
@@ -66,6 +67,7 @@ def overwrite_table(
     bucket_by: str | None = None,
     buckets: int = 0,
     heavy: Sequence[str] = (),
+    metrics: Mapping[str, Column] | None = None,
 ) -> DataFrame:
     """Full refresh of a table; returns it as written. Repeating it gives the same table.
 
@@ -79,14 +81,17 @@ def overwrite_table(
     a shuffle. Buckets are spread over writers by their size, too; a heavy bucket is several files.
 
     For the columns named in ``heavy`` the keys that hold a large share of the rows are looked for in what was written and
-    kept beside it, for joins to salt them without a job of their own.
+    kept beside it, for joins to salt them without a job of their own. ``metrics``, aggregates over all rows, are taken in
+    passing and kept beside it, too.
     """
     spark = df.sparkSession
     out = df if schema is None else conform(df, schema)
     table = Table(out.schema.json(), list(partition_by), bucket_by if buckets else None, buckets if bucket_by else 0)
-    version = _write(out, path, table, cluster_by)
+    seen = Observation() if metrics else None
+    version = _write(out, path, table, cluster_by, seen, metrics)
     parts = {p: version for p in _partitions(spark, f"{path}/{VERSION}={version}", table.partition_by)}
-    table = replace(table, parts=parts)
+    found = {name: None if value is None else str(value) for name, value in seen.get.items()} if seen else {}
+    table = replace(table, parts=parts, metrics=found)
     if heavy:
         rows = _rows(spark, path, table)
         table = replace(table, heavy={key: [list(k) for k in found] for key, found in heavy_keys_of(rows, heavy).items()})
@@ -96,17 +101,25 @@ def overwrite_table(
 
 def overwrite_partitions(df: DataFrame, path: str, cluster_by: Sequence[str] = ()) -> DataFrame:
     """Replace the partitions of a stored table that ``df`` has rows of, and add those that are new; the other partitions
-    keep their files, which are not read. Heavy keys stay those of the last full refresh."""
+    keep their files, which are not read. Heavy keys stay those of the last full refresh; metrics of the whole table, which
+    this write does not see, go."""
     spark, table = df.sparkSession, stored_table(df.sparkSession, path)
     if table is None or not table.partition_by:
         raise ValueError(f"no table with partitions at {path}")
     version = _write(conform(df, table.struct), path, table, cluster_by)
     new = {p: version for p in _partitions(spark, f"{path}/{VERSION}={version}", table.partition_by)}
-    _point_to(spark, path, replace(table, parts={**table.parts, **new}))
+    _point_to(spark, path, replace(table, metrics={}, parts={**table.parts, **new}))
     return read_table(spark, path)
 
 
-def _write(out: DataFrame, path: str, table: Table, cluster_by: Sequence[str]) -> str:
+def _write(
+    out: DataFrame,
+    path: str,
+    table: Table,
+    cluster_by: Sequence[str],
+    seen: Observation | None = None,
+    metrics: Mapping[str, Column] | None = None,
+) -> str:
     spark, version = out.sparkSession, uuid.uuid4().hex
     if table.buckets:
         numbered = out.withColumn("_bucket", F.pmod(F.hash(table.bucket_by), F.lit(table.buckets)))
@@ -115,6 +128,9 @@ def _write(out: DataFrame, path: str, table: Table, cluster_by: Sequence[str]) -
         out = out.hint("rebalance", *table.partition_by)
         if cluster_by:
             out = out.sortWithinPartitions(*table.partition_by, *cluster_by)
+    if seen:
+        # past the shuffle, in the tasks that write: what a lost task saw is not counted
+        out = out.observe(seen, *[c.alias(name) for name, c in metrics.items()])
     writer = out.write.partitionBy(*table.partition_by)
     target = f"{path}/{VERSION}={version}"
     if not table.buckets:
