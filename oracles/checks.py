@@ -372,6 +372,7 @@ WHERE geolocation_lat NOT BETWEEN -35 AND 6 OR geolocation_lng NOT BETWEEN -75 A
     "mode_confidence": f"""SELECT zip_prefix, CAST(row_cnt AS BIGINT) AS row_cnt, mode_cnt, {pct("mode_cnt", "row_cnt")} AS mode_ratio_pct
 FROM geo_counts JOIN point_mode USING (zip_prefix)""",
     "mode_confidence_low": f"SELECT {ZIP}, row_cnt, mode_cnt, mode_ratio_pct FROM stg_geolocation WHERE mode_ratio_pct < 5",
+    "mode_confidence_low_gap": f"SELECT {ZIP}, row_cnt, mode_cnt, mode_ratio_pct FROM stg_geolocation WHERE mode_ratio_pct < 30",
     "mode_confidence_summary": f"""SELECT low_mode_cnt, total_cnt, {pct("low_mode_cnt", "total_cnt")} AS low_mode_pct
 FROM (SELECT {n("mode_ratio_pct < 5")} AS low_mode_cnt, count(*) AS total_cnt FROM stg_geolocation) AS t""",
     # row rules

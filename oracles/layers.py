@@ -44,6 +44,9 @@ DATE_COLUMNS = """SELECT {key} AS date_key, d AS "date", CAST(year(d) AS INTEGER
 )
 
 
+MONTH_OF_KEY = "order_purchase_date_key // 10000 || '-' || lpad(CAST(order_purchase_date_key // 100 % 100 AS VARCHAR), 2, '0')"
+
+
 def _copy(name: str) -> str:
     return f"SELECT * FROM {name}"
 
@@ -162,7 +165,10 @@ ORDER BY item_total_value DESC NULLS LAST, order_id, order_item_id, product_id L
             for i, f in enumerate(schema.fields, start=1)
         ]
     ),
-    "fact_orders_of_month": "SELECT * FROM fact_orders WHERE order_purchase_date_key BETWEEN 19950301 AND 19950331",
+    "fact_orders_of_month": f"SELECT *, {MONTH_OF_KEY} AS year_month FROM fact_orders",
+    "overwrite_partitions": f"""
+SELECT * REPLACE (CAST(CASE WHEN {MONTH_OF_KEY} LIKE '%3' THEN 9 ELSE is_canceled END AS INTEGER) AS is_canceled),
+       {MONTH_OF_KEY} AS year_month FROM fact_orders""",
     # staging
     **{
         t: _copy(t)

@@ -39,7 +39,7 @@ def test_query(spark, con, name):
     assert not found
 
 
-WRITING = {name for name in queries() if name.startswith("raw_")} | {"overwrite_table", "fact_orders_of_month"}
+WRITING = {name for name in queries() if name.startswith("raw_")} | {"overwrite_table", "overwrite_partitions", "fact_orders_of_month"}
 
 
 def test_building_a_plan_starts_no_job(spark, large_sides):

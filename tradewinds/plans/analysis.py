@@ -57,19 +57,15 @@ def new_repeat_flags(month: str = "year_month", cohort: str = "cohort_year_month
     ]
 
 
-def base_customer_monthly_purchase(
-    delivered_orders: DataFrame, items: DataFrame, dim_customer: DataFrame, colocated: bool = False
-) -> DataFrame:
-    """Sparse person-month table with cohort month, order, item and revenue totals.
+def person_months(delivered_orders: DataFrame, items: DataFrame, dim_customer: DataFrame, colocated: bool = False) -> DataFrame:
+    """Orders, items and revenue per person and month; a month depends on the orders and items of that month alone.
 
     ``items`` is the item fact, of which only items of delivered orders come through. The totals are those of
     the view of delivered items: an order row that occurs twice brings its items twice, but counts as one order.
 
-    Built as one flow: items collapse per order and meet the orders on the order key, which also
-    serves the grouping per order; the totals collapse to (person, month), and the cohort month
-    is the earliest month of the person. The window runs over a person's months, never over raw rows.
-
-    ``colocated``: orders and items are stored in equal buckets by order, so they meet before anything moves the orders.
+    Built as one flow: items collapse per order and meet the orders on the order key, which also serves the grouping per
+    order; then the totals collapse to (person, month). ``colocated``: orders and items are stored in equal buckets by
+    order, so they meet before anything moves the orders.
     """
     per_order = items.groupBy("order_id").agg(
         F.count(F.lit(1)).alias("item_cnt"), F.sum("item_total_value").alias("revenue")
@@ -82,11 +78,18 @@ def base_customer_monthly_purchase(
         owned = lookup_join(placed, ids, "customer_id").join(per_order, "order_id", "left")
     # rows with the same order id meet here once more, so a repeated order row counts as one order
     orders = owned.groupBy(*PERSON_MONTH, "order_id").agg(F.sum("item_cnt").alias("item_cnt"), F.sum("revenue").alias("revenue"))
-    person_month = orders.groupBy(*PERSON_MONTH).agg(
+    return orders.groupBy(*PERSON_MONTH).agg(
         F.count(F.lit(1)).alias("order_cnt"),
         F.coalesce(F.sum("item_cnt"), F.lit(0)).alias("item_cnt"),
         F.coalesce(F.sum("revenue").cast(MONEY_TYPE), _zero_money()).alias("gross_revenue"),
     )
+
+
+def with_cohorts(person_month: DataFrame) -> DataFrame:
+    """The sparse person-month table: cohort month, months since, and flags beside the totals of ``person_months``.
+
+    The cohort month is the earliest month of the person. The window runs over a person's months, never over raw rows.
+    """
     months_of_person = W.partitionBy("customer_unique_id")
     return person_month.withColumn("cohort_year_month", F.min("year_month").over(months_of_person)).select(
         *PERSON_MONTH,
@@ -99,6 +102,13 @@ def base_customer_monthly_purchase(
     )
 
 
+def base_customer_monthly_purchase(
+    delivered_orders: DataFrame, items: DataFrame, dim_customer: DataFrame, colocated: bool = False
+) -> DataFrame:
+    """Sparse person-month table with cohort month, order, item and revenue totals."""
+    return with_cohorts(person_months(delivered_orders, items, dim_customer, colocated))
+
+
 def dense_customer_month(base: DataFrame, last_month: Column) -> DataFrame:
     """Person x month grid from the cohort month to ``last_month``; inactive months are 0-filled."""
     empty = {"order_cnt": F.lit(0), "item_cnt": F.lit(0), "gross_revenue": _zero_money()}

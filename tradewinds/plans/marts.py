@@ -29,6 +29,19 @@ def dim_date(stg_orders: DataFrame) -> DataFrame:
     return calendar_table(generate_calendar(date_bounds(stg_orders, ORDER_DATES)))
 
 
+def month_bounds(fact_orders: DataFrame) -> DataFrame:
+    """(year_month, low, high): the earliest and latest of all dates of a month's orders."""
+    dates = [F.col(c).cast("date") for c in ORDER_DATES]
+    low, high = F.least(*[F.min(d) for d in dates]), F.greatest(*[F.max(d) for d in dates])
+    return with_month(fact_orders, "order_purchase_date_key").groupBy("year_month").agg(low.alias("low"), high.alias("high"))
+
+
+def dim_date_over(bounds: DataFrame) -> DataFrame:
+    """The calendar of ``dim_date`` from the bounds of all months of orders."""
+    ends = bounds.agg(F.add_months(F.min("low"), -1).alias("start_date"), F.add_months(F.max("high"), 1).alias("end_date"))
+    return calendar_table(generate_calendar(ends))
+
+
 def dim_geolocation(stg_geolocation: DataFrame) -> DataFrame:
     return stg_geolocation.select(columns_of("dim_geolocation"))
 

@@ -19,9 +19,14 @@ from pyspark.sql import types as T
 from tradewinds.operators.joins import BYTES_IN_MEMORY_PER_FILE_BYTE, HEAVY_SHARE, input_bytes
 from tradewinds.plans import analysis, counters, marts, staging
 from tradewinds.sources.schemas import TABLE_SCHEMAS
-from tradewinds.sources.storage import overwrite_table, stored_table
-
-BUCKET_BYTES = 256 << 20
+from tradewinds.sources.storage import overwrite_table, read_table, stored_table
+
+# what a bucket takes in memory over all months, where no more than MOST_BUCKETS are needed for that: a bucket has a
+# file in every month
+BUCKET_BYTES, MOST_BUCKETS = 2 << 30, 1 << 13
+UNKNOWN_BYTES = 1 << 60
+# beside the layers: what later changes of single months are merged into
+PERSON_MONTHS, MONTH_BOUNDS = "state/person_months", "state/month_bounds"
 # stored by order where there are buckets
 BY_ORDER = ("stg_orders", "stg_order_items", "stg_order_payments", "stg_order_reviews", "fact_orders", "fact_order_items")
 # columns of stored tables whose heavy keys are looked for
@@ -84,10 +89,12 @@ class Warehouse:
             return 0
         if self._asked_buckets is not None:
             return self._asked_buckets
-        size = (input_bytes(self.raw("order_items")) or 0) * BYTES_IN_MEMORY_PER_FILE_BYTE
-        return 1 << (size // BUCKET_BYTES).bit_length() if size >= 2 * BUCKET_BYTES else 0
+        size = input_bytes(self.raw("order_items")) or 0
+        if size >= UNKNOWN_BYTES or size * BYTES_IN_MEMORY_PER_FILE_BYTE < 2 * BUCKET_BYTES:
+            return 0
+        return min(MOST_BUCKETS, 1 << (size * BYTES_IN_MEMORY_PER_FILE_BYTE // BUCKET_BYTES).bit_length())
 
-    def _path(self, name: str) -> str:
+    def path(self, name: str) -> str:
         layer = next(layer for layer, names in LAYERS.items() if name in names)
         return f"{self._storage}/{layer}/{name}"
 
@@ -95,14 +102,14 @@ class Warehouse:
         """The heavy keys kept beside a stored table, by column; none without storage."""
         if self._storage is None:
             return {}
-        table = stored_table(self.table(name).sparkSession, self._path(name))
+        table = stored_table(self.table(name).sparkSession, self.path(name))
         return {key: table.heavy_keys(key) for key in table.heavy} if table else {}
 
     def metrics(self, name: str) -> dict[str, str | None]:
         """The metrics kept beside a stored table; none without storage."""
         if self._storage is None:
             return {}
-        table = stored_table(self.table(name).sparkSession, self._path(name))
+        table = stored_table(self.table(name).sparkSession, self.path(name))
         return dict(table.metrics) if table else {}
 
     @cached_property
@@ -111,14 +118,14 @@ class Warehouse:
         widest = max((salts for _, salts in self.heavy("stg_order_items").get("order_id", [])), default=0)
         return 0 if widest * HEAVY_SHARE * self._buckets > 2 else self._buckets
 
-    def _keep(self, name: str, df: DataFrame, partition_by: Sequence[str] = (), cluster_by: Sequence[str] = ()) -> DataFrame:
+    def keep(self, name: str, df: DataFrame, partition_by: Sequence[str] = (), cluster_by: Sequence[str] = ()) -> DataFrame:
         if self._storage is None:
             return df
         schema = T.StructType(TABLE_SCHEMAS[name].fields + [df.schema[c] for c in partition_by])
         buckets = (self.fact_buckets if name.startswith("fact_") else self._buckets) if name in BY_ORDER else 0
         return overwrite_table(
             df,
-            self._path(name),
+            self.path(name),
             schema,
             partition_by,
             cluster_by,
@@ -132,58 +139,58 @@ class Warehouse:
 
     @cached_property
     def stg_orders(self) -> DataFrame:
-        return self._keep("stg_orders", staging.stg_orders(self.raw("orders")))
+        return self.keep("stg_orders", staging.stg_orders(self.raw("orders")))
 
     @cached_property
     def stg_customers(self) -> DataFrame:
-        return self._keep("stg_customers", staging.stg_customers(self.raw("customers")))
+        return self.keep("stg_customers", staging.stg_customers(self.raw("customers")))
 
     @cached_property
     def stg_order_items(self) -> DataFrame:
-        return self._keep("stg_order_items", staging.stg_order_items(self.raw("order_items")))
+        return self.keep("stg_order_items", staging.stg_order_items(self.raw("order_items")))
 
     @cached_property
     def stg_products(self) -> DataFrame:
         products = staging.stg_products(self.raw("products"), self.raw("category_translation"))
-        return self._keep("stg_products", products)
+        return self.keep("stg_products", products)
 
     @cached_property
     def stg_sellers(self) -> DataFrame:
-        return self._keep("stg_sellers", staging.stg_sellers(self.raw("sellers")))
+        return self.keep("stg_sellers", staging.stg_sellers(self.raw("sellers")))
 
     @cached_property
     def stg_order_payments(self) -> DataFrame:
-        return self._keep("stg_order_payments", staging.stg_order_payments(self.raw("order_payments")))
+        return self.keep("stg_order_payments", staging.stg_order_payments(self.raw("order_payments")))
 
     @cached_property
     def stg_order_reviews(self) -> DataFrame:
-        return self._keep("stg_order_reviews", staging.stg_order_reviews(self.raw("order_reviews")))
+        return self.keep("stg_order_reviews", staging.stg_order_reviews(self.raw("order_reviews")))
 
     @cached_property
     def stg_geolocation(self) -> DataFrame:
-        return self._keep("stg_geolocation", staging.stg_geolocation(self.raw("geolocation")))
+        return self.keep("stg_geolocation", staging.stg_geolocation(self.raw("geolocation")))
 
     # star schema
 
     @cached_property
     def dim_date(self) -> DataFrame:
-        return self._keep("dim_date", marts.dim_date(self.stg_orders))
+        return self.keep("dim_date", marts.dim_date(self.stg_orders))
 
     @cached_property
     def dim_geolocation(self) -> DataFrame:
-        return self._keep("dim_geolocation", marts.dim_geolocation(self.stg_geolocation))
+        return self.keep("dim_geolocation", marts.dim_geolocation(self.stg_geolocation))
 
     @cached_property
     def dim_customer(self) -> DataFrame:
-        return self._keep("dim_customer", marts.dim_customer(self.stg_customers))
+        return self.keep("dim_customer", marts.dim_customer(self.stg_customers))
 
     @cached_property
     def dim_product(self) -> DataFrame:
-        return self._keep("dim_product", marts.dim_product(self.stg_products))
+        return self.keep("dim_product", marts.dim_product(self.stg_products))
 
     @cached_property
     def dim_seller(self) -> DataFrame:
-        return self._keep("dim_seller", marts.dim_seller(self.stg_sellers))
+        return self.keep("dim_seller", marts.dim_seller(self.stg_sellers))
 
     @cached_property
     def fact_order_items_by_month(self) -> DataFrame:
@@ -198,7 +205,7 @@ class Warehouse:
     def _by_month(self, name: str, fact: DataFrame) -> DataFrame:
         """The fact with the month label of its purchase, by which its files are kept apart."""
         dated = marts.with_month(fact, "order_purchase_date_key")
-        return self._keep(name, dated, ["year_month"], ["order_purchase_date_key"])
+        return self.keep(name, dated, ["year_month"], ["order_purchase_date_key"])
 
     @cached_property
     def fact_order_items(self) -> DataFrame:
@@ -226,27 +233,38 @@ class Warehouse:
     # analysis
 
     @cached_property
-    def base_customer_monthly_purchase(self) -> DataFrame:
+    def person_months(self) -> DataFrame:
+        """Totals of persons by month, stored by month."""
         # the item fact, stored or not: repeated order or customer rows repeat items there
-        base = analysis.base_customer_monthly_purchase(
-            self.vw_delivered_orders, self.fact_order_items, self.dim_customer, self.fact_buckets > 0
-        )
-        return self._keep("base_customer_monthly_purchase", base)
+        totals = analysis.person_months(self.vw_delivered_orders, self.fact_order_items, self.dim_customer, self.fact_buckets > 0)
+        if self._storage is None:
+            return totals
+        return overwrite_table(totals, f"{self._storage}/{PERSON_MONTHS}", partition_by=["year_month"])
+
+    @cached_property
+    def month_bounds(self) -> DataFrame:
+        """The first and last date of each month's orders."""
+        bounds = marts.month_bounds(self.fact_orders_by_month)
+        return bounds if self._storage is None else overwrite_table(bounds, f"{self._storage}/{MONTH_BOUNDS}")
+
+    @cached_property
+    def base_customer_monthly_purchase(self) -> DataFrame:
+        return self.keep("base_customer_monthly_purchase", analysis.with_cohorts(self.person_months))
 
     @cached_property
     def kpi_monthly_core(self) -> DataFrame:
         core = analysis.kpi_monthly_core(self.dim_date, self.base_customer_monthly_purchase)
-        return self._keep("kpi_monthly_core", core)
+        return self.keep("kpi_monthly_core", core)
 
     @cached_property
     def kpi_monthly_cancellation(self) -> DataFrame:
         kpi = analysis.kpi_monthly_cancellation(self.fact_orders, self.dim_date)
-        return self._keep("kpi_monthly_cancellation", kpi)
+        return self.keep("kpi_monthly_cancellation", kpi)
 
     @cached_property
     def cohort_monthly_core(self) -> DataFrame:
         core = analysis.cohort_monthly_core(self.dim_date, self.base_customer_monthly_purchase)
-        return self._keep("cohort_monthly_core", core)
+        return self.keep("cohort_monthly_core", core)
 
 
 def over_layers(stored: Warehouse, *layers: str) -> Warehouse:
@@ -265,6 +283,20 @@ def over_layers(stored: Warehouse, *layers: str) -> Warehouse:
     return lazy
 
 
+def open_all(raw: Mapping[str, DataFrame] | Callable[[str], DataFrame], storage: str) -> Warehouse:
+    """The warehouse whose tables ``build_all`` has written below ``storage``; writes nothing."""
+    warehouse = Warehouse(raw, storage)
+    spark, found = warehouse.raw("orders").sparkSession, warehouse.__dict__
+    for name in (n for names in LAYERS.values() for n in names):
+        found[name] = read_table(spark, warehouse.path(name))
+        if name.startswith("fact_"):
+            found[f"{name}_by_month"], found[name] = found[name], found[name].drop("year_month")
+    found["fact_buckets"] = stored_table(spark, warehouse.path("fact_orders")).buckets
+    found["person_months"] = read_table(spark, f"{storage}/{PERSON_MONTHS}")
+    found["month_bounds"] = read_table(spark, f"{storage}/{MONTH_BOUNDS}")
+    return warehouse
+
+
 def build_all(
     raw: Mapping[str, DataFrame] | Callable[[str], DataFrame], storage: str, buckets: int | None = None
 ) -> Warehouse:
@@ -273,4 +305,5 @@ def build_all(
     for tables in LAYERS.values():
         for name in tables:
             warehouse.table(name)
+    warehouse.table("month_bounds")
     return warehouse

@@ -239,6 +239,13 @@ def _mode_confidence_low(c: Context) -> DataFrame:
     return qc.row_filter_listing(c.stg_geolocation, F.col("mode_ratio_pct") < 5, columns)
 
 
+@query("mode_confidence_low_gap")
+def _mode_confidence_low_gap(c: Context) -> DataFrame:
+    """The same with a bound that many zips are below."""
+    columns = ["geolocation_zip_code_prefix", "row_cnt", "mode_cnt", "mode_ratio_pct"]
+    return qc.row_filter_listing(c.stg_geolocation, F.col("mode_ratio_pct") < 30, columns)
+
+
 @query("mode_confidence_summary")
 def _mode_confidence_summary(c: Context) -> DataFrame:
     return qc.mode_confidence_summary(c.stg_geolocation, "mode_ratio_pct", 5)

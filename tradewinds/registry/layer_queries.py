@@ -83,9 +83,17 @@ def _overwrite_table(c: Context) -> DataFrame:
 
 @query("fact_orders_of_month")
 def _fact_orders_of_month(c: Context) -> DataFrame:
-    """One month of the fact as stored by month: other months' files are not opened."""
-    stored = sinks.overwrite_table(c.fact_orders_by_month, _scratch(c, "fact_orders"), partition_by=["year_month"])
-    return stored.filter("year_month = '1995-03'").drop("year_month")
+    """The fact as stored by month, every row with its month."""
+    return sinks.overwrite_table(c.fact_orders_by_month, _scratch(c, "fact_orders"), partition_by=["year_month"])
+
+
+@query("overwrite_partitions")
+def _overwrite_partitions(c: Context) -> DataFrame:
+    """A fact stored by month, of which the months with a 3 as last digit are written again with other flags."""
+    path, fact = _scratch(c, "fact_orders"), c.fact_orders_by_month
+    sinks.overwrite_table(fact, path, partition_by=["year_month"])
+    changed = fact.filter("year_month like '%3'").withColumn("is_canceled", F.lit(9))
+    return sinks.overwrite_partitions(changed, path)
 
 
 @query("register_view")

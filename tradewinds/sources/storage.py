@@ -99,16 +99,18 @@ def overwrite_table(
     return read_table(spark, path)
 
 
-def overwrite_partitions(df: DataFrame, path: str, cluster_by: Sequence[str] = ()) -> DataFrame:
+def overwrite_partitions(df: DataFrame, path: str, cluster_by: Sequence[str] = (), also: Sequence[str] = ()) -> DataFrame:
     """Replace the partitions of a stored table that ``df`` has rows of, and add those that are new; the other partitions
-    keep their files, which are not read. Heavy keys stay those of the last full refresh; metrics of the whole table, which
+    keep their files, which are not read. Partition folders named in ``also`` (as "month=1995-03") are replaced, too, so
+    they go if ``df`` has no row of them. Heavy keys stay those of the last full refresh; metrics of the whole table, which
     this write does not see, go."""
     spark, table = df.sparkSession, stored_table(df.sparkSession, path)
     if table is None or not table.partition_by:
         raise ValueError(f"no table with partitions at {path}")
     version = _write(conform(df, table.struct), path, table, cluster_by)
     new = {p: version for p in _partitions(spark, f"{path}/{VERSION}={version}", table.partition_by)}
-    _point_to(spark, path, replace(table, metrics={}, parts={**table.parts, **new}))
+    kept = {p: v for p, v in table.parts.items() if p not in also}
+    _point_to(spark, path, replace(table, metrics={}, parts={**kept, **new}))
     return read_table(spark, path)
 
 
