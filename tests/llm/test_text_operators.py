@@ -196,6 +196,74 @@ def test_base_scores_are_exact_and_classes_help(spark):
     assert held and sum(r.score for r in held) > sum(r.base_score for r in held)
 
 
+def scores_by_hand(texts, learn, frequent):
+    """Every word's class and every text's log10 probability, word by word in dictionaries."""
+    word_of = lambda w: brown.name_words([w.encode()])
+    trained = [t for t, known in zip(texts, learn, strict=True) if known]
+    count = Counter(w for t in trained for w in t)
+    name = {w: word_of(w).names.view(np.int64)[0] for t in texts for w in t}
+    shape = {w: int(brown.shapes_of(word_of(w))[0]) for w in name}
+    top = sorted(count, key=lambda w: (-count[w], name[w]))[:frequent]
+    symbol = {w: brown.SHAPES + k for k, w in enumerate(top)}
+    end = brown.SHAPES + len(top)
+    pairs = np.zeros((end + 1, end + 1))
+    for t in trained:
+        line = [end, *[symbol.get(w, shape[w]) for w in t], end]
+        for a, b in zip(line[:-1], line[1:], strict=True):
+            pairs[a, b] += 1
+    seed = brown.seed_of(pairs, np.zeros(0), np.zeros(0), len(trained))
+    first = {w: int(seed.home[symbol.get(w, shape[w])]) for w in count} | {None: 0}
+    gain = {w: np.zeros(brown.CLASSES) for w in count}
+    for t in trained:
+        for before, w, after in zip([None, *t], t, [*t[1:], None]):
+            gain[w] = gain[w] + seed.weigh[first[before]] + seed.weigh[brown.CLASSES + first[after]]
+    best = {w: int(np.argmax(gain[w].round(9))) for w in count}
+    home = {w: best[w] if w not in symbol and gain[w][best[w]] > gain[w][first[w]] + brown.MOVE else first[w] for w in count}
+    size, total = Counter(home.values()), Counter()
+    for w, n in count.items():
+        total[home[w]] += n
+    once = {w: home[w] for w in count if count[w] == 1}
+    most = lambda some: min(Counter(some).items(), key=lambda e: (-e[1], e[0]))[0]
+    unknown = lambda w: most([c for v, c in once.items() if shape[v] == shape[w]] or list(once.values()) or [1])
+    for w in set(name) - set(count):
+        home[w] = unknown(w)
+    lines = [[0, *[home[w] for w in t], 0] for t in texts]
+    steps = Counter(p for k, a in zip(learn, lines, strict=True) if k for p in zip(a[:-1], a[1:], strict=True))
+    follow = [sum(n for p, n in steps.items() if p[1] == c) for c in range(brown.CLASSES)]
+    leave = [sum(n for p, n in steps.items() if p[0] == c) for c in range(brown.CLASSES)]
+    overall = [(n + 1) / (sum(follow) + brown.CLASSES) for n in follow]
+    out = []
+    for t, line in zip(texts, lines, strict=True):
+        p = sum(math.log10((steps[a, b] + overall[b]) / (leave[a] + 1)) for a, b in zip(line[:-1], line[1:], strict=True))
+        out.append(p + sum(math.log10((count[w] + 1) / (total[home[w]] + size[home[w]] + 1)) for w in t))
+    return {w: c for w, c in home.items() if w in count}, out
+
+
+def test_every_word_has_a_class_and_scores_equal_those_by_hand(make):
+    draw = random.Random(77)
+    # kinds of words take turns, and their last letters, thus their shapes, do not tell the kind
+    kinds = [[f"{a}{b}" for b in ("an", "el", "os", "im", "ar", "un")] for a in ("ka", "mo", "ti", "ru")]
+    texts = []
+    for k in range(90):
+        at = draw.randrange(4)
+        text = [draw.choices(kinds[(at + i) % 4], [8, 5, 3, 2, 1, 1])[0] for i in range(draw.randint(0, 25))]
+        texts.append(text + ([f"rare{k}xy"] if k % 3 == 0 else []))
+    learn = [k % 5 != 2 for k in range(len(texts))]
+    home, score = scores_by_hand(texts, learn, 4)
+    docs = make([(k, " ".join(t), known) for k, (t, known) in enumerate(zip(texts, learn, strict=True))], "doc_id long, text string, known boolean")
+    got = {r.doc_id: r for r in brown.score_texts(docs, F.col("known"), keep=("known",), frequent=4).collect()}
+    assert len(home) == len({w for t, known in zip(texts, learn, strict=True) if known for w in t}) and min(home.values()) > 0
+    assert len({c for w, c in home.items() if w.endswith("an")}) > 2 and len(got) == len(texts) and all(math.isclose(got[k].score, score[k], abs_tol=1e-6) for k in got)
+
+
+def test_a_word_joins_the_class_of_its_neighbours():
+    weigh = np.zeros((brown._SIDES, brown.CLASSES))
+    weigh[3, 5], weigh[brown.CLASSES + 4, 6] = 4.0, 6.0
+    word, side, n = np.array([0, 0, 2, 0, 3, 4]), np.array([3, brown.CLASSES + 4, 3, 3, 9, 3]), np.array([1, 1, 4, 1, 1, 1])
+    # two neighbours against one, no neighbour, one four times, one that speaks for no class, one that says too little
+    assert brown.best_classes(word, side, n, weigh, np.array([7, 7, 7, 8, 9])).tolist() == [5, 0, 5, 8, 9]
+
+
 def test_scores_of_odd_documents(odd_documents):
     got = brown.score_texts(odd_documents, F.col("doc_id") < 4, keep=("kept_text",))
     rows = {r.doc_id: r for r in got.collect()}

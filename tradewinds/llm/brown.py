@@ -1,19 +1,28 @@
 """Language-model scoring with Brown class-based n-grams.
 
-Counts of all words of the training documents are gathered by 64-bit names: a chunk sends each of its distinct words
-once, a bucket adds up, and the totals come back. The ``TOP`` most frequent words are symbols of their own, any other
-word belongs to one of ``SHAPES`` symbols by its last two bytes, and the end of a text is a symbol. The neighbours of
-all symbols are counted over the whole training part. The exchange algorithm then moves symbols between ``CLASSES``
-classes as long as the likelihood of the class bigrams grows. A word's probability is
+Every word of the training documents gets one of ``CLASSES`` classes, in two steps:
 
-    P(class | class before) * P(symbol | class) * P(word | symbol)
+1. Seed. The ``TOP`` most frequent words are symbols of their own, any other word stands for the moment behind one of
+   ``SHAPES`` symbols by its last two bytes, and the end of a text is a symbol with a class of its own. The neighbours of
+   all symbols are counted over the whole training part, and the exchange algorithm moves symbols between classes as
+   long as the likelihood of the class bigrams grows.
+2. Exchange of all other words. For each of them the classes before and after it are counted over the whole training
+   part, combined in a chunk and added up in the bucket of its 64-bit name, and the word moves from its shape's class to
+   the one where these neighbours add most to the mutual information of neighbouring classes, provided that this gains
+   more than ``MOVE``, the cost of naming a class.
 
-where the last factor is (c + 1) / (N + V + 1) over the words of a shape, and 1 for a word that is a symbol.
-What reaches the driver is bounded by TOP and SHAPES, not by the corpus.
+Transitions between classes are then counted with the final classes. A word's probability is
+
+    P(class | class before) * P(word | class),    P(word | class) = (c + 1) / (N + V + 1) over the class
+
+and the end is certain within its class. A word that training has not met takes the class that holds most of the words
+met once with the same last two bytes. Counts and classes of words stay in their buckets, so they grow with the
+corpus; what reaches the driver is bounded by TOP, SHAPES and CLASSES.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -22,36 +31,51 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tradewinds.llm.chunks import BUCKET, CHUNK, by_bucket, chunk_count, in_chunks, numbers, texts_of
+from tradewinds.llm.chunks import BUCKET, CHUNK, CHUNK_BYTES, by_bucket, chunk_count, in_chunks, numbers, texts_of
 from tradewinds.llm.components import checkpointed
 from tradewinds.llm.words import LOWER, Words, mix, name_words
 
 TOP, SHAPES, CLASSES, SWEEPS = 1024, 256, 64, 12
-END = TOP + SHAPES
-SYMBOLS = END + 1
+MOVE = math.log(CLASSES)  # what naming a word's class costs
 _CELLS = 1 << 12  # cells of the neighbour counts in a row of the shuffle
-_STATISTICS = ("_top", "_top_n", "_top_shape", "_shape_n", "_shape_v")
+_SIDES = 2 * CLASSES  # a word's neighbours: the class before, then CLASSES + the class after
+_WORDS = 1 << 10  # words whose classes are weighed at once
+_STATISTICS = ("_top", "_top_n")
 _STATS = -1  # the chunk number of a bucket's statistics
 
 
-class Model(NamedTuple):
-    top: np.ndarray  # sorted names
+class Seed(NamedTuple):
+    top: np.ndarray  # sorted names of the frequent words
     top_number: np.ndarray  # their symbols
-    class_of: np.ndarray
-    step: np.ndarray  # log10 P(class | class before)
-    emit: np.ndarray  # log10 P(symbol | class)
-    shape_total: np.ndarray  # N + V + 1 of a shape
-    tokens: int
-    distinct: int
+    home: np.ndarray  # the class of every symbol: shapes, frequent words, end
+    weigh: np.ndarray  # what a neighbour (row, as in _SIDES) adds to the mutual information in a class (column)
     ends: int
 
+    @property
+    def end(self) -> int:
+        return SHAPES + len(self.top)
+
+
+class Classes(NamedTuple):
+    total: np.ndarray  # tokens of a class without ends
+    size: np.ndarray  # distinct words of a class without the end
+    unknown: np.ndarray  # the class of words of a shape that training has not met
+
+    @property
+    def tokens(self) -> int:
+        return int(self.total.sum())
+
+    @property
+    def distinct(self) -> int:
+        return int(self.size.sum())
+
 
 def shapes_of(words: Words) -> np.ndarray:
     return (mix(words.tails.astype(np.uint64)) % np.uint64(SHAPES)).astype(np.int64)
 
 
 def symbols_of(words: Words, top: np.ndarray, top_number: np.ndarray) -> np.ndarray:
-    out = TOP + shapes_of(words)
+    out = shapes_of(words)
     if len(top):
         at = np.minimum(np.searchsorted(top, words.names), len(top) - 1)
         out = np.where(top[at] == words.names, top_number[at], out)
@@ -76,81 +100,70 @@ def _unpacked(blob: bytes) -> np.ndarray:
     return np.frombuffer(blob, dtype=f"u{blob[0]}", offset=1).astype(np.int64)
 
 
-def _ask(buckets: int):
-    def ask(table: pa.Table) -> pa.Table:
-        words = name_words(texts_of(table), LOWER)
-        learn = np.array(table.column("_keep__learn").to_pylist(), dtype=bool)
-        distinct, first, number = np.unique(words.names, return_index=True, return_inverse=True)
-        counts = np.bincount(number[np.repeat(learn, words.counts)], minlength=len(distinct))
-        shapes = shapes_of(words)[first].astype(np.uint8)
-        order, met, begin = by_bucket(distinct, buckets)
-        parts = [order[a:b] for a, b in zip(begin[:-1], begin[1:], strict=True)]
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[Words]:
+    """The words of a task's texts, about CHUNK_BYTES of text at once."""
+    for whole in batches:
+        texts = texts_of(pa.Table.from_batches([whole]))
+        edge = np.cumsum([len(t) for t in texts]) // CHUNK_BYTES
+        for part in np.split(np.arange(len(texts)), np.flatnonzero(np.diff(edge)) + 1):
+            yield name_words([texts[k] for k in part], LOWER)
+
+
+def _word_counts(buckets: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for words in _pieces(batches):
+            distinct, counts = np.unique(words.names, return_counts=True)
+            order, met, begin = by_bucket(distinct, buckets)
+            parts = [order[a:b] for a, b in zip(begin[:-1], begin[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(met, pa.int32()),
+                    pa.array([distinct[p].tobytes() for p in parts], pa.binary()),
+                    pa.array([_packed(counts[p]) for p in parts], pa.binary()),
+                ],
+                names=[BUCKET, "_names", "_counts"],
+            )
+
+    return run
+
+
+def _frequent(limit: int):
+    def run(table: pa.Table) -> pa.Table:
+        """The most frequent words of a bucket."""
+        names, number = np.unique(np.concatenate(numbers(table.column("_names"), np.uint64)), return_inverse=True)
+        counts = np.concatenate([_unpacked(c) for c in table.column("_counts").to_pylist()])
+        total = np.bincount(number, weights=counts, minlength=len(names)).astype(np.int64)
+        top = np.lexsort((names.view(np.int64), -total))[:limit]
         return pa.Table.from_arrays(
-            [
-                pa.array(met, pa.int32()),
-                pa.array(np.full(len(met), table.column(CHUNK)[0].as_py()), pa.int32()),
-                pa.array([distinct[p].tobytes() for p in parts], pa.binary()),
-                pa.array([_packed(counts[p]) for p in parts], pa.binary()),
-                pa.array([shapes[p].tobytes() for p in parts], pa.binary()),
-            ],
-            names=[BUCKET, CHUNK, "_names", "_counts", "_shapes"],
+            [pa.array([c], pa.list_(pa.int64())) for c in (names[top].view(np.int64), total[top])], names=list(_STATISTICS)
         )
 
-    return ask
-
+    return run
 
-def _tell(table: pa.Table) -> pa.Table:
-    """Total counts in the order asked, and the bucket's statistics."""
-    asked = numbers(table.column("_names"), np.uint64)
-    names, place, number = np.unique(np.concatenate(asked), return_index=True, return_inverse=True)
-    counts = np.concatenate([_unpacked(c) for c in table.column("_counts").to_pylist()])
-    total = np.bincount(number, weights=counts, minlength=len(names)).astype(np.int64)
-    shapes = np.concatenate(numbers(table.column("_shapes"), np.uint8))[place]
-    known = np.flatnonzero(total)
-    top = known[np.lexsort((names[known].view(np.int64), -total[known]))][:TOP]
-    edge = np.cumsum([len(a) for a in asked])[:-1]
-    told = [_packed(part) for part in np.split(total[number], edge)]
-    n = len(told)
-    stats = [
-        names[top].view(np.int64),
-        total[top],
-        shapes[top].astype(np.int64),
-        np.bincount(shapes, weights=total, minlength=SHAPES).astype(np.int64),
-        np.bincount(shapes[known], minlength=SHAPES).astype(np.int64),
-    ]
-    return pa.Table.from_arrays(
-        [
-            pa.array([*table.column(CHUNK).to_pylist(), _STATS], pa.int32()),
-            pa.array([*table.column(BUCKET).to_pylist(), table.column(BUCKET)[0].as_py()], pa.int32()),
-            pa.array([*told, None], pa.binary()),
-            *[pa.array([None] * n + [s], pa.list_(pa.int64())) for s in stats],
-        ],
-        names=[CHUNK, BUCKET, "_totals", "_top", "_top_n", "_top_shape", "_shape_n", "_shape_v"],
-    )
 
+def _frequent_of_task(limit: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The most frequent words of all buckets that a task reads, in one row."""
+        top = np.zeros((2, 0), dtype=np.int64)
+        for batch in batches:
+            for row in batch.to_pylist():
+                top = np.hstack([top, np.array([row["_top"], row["_top_n"]], dtype=np.int64)])
+                top = top[:, np.lexsort((top[0], -top[1]))[:limit]]
+        yield pa.RecordBatch.from_arrays([pa.array([c], pa.list_(pa.int64())) for c in top], names=list(_STATISTICS))
 
-def _stats_of_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The statistics of all buckets that a task reads, in one row."""
-    top = np.zeros((3, 0), dtype=np.int64)
-    n, v = np.zeros(SHAPES, dtype=np.int64), np.zeros(SHAPES, dtype=np.int64)
-    for batch in batches:
-        for row in batch.to_pylist():
-            top = np.hstack([top, np.array([row["_top"], row["_top_n"], row["_top_shape"]], dtype=np.int64)])
-            top = top[:, np.lexsort((top[0], -top[1]))[:TOP]]
-            n += row["_shape_n"]
-            v += row["_shape_v"]
-    yield pa.RecordBatch.from_arrays([pa.array([c], pa.list_(pa.int64())) for c in (*top, n, v)], names=list(_STATISTICS))
+    return run
 
 
 def _neighbours(top: np.ndarray, top_number: np.ndarray):
+    end = SHAPES + len(top)
+    symbols = end + 1
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(-(-SYMBOLS * SYMBOLS // _CELLS) * _CELLS, dtype=np.int64)
-        for whole in batches:
-            for at in range(0, whole.num_rows, 1000):
-                words = name_words(texts_of(pa.Table.from_batches([whole.slice(at, 1000)])), LOWER)
-                line = np.append(END, with_ends(symbols_of(words, top, top_number), words.first, END))
-                pair, n = np.unique(line[:-1] * SYMBOLS + line[1:], return_counts=True)
-                counts[pair] += n
+        counts = np.zeros(-(-symbols * symbols // _CELLS) * _CELLS, dtype=np.int64)
+        for words in _pieces(batches):
+            line = np.append(end, with_ends(symbols_of(words, top, top_number), words.first, end))
+            pair, n = np.unique(line[:-1] * symbols + line[1:], return_counts=True)
+            counts[pair] += n
         blocks = counts.reshape(-1, _CELLS)
         used = np.flatnonzero(blocks.any(axis=1))
         yield pa.RecordBatch.from_arrays(
@@ -231,68 +244,203 @@ def _gains(table: np.ndarray, after: np.ndarray, before: np.ndarray, own: float)
     return rows + columns + corner - (_x_log_x(out + sent) - _x_log_x(out)) - (_x_log_x(into + got) - _x_log_x(into))
 
 
-def _model(told: DataFrame, learning: DataFrame) -> Model:
+def transitions(table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Smoothed P(class | class before) and P(class), given how often each class follows each."""
+    seen = table.sum(axis=0)
+    overall = (seen + 1) / (seen.sum() + len(seen))
+    return (table + overall) / (table.sum(axis=1, keepdims=True) + 1), overall
+
+
+def seed_of(pairs: np.ndarray, top: np.ndarray, top_number: np.ndarray, ends: int) -> Seed:
+    """Classes of the symbols, and what a neighbour of a class adds if a word joins each class; none joins the end."""
+    home = exchange(pairs)
+    member = np.zeros((len(pairs), CLASSES))
+    member[np.arange(len(pairs)), home] = 1
+    step, overall = transitions(member.T @ pairs @ member)
+    gain = np.log(step / overall)
+    weigh = np.vstack([gain, gain.T])
+    weigh[:, 0] = -np.inf
+    return Seed(top, top_number, home, weigh, ends)
+
+
+def _seed(learning: DataFrame, buckets: int, limit: int) -> Seed:
+    counted = learning.mapInArrow(_word_counts(buckets), f"{BUCKET} int, _names binary, _counts binary")
     lists = ", ".join(f"{c} array<long>" for c in _STATISTICS)
-    stats = told.filter(F.col(CHUNK) == _STATS).select(*_STATISTICS)
-    stats = checkpointed(stats.coalesce(max(32, stats.rdd.getNumPartitions() // 64)).mapInArrow(_stats_of_task, lists))
+    stats = counted.groupBy(BUCKET).applyInArrow(_frequent(limit), lists).mapInArrow(_frequent_of_task(limit), lists)
     tops = (
-        stats.select(F.explode(F.arrays_zip("_top", "_top_n", "_top_shape")).alias("_t"))
+        stats.select(F.explode(F.arrays_zip(*_STATISTICS)).alias("_t"))
         .select("_t.*")
         .orderBy(F.desc("_top_n"), "_top")
-        .limit(TOP)
+        .limit(limit)
         .collect()
     )
-    shape_n, shape_v = np.zeros(SHAPES, dtype=np.int64), np.zeros(SHAPES, dtype=np.int64)
-    each = stats.select(F.posexplode(F.arrays_zip("_shape_n", "_shape_v")).alias("_shape", "_s"))
-    for k, n, v in each.groupBy("_shape").agg(F.sum("_s._shape_n"), F.sum("_s._shape_v")).collect():
-        shape_n[k], shape_v[k] = n, v
     names = np.array([t[0] for t in tops], dtype=np.int64).view(np.uint64)
     order = np.argsort(names)
-    top, number = names[order], order
+    top, number = names[order], SHAPES + order
+    symbols = SHAPES + len(top) + 1
     cells = "_block int, _cells binary"
-    counted = learning.mapInArrow(_neighbours(top, number), cells).groupBy("_block").applyInArrow(_added, cells)
-    pairs = np.zeros(-(-SYMBOLS * SYMBOLS // _CELLS) * _CELLS)
-    for block, blob in counted.collect():
+    neighbours = learning.mapInArrow(_neighbours(top, number), cells).groupBy("_block").applyInArrow(_added, cells)
+    pairs = np.zeros(-(-symbols * symbols // _CELLS) * _CELLS)
+    for block, blob in neighbours.collect():
         pairs[block * _CELLS : (block + 1) * _CELLS] = _unpacked(bytes(blob))
-    pairs = pairs[: SYMBOLS * SYMBOLS].reshape(SYMBOLS, SYMBOLS)
-    ends = int(learning.count())
-    tokens, distinct = int(shape_n.sum()) + ends, int(shape_v.sum()) + (ends > 0)
-    for _, n, shape in tops:
-        shape_n[shape] -= n
-        shape_v[shape] -= 1
-    home = exchange(pairs)
-    member = np.zeros((SYMBOLS, CLASSES))
-    member[np.arange(SYMBOLS), home] = 1
-    classes = member.T @ pairs @ member
-    seen = pairs.sum(axis=0)
-    per_class, size = member.T @ seen, member.sum(axis=0)
-    overall = (per_class + 1) / (per_class.sum() + CLASSES)
-    step = (classes + overall) / (classes.sum(axis=1, keepdims=True) + 1)
-    emit = (seen + 0.5) / (per_class + 0.5 * size)[home]
-    return Model(top, number, home, np.log10(step), np.log10(emit), shape_n + shape_v + 1, tokens, distinct, ends)
-
-
-def _scoring(model: Model, buckets: int, keep: tuple[str, ...], schema: pa.Schema):
+    return seed_of(pairs[: symbols * symbols].reshape(symbols, symbols), top, number, int(learning.count()))
+
+
+def _ask(buckets: int, seed: Seed):
+    def ask(table: pa.Table) -> pa.Table:
+        """Names, counts and shapes of a chunk's words, and the classes beside those that the seed did not class."""
+        words = name_words(texts_of(table), LOWER)
+        learn = np.repeat(np.array(table.column("_keep__learn").to_pylist(), dtype=bool), words.counts)
+        distinct, first, number = np.unique(words.names, return_index=True, return_inverse=True)
+        counts = np.bincount(number[learn], minlength=len(distinct))
+        shapes = shapes_of(words)[first].astype(np.uint8)
+        order, met, begin = by_bucket(distinct, buckets)
+        place = np.empty(len(order), dtype=np.int64)
+        place[order] = np.arange(len(order))
+        symbol = symbols_of(words, seed.top, seed.top_number)
+        line = np.append(0, with_ends(seed.home[symbol], words.first, 0))
+        at = np.arange(len(number)) + words.owner
+        open_ = learn & (symbol < SHAPES)
+        word, at = place[number[open_]] * _SIDES, at[open_]
+        beside, n = np.unique(np.concatenate([word + line[at], word + CLASSES + line[at + 2]]), return_counts=True)
+        width = np.bincount(beside // _SIDES, minlength=len(distinct))
+        edge = np.append(0, np.cumsum(width))[begin]
+        parts = [order[a:b] for a, b in zip(begin[:-1], begin[1:], strict=True)]
+        cells = [slice(a, b) for a, b in zip(edge[:-1], edge[1:], strict=True)]
+        sides = (beside % _SIDES).astype(np.uint8)
+        return pa.Table.from_arrays(
+            [
+                pa.array(met, pa.int32()),
+                pa.array(np.full(len(met), table.column(CHUNK)[0].as_py()), pa.int32()),
+                pa.array([distinct[p].tobytes() for p in parts], pa.binary()),
+                pa.array([_packed(counts[p]) for p in parts], pa.binary()),
+                pa.array([shapes[p].tobytes() for p in parts], pa.binary()),
+                pa.array([_packed(width[a:b]) for a, b in zip(begin[:-1], begin[1:], strict=True)], pa.binary()),
+                pa.array([sides[c].tobytes() for c in cells], pa.binary()),
+                pa.array([_packed(n[c]) for c in cells], pa.binary()),
+            ],
+            names=[BUCKET, CHUNK, "_names", "_counts", "_shapes", "_width", "_sides", "_beside"],
+        )
+
+    return ask
+
+
+def best_classes(word: np.ndarray, side: np.ndarray, n: np.ndarray, weigh: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """The class of each word in which its neighbours add most; ties to the smaller number.
+
+    Entry i says that ``side[i]`` stands ``n[i]`` times beside ``word[i]``. A word leaves the class where it starts only
+    if that gains more than naming one of the classes costs, so that words met once do not follow chance. Words without
+    neighbours have class 0.
+    """
+    key, at = np.unique(word * _SIDES + side, return_inverse=True)
+    total = np.bincount(at, weights=n, minlength=len(key))
+    word, side = key // _SIDES, key % _SIDES
+    out = np.zeros(len(start), dtype=np.int64)
+    met, begin = np.unique(word, return_index=True)
+    for a in range(0, len(met), _WORDS):
+        some = begin[a : a + _WORDS]
+        end = begin[a + _WORDS] if a + _WORDS < len(met) else len(word)
+        gain = np.add.reduceat(weigh[side[some[0] : end]] * total[some[0] : end, None], some - some[0], axis=0)
+        old, row = start[met[a : a + _WORDS]], np.arange(len(some))
+        new = np.argmax(gain, axis=1)
+        out[met[a : a + _WORDS]] = np.where(gain[row, new] > gain[row, old] + MOVE, new, old)
+    return out
+
+
+def _tell(seed: Seed):
+    def tell(table: pa.Table) -> pa.Table:
+        """Total counts and classes in the order asked, and the bucket's statistics of classes."""
+        asked = numbers(table.column("_names"), np.uint64)
+        names, place, number = np.unique(np.concatenate(asked), return_index=True, return_inverse=True)
+        counts = np.concatenate([_unpacked(c) for c in table.column("_counts").to_pylist()])
+        total = np.bincount(number, weights=counts, minlength=len(names)).astype(np.int64)
+        shapes = np.concatenate(numbers(table.column("_shapes"), np.uint8))[place].astype(np.int64)
+        width = np.concatenate([_unpacked(c) for c in table.column("_width").to_pylist()])
+        sides = np.concatenate(numbers(table.column("_sides"), np.uint8)).astype(np.int64)
+        n = np.concatenate([_unpacked(c) for c in table.column("_beside").to_pylist()])
+        home = best_classes(np.repeat(number, width), sides, n, seed.weigh, seed.home[shapes])
+        if len(seed.top):
+            at = np.minimum(np.searchsorted(seed.top, names), len(seed.top) - 1)
+            home = np.where(seed.top[at] == names, seed.home[seed.top_number[at]], home)
+        once = np.bincount(shapes[total == 1] * CLASSES + home[total == 1], minlength=SHAPES * CLASSES)
+        per_class = np.bincount(home, weights=total, minlength=CLASSES).astype(np.int64)
+        stats = np.concatenate([per_class, np.bincount(home[total > 0], minlength=CLASSES), once])
+        edge = np.cumsum([len(a) for a in asked])[:-1]
+        return pa.Table.from_arrays(
+            [
+                pa.array([*table.column(CHUNK).to_pylist(), _STATS], pa.int32()),
+                pa.array([*table.column(BUCKET).to_pylist(), table.column(BUCKET)[0].as_py()], pa.int32()),
+                pa.array([*[_packed(part) for part in np.split(total[number], edge)], None], pa.binary()),
+                pa.array([*[part.astype(np.uint8).tobytes() for part in np.split(home[number], edge)], _packed(stats)], pa.binary()),
+            ],
+            names=[CHUNK, BUCKET, "_totals", "_classes"],
+        )
+
+    return tell
+
+
+def _sums(column: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The packed numbers of a task's rows added up by place."""
+        total = np.zeros(0, dtype=np.int64)
+        for batch in batches:
+            for blob in batch.column(column).to_pylist():
+                total = _unpacked(blob) + (total if len(total) else 0)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total))), pa.array(total)], names=["_at", "_sum"])
+
+    return run
+
+
+def _transitions_of_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total = np.zeros(CLASSES * CLASSES, dtype=np.int64)
+    for batch in batches:
+        line = np.frombuffer(b"\0" + b"".join(batch.column("_line").to_pylist()), dtype=np.uint8).astype(np.int64)
+        total += np.bincount(line[:-1] * CLASSES + line[1:], minlength=CLASSES * CLASSES)
+    yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total))), pa.array(total)], names=["_at", "_sum"])
+
+
+def _added_up(parts: DataFrame, size: int) -> np.ndarray:
+    out = np.zeros(size, dtype=np.int64)
+    for at, total in parts.groupBy("_at").agg(F.sum("_sum")).collect():
+        out[at] = total
+    return out
+
+
+def _classes(told: DataFrame) -> Classes:
+    stats = told.filter(F.col(CHUNK) == _STATS).select("_classes").mapInArrow(_sums("_classes"), "_at long, _sum long")
+    total, size, once = np.split(_added_up(stats, (2 + SHAPES) * CLASSES), [CLASSES, 2 * CLASSES])
+    once = once.reshape(SHAPES, CLASSES)
+    # a shape without words met once goes where most of these are
+    once = np.where(once.any(axis=1, keepdims=True), once, once.sum(axis=0))
+    once[:, 0] = -1
+    return Classes(total, size, np.argmax(once, axis=1))
+
+
+def _classing(seed: Seed, classes: Classes, buckets: int, keep: tuple[str, ...], schema: pa.Schema):
+    ends = seed.ends
+    tokens, distinct_words = classes.tokens + ends, classes.distinct + (ends > 0)
+
     def run(docs: pa.Table, told: pa.Table) -> pa.Table:
         if not docs.num_rows:
             return schema.empty_table()
         words = name_words(texts_of(docs), LOWER)
         distinct, number = np.unique(words.names, return_inverse=True)
         order, met, begin = by_bucket(distinct, buckets)
-        totals = dict(zip(told.column(BUCKET).to_pylist(), told.column("_totals").to_pylist(), strict=True))
-        count = np.zeros(len(distinct), dtype=np.int64)
+        at = {bucket: k for k, bucket in enumerate(told.column(BUCKET).to_pylist())}
+        totals, told_classes = told.column("_totals").to_pylist(), told.column("_classes").to_pylist()
+        count, home = np.zeros(len(distinct), dtype=np.int64), np.zeros(len(distinct), dtype=np.int64)
         for k, bucket in enumerate(met):
-            count[order[begin[k] : begin[k + 1]]] = _unpacked(totals[int(bucket)])
-        c = with_ends(count[number], words.first, model.ends)
-        symbol = with_ends(symbols_of(words, model.top, model.top_number), words.first, END)
-        shape = symbol - TOP
-        is_shape = (shape >= 0) & (symbol != END)
-        owner = np.repeat(np.arange(docs.num_rows), words.counts + 1)
-        base = np.log10((c + 1) / (model.tokens + model.distinct + 1))
-        home = model.class_of[symbol]
-        score = model.step[np.append(model.class_of[END], home[:-1]), home] + model.emit[symbol]
-        score[is_shape] += np.log10((c[is_shape] + 1) / model.shape_total[shape[is_shape]])
+            some = order[begin[k] : begin[k + 1]]
+            count[some] = _unpacked(totals[at[int(bucket)]])
+            home[some] = np.frombuffer(told_classes[at[int(bucket)]], dtype=np.uint8)
         n = docs.num_rows
+        owner = np.repeat(np.arange(n), words.counts + 1)
+        c = with_ends(count[number], words.first, ends)
+        base = np.log10((c + 1) / (tokens + distinct_words + 1))
+        home = np.where(count[number] > 0, home[number], classes.unknown[shapes_of(words)])
+        emit = np.log10((count[number] + 1) / (classes.total + classes.size + 1)[home])
+        line = with_ends(home.astype(np.uint8), words.first, 0)
+        edge = np.append(0, np.cumsum(words.counts + 1))
         return pa.Table.from_arrays(
             [
                 docs.column("_id"),
@@ -300,7 +448,8 @@ def _scoring(model: Model, buckets: int, keep: tuple[str, ...], schema: pa.Schem
                 pa.array(words.counts + 1, pa.int64()),
                 pa.array(np.bincount(owner, weights=c > 0, minlength=n).astype(np.int64)),
                 pa.array(np.bincount(owner, weights=base, minlength=n)),
-                pa.array(np.bincount(owner, weights=score, minlength=n)),
+                pa.array(np.bincount(words.owner, weights=emit, minlength=n).astype(np.float64)),
+                pa.array([line[a:b].tobytes() for a, b in zip(edge[:-1], edge[1:], strict=True)], pa.binary()),
             ],
             names=schema.names,
         )
@@ -308,15 +457,33 @@ def _scoring(model: Model, buckets: int, keep: tuple[str, ...], schema: pa.Schem
     return run
 
 
-def score_texts(docs: DataFrame, learn, doc_id: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+def _scoring(step: np.ndarray, columns: list[str]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            steps = []
+            for text in batch.column("_line").to_pylist():
+                line = np.frombuffer(b"\0" + text, dtype=np.uint8)
+                steps.append(step[line[:-1], line[1:]].sum())
+            score = np.array(batch.column("_emit").to_pylist(), dtype=np.float64) + np.array(steps, dtype=np.float64)
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in columns], pa.array(score)], names=[*columns, "_score"])
+
+    return run
+
+
+def score_texts(
+    docs: DataFrame, learn, doc_id: str = "doc_id", text: str = "text", keep: tuple[str, ...] = (), frequent: int = TOP
+) -> DataFrame:
     """Log10 probabilities of all texts under a class-based model and a unigram model of the rows where ``learn`` (a
     column expression) holds.
 
     Tokens are the lower-cased (A-Z) words, split at space and 0x09 to 0x0D, and one end. Returns per row: the id, the
     ``keep`` columns, n_tokens, n_known (tokens met in training), train_tokens, base_score (sum of
-    log10((c + 1) / (N + V + 1))) and score. Null and empty texts are one end token. Rows for which ``learn`` is null
-    are scored, not learned from; rows without an id likewise count by ``learn``. Without a training row every word is
-    unknown. Words with equal 64-bit names would be counted together (chance 2**-64 a pair).
+    log10((c + 1) / (N + V + 1))) and score. ``frequent`` is the number of words that the seed classes one by one.
+    Null and empty texts are one end token. Rows for which ``learn`` is null are scored, not learned from; rows without
+    an id likewise count by ``learn``; repeated rows are learned from and scored as often as they stand. Ties between
+    frequent words go to the smaller name, between classes to the smaller number. Without a training row every word is
+    unknown; an empty table gives no rows. A text of any length is scored whole, in one task. Words with equal 64-bit
+    names would be counted together (chance 2**-64 a pair).
     """
     from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -324,22 +491,29 @@ def score_texts(docs: DataFrame, learn, doc_id: str = "doc_id", text: str = "tex
     marked = docs.withColumn("_learn", F.coalesce(learn, F.lit(False)))
     columns = (*keep, "_learn")
     dealt = in_chunks(marked, doc_id, text, chunks, columns)
-    asked = dealt.groupBy(CHUNK).applyInArrow(_ask(chunks), f"{BUCKET} int, {CHUNK} int, _names binary, _counts binary, _shapes binary")
-    lists = ", ".join(f"{c} array<long>" for c in _STATISTICS)
-    told = checkpointed(asked.groupBy(BUCKET).applyInArrow(_tell, f"{CHUNK} int, {BUCKET} int, _totals binary, {lists}"))
-    model = _model(told, marked.filter("_learn").select(F.col(text).cast("binary").alias("_text")))
-    answers = told.filter(F.col(CHUNK) != _STATS).select(CHUNK, BUCKET, "_totals")
+    seed = _seed(marked.filter("_learn").select(F.col(text).cast("binary").alias("_text")), chunks, frequent)
+    blobs = ", ".join(f"{c} binary" for c in ("_names", "_counts", "_shapes", "_width", "_sides", "_beside"))
+    asked = dealt.groupBy(CHUNK).applyInArrow(_ask(chunks, seed), f"{BUCKET} int, {CHUNK} int, {blobs}")
+    told = checkpointed(asked.groupBy(BUCKET).applyInArrow(_tell(seed), f"{CHUNK} int, {BUCKET} int, _totals binary, _classes binary"))
+    classes = _classes(told)
     kinds = dealt.select("_id", *[f"_keep_{c}" for c in columns]).schema
-    kinds = kinds.add("_n", "long").add("_known", "long").add("_base", "double").add("_score", "double")
-    scored = dealt.groupBy(CHUNK).cogroup(answers.groupBy(CHUNK)).applyInArrow(
-        _scoring(model, chunks, columns, to_arrow_schema(kinds)), kinds
+    kinds = kinds.add("_n", "long").add("_known", "long").add("_base", "double").add("_emit", "double").add("_line", "binary")
+    classed = checkpointed(
+        dealt.groupBy(CHUNK)
+        .cogroup(told.filter(F.col(CHUNK) != _STATS).groupBy(CHUNK))
+        .applyInArrow(_classing(seed, classes, chunks, columns, to_arrow_schema(kinds)), kinds)
     )
+    follow = classed.filter("_keep__learn").select("_line").mapInArrow(_transitions_of_task, "_at long, _sum long")
+    step, _ = transitions(_added_up(follow, CLASSES * CLASSES).reshape(CLASSES, CLASSES).astype(np.float64))
+    kept = ["_id", *[f"_keep_{c}" for c in keep], "_n", "_known", "_base"]
+    final = classed.select(*kept).schema.add("_score", "double")
+    scored = classed.select(*kept, "_emit", "_line").mapInArrow(_scoring(np.log10(step), kept), final)
     return scored.select(
         F.col("_id").alias(doc_id),
         *[F.col(f"_keep_{c}").alias(c) for c in keep],
         F.col("_n").alias("n_tokens"),
         F.col("_known").alias("n_known"),
-        F.lit(model.tokens).cast("long").alias("train_tokens"),
+        F.lit(classes.tokens + seed.ends).cast("long").alias("train_tokens"),
         F.col("_base").alias("base_score"),
         F.col("_score").alias("score"),
     )
