@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import random
 
 import pytest
 
@@ -10,7 +11,7 @@ import corpus_pipeline
 from pyspark.sql import functions as F
 from tests.compare import differences, duck
 from tests.llm.test_text_operators import contaminated, near_groups, repeats
-from tradewinds.llm.chat_format import SAY, Parameter, calls_of_conversations, link_tool_calls, with_messages
+from tradewinds.llm.chat_format import SAY, Parameter, _levels, calls_of_conversations, link_tool_calls, with_messages
 from tradewinds.llm.queries import ORACLES, QUERIES
 
 FOLDER = "/root/testdata/sf0.001"
@@ -58,6 +59,40 @@ def test_topological_order(make):
     assert sorted(got["c", k].place for k in "uvw") == [9, 10, 11]
 
 
+def levels_by_hand(calls):
+    """Levels of the calls of one turn: above all they wait for; none in or behind a circle or a missing call."""
+    waits, level = {c[2]: set(c[5]) for c in calls}, {}
+    while new := {c: 1 + max((level[d] for d in w), default=-1) for c, w in waits.items() if c not in level and all(d in level for d in w)}:
+        level |= new
+    return level
+
+
+def test_levels_of_random_graphs(make):
+    draw = random.Random(5)
+    calls = []
+    for conv in range(12):
+        ids = [f"k{conv}-{i}" for i in range(25)]
+        for i, call in enumerate(ids):
+            reach = ids if draw.random() < 0.02 else ids[:i]
+            calls.append((f"c{conv}", 1, call, "add", '{"x": 1}', draw.sample([*reach, *(["gone"] if draw.random() < 0.03 else [])], k=min(len(reach), draw.randint(0, 3)))))
+    want = {}
+    for conv in range(12):
+        want |= levels_by_hand([c for c in calls if c[0] == f"c{conv}"])
+    got = {r.call_id: r._level for r in _levels(make([(*c, "?") for c in calls], CALL)).collect()}
+    assert got == want and 100 < len(got) < 300 and max(got.values()) > 5
+
+
+def test_calls_meet_results_in_hash_joins(spark, make):
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = link_tool_calls(make([("c", 1, "a", "add", '{"x": 1}', [], "?")], CALL), make([("c", 2, "a", "one", 1)], RESULT), ADD)
+        plan = got._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
+    assert plan.count("ShuffledHashJoin") >= 2 and "SortMergeJoin" not in plan and "Python" not in plan
+
+
 @pytest.mark.parametrize(
     ("name", "arguments", "errors"),
     [

@@ -1,6 +1,6 @@
 """Tool-call linking and canonical chat JSON, in DataFrame functions only.
 
-Results are joined to calls by the identifier of the call. Calls are put in topological order: turns follow each other,
+Results are joined to calls by the identifier of the call, in shuffled hash joins. Calls are put in topological order: turns follow each other,
 and within a turn a call stands after those it waits for, by rounds that level all calls whose predecessors are
 levelled. A call that waits for itself by a circle, for a call that does not exist or for a later turn can't be
 ordered; it stands last in its turn and says so. Arguments are parsed and checked against the schema of the tool, which
@@ -10,6 +10,7 @@ is a parameter, and every row is written as JSON with sorted keys and no white s
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -75,29 +76,39 @@ def argument_errors(name: Column, arguments: Column, schemas: Schemas) -> Column
     return F.when(no_object, F.array(F.lit("arguments: no JSON object"))).otherwise(errors)
 
 
+def _hashed(right: DataFrame) -> DataFrame:
+    """The side of a join that a hash table is built from, in each shuffled partition."""
+    return right.hint("shuffle_hash")
+
+
 def _levels(calls: DataFrame) -> DataFrame:
-    """(conv_id, turn, call_id, _level) of all calls that can be ordered within their turn; from 0."""
+    """(conv_id, turn, call_id, _level) of all calls that can be ordered within their turn; from 0.
+
+    A round takes the calls whose last open predecessors were levelled in the round before, so a call's level is the
+    round it is taken in. Only what still waits goes into the next round, and what is done is written once.
+    """
     key = ["conv_id", "turn", "call_id"]
     waits = calls.select(*key, F.explode(F.array_distinct("after")).alias("_dep"))
     ids = calls.select("conv_id", F.col("call_id").alias("_dep"), F.col("turn").alias("_dep_turn"))
     edges = checkpointed(
-        waits.join(ids, ["conv_id", "_dep"], "left")
+        waits.join(_hashed(ids), ["conv_id", "_dep"], "left")
         .filter(F.col("_dep_turn").isNull() | (F.col("_dep_turn") >= F.col("turn")))
-        .select(*key, "_dep", F.col("_dep_turn") == F.col("turn"))
-        .toDF(*key, "_dep", "_same")
+        .select(*key, "_dep", (F.col("_dep_turn") == F.col("turn")).alias("_same"))
     )
     # what waits for a missing call or a later turn is never ready
-    degree = edges.groupBy(*key).agg(F.count("*").alias("_waits"))
-    ready = checkpointed(calls.select(*key).join(degree, key, "left_anti").withColumn("_level", F.lit(0)))
-    open_edges, done = edges.filter("_same").select(*key, "_dep"), ready
+    waiting = edges.groupBy(*key).agg(F.bool_and(F.coalesce("_same", F.lit(False))).alias("_may"))
+    first = checkpointed(calls.select(*key).join(_hashed(waiting), key, "left_anti").withColumn("_level", F.lit(0)))
+    left = edges.join(_hashed(waiting.filter("_may").select(*key)), key, "left_semi").select(*key, "_dep")
+    done, taken = [first], first
     while True:
-        reached = open_edges.join(done.select("conv_id", "turn", F.col("call_id").alias("_dep"), "_level"), ["conv_id", "turn", "_dep"])
-        new = reached.groupBy(*key).agg(F.count("*").alias("_met"), (F.max("_level") + 1).alias("_level"))
-        new = new.join(degree, key).filter("_met = _waits").select(*key, "_level").join(done, key, "left_anti")
-        new = checkpointed(new)
-        if new.isEmpty():
-            return done
-        done = checkpointed(done.union(new))
+        before = taken.select("conv_id", "turn", F.col("call_id").alias("_dep"), F.lit(True).alias("_met"))
+        left = checkpointed(left.join(_hashed(before), ["conv_id", "turn", "_dep"], "left").select(*key, "_dep", "_met"))
+        ready = left.groupBy(*key).agg(F.count("_met").alias("_n"), F.count("*").alias("_of")).filter("_n = _of")
+        taken = checkpointed(ready.select(*key, F.lit(len(done)).alias("_level")))
+        if taken.isEmpty():
+            return reduce(DataFrame.union, done)
+        done.append(taken)
+        left = left.filter("_met is null").drop("_met")
 
 
 def link_tool_calls(calls: DataFrame, results: DataFrame, schemas: Schemas) -> DataFrame:
@@ -128,7 +139,8 @@ def link_tool_calls(calls: DataFrame, results: DataFrame, schemas: Schemas) -> D
     one_result = results.groupBy(*key).agg(
         F.min(F.struct("turn", "content")).alias("_r"), (F.min(F.struct("turn", "content")) != F.max(F.struct("turn", "content"))).alias("_results_differ")
     ).select(*key, F.col("_r.turn").alias("_result_turn"), F.col("_r.content").alias("_content"), "_results_differ", F.lit(True).alias("_has"))
-    joined = calls.join(_levels(calls), ["conv_id", "turn", "call_id"], "left").withColumn("_is_call", F.lit(True)).join(one_result, key, "full")
+    levelled = calls.join(_hashed(_levels(calls).select(*key, "_level")), key, "left")
+    joined = levelled.withColumn("_is_call", F.lit(True)).join(_hashed(one_result), key, "full")
     twice = F.coalesce("_calls_differ", F.lit(False)) | F.coalesce("_results_differ", F.lit(False))
     status = F.when(F.col("_is_call").isNull(), "orphan").when(F.col("_has").isNull(), "unanswered").otherwise("answered")
     rows = joined.select(
@@ -187,7 +199,7 @@ def calls_of_conversations(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
         F.col("conv_id").cast("string").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text"
     ).distinct()
     plain = turns.groupBy("conv_id", "turn", "role").agg(F.min("text").alias("_plain"))
-    given = turns.join(plain, ["conv_id", "turn", "role"]).withColumn("_mark", F.when(F.col("text") == F.col("_plain"), "").otherwise(F.concat(F.lit("~"), F.md5("text"))))
+    given = turns.join(_hashed(plain), ["conv_id", "turn", "role"]).withColumn("_mark", F.when(F.col("text") == F.col("_plain"), "").otherwise(F.concat(F.lit("~"), F.md5("text"))))
     lines = given.select("conv_id", "turn", "role", "_mark", F.posexplode(F.split("text", "\n")).alias("_k", "_line"))
     name = lambda turn, mark, k: F.concat_ws("-", "conv_id", F.concat(turn.cast("string"), mark), k.cast("string"))
     turn, mark, k = F.col("turn"), F.col("_mark"), F.col("_k")
@@ -197,7 +209,7 @@ def calls_of_conversations(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
     waits = F.when(k > 0, F.array(name(turn, mark, F.floor((k - 1) / 2)))).when(F.col("_before"), F.array(name(turn - 2, F.lit(""), F.lit(0)))).otherwise(no_calls)
     words = F.size(F.filter(F.split("_line", "[ \\t\\r]+"), lambda w: w != ""))
     arguments = F.to_json(F.struct(k.alias("line"), F.col("_line").alias("text"), words.alias("words")))
-    calls = asked.join(before, ["conv_id", "turn"], "left").select(
+    calls = asked.join(_hashed(before), ["conv_id", "turn"], "left").select(
         "conv_id", "turn", name(turn, mark, k).alias("call_id"), F.lit("say").alias("name"), arguments.alias("arguments"), waits.alias("after")
     )
     results = lines.filter("role = 'assistant'").select("conv_id", "turn", name(turn - 1, mark, k).alias("call_id"), F.col("_line").alias("content"))

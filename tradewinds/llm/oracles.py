@@ -1,6 +1,6 @@
 """Reference answers in DuckDB SQL, where SQL can give them."""
 
-CHAT_FORMAT = """
+LINKED_CALLS = """
 WITH lines AS (
   SELECT CAST(conv_id AS VARCHAR) AS conv_id, turn, role, u.line AS line, u.k - 1 AS k
   FROM conversations, unnest(string_split(text, chr(10))) WITH ORDINALITY AS u(line, k)
@@ -39,8 +39,8 @@ SELECT conv_id, turn,
 FROM joined
 """
 
-CHAT_TURNS = f"""
-WITH linked AS ({CHAT_FORMAT}), said AS (
+CHAT_FORMAT = f"""
+WITH linked AS ({LINKED_CALLS}), said AS (
   SELECT CAST(conv_id AS VARCHAR) AS conv_id, coalesce(turn, -1) AS turn, role, text,
     CASE WHEN role IS NULL THEN 'role: missing' WHEN role NOT IN ('system', 'user', 'assistant', 'tool') THEN 'role: unknown' ELSE '' END AS error
   FROM conversations
@@ -205,7 +205,6 @@ ORACLES: dict[str, str] = {
     "op2_substring_dedup": SUBSTRING_DEDUP,
     "op8_decontamination": DECONTAMINATION,
     "op9_chat_format": CHAT_FORMAT,
-    "op9_chat_turns": CHAT_TURNS,
     "op10_minhash_near_dedup": NEAR_DUPLICATES,
     "op11_lexical_search": LEXICAL_SEARCH,
     "op13_target_resampling": TARGET_RESAMPLING,

@@ -41,14 +41,6 @@ def op2_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op9_chat_format(spark: SparkSession, folder: str) -> DataFrame:
-    calls, results = calls_of_conversations(_read(spark, folder, "conversations"))
-    done = link_tool_calls(calls, results, SAY)
-    return done.select(
-        "conv_id", "turn", "place", "kind", "call_id", "status", "valid", F.array_join("errors", "; ").alias("errors"), "json"
-    )
-
-
-def op9_chat_turns(spark: SparkSession, folder: str) -> DataFrame:
     turns = _read(spark, folder, "conversations")
     done = with_messages(turns, link_tool_calls(*calls_of_conversations(turns), SAY))
     return done.select(
@@ -139,7 +131,6 @@ QUERIES: dict[str, Query] = {
         op7_lm_scoring,
         op8_decontamination,
         op9_chat_format,
-        op9_chat_turns,
         op10_minhash_near_dedup,
         op11_lexical_search,
         op12_token_counts,
