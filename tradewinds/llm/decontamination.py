@@ -5,26 +5,33 @@ the distance from the block to the end of the window that holds it nearest to it
 window holds it. Where the distance is 0, the windows that end in this block are compared word by word. Many
 stretches of text advance side by side, so a step is one array operation.
 
-The benchmark is the stated set of queries. It goes to the tasks in blocks of at most ``BLOCK_BYTES`` bytes of text,
-each of which is searched for in all documents.
+The benchmark is the stated set of queries. It goes to the tasks in blocks of about ``BLOCK_BYTES`` bytes of text, one
+after the other: what a block finds is written before the next one is read, and the block is taken from the executors
+again, so that the driver and each of them hold one block whatever the size of the benchmark. Only rows with hits are
+written; in the end they meet the documents by a 128-bit name of the row's id and text.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructType
 
 from tradewinds.llm.chunks import texts_of
+from tradewinds.llm.scratch import written
 from tradewinds.llm.words import ALPHANUMERIC, Words, mix, name_words
 
 WINDOW = 13
 BLOCK_BYTES = 2 << 20
 _STRETCH = 256  # window starts that one lane of the search looks after
+_SPANS = ArrayType(StructType().add("from", IntegerType()).add("to", IntegerType()))
 _VOCABULARY_BITS, _SHIFT_BITS = 20, 20
 
 
@@ -76,7 +83,7 @@ def build_search(items: list[tuple[str, str | None]], size: int = WINDOW) -> Sea
 def _patterns(m: int, held: dict[bytes, list[str]]) -> Patterns:
     windows = np.frombuffer(b"".join(held), dtype=np.int32).reshape(-1, m)
     block = min(2, m)
-    jumps = np.full(1 << _SHIFT_BITS, m - block + 1, dtype=np.int64)
+    jumps = np.full(1 << _SHIFT_BITS, m - block + 1, dtype=np.min_scalar_type(m))
     for end in range(block - 1, m):
         key = _slot(_block_key(windows.ravel(), np.arange(len(windows)) * m + end, block))
         jumps[key] = np.minimum(jumps[key], m - 1 - end)
@@ -120,7 +127,7 @@ def occurrences(p: Patterns, ids: np.ndarray, first: np.ndarray) -> tuple[np.nda
         at = jump == 0
         if at.any():
             candidates.append((end[at], key[at]))
-        end = end + np.maximum(jump, 1)
+        end = end + np.maximum(jump, 1).astype(np.int64)
         go = end < stop
         if not go.all():
             end, stop = end[go], stop[go]
@@ -162,7 +169,6 @@ def _searching(shared, kinds: pa.Schema):
                 batch = whole.slice(at, 2000)
                 words = name_words(texts_of(pa.Table.from_batches([batch]), "_text"), ALPHANUMERIC)
                 hit, items = find_hits(search, words)
-                old_spans, old_items = batch.column("_spans").to_pylist(), batch.column("_items").to_pylist()
                 turns = np.flatnonzero(np.diff(np.concatenate([[0], hit.view(np.int8), [0]])))
                 text_of = np.searchsorted(words.first, turns[0::2], side="right") - 1
                 spans: list[list] = [[] for _ in items]
@@ -172,32 +178,49 @@ def _searching(shared, kinds: pa.Schema):
                         edge = int(words.first[text + 1])
                         lower = int(words.first[text])
                         if min(b, edge) > a:
-                            spans[text].append((a - lower, min(b, edge) - lower))
+                            spans[text].append({"from": a - lower, "to": min(b, edge) - lower})
                         if b <= edge:
                             break
                         a, text = edge, text + 1
-                columns = [
-                    pa.array([_joined(s, o) for s, o in zip(spans, old_spans, strict=True)], kinds.field("_spans").type),
-                    pa.array([sorted(i | set(o)) for i, o in zip(items, old_items, strict=True)], pa.list_(pa.string())),
-                    pa.array(words.counts, pa.int64()),
-                ]
-                keep = [c for c in batch.schema.names if c not in ("_spans", "_items", "_n_words")]
+                keep = [c for c in kinds.names if c not in ("_spans", "_items", "_n_words")]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(c).cast(kinds.field(c).type) for c in keep] + columns, names=[*keep, "_spans", "_items", "_n_words"]
+                    [
+                        *[batch.column(c).cast(kinds.field(c).type) for c in keep],
+                        pa.array(spans, kinds.field("_spans").type),
+                        pa.array([sorted(i) for i in items], pa.list_(pa.string())),
+                        pa.array(words.counts, pa.int64()),
+                    ],
+                    names=kinds.names,
                 )
 
     return run
 
 
-def _joined(new: list[tuple[int, int]], old: list[dict]) -> list[dict]:
-    """Spans that touch or overlap as one."""
-    out: list[list[int]] = []
-    for a, b in sorted(new + [(s["from"], s["to"]) for s in old]):
-        if out and a <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], b)
-        else:
-            out.append([a, b])
-    return [{"from": a, "to": b} for a, b in out]
+def _joined(spans: Column) -> Column:
+    """Spans in order, those that touch or overlap as one."""
+    last = lambda done: F.element_at(done, -1)
+    wider = lambda done, s: F.struct(last(done)["from"].alias("from"), F.greatest(last(done)["to"], s["to"]).alias("to"))
+    return F.aggregate(
+        F.array_sort(spans),
+        F.array().cast(_SPANS),
+        lambda done, s: F.when(
+            F.coalesce(F.try_element_at(done, F.lit(-1))["to"] >= s["from"], F.lit(False)),
+            F.concat(F.slice(done, 1, F.size(done) - 1), F.array(wider(done, s))),
+        ).otherwise(F.concat(done, F.array(s))),
+    )
+
+
+def _found_by_further(rows: DataFrame, load: Callable[[int], Search], blocks: int) -> DataFrame:
+    """(_name_a, _name_b, _more) for rows in which a block from the second on is found: the set of finds of the blocks."""
+    spark, parts = rows.sparkSession, []
+    kinds = rows.select("_name_a", "_name_b").schema.add("_spans", _SPANS).add("_items", ArrayType(StringType())).add("_n_words", "long")
+    for k in range(1, blocks):
+        shared = spark.sparkContext.broadcast(load(k))
+        hits = rows.select("_name_a", "_name_b", "_text").mapInArrow(_searching(shared, to_arrow_schema(kinds)), kinds)
+        parts.append(written(hits.filter(F.size("_items") > 0).drop("_n_words"), "decontamination"))
+        shared.destroy()
+    # copies of a row find the same, so there are at most as many finds of a name as blocks
+    return reduce(DataFrame.union, parts).groupBy("_name_a", "_name_b").agg(F.collect_set(F.struct("_spans", "_items")).alias("_more"))
 
 
 def find_contamination(
@@ -218,28 +241,36 @@ def find_contamination(
     columns, n_words, hit_spans (from, to: numbers of words, ``to`` excluded), n_hit, items (ids of the items found, as
     sorted strings) and contaminated (some hit, and at least ``percent`` of the words). Null and empty texts have no
     words; items without id or words are found nowhere. Rows are looked at one by one, so repeated rows and ids
-    without value stay as they are. An empty benchmark contaminates nothing.
+    without value stay as they are. An empty benchmark contaminates nothing. The benchmark is searched for in blocks of
+    about ``BLOCK_BYTES`` bytes of text; the blocks change nothing in the result.
     """
-    from pyspark.sql.pandas.types import to_arrow_schema
-
-    spark = docs.sparkSession
     items = benchmark.select(F.col(item_id).cast("string").alias("_item"), F.col(item_text).cast("string").alias("_text")).dropna()
     total = items.agg(F.sum(F.octet_length("_text") + 32)).first()[0] or 0
     blocks = max(1, -(-int(total) // BLOCK_BYTES))
-    found = docs.select(
-        F.col(doc_id).alias("_id"),
-        F.col(text).cast("binary").alias("_text"),
-        *[F.col(c).alias(f"_keep_{c}") for c in keep],
-        F.expr("cast(array() as array<struct<`from`: int, `to`: int>>)").alias("_spans"),
-        F.expr("cast(array() as array<string>)").alias("_items"),
-        F.lit(0).cast("long").alias("_n_words"),
+
+    def load(block: int) -> Search:
+        part = items.filter(F.pmod(F.xxhash64("_item", "_text"), F.lit(blocks)) == block)
+        return build_search([tuple(r) for r in part.distinct().sort("_item", "_text").collect()], size)
+
+    rows = docs.select(
+        F.col(doc_id).alias("_id"), F.col(text).cast("binary").alias("_text"), *[F.col(c).alias(f"_keep_{c}") for c in keep]
     )
-    for k in range(blocks):
-        part = items.filter(F.pmod(F.xxhash64("_item", "_text"), F.lit(blocks)) == k)
-        search = build_search([tuple(r) for r in part.distinct().sort("_item", "_text").collect()], size)
-        names = [c for c in found.columns if c not in ("_spans", "_items", "_n_words")]
-        kinds = found.select(*names, "_spans", "_items", "_n_words").schema
-        found = found.mapInArrow(_searching(spark.sparkContext.broadcast(search), to_arrow_schema(kinds)), kinds)
+    if blocks > 1:
+        named = [F.xxhash64(F.lit(salt), F.col("_id").cast("string"), F.col("_id").isNull(), "_text") for salt in ("a", "b")]
+        rows = rows.withColumns(dict(zip(("_name_a", "_name_b"), named, strict=True)))
+    kept = [c for c in rows.columns if c != "_text"]
+    kinds = rows.select(*kept).schema.add("_spans", _SPANS).add("_items", ArrayType(StringType())).add("_n_words", "long")
+    more = _found_by_further(rows, load, blocks) if blocks > 1 else None
+    shared = docs.sparkSession.sparkContext.broadcast(load(0))
+    found = rows.mapInArrow(_searching(shared, to_arrow_schema(kinds)), kinds)
+    if more is not None:
+        found = found.join(more, ["_name_a", "_name_b"], "left").withColumn("_more", F.coalesce("_more", F.array()))
+        found = found.withColumns(
+            {
+                "_spans": _joined(F.concat("_spans", F.flatten(F.col("_more._spans")))),
+                "_items": F.array_sort(F.array_distinct(F.concat("_items", F.flatten(F.col("_more._items"))))),
+            }
+        )
     n_hit = F.aggregate("_spans", F.lit(0).cast("long"), lambda n, s: n + s["to"] - s["from"])
     return found.select(
         F.col("_id").alias(doc_id),
