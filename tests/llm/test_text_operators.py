@@ -164,6 +164,15 @@ def test_contamination_of_odd_documents(odd_documents, make):
     assert {(r.doc_id, r.n_hit, tuple(r["items"])) for r in got.filter("contaminated").collect()} == {(3, 3, ("1",))}
 
 
+def test_blocks_of_the_benchmark_meet_in_odd_documents(odd_documents, make, monkeypatch):
+    items = make([(1, "two three FOUR"), (2, "seven"), (3, "four five six"), (4, "id at all"), (5, "w7 w8 w9"), (6, "中文")], "item_id long, text string")
+    rows = lambda: sorted(map(str, decontamination.find_contamination(odd_documents, items, keep=("kept_text",)).collect()))
+    whole = rows()
+    monkeypatch.setattr(decontamination, "BLOCK_BYTES", 30)
+    assert rows() == whole and len(whole) == 9 and sum("items=['1', '2', '3']" in r for r in whole) == 2
+    assert sum("items=['5']" in r for r in whole) == 2 and sum("items=['4']" in r for r in whole) == sum("items=['6']" in r for r in whole) == 1
+
+
 def vocabulary():
     return str(public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -256,6 +265,13 @@ def test_every_word_has_a_class_and_scores_equal_those_by_hand(make):
     assert len({c for w, c in home.items() if w.endswith("an")}) > 2 and len(got) == len(texts) and all(math.isclose(got[k].score, score[k], abs_tol=1e-6) for k in got)
 
 
+def test_packed_numbers_and_names():
+    for values in ([], [0], [254, 255, 256, 3, 2**40, 0], list(range(600))):
+        assert brown._unpacked(brown._packed(np.array(values, dtype=np.int64))).tolist() == values
+    for names in ([], [7], [2**64 - 1], [0, 1, 2**48, 2**63, 2**64 - 2, 2**64 - 1]):
+        assert brown._thick(brown._thin(np.array(names, dtype=np.uint64))).tolist() == names
+
+
 def test_a_word_joins_the_class_of_its_neighbours():
     weigh = np.zeros((brown._SIDES, brown.CLASSES))
     weigh[3, 5], weigh[brown.CLASSES + 4, 6] = 4.0, 6.0

@@ -91,13 +91,32 @@ def with_ends(per_word: np.ndarray, first: np.ndarray, end) -> np.ndarray:
 
 
 def _packed(values: np.ndarray) -> bytes:
-    """Non-negative numbers with a leading byte for their width."""
-    width = np.min_scalar_type(int(values.max()) if len(values) else 0)
-    return bytes([width.itemsize]) + values.astype(f"u{width.itemsize}").tobytes()
+    """Non-negative numbers in a byte each; those from 255 on follow in eight."""
+    values = values.astype(np.uint64)
+    small = np.minimum(values, np.uint64(255)).astype(np.uint8)
+    return len(values).to_bytes(8, "little") + small.tobytes() + values[small == 255].tobytes()
 
 
 def _unpacked(blob: bytes) -> np.ndarray:
-    return np.frombuffer(blob, dtype=f"u{blob[0]}", offset=1).astype(np.int64)
+    n = int.from_bytes(blob[:8], "little")
+    out = np.frombuffer(blob, dtype=np.uint8, count=n, offset=8).astype(np.int64)
+    out[out == 255] = np.frombuffer(blob[8 + n :], dtype=np.uint64).astype(np.int64)
+    return out
+
+
+def _thin(names: np.ndarray) -> bytes:
+    """Ascending names as steps: six bytes of each, then the upper two, which are mostly 0 and compress."""
+    steps = np.diff(names, prepend=np.uint64(0))
+    low = np.ascontiguousarray(steps).view(np.uint8).reshape(-1, 8)[:, :6]
+    return low.tobytes() + (steps >> np.uint64(48)).astype(np.uint16).tobytes()
+
+
+def _thick(blob: bytes) -> np.ndarray:
+    n = len(blob) // 8
+    steps = np.zeros((n, 8), dtype=np.uint8)
+    steps[:, :6] = np.frombuffer(blob, dtype=np.uint8, count=6 * n).reshape(n, 6)
+    high = np.frombuffer(blob, dtype=np.uint16, offset=6 * n).astype(np.uint64) << np.uint64(48)
+    return np.cumsum(steps.view(np.uint64).ravel() | high, dtype=np.uint64)
 
 
 def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[Words]:
@@ -118,7 +137,7 @@ def _word_counts(buckets: int):
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(met, pa.int32()),
-                    pa.array([distinct[p].tobytes() for p in parts], pa.binary()),
+                    pa.array([_thin(distinct[p]) for p in parts], pa.binary()),
                     pa.array([_packed(counts[p]) for p in parts], pa.binary()),
                 ],
                 names=[BUCKET, "_names", "_counts"],
@@ -130,7 +149,7 @@ def _word_counts(buckets: int):
 def _frequent(limit: int):
     def run(table: pa.Table) -> pa.Table:
         """The most frequent words of a bucket."""
-        names, number = np.unique(np.concatenate(numbers(table.column("_names"), np.uint64)), return_inverse=True)
+        names, number = np.unique(np.concatenate([_thick(b) for b in table.column("_names").to_pylist()]), return_inverse=True)
         counts = np.concatenate([_unpacked(c) for c in table.column("_counts").to_pylist()])
         total = np.bincount(number, weights=counts, minlength=len(names)).astype(np.int64)
         top = np.lexsort((names.view(np.int64), -total))[:limit]
@@ -312,7 +331,7 @@ def _ask(buckets: int, seed: Seed):
             [
                 pa.array(met, pa.int32()),
                 pa.array(np.full(len(met), table.column(CHUNK)[0].as_py()), pa.int32()),
-                pa.array([distinct[p].tobytes() for p in parts], pa.binary()),
+                pa.array([_thin(distinct[p]) for p in parts], pa.binary()),
                 pa.array([_packed(counts[p]) for p in parts], pa.binary()),
                 pa.array([shapes[p].tobytes() for p in parts], pa.binary()),
                 pa.array([_packed(width[a:b]) for a, b in zip(begin[:-1], begin[1:], strict=True)], pa.binary()),
@@ -350,7 +369,7 @@ def best_classes(word: np.ndarray, side: np.ndarray, n: np.ndarray, weigh: np.nd
 def _tell(seed: Seed):
     def tell(table: pa.Table) -> pa.Table:
         """Total counts and classes in the order asked, and the bucket's statistics of classes."""
-        asked = numbers(table.column("_names"), np.uint64)
+        asked = [_thick(b) for b in table.column("_names").to_pylist()]
         names, place, number = np.unique(np.concatenate(asked), return_index=True, return_inverse=True)
         counts = np.concatenate([_unpacked(c) for c in table.column("_counts").to_pylist()])
         total = np.bincount(number, weights=counts, minlength=len(names)).astype(np.int64)
