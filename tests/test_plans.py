@@ -11,6 +11,8 @@ import pytest
 from pyspark.sql import functions as F
 from tests.shop import raw_shop
 from tradewinds.functions import safe_ratio
+from tradewinds.operators import joins
+from tradewinds.operators.quality import composite_unique_profile
 from tradewinds.plans import analysis, kpis, marts, quality_suite, staging
 from tradewinds.plans.warehouse import LAYERS, Warehouse, build_all
 
@@ -187,3 +189,25 @@ def test_consolidated_report(shop):
     assert (zips["severity"], zips["value"], zips["passed"]) == ("monitor", Decimal("1.00"), True)
     assert report["keys", "stg_orders", "repeated order_id"]["passed"]
     assert report["row counts", "geolocation_zips", "staging - raw"]["value"] <= 0
+
+
+def test_items_grouped_by_order_are_dealt_by_the_bytes_of_the_input(spark, tmp_path, monkeypatch, large_sides):
+    items = spark.range(4000).selectExpr(
+        "cast(id div 4 as string) as order_id", "cast(id % 4 as string) as order_item_id", "'p' as product_id", "cast(id % 3 as string) as seller_id",
+        "'2017-03-01 10:00:00' as shipping_limit_date", "cast(10 as decimal(10,2)) as price", "cast(1 as decimal(10,2)) as freight_value",
+    )
+    items.write.parquet(f"{tmp_path}/items")
+    raw = {**raw_shop(spark), "order_items": spark.read.parquet(f"{tmp_path}/items")}
+    orders = raw["orders"].limit(1).drop("order_id").join(spark.range(1000).selectExpr("cast(id as string) as order_id")).select(raw["orders"].columns)
+    orders.write.parquet(f"{tmp_path}/orders")
+    raw["orders"] = spark.read.parquet(f"{tmp_path}/orders")
+    expected = kpis.cancellation_breakdown(kpis.orders_by_seller(Warehouse(raw).fact_orders, Warehouse(raw).fact_order_items), "seller_id").collect()
+    monkeypatch.setattr(joins, "DEALT_FROM", 0)
+    monkeypatch.setattr(joins, "DEALT_BYTES", 1 << 9)
+    shop = Warehouse(raw)
+    pairs = kpis.orders_by_seller(shop.fact_orders, shop.fact_order_items_by_order)
+    most = pairs.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0]
+    assert most < 1000
+    assert sorted(kpis.cancellation_breakdown(pairs, "seller_id").collect()) == sorted(expected) and len(expected) == 3
+    found = composite_unique_profile(shop.fact_order_items_by_order, ["order_id", "order_item_id"])
+    assert tuple(found.first()) == (4000, 4000, 0, 0) and "REPARTITION_BY_NUM" in found._jdf.queryExecution().toString()

@@ -71,11 +71,13 @@ def fact_order_items(
     stg_customers: DataFrame,
     stg_sellers: DataFrame,
     heavy: HeavyKeys = NONE_HEAVY,
+    by_order: bool = False,
 ) -> DataFrame:
     """Grain: (order, item). Items without an order drop out; unknown customers or sellers leave NULL zips.
 
     The customer's zip is attached to the orders first, which are fewer than the items. ``heavy``: keys that hold a large
-    share of the rows, by column, as stored beside the staging tables.
+    share of the rows, by column, as stored beside the staging tables. ``by_order``: the items are grouped by order next,
+    so they are dealt by it.
     """
     orders = stg_orders.select(
         "order_id", "customer_id", date_key("order_purchase_date").alias("order_purchase_date_key")
@@ -83,7 +85,7 @@ def fact_order_items(
     customer_zips = stg_customers.select("customer_id", "customer_zip_code_prefix")
     seller_zips = stg_sellers.select("seller_id", "seller_zip_code_prefix")
     located = lookup_join(orders, customer_zips, "customer_id", "left", heavy.get("customer_id", ()))
-    items = lookup_join(stg_order_items, located, "order_id", "inner", heavy.get("order_id", ()))
+    items = lookup_join(stg_order_items, located, "order_id", "inner", heavy.get("order_id", ()), deal=by_order)
     return lookup_join(items, seller_zips, "seller_id", "left", heavy.get("seller_id", ())).select(columns_of("fact_order_items"))
 
 

@@ -16,7 +16,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from tradewinds.operators.joins import BYTES_IN_MEMORY_PER_FILE_BYTE, HEAVY_SHARE, input_bytes
+from tradewinds.operators.joins import BYTES_IN_MEMORY_PER_FILE_BYTE, HEAVY_SHARE, UNKNOWN_BYTES, input_bytes
 from tradewinds.plans import analysis, counters, marts, staging
 from tradewinds.sources.schemas import TABLE_SCHEMAS
 from tradewinds.sources.storage import overwrite_table, read_table, stored_table
@@ -24,7 +24,6 @@ from tradewinds.sources.storage import overwrite_table, read_table, stored_table
 # what a bucket takes in memory over all months, where no more than MOST_BUCKETS are needed for that: a bucket has a
 # file in every month
 BUCKET_BYTES, MOST_BUCKETS = 2 << 30, 1 << 13
-UNKNOWN_BYTES = 1 << 60
 # beside the layers: what later changes of single months are merged into
 PERSON_MONTHS, MONTH_BOUNDS = "state/person_months", "state/month_bounds"
 # stored by order where there are buckets
@@ -112,6 +111,11 @@ class Warehouse:
         table = stored_table(self.table(name).sparkSession, self.path(name))
         return dict(table.metrics) if table else {}
 
+    @cached_property
+    def staged_buckets(self) -> int:
+        """Buckets of the staging tables by order."""
+        return self._buckets
+
     @cached_property
     def fact_buckets(self) -> int:
         """Buckets of the facts: none where one order would fill more than two buckets' share."""
@@ -211,6 +215,15 @@ class Warehouse:
     def fact_order_items(self) -> DataFrame:
         return self.fact_order_items_by_month.drop("year_month")
 
+    @cached_property
+    def fact_order_items_by_order(self) -> DataFrame:
+        """The same rows for plans that group them by order; an item fact that is not stored is dealt by order for them."""
+        if self._storage is not None or self.staged_buckets:
+            return self.fact_order_items
+        tables = self.stg_order_items, self.stg_orders, self.stg_customers, self.stg_sellers
+        heavy = {**self.heavy("stg_orders"), **self.heavy("stg_order_items")}
+        return marts.fact_order_items(*tables, heavy, by_order=True)
+
     @cached_property
     def fact_orders(self) -> DataFrame:
         return self.fact_orders_by_month.drop("year_month")
@@ -236,7 +249,7 @@ class Warehouse:
     def person_months(self) -> DataFrame:
         """Totals of persons by month, stored by month."""
         # the item fact, stored or not: repeated order or customer rows repeat items there
-        totals = analysis.person_months(self.vw_delivered_orders, self.fact_order_items, self.dim_customer, self.fact_buckets > 0)
+        totals = analysis.person_months(self.vw_delivered_orders, self.fact_order_items_by_order, self.dim_customer, self.fact_buckets > 0)
         if self._storage is None:
             return totals
         return overwrite_table(totals, f"{self._storage}/{PERSON_MONTHS}", partition_by=["year_month"])
@@ -276,10 +289,12 @@ def over_layers(stored: Warehouse, *layers: str) -> Warehouse:
     if "dm" in layers:
         for name in ("fact_orders_by_month", "fact_order_items_by_month"):
             lazy.__dict__[name] = stored.table(name)
+        lazy.__dict__["fact_order_items_by_order"] = stored.fact_order_items
         lazy.__dict__["fact_buckets"] = stored.fact_buckets
     lazy.__dict__["heavy"] = stored.heavy
     if "stg" in layers:
         lazy.__dict__["metrics"] = stored.metrics
+        lazy.__dict__["staged_buckets"] = stored.staged_buckets
     return lazy
 
 

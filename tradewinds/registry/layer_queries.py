@@ -439,13 +439,13 @@ for _name in ("month", "quarter", "year"):
 
 @query("cancellation_by_category")
 def _cancellation_by_category(c: Context) -> DataFrame:
-    labelled = kpis.orders_by_category(c.fact_orders, c.fact_order_items, c.dim_product)
+    labelled = kpis.orders_by_category(c.fact_orders, c.fact_order_items_by_order, c.dim_product)
     return kpis.cancellation_breakdown(labelled, "product_category_name")
 
 
 @query("cancellation_by_seller")
 def _cancellation_by_seller(c: Context) -> DataFrame:
-    return kpis.cancellation_breakdown(kpis.orders_by_seller(c.fact_orders, c.fact_order_items), "seller_id")
+    return kpis.cancellation_breakdown(kpis.orders_by_seller(c.fact_orders, c.fact_order_items_by_order), "seller_id")
 
 
 @query("cancellation_by_region")
