@@ -38,7 +38,7 @@ def _duplicate_key_groups_points(c: Context) -> DataFrame:
 
 @query("composite_unique_profile")
 def _composite_unique_profile(c: Context) -> DataFrame:
-    return qc.composite_unique_profile(c.fact_order_items, ["order_id", "order_item_id"])
+    return qc.composite_unique_profile(c.fact_order_items_by_order, ["order_id", "order_item_id"])
 
 
 @query("composite_unique_profile_person_month")
