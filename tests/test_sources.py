@@ -8,7 +8,8 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tradewinds.sources import csv, sinks
+from tradewinds.operators import joins
+from tradewinds.sources import csv, csv_records, sinks
 from tradewinds.sources.schemas import RAW_SCHEMAS
 
 
@@ -209,3 +210,30 @@ def test_every_raw_table_loads_an_empty_file(spark, tmp_path, name):
     path.write_text(",".join(RAW_SCHEMAS[name].names) + "\n")
     loaded = csv.load_raw_table(spark, name, str(path))
     assert loaded.count() == 0 and loaded.columns == RAW_SCHEMAS[name].names
+
+
+def test_lines_of_a_split_are_dealt_to_partitions_of_bounded_size(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(joins, "DEALT_FROM", 0)
+    monkeypatch.setattr(csv_records, "SEGMENT_BITS", 4)
+    monkeypatch.setattr(csv_records, "TEXT_BYTES", 1 << 12)
+    for i in (1, 2):
+        (tmp_path / f"{i}.csv").write_text(awkward_reviews(i, 1500) + "\n")
+    path = str(tmp_path)
+    assert spark.read.text(path).rdd.getNumPartitions() <= 2
+    records = csv_records.quoted_records(spark, path)
+    most = records.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0]
+    assert most < 300
+    got = csv.load_raw_table(spark, "order_reviews", path).collect()
+    assert len(got) == 3000 and Counter(map(tuple, got)) == Counter(map(tuple, one_task_reader(spark, path).collect()))
+
+
+def test_places_do_not_depend_on_segments(spark, tmp_path, monkeypatch, small_splits):
+    (tmp_path / "1.csv").write_text(awkward_reviews(5, 800) + "\n")
+    place = ["split_start", "position", "reason", "record"]
+    before = rows_of(csv.load_checked(spark, "order_reviews", str(tmp_path)).rejects.select(place))
+    monkeypatch.setattr(csv_records, "SEGMENT_BITS", 1)
+    assert before and rows_of(csv.load_checked(spark, "order_reviews", str(tmp_path)).rejects.select(place)) == before
+
+
+def rows_of(df):
+    return Counter(map(tuple, df.collect()))

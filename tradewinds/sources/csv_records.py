@@ -2,9 +2,9 @@
 
 A record may go on over line ends inside quotes, so whether a line starts a record depends on all lines before it in its
 file. What a line does to that state is one of four things: it keeps it, turns it, or leaves it open or closed whatever
-it was. Such steps can be put together in any grouping: first within a split, for both states a split may begin in, then
-over the splits of a file, which are few. With the state at its start every split finds its records by itself, and only
-lines of records of several lines are brought together.
+it was. Such steps can be put together in any grouping: first within a segment of a split, some thousand lines, for both
+states it may begin in, then over the segments of a file, which are few. With the state at its start every segment finds
+its records by itself, and only lines of records of several lines are brought together.
 """
 
 from __future__ import annotations
@@ -12,20 +12,25 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-FILE, BLOCK, AT, POSITION, RECORD, LINE = "_file", "_block", "_at", "_position", "_record", "_line"
+from tradewinds.operators.joins import dealt
+
+FILE, BLOCK, SEGMENT, AT, POSITION, RECORD, LINE = "_file", "_block", "_segment", "_at", "_position", "_record", "_line"
+SEGMENT_BITS = 14  # a segment has 2**14 lines at most
+TEXT_BYTES = 16 << 20  # of lines to a partition, where there are many
 _FIELD = '(^|,)"[^"]*+"'
 
 
 def read_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """(_file, _block, _at, _line): every line with its file, the place of its split there and a number that rises
-    within a split, line by line."""
+    """(_file, _block, _segment, _at, _line): every line with its file, the place of its split there, its segment of the
+    split and a number that rises within a split, line by line. Segments rise with it."""
     lines = spark.read.option("lineSep", "\n").text(path)
-    return lines.select(
+    numbered = lines.select(
         F.col("_metadata.file_path").alias(FILE),
         F.col("_metadata.file_block_start").alias(BLOCK),
         F.monotonically_increasing_id().alias(AT),
         F.col("value").alias(LINE),
     )
+    return numbered.select(FILE, BLOCK, F.shiftright(AT, SEGMENT_BITS).alias(SEGMENT), AT, LINE)
 
 
 def unquoted(text: Column) -> Column:
@@ -48,16 +53,16 @@ def _parity(number: Column) -> Column:
 
 
 def _with_effects(lines: DataFrame) -> DataFrame:
-    """For each line: _after (state that its split's lines up to it leave, null if that depends on the split's start)
-    and _turns (how often they turn the state since the split's start), both before and after the line."""
-    in_split = Window.partitionBy(FILE, BLOCK).orderBy(AT)
-    before = in_split.rowsBetween(Window.unboundedPreceding, -1)
+    """For each line: _after (state that its segment's lines up to it leave, null if that depends on the segment's start)
+    and _turns (how often they turn the state since the segment's start), both before and after the line."""
+    in_segment = Window.partitionBy(FILE, BLOCK, SEGMENT).orderBy(AT)
+    before = in_segment.rowsBetween(Window.unboundedPreceding, -1)
     if_closed = ends_open(F.col(LINE)).cast("int")
     if_open = F.when(F.contains(LINE, F.lit('"')), ends_open(F.concat(F.lit('"'), LINE))).otherwise(F.lit(True)).cast("int")
     seen = lines.withColumn("_if_closed", if_closed).withColumn("_if_open", if_open)
     turns = (F.col("_if_closed") == 1) & (F.col("_if_open") == 0)
     seen = seen.withColumn("_turn", turns.cast("int"))
-    seen = seen.withColumn("_turns", F.sum("_turn").over(in_split.rowsBetween(Window.unboundedPreceding, 0)))
+    seen = seen.withColumn("_turns", F.sum("_turn").over(in_segment.rowsBetween(Window.unboundedPreceding, 0)))
     # a line with one outcome fixes the state; its outcome less the turns so far is what later lines add their turns to
     fixed = F.when(F.col("_if_closed") == F.col("_if_open"), _parity(F.col("_if_closed") + F.col("_turns")))
     seen = seen.withColumn("_fixed", fixed).withColumn("_base", F.last("_fixed", ignorenulls=True).over(before))
@@ -68,11 +73,11 @@ def _state(start: Column) -> Column:
     return _parity(F.coalesce(F.col("_base").cast("long"), start) + F.col("_turned"))
 
 
-def _splits(seen: DataFrame) -> DataFrame:
-    """One row a split: the number of its first line (_from), its _start state, the record it begins in (_carried), and
-    of its file, the first line that is not empty (_header) and whether lines end in CR LF (_crlf)."""
+def _segments(seen: DataFrame) -> DataFrame:
+    """One row a segment: the number of its split's first line (_from), its _start state, the record it begins in
+    (_carried), and of its file, the first line that is not empty (_header) and whether lines end in CR LF (_crlf)."""
     begins = [F.when(_state(F.lit(s)) == 0, F.col(AT)) for s in (0, 1)]
-    per_split = seen.groupBy(FILE, BLOCK).agg(
+    per_segment = seen.groupBy(FILE, BLOCK, SEGMENT).agg(
         F.max_by(F.coalesce("_fixed", "_base"), AT).alias("_kept"),
         F.max("_turns").alias("_all_turns"),
         F.max(begins[0]).alias("_last_if_closed"),
@@ -81,10 +86,11 @@ def _splits(seen: DataFrame) -> DataFrame:
         F.min(F.when(~F.col(LINE).isin("", "\r"), F.col(AT))).alias("_first"),
         F.min(AT).alias("_from"),
     )
-    of_file = Window.partitionBy(FILE).orderBy(BLOCK)
+    per_segment = per_segment.withColumn("_from", F.min("_from").over(Window.partitionBy(FILE, BLOCK)))
+    of_file = Window.partitionBy(FILE).orderBy(BLOCK, SEGMENT)
     before, whole = of_file.rowsBetween(Window.unboundedPreceding, -1), of_file.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     turns = F.sum("_all_turns").over(of_file.rowsBetween(Window.unboundedPreceding, 0))
-    out = per_split.withColumn("_file_turns", turns)
+    out = per_segment.withColumn("_file_turns", turns)
     fixed = F.when(F.col("_kept").isNotNull(), _parity(F.col("_kept") + F.col("_all_turns") + F.col("_file_turns")))
     out = out.withColumn("_file_fixed", fixed)
     start = _parity(F.coalesce(F.last("_file_fixed", ignorenulls=True).over(before), F.lit(0)) + F.col("_file_turns") - F.col("_all_turns"))
@@ -95,6 +101,7 @@ def _splits(seen: DataFrame) -> DataFrame:
     return out.select(
         FILE,
         BLOCK,
+        SEGMENT,
         "_from",
         "_start",
         F.last("_last", ignorenulls=True).over(before).alias("_carried"),
@@ -109,13 +116,13 @@ def quoted_records(spark: SparkSession, path: str | list[str], header: bool = Tr
     _position is the line of its split, counted from 1, in which the record begins. Line breaks inside quotes are kept,
     those of a file with CR LF as line feeds. A quote that is never closed makes the rest of its file one record.
     """
-    seen = _with_effects(read_lines(spark, path))
-    lines = seen.join(_splits(seen), [FILE, BLOCK])
+    seen = _with_effects(dealt(read_lines(spark, path), FILE, BLOCK, SEGMENT, each=TEXT_BYTES))
+    lines = seen.join(_segments(seen), [FILE, BLOCK, SEGMENT])
     text = F.when(F.col("_crlf"), F.regexp_replace(F.col(LINE), "\r$", "")).otherwise(F.col(LINE))
     lines = lines.withColumn(LINE, text).withColumn("_open", _state(F.col("_start")))
     # where the record of a line begins: (number, split, line of the split)
     here = F.struct(F.col(AT), F.col(BLOCK), (F.col(AT) - F.col("_from") + 1).alias(POSITION))
-    so_far = Window.partitionBy(FILE, BLOCK).orderBy(AT).rowsBetween(Window.unboundedPreceding, 0)
+    so_far = Window.partitionBy(FILE, BLOCK, SEGMENT).orderBy(AT).rowsBetween(Window.unboundedPreceding, 0)
     begun = F.last(F.when(F.col("_open") == 0, here), ignorenulls=True).over(so_far)
     lines = lines.withColumn("_begun", F.coalesce(begun, F.col("_carried")))
     if header:
@@ -124,6 +131,7 @@ def quoted_records(spark: SparkSession, path: str | list[str], header: bool = Tr
     place = [F.col(f"_begun.{BLOCK}").alias(BLOCK), F.col(f"_begun.{POSITION}").alias(POSITION)]
     single = lines.filter(alone & (F.col(LINE) != "")).select(FILE, *place, F.col(LINE).alias(RECORD))
     parts = F.array_sort(F.collect_list(F.struct(BLOCK, AT, LINE)))
-    several = lines.filter(~alone).groupBy(FILE, "_begun").agg(parts.alias("_parts"))
+    # the files are below these rows twice
+    several = dealt(lines.filter(~alone), FILE, "_begun", each=2 * TEXT_BYTES).groupBy(FILE, "_begun").agg(parts.alias("_parts"))
     joined = F.array_join(F.transform("_parts", lambda p: p[LINE]), "\n")
     return single.unionByName(several.select(FILE, *place, joined.alias(RECORD)))
