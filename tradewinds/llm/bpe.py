@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType
 
-from tradewinds.llm.chunks import texts_of
+from tradewinds.llm.chunks import give_back, texts_of
 
 _UNIT = re.compile(rb"[\x09-\x0d\x20]*[^\x09-\x0d\x20]+|[\x09-\x0d\x20]+\Z")
 _WHITE = frozenset(b"\x09\x0a\x0b\x0c\x0d\x20")
@@ -239,11 +239,14 @@ class ByteBpe:
 @cache
 def load(path: str, pattern: str) -> ByteBpe:
     with open(path, encoding="utf-8") as file:
-        return ByteBpe(json.load(file), pattern)
+        made = ByteBpe(json.load(file), pattern)
+    give_back()  # what the description took
+    return made
 
 
 def _coding(path: str, pattern: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()  # of earlier tasks
         bpe = load(path, pattern)
         gc.disable()  # nothing here refers to itself, and the collector would visit all that is remembered
         for whole in batches:
@@ -258,6 +261,7 @@ def _coding(path: str, pattern: str):
                     names=[*batch.schema.names[1:], "_ids", "_decoded"],
                 )
         gc.enable()
+        give_back()
 
     return run
 

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructType
 
-from tradewinds.llm.chunks import texts_of
+from tradewinds.llm.chunks import give_back, texts_of
 from tradewinds.llm.scratch import written
 from tradewinds.llm.words import ALPHANUMERIC, Words, mix, name_words
 
@@ -192,6 +192,7 @@ def _searching(shared, kinds: pa.Schema):
                     ],
                     names=kinds.names,
                 )
+        give_back()
 
     return run
 

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tradewinds.llm.chunks import texts_of
+from tradewinds.llm.chunks import give_back, texts_of
 from tradewinds.llm.components import checkpointed, components
 from tradewinds.llm.words import LOWER, join_names, mix, name_words, seeded, sequences
 
@@ -84,6 +84,7 @@ def _sketching(width: int):
                     [batch.column(0), pa.array(sizes), pa.array(marks, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
                     names=["_id", "_size", "_set", "_keys"],
                 )
+        give_back()
 
     return run
 
@@ -115,6 +116,7 @@ def _comparing(width: int):
                     ],
                     names=["_a", "_b", "_a_size", "_b_size", "_both", "_own"],
                 )
+        give_back()
 
     return run
 

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tradewinds.llm.chunks import texts_of
+from tradewinds.llm.chunks import give_back, texts_of
 from tradewinds.llm.grams import gram_counts, pieces, word_counts
 
 PER_LABEL = 1000
@@ -105,6 +105,7 @@ def _scoring(model: Embedding | None, keep: list[str]):
                 texts = texts_of(pa.Table.from_batches([batch]))
                 score = probability(model, texts) if model else np.full(len(texts), 0.5)
                 yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], pa.array(score, pa.float64())], names=[*keep, "_score"])
+        give_back()
 
     return run
 

@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tradewinds.llm.chunks import BUCKET, CHUNK, by_bucket, chunk_count, in_chunks, numbers, texts_of
+from tradewinds.llm.chunks import BUCKET, CHUNK, and_give_back, by_bucket, chunk_count, in_chunks, numbers, texts_of
 from tradewinds.llm.words import join_names, mix, name_words, seeded
 
 WINDOW = 13
@@ -117,7 +117,7 @@ def _ask(size: int, buckets: int):
             [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=[BUCKET, CHUNK, "_names", "_owners", "_runs"]
         )
 
-    return ask
+    return lambda table: and_give_back(ask, table)
 
 
 def _tell(table: pa.Table) -> pa.Table:
@@ -185,7 +185,7 @@ def _cut(size: int, buckets: int, keep: tuple[str, ...], whole: bool, schema: pa
             names=schema.names,
         )
 
-    return cut
+    return lambda docs, told: and_give_back(cut, docs, told)
 
 
 def remove_repeats(
@@ -204,7 +204,7 @@ def remove_repeats(
     chunks = chunk_count(docs, text)
     dealt = in_chunks(docs, doc_id, text, chunks, keep)
     asked = dealt.groupBy(CHUNK).applyInArrow(_ask(size, chunks), _ASKED)
-    told = asked.groupBy(BUCKET).applyInArrow(_tell, _TOLD)
+    told = asked.groupBy(BUCKET).applyInArrow(lambda table: and_give_back(_tell, table), _TOLD)
     fields = dealt.select(F.col("_id"), *[F.col(f"_keep_{c}") for c in keep]).schema
     out = fields.add("n_words", "long").add("n_removed", "long").add("_kept", "binary")
     cut = dealt.groupBy(CHUNK).cogroup(told.groupBy(CHUNK)).applyInArrow(_cut(size, chunks, keep, whole, to_arrow_schema(out)), out)
