@@ -88,3 +88,14 @@ def test_geolocation_with_collation(spark):
     plain, folded = staging.stg_geolocation(df).first(), staging.stg_geolocation(df, "UNICODE_CI_AI").first()
     assert (plain["geolocation_city"], plain["city_cnt"]) == ("santos", 3)
     assert (folded["geolocation_city"], folded["city_cnt"]) == ("sao paulo", 2)
+
+
+def test_times_are_parsed_once(spark, tmp_path):
+    raw = raw_shop(spark)
+    for name, stage, times in (("order_items", staging.stg_order_items, 1), ("order_reviews", staging.stg_order_reviews, 2)):
+        raw[name].write.parquet(f"{tmp_path}/{name}")
+        df = stage(spark.read.parquet(f"{tmp_path}/{name}"))
+        # every column of the result is asked for, as the reports over all columns do
+        assert df._jdf.queryExecution().optimizedPlan().toString().count("as timestamp_ntz)") == times
+        lazy = {tuple(r) for r in stage(raw[name]).collect()}
+        assert {tuple(r) for r in df.collect()} == lazy and len(lazy) > 0

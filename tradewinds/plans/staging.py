@@ -157,14 +157,16 @@ def stg_sellers(raw_sellers: DataFrame) -> DataFrame:
 
 
 def stg_order_items(raw_items: DataFrame) -> DataFrame:
-    limit = parse_ts("shipping_limit_date")
     ids = ["order_id", "order_item_id", "product_id", "seller_id"]
-    return raw_items.dropna(subset=ids).select(
+    parsed = raw_items.dropna(subset=ids).select(
+        *ids, parse_ts("shipping_limit_date").alias("shipping_limit_dt"), "price", "freight_value"
+    )
+    return parsed.select(
         *ids,
-        limit.alias("shipping_limit_dt"),
+        "shipping_limit_dt",
         "price",
         "freight_value",
-        limit.cast("date").alias("shipping_limit_date"),
+        F.col("shipping_limit_dt").cast("date").alias("shipping_limit_date"),
         F.trim("order_item_id").try_cast("int").alias("order_item_seq"),
         F.round(F.col("price") + F.col("freight_value"), 2).try_cast("decimal(10,2)").alias("item_total_value"),
     )
@@ -183,21 +185,21 @@ def stg_order_payments(raw_payments: DataFrame) -> DataFrame:
 
 
 def stg_order_reviews(raw_reviews: DataFrame) -> DataFrame:
-    title = clean_text("review_comment_title", blank_to_null=True)
-    message = clean_text("review_comment_message", blank_to_null=True)
-    created, answered = parse_ts("review_creation_date"), parse_ts("review_answer_timestamp")
-    return raw_reviews.filter(_present("review_id", "order_id") & F.col("review_score").isNotNull()).select(
+    cleaned = raw_reviews.filter(_present("review_id", "order_id") & F.col("review_score").isNotNull()).select(
         "review_id",
         "order_id",
         "review_score",
-        title.alias("review_comment_title"),
-        message.alias("review_comment_message"),
-        created.alias("review_creation_dt"),
-        answered.alias("review_answer_dt"),
-        created.cast("date").alias("review_creation_date"),
-        answered.cast("date").alias("review_answer_date"),
-        to_flag(title.isNull()).alias("is_title_blank"),
-        to_flag(message.isNull()).alias("is_message_blank"),
+        clean_text("review_comment_title", blank_to_null=True).alias("review_comment_title"),
+        clean_text("review_comment_message", blank_to_null=True).alias("review_comment_message"),
+        parse_ts("review_creation_date").alias("review_creation_dt"),
+        parse_ts("review_answer_timestamp").alias("review_answer_dt"),
+    )
+    return cleaned.select(
+        "*",
+        F.col("review_creation_dt").cast("date").alias("review_creation_date"),
+        F.col("review_answer_dt").cast("date").alias("review_answer_date"),
+        to_flag(F.col("review_comment_title").isNull()).alias("is_title_blank"),
+        to_flag(F.col("review_comment_message").isNull()).alias("is_message_blank"),
     )
 
 
